@@ -245,7 +245,7 @@ def train(docs: DataFrame) -> Model:
         key, at, n = _summed(pair_key(v, w), np.concatenate(n).astype(np.uint64))
         v, w, bucket = v[at], w[at], group["bucket"][0].as_py()
         _store(f"{path}/pair-{bucket}.npy", key)
-        _store(f"{path}/count-{bucket}.npy", n.astype(np.uint32))
+        _store(f"{path}/count-{bucket}.npy", n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64))
         one, zero = np.ones(len(v), dtype=np.uint64), np.zeros(len(v), dtype=np.uint64)
         roles = [np.concatenate(c) for c in zip((w, n, one, zero, zero, zero, zero), (v, zero, zero, n, (n == 1), (n == 2), (n > 2)), strict=True)]
         word, _, *sums = _summed(roles[0], *(c.astype(np.uint64) for c in roles[1:]))
