@@ -18,7 +18,7 @@ from .state import new_path, save
 
 START, END = np.uint64(0x5BF03635DE1F8A27), np.uint64(0x9D8A7C1B33A4E5F1)
 BASE = np.uint64(0xC6A4A7935BD1E995)
-CHUNK_TOKENS, CHUNK_BYTES, BUCKET_BYTES = 2_000_000, 8 << 20, 48 << 20
+CHUNK_TOKENS, CHUNK_BYTES, BUCKET_BYTES = 2_000_000, 2 << 20, 48 << 20
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True
 
@@ -341,7 +341,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         arrays = Arrays(model)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _text_chunks(texts, CHUNK_BYTES // 4):
+            for a, b in _text_chunks(texts, CHUNK_BYTES):
                 n, known, base, full = arrays.scores(texts[a:b])
                 cols = [ids.slice(a, b - a), n, known, np.full(b - a, model.tokens), base, full]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
