@@ -31,6 +31,7 @@ HARD = [
     (9, "secret:secret=abcdefghijklm apikey='é' API_KEY: zzzzzzzzzzzz", "en", "c"),
     (10, "a b c " * 50 + "### $$ x", "en", "c"),
     (11, "\t\x0b \r\n \x0c", "en", "c"),
+    (12, "an end <|endoftext|> within" + " x" * 3000 + "y" * 50000, "en", "c"),
 ]
 
 
@@ -314,7 +315,7 @@ def test_packing(table):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    out = packing.pack(table, tokenizer_path(), group=64).collect()
+    out = packing.pack(table, tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"), group=64).collect()
     want = Counter()
     for d, t in texts(table):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 0]

@@ -50,7 +50,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_docs(spark, sf_dir), tokenizer_path())
+    return packing.pack(_docs(spark, sf_dir), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
