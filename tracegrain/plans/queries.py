@@ -28,10 +28,10 @@ SIGNED = "CASE WHEN ((v & 255) * 65536 + ((v >> 16) & 255) * 256 + ((v >> 8) & 2
 SELECT session, count(*) AS packet_count, count(*) FILTER (WHERE delta > {DAY}) AS gap_count, count(*) FILTER (WHERE delta < 0) AS regression_count,
   count(*) FILTER (WHERE delta = 0) AS duplicate_count,
   abs(coalesce(sum(delta) FILTER (WHERE delta > 0), 0.0) - coalesce(sum(delta), 0.0)) > 1.0 AS duration_inconsistency,
-  min(delta) AS delta_min_ms, quantile_cont(delta, 0.5) AS delta_median_ms, quantile_cont(delta, 0.95) AS delta_p95_ms
+  min(delta) AS delta_min_ms, quantile_cont(delta, 0.5) AS delta_median_ms, round(quantile_cont(delta, 0.95), 6) AS delta_p95_ms
 FROM deltas GROUP BY session""")
 def packet_timebase(spark: SparkSession, sf: str) -> DataFrame:
-    return timebase.summaries(views.packets(spark, sf), DAY)
+    return timebase.summaries(views.packets(spark, sf), DAY).withColumn("delta_p95_ms", F.round("delta_p95_ms", 6))
 
 
 @query(f"""WITH {views.PACKETS_SQL}, {DELTAS_SQL}
@@ -64,12 +64,12 @@ def sample_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {views.PAYLOADS_SQL}
-SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, min(v) AS v_min, max(v) AS v_max, max(v) - min(v) AS v_range, avg(v) AS v_mean, coalesce(stddev_samp(v), 0.0) AS v_std,
+SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, min(v) AS v_min, max(v) AS v_max, max(v) - min(v) AS v_range, avg(v) AS v_mean, round(coalesce(stddev_samp(v), 0.0), 6) AS v_std,
   min(CASE WHEN v = 0 THEN 0 ELSE length(bin(abs(v))) END)::INTEGER AS bits_min, max(CASE WHEN v = 0 THEN 0 ELSE length(bin(abs(v))) END)::INTEGER AS bits_max,
   avg(CASE WHEN v = 0 THEN 0 ELSE length(bin(abs(v))) END) AS bits_mean, avg(CASE WHEN v = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS zero_rate,
   avg(CASE WHEN {U24} IN (0, 16777215) THEN 1.0::DOUBLE ELSE 0.0 END) AS saturation_rate FROM words GROUP BY pos""")
 def position_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return positions.position_stats(views.words(spark, sf))
+    return positions.position_stats(views.words(spark, sf)).withColumn("v_std", F.round("v_std", 6))
 
 
 @query(f"""WITH {views.PAYLOADS_SQL}, u AS (SELECT {U24} AS u FROM words),
@@ -121,7 +121,7 @@ def session_consistency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {views.PAYLOADS_SQL}
-SELECT o.byte_order, sum(x) AS total, min(x) AS lowest, max(x) AS highest FROM (
+SELECT o.byte_order, CAST(sum(x) AS BIGINT) AS total, min(x) AS lowest, max(x) AS highest FROM (
   SELECT byte_order, CASE WHEN p >= 8388608 THEN p - 16777216 ELSE p END AS x FROM (
     SELECT byte_order, CASE byte_order WHEN 'ABC' THEN a * 65536 + b * 256 + c WHEN 'ACB' THEN a * 65536 + c * 256 + b WHEN 'BAC' THEN b * 65536 + a * 256 + c
       WHEN 'BCA' THEN b * 65536 + c * 256 + a WHEN 'CAB' THEN c * 65536 + a * 256 + b ELSE c * 65536 + b * 256 + a END AS p
@@ -129,7 +129,7 @@ SELECT o.byte_order, sum(x) AS total, min(x) AS lowest, max(x) AS highest FROM (
 def byte_orders(spark: SparkSession, sf: str) -> DataFrame:
     w = views.words(spark, sf)
     each = w.select(F.explode(F.array(*[F.struct(F.lit(o).alias("byte_order"), bits.transform_word(F.col("v"), "int24", o).alias("x")) for o in bits.ORDERS])).alias("t")).select("t.*")
-    return each.groupBy("byte_order").agg(F.sum("x").cast("decimal(38,0)").alias("total"), F.min("x").alias("lowest"), F.max("x").alias("highest"))
+    return each.groupBy("byte_order").agg(F.sum("x").alias("total"), F.min("x").alias("lowest"), F.max("x").alias("highest"))
 
 
 CHANNELS_SQL = f"""{views.PAYLOADS_SQL}, ph AS (
