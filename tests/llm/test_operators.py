@@ -202,6 +202,24 @@ def test_simhash_links_in_hot_cells(spark):
     assert len({*zip(parts, mine, strict=True)}) == len(set(parts)) == len(set(mine))
 
 
+def test_similar_documents(spark):
+    """Copies with a few changed words go, other texts stay, whatever their number."""
+    r = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, group = [], []
+    for d in range(60):
+        w = list(r.choice(vocabulary, 300))
+        for k in range(1 + d % 4):
+            v = list(w)
+            for at in r.choice(300, 2 * k, replace=False):
+                v[at] = "changed"
+            rows.append((len(rows), " ".join(v)))
+            group.append(d)
+    found = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = sum(found[i] != min(j for j in range(len(rows)) if group[j] == group[i]) for i in range(len(rows)))
+    assert wrong <= 1 and all(group[found[i]] == group[i] for i in found)
+
+
 def test_simhash_dedup(hard):
     out = simhash.deduplicate(hard)
     assert out.columns == hard.columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -15,35 +16,51 @@ from .state import save
 
 SHINGLE, BITS = 4, 4
 GROUPS, SEGMENT = 6, 2
-CELL = 4096
+STAGE_SHINGLE, STAGE_BITS, WIDTH, LIKELY = 5, 48, 4, 0.15
+CELL, FEW = 4096, 10_000
 AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The text's SimHash; zero if it has no word. Shingles are hashed in blocks: memory is that of the words."""
+def _spread(h: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th 64 bits of a shingle's hash; the first are the hash itself."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, width: int = 1) -> np.ndarray:
+    """The text's SimHash of 64 * ``width`` bits; zero if it has no word. Shingles are hashed in blocks of fixed size."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII space parts
     if not words:
-        return 0
+        return np.zeros(width, dtype=np.uint64)
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((width, 64), dtype=np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for at in range(0, n, AT_ONCE):
         end = min(n, at + AT_ONCE)
         h = np.fromiter((digest(join(words[i : i + shingle]), 42) for i in range(at, end)), dtype=np.uint64, count=end - at)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        for k in range(width):
+            ones[k] += np.unpackbits(_spread(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel()
+
 
+def _names(width: int) -> list[str]:
+    return [f"f{k}" for k in range(width)]
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, for every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1) -> DataFrame:
+    """doc_id and f0, f1, ..., the fingerprint's 64-bit words as signed longs, for every document."""
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in _names(width))])
 
     def make(batches):
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], schema=schema)
+            fp = np.array([fingerprint(t.as_py(), shingle, width) for t in batch.column(1)], dtype=np.uint64).reshape(-1, width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, k]) for k in range(width))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, ", ".join(f"{n} long" for n in schema.names))
 
 
 def _group_keys(fp: np.ndarray, groups: int) -> np.ndarray:
@@ -59,35 +76,53 @@ def _group_keys(fp: np.ndarray, groups: int) -> np.ndarray:
     return np.stack([(counts >> np.uint64(2 * a)) & np.uint64((1 << 2 * (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)], axis=1)
 
 
-def cells(classes: DataFrame, bits: int = BITS, groups: int = GROUPS) -> DataFrame:
-    """Each distinct fingerprint in its grid cells: ``cell``, ``fp``.
+def _exact_cells(fp: np.ndarray, bits: int, groups: int):
+    """Every cell of the fingerprints (n, 1) in the grid that loses no link.
 
     Within Manhattan distance ``bits`` at most that many of the groups differ, so two linked fingerprints have equal
     popcounts in at least groups - bits of them: a cell fixes one choice of such groups and their popcounts.
     """
-    picks = list(combinations(range(groups), groups - bits))
-    schema = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
+    keys = _group_keys(fp[:, 0], groups)
+    for k, pick in enumerate(combinations(range(groups), groups - bits)):
+        cell = np.full(len(fp), k, dtype=np.uint64)
+        for g in pick:  # at most 12 bits a group
+            cell = (cell << np.uint64(12)) | keys[:, g]
+        yield cell
+
+
+def _wide_cells(fp: np.ndarray, chosen: int, tables: int):
+    """Cells of the fingerprints (n, width) in ``tables`` grids over ``chosen`` one-bit segments each, whose bit counts
+    are the bits themselves."""
+    flat = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
+    rng = np.random.default_rng(11)
+    for k in range(tables):
+        cell = np.full(len(fp), k, dtype=np.uint64)
+        for bit in rng.choice(flat.shape[1], chosen, replace=False):
+            cell = (cell << np.uint64(1)) | flat[:, bit]
+        yield cell
+
+
+def _placed(classes: DataFrame, ids: str, names: list[str], grid) -> DataFrame:
+    """Each class in each of its cells: cell, the class's id, its fingerprint."""
+    columns = list(dict.fromkeys([ids, *names]))
+    schema = pa.schema([("cell", pa.int64()), *((n, pa.int64()) for n in columns)])
 
     def place(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy()
-            keys = _group_keys(fp, groups)
-            for k, pick in enumerate(picks):
-                cell = np.full(len(fp), k, dtype=np.uint64)
-                for g in pick:  # at most 12 bits a group
-                    cell = (cell << np.uint64(12)) | keys[:, g]
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), batch.column(0)], schema=schema)
+            fp = np.stack([batch.column(columns.index(n)).to_numpy() for n in names], axis=1).view(np.uint64)
+            for cell in grid(fp) if len(fp) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *batch.columns], schema=schema)
 
-    return classes.select("fp").mapInArrow(place, "cell long, fp long")
+    return classes.select(*columns).mapInArrow(place, ", ".join(f"{n} long" for n in schema.names))
 
 
-def _links_in(fp: np.ndarray, side: np.ndarray, run: np.ndarray, bits: int) -> list[tuple[int, int]]:
+def _links_in(ids: np.ndarray, fp: np.ndarray, side: np.ndarray, run: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within each run of one cell; between two blocks only pairs across count.
 
     A cell's rows already meet the Manhattan bound in its groups, and one exact distance costs no more than the
     rest of the bound, so it is taken at once. Pairs that are joined already are not compared again.
     """
-    out, n, lag = [], len(fp), 1
+    out, n, lag = [], len(ids), 1
     part = np.arange(n)
     at = np.arange(n)
     while True:
@@ -96,14 +131,14 @@ def _links_in(fp: np.ndarray, side: np.ndarray, run: np.ndarray, bits: int) -> l
         if not len(at):
             return out
         a = at[(part[at] != part[at + lag]) & ((side[at] < 0) | (side[at] != side[at + lag]))]
-        a = a[np.bitwise_count(fp[a] ^ fp[a + lag]) <= bits]
+        a = a[np.bitwise_count(fp[a] ^ fp[a + lag]).sum(axis=1, dtype=np.int64) <= bits]
         if len(a):
             top = np.arange(n)
             for x in a.tolist():
                 p, q = _top(top, part[x]), _top(top, part[x + lag])
                 if p != q:
                     top[max(p, q)] = min(p, q)
-                    out.append((int(fp[x]), int(fp[x + lag])))
+                    out.append((int(ids[x]), int(ids[x + lag])))
             while (up := top[top] != top).any():
                 top[up] = top[top[up]]
             part = top[part]
@@ -116,49 +151,72 @@ def _top(top: np.ndarray, x: int) -> int:
     return x
 
 
-def links(classes: DataFrame, bits: int = BITS, groups: int = GROUPS, cell_rows: int = CELL) -> DataFrame:
-    """Links ``a``, ``b`` between distinct fingerprints that join all parts within ``bits`` differing bits.
-
-    Cells of over ``cell_rows`` fingerprints are dealt to blocks, and every two blocks of a cell meet in a task of
-    their own, so that no task holds more than two blocks. A cell gives a spanning forest of its links, never all its pairs.
-    """
-    placed = save(cells(classes, bits, groups), "cells")
-    hot = placed.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > cell_rows)
+def _met(placed: DataFrame, columns: list[str], cell_rows: int) -> DataFrame:
+    """Rows by task: a cell of over ``cell_rows`` rows is dealt to blocks, and every two of its blocks meet by themselves."""
+    cool = [F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(-1).alias("side")]
+    hot = save(placed.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > cell_rows), "hot-cells")
+    n_hot = hot.count()
+    if not n_hot:
+        return placed.select("cell", *cool, *columns)
     blocks = hot.select("cell", F.ceil(F.col("_n") / cell_rows).cast("int").alias("_k"))
-    marked = placed.join(blocks, "cell", "left")
-    cool = marked.where(F.col("_k").isNull()).select("cell", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(-1).alias("side"), "fp")
-    own = F.pmod(F.xxhash64("fp"), F.col("_k")).cast("int")
-    dealt = marked.where(F.col("_k").isNotNull()).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    dealt = dealt.select("cell", F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), F.when(F.col("_own") == F.col("_other"), -1).otherwise(F.col("_own")).alias("side"), "fp")
-    met = cool.union(dealt).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q", "fp")
+    marked = placed.join(F.broadcast(blocks) if n_hot <= FEW else blocks, "cell", "left")
+    own = F.when(F.col("_k") > 1, F.pmod(F.xxhash64(columns[0]), F.col("_k")).cast("int"))
+    others = F.when(F.col("_k") > 1, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.array(F.lit(0)))
+    dealt = marked.withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", F.explode(others))
+    alone = F.col("_own") == F.col("_other")
+    return dealt.select("cell", F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), F.when(alone, -1).otherwise(F.col("_own")).alias("side"), *columns)
+
+
+def _linked(placed: DataFrame, names: list[str], bits: int, cell_rows: int) -> DataFrame:
+    """Links ``a``, ``b`` of the rows that meet in a cell: spanning forests, never all pairs. No task holds more than two blocks."""
+    columns = placed.columns[1:]
+    at = [4 + columns.index(n) for n in names]
+    met = _met(placed, columns, cell_rows).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q", columns[0])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def runs(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
+        fp = np.ascontiguousarray(rows[at].T).view(np.uint64)
+        found = _links_in(rows[4], fp, rows[3], np.cumsum(new), bits)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
     def compare(batches):
         held: list[np.ndarray] = []
         for batch in batches:
-            rows = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in range(5)])
+            rows = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in range(batch.num_columns)])
             if held:
                 rows = np.concatenate([*held, rows], axis=1)
             n = rows.shape[1]
             if not n:
                 continue
-            last = n - 1 if n else 0
             same = (rows[:3] == rows[:3, -1:]).all(axis=0)
-            last = n - int(same[::-1].argmin()) if not same.all() else 0
-            held = [rows[:, last:]]
+            last = 0 if same.all() else n - int(same[::-1].argmin())
+            held = [rows[:, last:]]  # the last cell may go on in the next batch
             if last:
-                yield _runs(rows[:, :last], bits, schema)
+                yield runs(rows[:, :last])
         if held:
-            yield _runs(held[0], bits, schema)
+            yield runs(held[0])
 
     return met.mapInArrow(compare, "a long, b long")
 
 
-def _runs(rows: np.ndarray, bits: int, schema: pa.Schema) -> pa.RecordBatch:
-    new = np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
-    found = _links_in(rows[4], rows[3], np.cumsum(new), bits)
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+def links(classes: DataFrame, bits: int = BITS, groups: int = GROUPS, cell_rows: int = CELL) -> DataFrame:
+    """Links between distinct fingerprints (fp) that join all parts within ``bits`` differing bits; none is lost."""
+    return _linked(_placed(classes, "fp", ["fp"], lambda fp: _exact_cells(fp, bits, groups)), ["fp"], bits, cell_rows)
+
+
+def wide_links(classes: DataFrame, n: int, bits: int, width: int, cell_rows: int = CELL) -> DataFrame:
+    """Links between ``n`` distinct wide fingerprints (node, f0, ...) within ``bits`` bits.
+
+    So wide a distance leaves no grid that is both exact and selective: each of ``tables`` grids fixes ``chosen`` bits,
+    one more for each doubling of ``n``, so that cells stay of one size, and as many grids are laid as find a pair at
+    LIKELY differing bits with a chance of 98 %.
+    """
+    chosen = min(40, max(8, (max(1, n) - 1).bit_length() - 7))
+    tables = math.ceil(math.log(1 / 0.02) / (1 - LIKELY) ** chosen)
+    grid = lambda fp: _wide_cells(fp, chosen, tables)
+    return _linked(_placed(classes, "node", _names(width), grid), _names(width), bits, cell_rows)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, groups: int = GROUPS) -> DataFrame:
@@ -167,25 +225,40 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, g
     Equal fingerprints are one class, so copies are never compared with each other. Null and empty texts have
     fingerprint zero and link like any other; a null doc_id is never a component's name unless all its rows have none.
     """
-    rows = save(fingerprints(docs, shingle), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("_first"))
-    parts = components(links(classes, bits, groups))
-    named = classes.join(parts, classes.fp == parts.node, "left").select("fp", F.coalesce("root", "fp").alias("_root"), "_first")
+    rows = save(fingerprints(docs, shingle).withColumnRenamed("f0", "fp"), "fingerprints")
+    classes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("_first")), "classes")
+    return _named(rows, classes, "fp", components(links(classes, bits, groups))).select("doc_id", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, bits: int = STAGE_BITS, width: int = WIDTH) -> DataFrame:
+    """doc_id and ``component_id`` under similarity of about 0.8: fingerprints of 64 * ``width`` bits within ``bits``.
+
+    The share of equal five-word shingles shows in the share of differing bits: pairs at 0.8 differ in 15 %, unrelated
+    texts in half, so the limit of 48 in 256 takes in nearly all of the first and none of the second.
+    """
+    rows = save(fingerprints(docs, shingle, width).withColumn("node", F.xxhash64(*_names(width))), "fingerprints")
+    classes = save(rows.groupBy("node", *_names(width)).agg(F.min("doc_id").alias("_first")), "classes")
+    return _named(rows, classes, "node", components(wide_links(classes, classes.count(), bits, width))).select("doc_id", "component_id")
+
+
+def _named(rows: DataFrame, classes: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """``rows`` with component_id. Only classes with links are gathered by root; others are named at once."""
+    parts = parts.select(F.col("node").alias("_node"), "root")
+    named = classes.join(parts, classes[key] == parts["_node"], "left").select(key, F.coalesce("root", key).alias("_root"), "_first")
     least = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    names = save(named.join(least, "_root").select("fp", "component_id"), "names")
-    return rows.join(names, "fp", "left").select("doc_id", "fp", "component_id")
+    names = save(named.join(least, "_root").select(key, "component_id"), "names")
+    return rows.join(names, key, "left")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of its least doc_id; equal ids keep one row.
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of similar_documents(): that of its least doc_id; equal ids keep one row.
 
     A component whose ids are all null keeps one of its rows. All columns of ``docs`` stay.
     """
-    spark = docs.sparkSession
     marked = save(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")), "dedup-in")
     rows = marked.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))
     ids = marked.select("_row", F.col("_doc.doc_id").alias("_id"))
-    found = near_duplicates(rows, shingle, bits).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part"))
+    found = similar_documents(rows).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part"))
     best = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))
     kept = found.join(ids, "_row").groupBy("_part").agg(best.alias("_best")).select(F.col("_best._row").alias("_row"))
     return marked.join(kept, "_row", "left_semi").select("_doc.*")
