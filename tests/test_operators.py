@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracegrain.functions import bits, names, privacy
-from tracegrain.operators import packets, scoring, spectral, timebase, verdicts
+from tracegrain.operators import audit, packets, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import sessions
 from tracegrain.streaming.segments import streaming_segments
 
@@ -136,3 +136,36 @@ def test_streaming_segments(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("segs").collect()) == [2, 2]
+
+
+def test_walk(spark):
+    deep = "1"
+    for _ in range(12):
+        deep = '{"d":' + deep + "}"
+    many = json.dumps({f"k{i}": i for i in range(300)})
+    cells = spark.createDataFrame([(1, '{"a":[1,{"b":null}],"12":true}'), (2, deep), (3, many), (4, "[" + "1," * 70 + "2]"), (5, "{bad"), (6, ""), (7, None)], "id int, cell string")
+    rows = walk.walk(cells, ["id"]).where(F.col("path") != "").groupBy("id", "path", "type").count().collect()
+    got = {(r["id"], r["path"], r["type"]): r["count"] for r in rows}
+    assert {k[1:] for k in got if k[0] == 1} == {("a", "array"), ("a[]", "integer"), ("a[]", "object"), ("a[].b", "null"), ("<dynamic_key>", "boolean")}
+    assert max(k[1].count("d") for k in got if k[0] == 2) == 8
+    assert got[(3, "<dynamic_key>", "integer")] == 200 - 19 and (3, "k18", "integer") in got
+    assert got[(4, "[]", "integer")] == 50
+    assert not [k for k in got if k[0] > 4]
+    total = walk.array_stats(walk.walk(cells, ["id"]), ["id"]).where("id = 4").first()
+    assert (total["total_length"], total["inspected"], total["samples"]) == (71, 50, 71)
+
+
+def test_audit_of_empty_and_null(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, "[1,2]", "x")], "session long, ppg_json string, note string")
+    cells = audit.with_status(audit.unpivot(rows))
+    got = {(r["session"], r["modality"]): r["status"] for r in audit.modality_statuses(cells).collect()}
+    assert (got[(1, "ppg")], got[(2, "ppg")], got[(2, "ecg")]) == ("payload_empty", "samples_present", "column_absent")
+    assert {(r["session"], r["code"]) for r in audit.findings(cells).collect()} == {(1, "empty_physiology")}
+    none = audit.with_status(audit.unpivot(rows.limit(0)))
+    assert audit.modality_statuses(none).count() == 0 and audit.findings(none).count() == 0
+
+
+def test_time_units(spark):
+    for name, unit in (("time_ms", "ms"), ("sample_us", "us"), ("startSeconds", "s"), ("epoch_s", "s"), ("value", None)):
+        assert one(spark, names.time_unit(F.lit(name))) == unit
+    assert one(spark, names.is_time_field(F.lit("recorded_at"))) and not one(spark, names.is_time_field(F.lit("ratio")))

@@ -24,7 +24,8 @@ SENSITIVE = [
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     "^(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$",
     "^[0-9]+([.][0-9]+)?$",
-    "(?i)^(patient|protocol|device|mac|consent|user|email|phone|ssn|mrn)(_|$)|(?i)(patient_name|protocol_number|device_mac|consent_image)",
+    "(?i)^(patient|protocol|device|mac|consent|user|email|phone|ssn|mrn)(_|$)",
+    "(?i)(patient_name|protocol_number|device_mac|consent_image)",
     "^[0-9A-Fa-f]{16,}$",
 ]
 DYNAMIC = "<dynamic_key>"
@@ -48,16 +49,18 @@ def tokens_match(have: Column, needle: Column) -> Column:
     return (F.size(needle) > 0) & (F.size(have) >= F.size(needle)) & F.exists(F.when(F.size(have) >= F.size(needle), starts).otherwise(F.array(F.lit(1))), lambda i: F.slice(have, i, F.size(needle)) == needle)
 
 
+def _any_of(have: Column, needles: tuple[str, ...]) -> Column:
+    return F.exists(F.transform(F.array(*[F.lit(n) for n in needles]), tokens), lambda n: tokens_match(have, n))
+
+
+def matches_any(name: Column, needles: tuple[str, ...]) -> Column:
+    return F.exists(F.array(tokens(name)), lambda have: _any_of(have, needles))
+
+
 def modalities(name: Column) -> Column:
     """The sorted modalities whose needles the name holds."""
-    have = tokens(name)
-    found = []
-    for kind in sorted(MODALITIES):
-        hit = F.lit(False)
-        for needle in MODALITIES[kind]:
-            hit = hit | tokens_match(have, tokens(F.lit(needle)))
-        found.append(F.when(hit, F.lit(kind)))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    found = lambda have: F.filter(F.array(*[F.when(_any_of(have, MODALITIES[k]), F.lit(k)) for k in sorted(MODALITIES)]), lambda x: x.isNotNull())
+    return F.transform(F.array(tokens(name)), found)[0]
 
 
 def is_sensitive(key: Column) -> Column:
@@ -69,3 +72,25 @@ def is_sensitive(key: Column) -> Column:
 
 def redact(key: Column) -> Column:
     return F.when(is_sensitive(key), F.lit(DYNAMIC)).otherwise(key)
+
+
+# fixed values: names of times, and the units that such names tell
+TIME_FIELDS = ("timestamp", "timestamps", "time", "datetime", "date_time", "ts", "recorded_at", "sampled_at", "created_at", "updated_at", "start_time", "end_time", "time_ms", "time_s", "time_us", "epoch_ms", "epoch_s")
+UNIT_HINTS = {"time_ms": "ms", "epoch_ms": "ms", "time_us": "us", "time_s": "s", "epoch_s": "s", "timestamp_ms": "ms", "timestamp_s": "s"}
+UNIT_WORDS = {"ms": ("ms", "milliseconds"), "us": ("us", "microseconds"), "s": ("s", "sec", "seconds")}
+UNIT_SECONDS = {"s": 1.0, "ms": 1e-3, "us": 1e-6}
+
+
+def is_time_field(name: Column) -> Column:
+    return matches_any(name, TIME_FIELDS)
+
+
+def time_unit(name: Column) -> Column:
+    """ms, us or s where the name tells it: by a known run of tokens, else by the last token; else null."""
+    last = F.try_element_at(tokens(name), F.lit(-1))
+    out = F.when(F.lit(False), F.lit("s"))
+    for needle, unit in UNIT_HINTS.items():
+        out = out.when(matches_any(name, (needle,)), unit)
+    for unit, words in UNIT_WORDS.items():
+        out = out.when(last.isin(*words), unit)
+    return out

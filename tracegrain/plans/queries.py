@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions import bits, names, privacy
-from tracegrain.operators import cells, positions, scoring, spectral, timebase, verdicts
+from tracegrain.operators import audit, cells, positions, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import views
 
 from .registry import query
@@ -255,3 +255,60 @@ def datatype_histogram(spark: SparkSession, sf: str) -> DataFrame:
 def packet_fields(spark: SparkSession, sf: str) -> DataFrame:
     p = views.packets(spark, sf)
     return p.select("session", "ordinal", F.get_json_object("nested", "$.k").cast("bigint").alias("k"), (F.json_object_keys("nested") == F.array(F.lit("k"))).alias("schema_ok"))
+
+
+TYPES_SQL = "CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' ELSE lower(t) END"
+
+
+def _audited(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.with_status(audit.unpivot(views.sessions(spark, sf)))
+
+
+@query(f"""WITH {views.SESSIONS_SQL} SELECT col AS "column", path, {TYPES_SQL} AS type, count(*) AS n FROM nodes WHERE path <> '' GROUP BY 1, 2, 3""")
+def key_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return walk.key_paths(audit.json_nodes(_audited(spark, sf)), ["column"])
+
+
+@query(f"""WITH {views.SESSIONS_SQL} SELECT col AS "column", count(*) AS arrays, CAST(min(len) AS BIGINT) AS shortest, CAST(max(len) AS BIGINT) AS longest, avg(len) AS mean_length, CAST(sum(len) AS BIGINT) AS total_length,
+  CAST(sum(least(len, 50)) AS BIGINT) AS inspected, CAST(sum(samples) AS BIGINT) AS samples FROM nodes WHERE len IS NOT NULL GROUP BY 1""")
+def array_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return walk.array_stats(audit.json_nodes(_audited(spark, sf)), ["column"])
+
+
+MODALITY_SQL = f"""WITH {views.SESSIONS_SQL},
+m AS (SELECT unnest(['ppg', 'accelerometer', 'heart_rate', 'hrv', 'spo2', 'ecg', 'temperature', 'sleep', 'activity', 'blood_pressure', 'glucose']) AS modality),
+total AS (SELECT session, col, sum(samples) AS s FROM nodes GROUP BY 1, 2),
+hits AS (SELECT DISTINCT session, col, CASE WHEN path LIKE 'ppg%' THEN 'ppg' WHEN path LIKE 'heart_rate%' THEN 'heart_rate' ELSE 'accelerometer' END AS modality FROM nodes WHERE path LIKE 'ppg%' OR path LIKE 'heart_rate%' OR path LIKE '%acc%'),
+h AS (SELECT session, modality, sum(s) AS s FROM hits JOIN total USING (session, col) GROUP BY 1, 2),
+st AS (SELECT s.session, m.modality, CASE
+    WHEN m.modality = 'ppg' AND h.session IS NULL THEN CASE WHEN ppg_json = '{{bad' THEN 'payload_malformed' ELSE 'payload_empty' END
+    WHEN h.session IS NULL THEN 'column_absent' WHEN h.s > 0 THEN 'samples_present' ELSE 'structure_present_no_samples' END AS status
+  FROM sessions s CROSS JOIN m LEFT JOIN h ON h.session = s.session AND h.modality = m.modality)"""
+
+
+@query(MODALITY_SQL + " SELECT session, modality, status FROM st")
+def modality_status(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.modality_statuses(_audited(spark, sf))
+
+
+@query(MODALITY_SQL + """, k AS (SELECT unnest(['column_absent', 'payload_empty', 'payload_malformed', 'samples_present', 'structure_present_no_samples', 'not_evaluable']) AS status)
+SELECT m.modality, k.status, count(st.session) AS n FROM m CROSS JOIN k LEFT JOIN st ON st.modality = m.modality AND st.status = k.status GROUP BY 1, 2""")
+def modality_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.modality_coverage(audit.modality_statuses(_audited(spark, sf)))
+
+
+@query(f"""WITH {views.SESSIONS_SQL},
+n AS (SELECT *, CAST(chunks_sent AS DOUBLE) AS sent, CASE WHEN chunks_total <> '' THEN 9.0::DOUBLE END AS total, TRY_CAST(upload_pending AS DOUBLE) AS pending, CAST(duration_s AS DOUBLE) AS dur,
+  CASE WHEN chunks_total = '' AND motion_json LIKE '{{%' THEN CAST(json_extract_string(motion_json, '$.failed') AS DOUBLE) END AS failed,
+  CASE WHEN ppg_json LIKE '{{"t%' THEN abs(CAST(json_extract(ppg_json, '$.time_ms[1]') AS DOUBLE)) / 1000 END AS span FROM sessions)
+SELECT session, 'invalid_json' AS code, 'ppg_json' AS "column", 'invalid_json' AS detail FROM n WHERE ppg_json = '{{bad'
+UNION ALL SELECT session, 'empty_physiology', 'ppg_json', 'empty_physiology' FROM n WHERE ppg_json IN ('', '[]')
+UNION ALL SELECT session, 'pending_upload', 'upload_pending', 'pending_upload' FROM n WHERE upload_pending = 'yes'
+UNION ALL SELECT session, 'pending_upload', 'upload_pending', 'pending_upload' FROM n WHERE pending > 0
+UNION ALL SELECT session, 'chunk_mismatch', 'chunks_sent', 'sent_gt_total' FROM n WHERE sent > total
+UNION ALL SELECT session, 'chunk_mismatch', 'failed', 'failed_gt_total' FROM n WHERE failed > total
+UNION ALL SELECT session, 'chunk_mismatch', 'chunks_total', 'sent_plus_failed_gt_total' FROM n WHERE sent + failed > total + 1e-9
+UNION ALL SELECT session, 'duration_not_evaluable', CASE WHEN dur IS NOT NULL THEN 'duration_s' END, 'duration_not_evaluable' FROM n WHERE (dur IS NULL OR span IS NULL) AND (dur IS NOT NULL OR span IS NOT NULL)
+UNION ALL SELECT session, 'duration_mismatch', 'duration_s', 'duration_mismatch' FROM n WHERE dur > 0 AND abs(span - dur) > 0.25 * dur""")
+def session_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.findings(_audited(spark, sf))

@@ -61,3 +61,27 @@ CELLS_SQL = """cells AS (
   UNION ALL SELECT event_id, 'note', CASE WHEN event_id % 5 = 0 THEN ' ' ELSE event_type END FROM events
   UNION ALL SELECT event_id, 'props_json', CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '[]' WHEN 3 THEN '{bad'
     WHEN 4 THEN ' NaN ' WHEN 5 THEN '{}' WHEN 6 THEN '[1, 2]' ELSE props END FROM events)"""
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide table of text, one row an event: upload counts, a duration, and two JSON columns, some of them broken."""
+    k = F.col("event_id")
+    text = lambda c: c.cast("string")
+    ppg = F.concat(F.lit('{"time_ms":[0,'), text(k % 10 * 1000), F.lit('],"ppg":[1,2,'), text(k % 3), F.lit('],"meta":'), F.col("props"), F.lit("}"))
+    motion = F.when(k % 3 == 0, F.concat(F.lit('{"heart_rate":{"bpm":['), text(k % 90), F.lit('.5]},"12.5":null,"failed":'), text(k % 4), F.lit("}"))).when(k % 3 == 1, "").otherwise('[{"acc":[]},{"acc":[true]}]')
+    return table(spark, sf_dir, "events").select(
+        k.alias("session"), text(k % 13).alias("chunks_sent"), F.when(k % 6 == 0, "").otherwise("9").alias("chunks_total"),
+        F.when(k % 5 == 0, "yes").when(k % 5 == 1, "2").otherwise("0").alias("upload_pending"), F.when(k % 4 > 0, text(k % 10)).alias("duration_s"),
+        F.when(k % 7 == 0, "").when(k % 7 == 1, "{bad").when(k % 7 == 2, "[]").otherwise(ppg).alias("ppg_json"), motion.alias("motion_json"))
+
+
+SESSIONS_SQL = """sessions AS (
+  SELECT event_id AS session, CAST(event_id % 13 AS VARCHAR) AS chunks_sent, CASE WHEN event_id % 6 = 0 THEN '' ELSE '9' END AS chunks_total,
+    CASE event_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN '2' ELSE '0' END AS upload_pending, CASE WHEN event_id % 4 > 0 THEN CAST(event_id % 10 AS VARCHAR) END AS duration_s,
+    CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '{bad' WHEN 2 THEN '[]' ELSE '{"time_ms":[0,' || (event_id % 10 * 1000) || '],"ppg":[1,2,' || (event_id % 3) || '],"meta":' || props || '}' END AS ppg_json,
+    CASE event_id % 3 WHEN 0 THEN '{"heart_rate":{"bpm":[' || (event_id % 90) || '.5]},"12.5":null,"failed":' || (event_id % 4) || '}' WHEN 1 THEN '' ELSE '[{"acc":[]},{"acc":[true]}]' END AS motion_json FROM events),
+json_cells AS (SELECT session, 'ppg_json' AS col, ppg_json AS cell FROM sessions UNION ALL SELECT session, 'motion_json', motion_json FROM sessions),
+nodes AS (SELECT c.session, c.col, t.type AS t, regexp_replace(regexp_replace(regexp_replace(t.fullkey, '\\[\\d+\\]', '[]', 'g'), '^\\$\\.?', ''), '"?12\\.5"?', '<dynamic_key>') AS path,
+    CASE WHEN t.type = 'ARRAY' THEN json_array_length(t.value) END AS len,
+    CASE WHEN t.type = 'ARRAY' THEN CASE WHEN regexp_matches(CAST(t.value AS VARCHAR), '[{]') THEN 0 ELSE json_array_length(t.value) END END AS samples
+  FROM (SELECT * FROM json_cells WHERE json_valid(cell) AND cell <> '[]') c, json_tree(c.cell) t)"""
