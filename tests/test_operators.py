@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracegrain.functions import bits, names, privacy
-from tracegrain.operators import audit, packets, scoring, spectral, timebase, verdicts, walk
+from tracegrain.operators import audit, candidates, packets, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import sessions
 from tracegrain.streaming.segments import streaming_segments
 
@@ -169,3 +169,86 @@ def test_time_units(spark):
     for name, unit in (("time_ms", "ms"), ("sample_us", "us"), ("startSeconds", "s"), ("epoch_s", "s"), ("value", None)):
         assert one(spark, names.time_unit(F.lit(name))) == unit
     assert one(spark, names.is_time_field(F.lit("recorded_at"))) and not one(spark, names.is_time_field(F.lit("ratio")))
+
+
+def _candidate_by_hand(sessions, signed, order, c, layout):
+    """Costs of one candidate, word by word."""
+    eps, mid = 1e-9, lambda x: float(np.median(x)) if len(x) else 0.0
+
+    def word(v):
+        u = v & 0xFFFFFF
+        b = {"A": u >> 16, "B": (u >> 8) & 255, "C": u & 255}
+        x = (b[order[0]] << 16) | (b[order[1]] << 8) | b[order[2]]
+        return x - (1 << 24) if signed and x >= 1 << 23 else x
+
+    mad = lambda x: mid(np.abs(np.array(x) - mid(x))) if len(x) else 0.0
+    vectors, steps_all, ratios_all, corrs, cvs, var, mids, totals = [], [], [], [], [], [], [], np.zeros(4)
+    low, high = (-(1 << 23), (1 << 23) - 1) if signed else (0, 0xFFFFFF)
+    for packets_ in sessions:
+        streams, steps, jumps, seen = [[] for _ in range(c)], [], [], 0
+        for p in packets_:
+            parts = [[] for _ in range(c)]
+            for i, v in enumerate(p):
+                parts[(i + (seen if layout == "continuous" else 0)) % c].append(float(word(v)))
+            seen += len(p)
+            for s, part in zip(streams, parts, strict=True):
+                if part and s:
+                    jumps.append(abs(part[0] - s[-1]))
+                steps += list(np.abs(np.diff(part)))
+                s += part
+        words = np.concatenate(streams)
+        m = mad(steps)
+        ratios = [j / max(eps, m) for j in jumps]
+        counts = np.array([np.sum((words <= low) | (words >= high)), len(words), np.sum(np.array(steps) == 0), len(steps)])
+        totals += counts
+        vectors.append([m, mid(ratios), counts[0] / counts[1], counts[2] / max(1, counts[3])])
+        steps_all, ratios_all = steps_all + steps, ratios_all + ratios
+        best = 0.0
+        able = [s for s in streams if len(s) >= 3 and np.std(s) > 0]
+        n = min(map(len, able), default=0)
+        for a in range(len(able)):
+            for b in range(a):
+                x, y = np.array(able[a][:n]), np.array(able[b][:n])
+                if x.std() > 0 and y.std() > 0:
+                    best = max(best, abs(np.corrcoef(x, y)[0, 1]))
+        corrs.append(best)
+        e = np.array([np.var(s) for s in streams if s])
+        cvs.append(e.std() / abs(e.mean()) if abs(e.mean()) > eps else e.std())
+        width = max(len(p) for p in packets_)
+        means = [np.mean([word(p[i]) for p in packets_ if i < len(p)]) for i in range(width)]
+        var.append(np.var(means))
+        mids.append(mid(np.abs(means)))
+    q = np.percentile(np.array(vectors), [75, 25], axis=0)
+    return [mad(steps_all), mid(ratios_all), float(np.mean(q[0] - q[1])), mid(var) / max(eps, mid(mids) ** 2), totals[0] / totals[1], totals[2] / totals[3], mid(corrs), mid(cvs)]
+
+
+def test_candidate_costs_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    sessions_ = [[[int(v) for v in rng.integers(-(1 << 23), 1 << 24, rng.integers(5, 9))] for _ in range(4)] for _ in range(3)]
+    sessions_[0][1][3] = sessions_[0][1][1] = 0xFFFFFF
+    rows = [(s, o, p) for s, ps in enumerate(sessions_) for o, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "session long, ordinal long, payload array<long>")
+    got = candidates.metrics(df, [1, 3]).collect()
+    assert sorted(r["spec_idx"] for r in got) == list(range(48))
+    for r in got:
+        want = _candidate_by_hand(sessions_, r["signedness"] == "int24", r["byte_order"], r["channel_count"], r["layout"])
+        assert [r[k] for k in candidates.WEIGHTS] == pytest.approx(want, rel=1e-6, abs=1e-9), r
+
+
+def test_candidate_statuses(spark):
+    def row(i, cost, rank, **over):
+        base = {"spec_idx": i, "signedness": "int24", "byte_order": "ABC", "channel_count": 2, "layout": "continuous", **dict.fromkeys(candidates.WEIGHTS, 0.1), "cost": cost, "rank": rank}
+        return base | over
+
+    def top(*rows, **options):
+        df = candidates.statuses(spark.createDataFrame(list(rows)), **options)
+        return df.where("rank = 1").select("status", "codes").first()
+
+    far = row(1, 0.9, 2, channel_count=3)
+    assert top(row(0, 0.1, 1), far)["status"] == "PROVISIONALLY_ACCEPTED"
+    assert top(row(0, 0.1, 1), far, documented=True)["status"] == "ACCEPTED"
+    assert top(row(0, 0.1, 1), far, samples_per_packet=33, time_aligned=True)["codes"][-1] == "exceptional_evidence_lock"
+    assert top(row(0, 0.1, 1), row(1, 0.12, 2, channel_count=3), documented=True)["codes"] == ["unverified_default", "layout_near_tie"]
+    assert top(row(0, 0.1, 1), row(1, 0.11, 2, signedness="uint24"))["codes"] == ["unverified_default", "signedness_twin"]
+    assert top(row(0, 0.1, 1, saturation_rate=0.9), far)["codes"] == ["reject_saturation"]
+    assert top(row(0, 0.1, 1, boundary_jump=9.0), far)["status"] == "UNVERIFIED"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions import bits, names, privacy
-from tracegrain.operators import audit, cells, positions, scoring, spectral, timebase, verdicts, walk
+from tracegrain.operators import audit, candidates, cells, positions, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import views
 
 from .registry import query
@@ -312,3 +312,9 @@ UNION ALL SELECT session, 'duration_not_evaluable', CASE WHEN dur IS NOT NULL TH
 UNION ALL SELECT session, 'duration_mismatch', 'duration_s', 'duration_mismatch' FROM n WHERE dur > 0 AND abs(span - dur) > 0.25 * dur""")
 def session_findings(spark: SparkSession, sf: str) -> DataFrame:
     return audit.findings(_audited(spark, sf))
+
+
+@query()
+def decoder_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """All 192 candidates with eight costs, rank and status; tested against brute force, as ties of doubles decide ranks."""
+    return candidates.statuses(candidates.ranked(candidates.metrics(views.payloads(spark, sf))))
