@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracegrain.functions import bits, names, privacy
-from tracegrain.operators import audit, candidates, packets, scoring, spectral, timebase, verdicts, walk
+from tracegrain.operators import audit, candidates, packets, reconstruction, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import sessions
 from tracegrain.streaming.segments import streaming_segments
 
@@ -252,3 +252,16 @@ def test_candidate_statuses(spark):
     assert top(row(0, 0.1, 1), row(1, 0.11, 2, signedness="uint24"))["codes"] == ["unverified_default", "signedness_twin"]
     assert top(row(0, 0.1, 1, saturation_rate=0.9), far)["codes"] == ["reject_saturation"]
     assert top(row(0, 0.1, 1, boundary_jump=9.0), far)["status"] == "UNVERIFIED"
+
+
+def test_hypotheses_part_the_payload(spark):
+    rows = reconstruction.hypotheses(spark).collect()
+    assert len(rows) == 7 and all(sorted(r["metadata"] + r["signal"]) == list(range(66)) for r in rows)
+    assert reconstruction.hypotheses(spark, primary=True).count() == 4
+
+
+def test_blocked_layout_carries_its_phase(spark):
+    df = spark.createDataFrame([(1, 0, [1, 2, 3, 4]), (1, 1, [5, 6, 7, 8]), (1, 2, [9]), (2, 0, None)], "session long, ordinal long, payload array<long>")
+    rows = reconstruction.channels(df, reconstruction.hypotheses(spark, 4, primary=True), 4).where("hypothesis = 'H_3x22' AND layout LIKE 'BLOCKED%'").orderBy("ordinal", "i").collect()
+    got = {lay: [r["channel"] for r in rows if r["layout"] == lay] for lay in reconstruction.LAYOUTS[2:]}
+    assert got == {"BLOCKED_PACKET_LOCAL": [0, 1, 2, 0, 0, 1, 2, 0], "BLOCKED_CONTINUOUS": [0, 1, 2, 0, 0, 1, 2, 1]}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions import bits, names, privacy
-from tracegrain.operators import audit, candidates, cells, positions, scoring, spectral, timebase, verdicts, walk
+from tracegrain.operators import audit, candidates, cells, positions, reconstruction, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import views
 
 from .registry import query
@@ -318,3 +318,18 @@ def session_findings(spark: SparkSession, sf: str) -> DataFrame:
 def decoder_statuses(spark: SparkSession, sf: str) -> DataFrame:
     """All 192 candidates with eight costs, rank and status; tested against brute force, as ties of doubles decide ranks."""
     return candidates.statuses(candidates.ranked(candidates.metrics(views.payloads(spark, sf))))
+
+
+@query(f"""WITH {views.PAYLOADS_SQL},
+h(hypothesis, variant, c, meta) AS (VALUES ('H_2x33', 'default', 2, []::INT[]), ('H_2x32_plus_2global', 'endpoints', 2, [0, 63]), ('H_2block_meta_per_ch', 'last_of_block', 2, [31, 63]), ('H_3x22', 'default', 3, []::INT[])),
+k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ordinal) - 1 AS place FROM payloads WHERE len(payload) = 64),
+w AS (SELECT session, ordinal, place, hypothesis, variant, c, 64 - len(meta) AS n, p, payload[p + 1] AS x, p - len(list_filter(meta, lambda m: m < p)) AS i
+  FROM k CROSS JOIN h CROSS JOIN range(64) AS r(p) WHERE NOT list_contains(meta, p)),
+ch AS (SELECT *, CASE layout WHEN 'INTERLEAVED_PACKET_LOCAL' THEN i % c WHEN 'INTERLEAVED_CONTINUOUS' THEN (place * n + i) % c
+    ELSE CASE WHEN i < n // c * c THEN i // (n // c) WHEN layout = 'BLOCKED_PACKET_LOCAL' THEN (i - n // c * c) % c ELSE (place * (n % c) + i - n // c * c) % c END END AS channel
+  FROM w CROSS JOIN (SELECT unnest(['INTERLEAVED_PACKET_LOCAL', 'INTERLEAVED_CONTINUOUS', 'BLOCKED_PACKET_LOCAL', 'BLOCKED_CONTINUOUS']) AS layout))
+SELECT session, hypothesis, variant, layout, CAST(channel AS BIGINT) AS channel, count(*) AS n, CAST(sum(x) AS BIGINT) AS total, CAST(sum(x * (ordinal * 64 + i)) AS BIGINT) AS placed FROM ch GROUP BY ALL""")
+def reconstructed_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Words, their sum, and their sum weighted by place, for each channel of the grid of four hypotheses and four layouts."""
+    rows = reconstruction.channels(views.payloads(spark, sf), reconstruction.hypotheses(spark, 64, primary=True), 64)
+    return rows.groupBy("session", "hypothesis", "variant", "layout", "channel").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * (F.col("ordinal") * 64 + F.col("i"))).alias("placed"))
