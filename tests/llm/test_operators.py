@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -311,6 +312,19 @@ def test_language_id(hard, docs, spark):
     assert langid.predict(noise, model).first().rejected
 
 
+def test_language_id_rejects_what_it_never_saw(spark):
+    """At every length, other scripts and noise go, and of unseen documents nearly all stay."""
+    whole = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit(whole.where(~langid.held_out()))
+    r = np.random.default_rng(6)
+    for n in (30, 100, 400, 2000, 20000):
+        for signs in ("abcdefghijklmnopqrstuvwxyz", string.ascii_letters + string.digits + "+/", *("".join(map(chr, range(a, b))) + "  " for a, b in ((0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x9FA5)))):
+            assert model.judge("".join(r.choice(list(signs), n)))[2], (n, signs[:3])
+    seen = langid.predict(whole.where(langid.held_out()), model).groupBy("rejected").count().collect()
+    count = {x.rejected: x["count"] for x in seen}
+    assert count.get(True, 0) < 0.01 * sum(count.values())
+
+
 PAGES = ["http://WWW.Example.com/en/1?x", "https://a.example.com/en/", "https://b.net/es/2#f", "https://net/fr/", "http://x.com", "no url", None, "", "ftp://com/", "https://notexample.com/en/", "https://spam-farm.example.org/en/7", "https://a.example.com/EN/x", "https://a.example.com/en/", "://", "http://É.com/de/a"]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 BINS = 1 << 13
 CENTROIDS, PER_LANGUAGE, LANGUAGES = 4, 400, 200
 MARGIN, CLASSES = 0.8, 24
+LOW, CUTS = 0.01, 100
 SPACE = bytes(32 if c < 65 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
 PIECE = 1 << 20
 
@@ -45,7 +46,7 @@ def vector(text: str | None, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, the centroids' owners and unit vectors, idf, and the least cosine by log2 of the text's n-grams."""
+    """Languages, the centroids' owners and unit vectors, idf, and the least cosine by language and log2 of the text's length."""
 
     languages: list[str]
     owner: np.ndarray
@@ -60,7 +61,7 @@ class Model:
         near = self.centroids @ vector(text, self.idf)
         k = int(near.argmax())
         score = float(min(1.0, max(0.0, near[k])))
-        return self.languages[self.owner[k]], score, score < self.least[size_class(text)]
+        return self.languages[self.owner[k]], score, score < self.least[self.owner[k], size_class(text)]
 
 
 def size_class(text: str) -> int:
@@ -104,6 +105,34 @@ def _sample(good: DataFrame, counts: dict[str, int], per_language: int) -> DataF
     return few.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("lang", "text")
 
 
+def _low_cosines(texts: list[str], vectors: np.ndarray, idf: np.ndarray, centroids: int) -> np.ndarray:
+    """The LOW quantile, by size class, of the cosines of the texts and of cuts of them of every size.
+
+    Each half of the texts is held against centroids of the other half, so what is measured are unseen texts. A class
+    of fewer than CUTS cuts is pooled with its nearest classes, shorter ones first, until it has them.
+    """
+    found: list[list[float]] = [[] for _ in range(CLASSES)]
+    half = np.arange(len(texts)) % 2
+    sides = [_clusters(vectors[half != s] if len(texts) > 1 else vectors, centroids) for s in (0, 1)]
+    for i, t in enumerate(texts):
+        for size in (None, *(1 << k for k in range(14))):
+            if size is not None and size >= len(t):
+                break
+            start = (i * 7919) % (len(t) - size) if size else 0
+            cut = t if size is None else t[start : start + size]
+            if has_letter(cut):
+                found[size_class(cut)].append(float((sides[half[i]] @ vector(cut, idf)).max()))
+    least = np.ones(CLASSES)
+    for k in range(CLASSES):
+        pool: list[float] = []
+        for j in sorted(range(CLASSES), key=lambda j: (abs(j - k), j)):
+            pool += found[j]
+            if len(pool) >= CUTS:
+                break
+        least[k] = np.quantile(pool, LOW)
+    return least
+
+
 def _fit_language(idf: np.ndarray, centroids: int):
     schema = pa.schema([("lang", pa.string()), ("centroid", pa.list_(pa.float32())), ("least", pa.list_(pa.float64()))])
 
@@ -111,15 +140,9 @@ def _fit_language(idf: np.ndarray, centroids: int):
         texts = [t for t in rows["text"].to_pylist() if has_letter(t)]
         if not texts:
             return schema.empty_table()
-        c = _clusters(np.stack([vector(t, idf) for t in texts]), centroids)
-        least = np.ones(CLASSES)
-        for i, t in enumerate(texts):
-            for size in (None, *(1 << k for k in range(4, 14))):
-                start = (i * 7919) % max(1, len(t) - (size or 0))
-                cut = t if size is None else t[start : start + size]
-                if has_letter(cut):
-                    k = size_class(cut)
-                    least[k] = min(least[k], float((c @ vector(cut, idf)).max()))
+        vectors = np.stack([vector(t, idf) for t in texts])
+        c = _clusters(vectors, centroids)
+        least = _low_cosines(texts, vectors, idf, centroids)
         return pa.table({"lang": [rows["lang"][0].as_py()] * len(c), "centroid": c.astype(np.float32).tolist(), "least": [least.tolist()] * len(c)}, schema=schema)
 
     return one
@@ -130,8 +153,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAG
     centroids are fitted, in a task of its own, on at most ``per_language`` of its texts; at most LANGUAGES languages
     are learned, the most frequent ones.
 
-    A text is rejected if its cosine is under ``margin`` times the least that a sampled text, or a cut of one, of its
-    size class has to its own language. Rows with null text or language, or without letters, teach nothing; if no row
+    A text is rejected if its cosine is under ``margin`` times what all but LOW of the sampled texts, and cuts of them,
+    of its size class and nearest language have. Rows with null text or language, or without letters, teach nothing; if no row
     teaches, every text is ``und``.
     """
     good = docs.select("text", F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -139,15 +162,14 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAG
     idf = np.log((1 + n) / (1 + df)) + 1
     counts = {r.lang: r["count"] for r in good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
-        return Model([], np.zeros(0, dtype=np.int64), np.zeros((0, BINS)), idf, np.zeros(CLASSES))
+        return Model([], np.zeros(0, dtype=np.int64), np.zeros((0, BINS)), idf, np.zeros((0, CLASSES)))
     known = good.where(F.col("lang").isin(list(counts)))
     rows = _sample(known, counts, per_language).groupBy("lang").applyInArrow(_fit_language(idf, centroids), "lang string, centroid array<float>, least array<double>").collect()
     languages = sorted({r.lang for r in rows})  # at most LANGUAGES * centroids rows of BINS floats
     owner = np.array([languages.index(r.lang) for r in rows], dtype=np.int64)
     vectors = np.array([r.centroid for r in rows], dtype=np.float32).reshape(-1, BINS)
-    least = np.array([r.least for r in rows]).reshape(-1, CLASSES).min(axis=0, initial=1.0)
-    least = np.where(least >= 1.0, least.min(), least)  # a size class that no cut falls into
-    return Model(languages, owner, vectors, idf, margin * np.minimum.accumulate(least[::-1])[::-1])
+    least = np.array([next(r.least for r in rows if r.lang == lang) for lang in languages]).reshape(-1, CLASSES)
+    return Model(languages, owner, vectors, idf, margin * least)
 
 
 def held_out() -> Column:
