@@ -221,6 +221,24 @@ def test_similar_documents(spark):
     assert wrong <= 1 and all(group[found[i]] == group[i] for i in found)
 
 
+def test_similar_documents_by_brute_force(spark):
+    """Groups equal those of all pairs at a Jaccard similarity of 0.8; pairs lie close to it on both sides."""
+    r = np.random.default_rng(9)
+    texts_ = []
+    for _ in range(150):
+        w = [f"w{i}" for i in r.integers(0, 3000, r.integers(5, 400))]
+        texts_ += [" ".join(w), " ".join(w[: -max(1, round(len(w) * r.uniform(0.15, 0.25)))])]
+    texts_ += ["", "one two", "one two", "", *(PASSAGE + f" {i} end" for i in range(40))]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(str.split, texts_)]
+    top = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
+    found = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in found} == dict(enumerate(top))
+
+
 def test_simhash_dedup(hard):
     out = simhash.deduplicate(hard)
     assert out.columns == hard.columns

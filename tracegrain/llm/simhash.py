@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -11,12 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .components import components
 from .state import save
 
 SHINGLE, BITS = 4, 4
 GROUPS, SEGMENT = 6, 2
-STAGE_SHINGLE, STAGE_BITS, WIDTH, LIKELY = 5, 48, 4, 0.15
+STAGE_SHINGLE, STAGE_TENTHS = 5, 8
 CELL, FEW = 4096, 10_000
 AT_ONCE = 1 << 16
 
@@ -90,18 +90,6 @@ def _exact_cells(fp: np.ndarray, bits: int, groups: int):
         yield cell
 
 
-def _wide_cells(fp: np.ndarray, chosen: int, tables: int):
-    """Cells of the fingerprints (n, width) in ``tables`` grids over ``chosen`` one-bit segments each, whose bit counts
-    are the bits themselves."""
-    flat = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
-    rng = np.random.default_rng(11)
-    for k in range(tables):
-        cell = np.full(len(fp), k, dtype=np.uint64)
-        for bit in rng.choice(flat.shape[1], chosen, replace=False):
-            cell = (cell << np.uint64(1)) | flat[:, bit]
-        yield cell
-
-
 def _placed(classes: DataFrame, ids: str, names: list[str], grid) -> DataFrame:
     """Each class in each of its cells: cell, the class's id, its fingerprint."""
     columns = list(dict.fromkeys([ids, *names]))
@@ -206,19 +194,6 @@ def links(classes: DataFrame, bits: int = BITS, groups: int = GROUPS, cell_rows:
     return _linked(_placed(classes, "fp", ["fp"], lambda fp: _exact_cells(fp, bits, groups)), ["fp"], bits, cell_rows)
 
 
-def wide_links(classes: DataFrame, n: int, bits: int, width: int, cell_rows: int = CELL) -> DataFrame:
-    """Links between ``n`` distinct wide fingerprints (node, f0, ...) within ``bits`` bits.
-
-    So wide a distance leaves no grid that is both exact and selective: each of ``tables`` grids fixes ``chosen`` bits,
-    one more for each doubling of ``n``, so that cells stay of one size, and as many grids are laid as find a pair at
-    LIKELY differing bits with a chance of 98 %.
-    """
-    chosen = min(40, max(8, (max(1, n) - 1).bit_length() - 7))
-    tables = math.ceil(math.log(1 / 0.02) / (1 - LIKELY) ** chosen)
-    grid = lambda fp: _wide_cells(fp, chosen, tables)
-    return _linked(_placed(classes, "node", _names(width), grid), _names(width), bits, cell_rows)
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, groups: int = GROUPS) -> DataFrame:
     """doc_id, ``fp`` and ``component_id`` (the least doc_id reachable over links) for every row of ``docs``.
 
@@ -230,15 +205,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, g
     return _named(rows, classes, "fp", components(links(classes, bits, groups))).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, bits: int = STAGE_BITS, width: int = WIDTH) -> DataFrame:
-    """doc_id and ``component_id`` under similarity of about 0.8: fingerprints of 64 * ``width`` bits within ``bits``.
-
-    The share of equal five-word shingles shows in the share of differing bits: pairs at 0.8 differ in 15 %, unrelated
-    texts in half, so the limit of 48 in 256 takes in nearly all of the first and none of the second.
-    """
-    rows = save(fingerprints(docs, shingle, width).withColumn("node", F.xxhash64(*_names(width))), "fingerprints")
-    classes = save(rows.groupBy("node", *_names(width)).agg(F.min("doc_id").alias("_first")), "classes")
-    return _named(rows, classes, "node", components(wide_links(classes, classes.count(), bits, width))).select("doc_id", "component_id")
+def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, tenths: int = STAGE_TENTHS) -> DataFrame:
+    """doc_id (unique, not null) and ``component_id``: the least doc_id reachable over pairs of documents whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more. Every such pair is a link, and no other is."""
+    rows, links = jaccard.linked(docs, shingle, tenths)
+    classes = save(rows.groupBy("node").agg(F.min("doc_id").alias("_first")), "classes")
+    return _named(rows, classes, "node", components(links)).select("doc_id", "component_id")
 
 
 def _named(rows: DataFrame, classes: DataFrame, key: str, parts: DataFrame) -> DataFrame:
