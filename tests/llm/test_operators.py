@@ -343,6 +343,18 @@ def test_language_id_rejects_what_it_never_saw(spark):
     assert count.get(True, 0) < 0.01 * sum(count.values())
 
 
+def test_language_id_learns_from_different_texts(spark):
+    """Copies don't starve a language's sample, and the 201st language is learned too."""
+    r = np.random.default_rng(8)
+    signs = [chr(x) for x in range(0x4E00, 0x4E00 + 12 * 205)]
+    text = lambda k: "".join(r.choice(signs[12 * k : 12 * k + 12], 40))
+    rows = [(text(0), "copied")] * 20000 + [(text(0), "copied") for _ in range(50)] + [(text(k), f"l{k:03}") for k in range(1, 205) for _ in range(2 + (k < 204))]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert {x.lang: x["count"] for x in langid._sample(docs, 30).groupBy("lang").count().collect() if x.lang in ("copied", "l001", "l204")} == {"copied": 30, "l001": 3, "l204": 2}
+    model = langid.fit(docs)
+    assert len(model.languages) == 205 and model.judge(text(204))[0] == "l204" and model.judge(text(0))[0] == "copied"
+
+
 PAGES = ["http://WWW.Example.com/en/1?x", "https://a.example.com/en/", "https://b.net/es/2#f", "https://net/fr/", "http://x.com", "no url", None, "", "ftp://com/", "https://notexample.com/en/", "https://spam-farm.example.org/en/7", "https://a.example.com/EN/x", "https://a.example.com/en/", "://", "http://É.com/de/a"]
 
 

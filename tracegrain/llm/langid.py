@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from .state import save
+
 BINS = 1 << 13
-CENTROIDS, PER_LANGUAGE, LANGUAGES = 4, 400, 200
+CENTROIDS, PER_LANGUAGE = 4, 400
 MARGIN, CLASSES = 0.8, 24
 LOW, CUTS = 0.01, 100
 SPACE = bytes(32 if c < 65 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
@@ -95,14 +97,13 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.array([found.get(b, 0) for b in range(BINS)], dtype=np.float64), found.get(-1, 0)
 
 
-def _sample(good: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
-    """At most ``per_language`` different texts of each language: those below a cut of a hash, then the least hashes."""
-    space = 1 << 30
-    cut = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(space, 1 + 2 * space * per_language // n))])
-    key = F.pmod(F.xxhash64("text"), F.lit(space))
-    few = good.where(key < F.element_at(cut, F.col("lang"))).withColumn("_key", key).dropDuplicates(["lang", "_key"])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key"))  # of about twice per_language rows each
-    return few.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("lang", "text")
+def _sample(good: DataFrame, per_language: int) -> DataFrame:
+    """The ``per_language`` different texts of least hash of each language, or all its texts if it has fewer."""
+    keyed = good.withColumn("_key", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key"))  # each task passes on at most per_language rows a language
+    least = keyed.select("lang", "_key").distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    few = save(least.select("lang", "_key"), "least-hashes")
+    return keyed.join(F.broadcast(few), ["lang", "_key"]).dropDuplicates(["lang", "_key"]).select("lang", "text")
 
 
 def _low_cosines(texts: list[str], vectors: np.ndarray, idf: np.ndarray, centroids: int) -> np.ndarray:
@@ -134,7 +135,7 @@ def _low_cosines(texts: list[str], vectors: np.ndarray, idf: np.ndarray, centroi
 
 
 def _fit_language(idf: np.ndarray, centroids: int):
-    schema = pa.schema([("lang", pa.string()), ("centroid", pa.list_(pa.float32())), ("least", pa.list_(pa.float64()))])
+    schema = pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("least", pa.list_(pa.float64()))])
 
     def one(rows: pa.Table) -> pa.Table:
         texts = [t for t in rows["text"].to_pylist() if has_letter(t)]
@@ -143,15 +144,15 @@ def _fit_language(idf: np.ndarray, centroids: int):
         vectors = np.stack([vector(t, idf) for t in texts])
         c = _clusters(vectors, centroids)
         least = _low_cosines(texts, vectors, idf, centroids)
-        return pa.table({"lang": [rows["lang"][0].as_py()] * len(c), "centroid": c.astype(np.float32).tolist(), "least": [least.tolist()] * len(c)}, schema=schema)
+        return pa.table({"lang": [rows["lang"][0].as_py()] * len(c), "centroid": [x.tobytes() for x in c.astype(np.float32)], "least": [least.tolist()] * len(c)}, schema=schema)
 
     return one
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, margin: float = MARGIN) -> Model:
     """Learn from ``docs`` (text, lang). Document frequencies count every row with a language; each language's
-    centroids are fitted, in a task of its own, on at most ``per_language`` of its texts; at most LANGUAGES languages
-    are learned, the most frequent ones.
+    centroids are fitted, in a task of its own, on at most ``per_language`` of its different texts; every language
+    is learned.
 
     A text is rejected if its cosine is under ``margin`` times what all but LOW of the sampled texts, and cuts of them,
     of its size class and nearest language have. Rows with null text or language, or without letters, teach nothing; if no row
@@ -160,15 +161,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAG
     good = docs.select("text", F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = _frequencies(good)
     idf = np.log((1 + n) / (1 + df)) + 1
-    counts = {r.lang: r["count"] for r in good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return Model([], np.zeros(0, dtype=np.int64), np.zeros((0, BINS)), idf, np.zeros((0, CLASSES)))
-    known = good.where(F.col("lang").isin(list(counts)))
-    rows = _sample(known, counts, per_language).groupBy("lang").applyInArrow(_fit_language(idf, centroids), "lang string, centroid array<float>, least array<double>").collect()
-    languages = sorted({r.lang for r in rows})  # at most LANGUAGES * centroids rows of BINS floats
+    rows = _sample(good, per_language).groupBy("lang").applyInArrow(_fit_language(idf, centroids), "lang string, centroid binary, least array<double>").collect()
+    languages = sorted({r.lang for r in rows})  # at most ``centroids`` rows of BINS floats a language
     owner = np.array([languages.index(r.lang) for r in rows], dtype=np.int64)
-    vectors = np.array([r.centroid for r in rows], dtype=np.float32).reshape(-1, BINS)
-    least = np.array([next(r.least for r in rows if r.lang == lang) for lang in languages]).reshape(-1, CLASSES)
+    vectors = np.frombuffer(b"".join(r.centroid for r in rows), dtype=np.float32).reshape(-1, BINS)
+    own = {r.lang: r.least for r in rows}
+    least = np.array([own[lang] for lang in languages]).reshape(-1, CLASSES)
     return Model(languages, owner, vectors, idf, margin * least)
 
 
@@ -178,7 +176,7 @@ def held_out() -> Column:
 
 def _judged(docs: DataFrame, model: Model, keep_only: bool) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # LANGUAGES * CENTROIDS * BINS floats at most
+    shared = spark.sparkContext.broadcast(model)  # CENTROIDS * BINS floats a language at most
     extra = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("rejected", pa.bool_())]
 
     def judge(batches):
