@@ -191,11 +191,12 @@ def test_simhash(table):
     assert rows(simhash.near_duplicate_documents(table), "doc_id", "fingerprint", "component_id") == want
 
 
-def test_simhash_links_in_hot_cells(spark):
+@pytest.mark.parametrize("groups", [None, 5, 8, 11])
+def test_simhash_links_in_hot_cells(spark, groups):
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 3, dtype=np.uint64)
     fps = sorted({int(b) ^ sum(1 << int(k) for k in r.integers(0, 63, r.integers(0, 6))) for b in base for _ in range(120)})
-    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), cell_rows=16)
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), groups=groups, cell_rows=16)
     assert all((a ^ b).bit_count() <= 4 for a, b in found.collect())
     roots = {x.node: x.root for x in simhash.components(found).collect()}
     parts = _parts(fps, 4)
@@ -203,6 +204,17 @@ def test_simhash_links_in_hot_cells(spark):
     assert len({*zip(parts, mine, strict=True)}) == len(set(parts)) == len(set(mine))
 
 
+def test_embedding_is_a_lower_bound():
+    r = np.random.default_rng(3)
+    a = r.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    b = a ^ np.array([sum(1 << k for k in {*r.integers(0, 64, n % 9).tolist()}) for n in range(3000)], dtype=np.uint64)
+    pops = lambda x: [(int(x) >> 2 * k & 3).bit_count() for k in range(32)]
+    want = [sum(abs(p - q) for p, q in zip(pops(x), pops(y), strict=True)) for x, y in zip(a, b, strict=True)]
+    got = simhash.manhattan(simhash.embed(a), simhash.embed(b))
+    assert got.tolist() == want and (got <= np.bitwise_count(a ^ b)).all()
+    assert [simhash.groups_for(n) for n in (10, 10**6, 9 * 10**7, 10**9)] == [6, 6, 7, 8] and simhash.groups_for(1 << 60) == 12
+
+
 def test_similar_documents(spark):
     """Copies with a few changed words go, other texts stay, whatever their number."""
     r = np.random.default_rng(4)

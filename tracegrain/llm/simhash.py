@@ -1,4 +1,4 @@
-"""SimHash near-dedup: fingerprints, a segment-popcount embedding, a grid join under its Manhattan bound, exact checks."""
+"""SimHash near-dedup: fingerprints, a segment-popcount embedding, a grid range-join under its Manhattan bound, exact checks."""
 
 from __future__ import annotations
 
@@ -15,111 +15,121 @@ from .components import components
 from .state import save
 
 SHINGLE, BITS = 4, 4
-GROUPS, SEGMENT = 6, 2
+SEGMENTS, SEGMENT_ENTROPY = 32, 1.5  # two-bit segments of a fingerprint, and the bits that a segment's popcount tells
+IN_A_CELL = 64
 STAGE_SHINGLE, STAGE_TENTHS = 5, 8
 CELL, FEW = 4096, 10_000
 AT_ONCE = 1 << 16
 
 
-def _spread(h: np.ndarray, k: int) -> np.ndarray:
-    """The ``k``-th 64 bits of a shingle's hash; the first are the hash itself."""
-    if not k:
-        return h
-    x = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprint(text: str | None, shingle: int = SHINGLE, width: int = 1) -> np.ndarray:
-    """The text's SimHash of 64 * ``width`` bits; zero if it has no word. Shingles are hashed in blocks of fixed size."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The text's SimHash of 64 bits; zero if it has no word. Shingles are hashed in blocks of fixed size."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII space parts
     if not words:
-        return np.zeros(width, dtype=np.uint64)
+        return 0
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros((width, 64), dtype=np.int64)
+    ones = np.zeros(64, dtype=np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for at in range(0, n, AT_ONCE):
         end = min(n, at + AT_ONCE)
         h = np.fromiter((digest(join(words[i : i + shingle]), 42) for i in range(at, end)), dtype=np.uint64, count=end - at)
-        for k in range(width):
-            ones[k] += np.unpackbits(_spread(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel()
-
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
-def _names(width: int) -> list[str]:
-    return [f"f{k}" for k in range(width)]
 
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1) -> DataFrame:
-    """doc_id and f0, f1, ..., the fingerprint's 64-bit words as signed longs, for every document."""
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in _names(width))])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, for every document."""
 
     def make(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle, width) for t in batch.column(1)], dtype=np.uint64).reshape(-1, width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, k]) for k in range(width))], schema=schema)
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, fp long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, ", ".join(f"{n} long" for n in schema.names))
+LOW_BITS = np.uint64(0x5555555555555555)
 
 
-def _group_keys(fp: np.ndarray, groups: int) -> np.ndarray:
-    """The embedding, one column a group of segments: the popcounts of its two-bit segments, packed.
+def embed(fp: np.ndarray) -> np.ndarray:
+    """The popcounts of a fingerprint's 32 two-bit segments, each written as that many ones in its two bits: 00, 01, 11.
 
-    A segment's popcount is 0, 1 or 2; the Manhattan distance between two embeddings never exceeds the Hamming
-    distance between the fingerprints.
+    So written, the Manhattan distance between two embeddings is the number of their differing bits. It never exceeds
+    the Hamming distance between the fingerprints, as sorting two bits brings no two segments further apart.
     """
     u = fp.view(np.uint64)
-    m = np.uint64(0x5555555555555555)
-    counts = (u & m) + ((u >> np.uint64(1)) & m)  # 32 two-bit fields, each a segment's popcount
-    edges = np.linspace(0, 32, groups + 1).round().astype(int)
-    return np.stack([(counts >> np.uint64(2 * a)) & np.uint64((1 << 2 * (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)], axis=1)
+    high = (u >> np.uint64(1)) & LOW_BITS
+    low = u & LOW_BITS
+    return (low | high) | ((low & high) << np.uint64(1))
 
 
-def _exact_cells(fp: np.ndarray, bits: int, groups: int):
-    """Every cell of the fingerprints (n, 1) in the grid that loses no link.
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance between embeddings: the lower bound of what their fingerprints differ by."""
+    return np.bitwise_count(a ^ b).astype(np.int64)
 
-    Within Manhattan distance ``bits`` at most that many of the groups differ, so two linked fingerprints have equal
-    popcounts in at least groups - bits of them: a cell fixes one choice of such groups and their popcounts.
+
+def groups_for(n: int, bits: int = BITS) -> int:
+    """Into how many groups the segments of ``n`` fingerprints are parted, so that a cell holds about IN_A_CELL of
+    unrelated ones. Every number of groups over ``bits`` finds all links; more of them mean smaller but more cells."""
+    groups = bits + 2
+    while groups < 3 * bits and n / 2 ** (SEGMENT_ENTROPY * SEGMENTS * (groups - bits) / groups) > IN_A_CELL:
+        groups += 1
+    return groups
+
+
+def _grid(fp: np.ndarray, bits: int, groups: int):
+    """Every cell of the fingerprints in the grid over the embedding.
+
+    Within Manhattan distance ``bits`` at most that many of the groups of segments differ, so two linked fingerprints
+    agree in the popcounts of at least groups - bits of them: a cell fixes one choice of such groups and their popcounts,
+    and the range over the other groups is joined within the cell.
     """
-    keys = _group_keys(fp[:, 0], groups)
+    codes = embed(fp)
+    edges = np.linspace(0, SEGMENTS, groups + 1).round().astype(int)
+    keys = [(codes >> np.uint64(2 * a)) & np.uint64((1 << 2 * (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     for k, pick in enumerate(combinations(range(groups), groups - bits)):
         cell = np.full(len(fp), k, dtype=np.uint64)
-        for g in pick:  # at most 12 bits a group
-            cell = (cell << np.uint64(12)) | keys[:, g]
+        for g in pick:
+            cell = (cell ^ keys[g]) * np.uint64(0x9E3779B97F4A7C15)  # a collision only makes a cell larger
+            cell ^= cell >> np.uint64(29)
         yield cell
 
 
-def _placed(classes: DataFrame, ids: str, names: list[str], grid) -> DataFrame:
-    """Each class in each of its cells: cell, the class's id, its fingerprint."""
-    columns = list(dict.fromkeys([ids, *names]))
-    schema = pa.schema([("cell", pa.int64()), *((n, pa.int64()) for n in columns)])
+def _placed(classes: DataFrame, bits: int, groups: int) -> DataFrame:
+    """Each fingerprint in each of its cells."""
 
     def place(batches):
         for batch in batches:
-            fp = np.stack([batch.column(columns.index(n)).to_numpy() for n in names], axis=1).view(np.uint64)
-            for cell in grid(fp) if len(fp) else ():
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *batch.columns], schema=schema)
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for cell in _grid(fp, bits, groups) if len(fp) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), batch.column(0)], names=["cell", "fp"])
 
-    return classes.select(*columns).mapInArrow(place, ", ".join(f"{n} long" for n in schema.names))
+    return classes.select("fp").mapInArrow(place, "cell long, fp long")
 
 
-def _links_in(ids: np.ndarray, fp: np.ndarray, side: np.ndarray, run: np.ndarray, bits: int) -> list[tuple[int, int]]:
+def _links_in(ids: np.ndarray, side: np.ndarray, run: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within each run of one cell; between two blocks only pairs across count.
 
-    A cell's rows already meet the Manhattan bound in its groups, and one exact distance costs no more than the
-    rest of the bound, so it is taken at once. Pairs that are joined already are not compared again.
+    A range join: rows of a run come in the order of the sum of all their popcounts, which two linked rows have within
+    ``bits`` of each other, so a row meets only those that far ahead. Pairs within Manhattan distance ``bits`` are then
+    verified on the fingerprints. Pairs that are joined already are not compared again.
     """
+    sums = np.bitwise_count(ids.view(np.uint64)).astype(np.int64)
+    order = np.lexsort((ids, sums, run))
+    ids, side, run, sums = ids[order], side[order], run[order], sums[order]
+    fp = ids.view(np.uint64)
+    codes = embed(fp)
     out, n, lag = [], len(ids), 1
     part = np.arange(n)
     at = np.arange(n)
     while True:
         at = at[at + lag < n]
-        at = at[run[at] == run[at + lag]]
+        at = at[(run[at] == run[at + lag]) & (sums[at + lag] - sums[at] <= bits)]
         if not len(at):
             return out
         a = at[(part[at] != part[at + lag]) & ((side[at] < 0) | (side[at] != side[at + lag]))]
-        a = a[np.bitwise_count(fp[a] ^ fp[a + lag]).sum(axis=1, dtype=np.int64) <= bits]
+        a = a[manhattan(codes[a], codes[a + lag]) <= bits]
+        a = a[np.bitwise_count(fp[a] ^ fp[a + lag]) <= bits]
         if len(a):
             top = np.arange(n)
             for x in a.tolist():
@@ -139,35 +149,32 @@ def _top(top: np.ndarray, x: int) -> int:
     return x
 
 
-def _met(placed: DataFrame, columns: list[str], cell_rows: int) -> DataFrame:
+def _met(placed: DataFrame, cell_rows: int) -> DataFrame:
     """Rows by task: a cell of over ``cell_rows`` rows is dealt to blocks, and every two of its blocks meet by themselves."""
-    cool = [F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(-1).alias("side")]
     hot = save(placed.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > cell_rows), "hot-cells")
     n_hot = hot.count()
     if not n_hot:
-        return placed.select("cell", *cool, *columns)
+        return placed.select("cell", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(-1).alias("side"), "fp")
     blocks = hot.select("cell", F.ceil(F.col("_n") / cell_rows).cast("int").alias("_k"))
     marked = placed.join(F.broadcast(blocks) if n_hot <= FEW else blocks, "cell", "left")
-    own = F.when(F.col("_k") > 1, F.pmod(F.xxhash64(columns[0]), F.col("_k")).cast("int"))
+    own = F.when(F.col("_k") > 1, F.pmod(F.xxhash64("fp"), F.col("_k")).cast("int"))
     others = F.when(F.col("_k") > 1, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.array(F.lit(0)))
     dealt = marked.withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", F.explode(others))
     alone = F.col("_own") == F.col("_other")
-    return dealt.select("cell", F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), F.when(alone, -1).otherwise(F.col("_own")).alias("side"), *columns)
+    return dealt.select("cell", F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), F.when(alone, -1).otherwise(F.col("_own")).alias("side"), "fp")
 
 
-def _linked(placed: DataFrame, names: list[str], bits: int, cell_rows: int) -> DataFrame:
-    """Links ``a``, ``b`` of the rows that meet in a cell: spanning forests, never all pairs. No task holds more than two blocks."""
-    columns = placed.columns[1:]
-    at = [4 + columns.index(n) for n in names]
-    met = _met(placed, columns, cell_rows).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q", columns[0])
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def links(classes: DataFrame, bits: int = BITS, groups: int | None = None, cell_rows: int = CELL) -> DataFrame:
+    """Links ``a``, ``b`` between distinct fingerprints (fp) that join all parts within ``bits`` differing bits; none is
+    lost. Those that meet in a cell give spanning forests, never all pairs. No task holds more than two blocks of a cell."""
+    parts = groups or groups_for(classes.count(), bits)
+    met = _met(_placed(classes, bits, parts), cell_rows).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q", "fp")
 
     def runs(rows: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
-        fp = np.ascontiguousarray(rows[at].T).view(np.uint64)
-        found = _links_in(rows[4], fp, rows[3], np.cumsum(new), bits)
+        found = _links_in(rows[4], rows[3], np.cumsum(new), bits)
         a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def compare(batches):
         held: list[np.ndarray] = []
@@ -189,18 +196,13 @@ def _linked(placed: DataFrame, names: list[str], bits: int, cell_rows: int) -> D
     return met.mapInArrow(compare, "a long, b long")
 
 
-def links(classes: DataFrame, bits: int = BITS, groups: int = GROUPS, cell_rows: int = CELL) -> DataFrame:
-    """Links between distinct fingerprints (fp) that join all parts within ``bits`` differing bits; none is lost."""
-    return _linked(_placed(classes, "fp", ["fp"], lambda fp: _exact_cells(fp, bits, groups)), ["fp"], bits, cell_rows)
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, groups: int = GROUPS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, groups: int | None = None) -> DataFrame:
     """doc_id, ``fp`` and ``component_id`` (the least doc_id reachable over links) for every row of ``docs``.
 
-    Equal fingerprints are one class, so copies are never compared with each other. Null and empty texts have
+    Other columns are not looked at; an empty table gives an empty one; repeated rows each get a row. Equal fingerprints are one class, so copies are never compared with each other. Null and empty texts have
     fingerprint zero and link like any other; a null doc_id is never a component's name unless all its rows have none.
     """
-    rows = save(fingerprints(docs, shingle).withColumnRenamed("f0", "fp"), "fingerprints")
+    rows = save(fingerprints(docs, shingle), "fingerprints")
     classes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("_first")), "classes")
     return _named(rows, classes, "fp", components(links(classes, bits, groups))).select("doc_id", "fp", "component_id")
 
