@@ -432,3 +432,35 @@ def test_quality(table):
     kept = quality.keep_good(table)
     assert kept.columns == table.columns
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(r.doc_id) for r in got.collect() if r.kept)
+
+
+def test_quality_verdict_by_brute_force(spark, table):
+    """The whole verdict, the method's own rules included, in plain Python."""
+    more = [(9050, " ".join(f"a{i}" for i in range(60)) + " # $" * 40), (9051, "QWERTY UIOP " * 3 + " ".join(f"X{i}YZ" for i in range(60))), (9052, "\n".join(["same line again"] * 30 + [f"w{i} v{i}" for i in range(80)])), (9053, " ".join("q" * 20 + str(i) for i in range(60))), (9054, " ".join(f"word{i}" for i in range(60)))]
+    df = table.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    want = []
+    for d, t in texts(df):
+        w, ls = words(t), [x for x in t.split("\n") if words(x)]
+        g = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        rep = {k for i in range(len(w) - 2) if g[tuple(w[i : i + 3])] > 1 for k in range(i, i + 3)}
+        chars = sum(map(len, w))
+        bad = len(w) < 50 or 2 * len(rep) > len(w) or 2 * len(re.findall(r"[#*$%&|<>]", t)) > len(w) or not 2 * len(w) <= chars <= 15 * len(w)
+        bad = bad or (len(ls) >= 4 and 2 * (len(ls) - len(set(ls))) > len(ls)) or 2 * len(re.findall("[A-Z]", t)) > chars
+        want.append((d, not bad))
+    got = quality.judge(df)
+    assert rows(got, "doc_id", "kept") == sorted(want, key=repr)
+    assert (9054, True) in want and not any((k, True) in want for k in (9050, 9051, 9053))
+
+
+def test_quality_skips_what_is_decided(spark):
+    """A rule isn't evaluated on rows that an earlier one rejects; one that rejects more for its cost comes first."""
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "") + " ".join(f"w{k}" for k in range(60))) for i in range(200)], "doc_id long, text string")
+    bad = quality.Rule("bad", lambda t, m: F.startswith(t, F.lit("bad ")))
+    fatal = quality.Rule("fatal", lambda t, m: F.when(F.startswith(t, F.lit("bad ")), F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(False))
+    m = quality.base_measures(F.col("text"))
+    assert docs.where(quality.cascade([bad, fatal], F.col("text"), m)).count() == 100
+    with pytest.raises(Exception, match="evaluated"):
+        docs.where(quality.cascade([fatal, bad], F.col("text"), m)).count()
+    slow = quality.Rule("slow", lambda t, m: F.size(F.array_distinct(F.transform(F.split(t, ""), lambda c: F.sha2(F.concat(t, c), 512)))) < 0)
+    assert [r.name for r in quality.ordered(docs, [slow, bad], 200)] == ["bad", "slow"]
+    assert [r.name for r in quality.ordered(docs, [bad, slow], 200)] == ["bad", "slow"]
