@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import string
 import zlib
@@ -154,6 +155,15 @@ def test_shards(table):
     assert sorted((repr(r.doc_id), r.size, r.text_crc32) for r in out) == sorted((repr(d), len(t.encode()) + 8, zlib.crc32(t.encode())) for d, t in texts(table))
 
 
+def test_shards_keep_columns(spark):
+    rows_ = spark.createDataFrame([(i // 2, f"p{i}", i, -i) for i in range(50)], "doc_id long, _part string, _row int, doc int")
+    out = sharding.shard_rows(rows_, ["doc_id"], 7)
+    assert out.columns == [*rows_.columns, "row_number", "shard", "slot"]
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [(i // 2, f"p{i}", i, -i) for i in range(50)]
+    with pytest.raises(ValueError, match="shard"):
+        sharding.shard_rows(rows_.withColumnRenamed("_part", "Shard"), ["doc_id"])
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 17, 1000, 5000])
 def test_permutation(spark, n):
     got = spark.range(n).select(sharding.permuted(F.col("id"), n).alias("p")).collect()
@@ -272,14 +282,34 @@ def _contamination(data, items, window=10):
         yield doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 300])
-def test_contamination(spark, hard, block, monkeypatch):
-    items = [(1, "Word3 is here word4 is here word5 is here word6 is"), (10, "LAST line, of it!"), (2, "xyz"), (3, None), (4, "c a"), (5, "!!"), (6, "Größe"), (1, "Word3 is here word4 is here word5 is here word6 is")]
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+def test_contamination(spark, hard, block):
+    items = [(1, "Word3 is here word4 is here word5 is here word6 is"), (10, "LAST line, of it!"), (2, "xyz"), (3, None), (4, "c a"), (5, "!!"), (6, "Größe"), (1, "Word3 is here word4 is here word5 is here word6 is"), (7, PASSAGE), (None, "c")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate.mark, "__defaults__", (10, block))
-    got = decontaminate.contamination(hard, bench)
-    assert rows(got, *got.columns[:6]) == sorted(_contamination(texts(hard), [(i, t or "") for i, t in items]), key=repr)
-    assert decontaminate.decontaminate(hard, bench).columns == hard.columns
+    got = decontaminate.contamination(hard, bench, block_bytes=block)
+    want = sorted(_contamination(texts(hard), [("null" if i is None else i, t or "") for i, t in items]), key=repr)
+    assert rows(got, *got.columns[:6]) == want
+    assert decontaminate.contamination(hard, bench.where("false")).where("contaminated or n_words < 0").count() == 0
+    assert decontaminate.contamination(hard.where("false"), bench).count() == 0
+
+
+def test_contamination_in_long_texts(spark):
+    """Matches over the seams of lanes and of hashed blocks, in a text of some megabytes."""
+    r = np.random.default_rng(5)
+    w = [f"v{i}" for i in r.integers(0, 50000, 400_000)]
+    item = [f"q{i}" for i in range(25)]
+    places = [0, 250, 251 + 256, 100_000, 399_975]
+    for p in places:
+        w[p : p + 12] = item[3:15]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(item[:9])), (3, "x" * 3_000_000 + " " + " ".join(item))], "doc_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_hit) for x in decontaminate.contamination(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {1: (400_000, 12 * len(places)), 2: (9, 0), 3: (26, 25)}
+
+
+def test_decontaminate_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine", 5, 6), (2, "x y", "other", 7, 8)], "doc_id long, text string, _runs string, n_words int, doc int")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.decontaminate(docs, bench).collect()] == [(2, "x y", "other", 7, 8)]
 
 
 def test_contamination_of_documents(spark, docs):
@@ -329,6 +359,20 @@ def test_language_model(table):
         assert math.isclose(sum(p(v, w) for w in c) + p(v, "never seen"), 1, rel_tol=1e-9)
 
 
+def test_language_model_misses_no_file(spark, docs, tmp_path):
+    """Every range of hashes has its file, empty or not; a lost one is an error and not a lower score."""
+    few = docs.limit(3)
+    model = kneser_ney.train(few)
+    assert kneser_ney.score(few, model).count() == 3
+    uri = lambda kind, k: f"{model.path}/{kind}-{k}.npy"
+    sizes = [len(kneser_ney.map_array(uri("pair", k))) for k in range(model.pairs)]
+    assert sum(sizes) == model.pair_types
+    assert [len(kneser_ney.map_array(uri("word", k))) for k in range(model.words)] and kneser_ney.train(few.where("false")).tokens == 0
+    os.remove(uri("count", sizes.index(max(sizes))).removeprefix("file:"))
+    with pytest.raises(Exception, match="No such file"):
+        kneser_ney.score(few, model).collect()
+
+
 def test_language_id(hard, docs, spark):
     out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r.lang_pred == r.lang for r in out if r.held_out]) > 0.97

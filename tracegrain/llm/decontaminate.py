@@ -2,155 +2,210 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import save
+from .state import map_array, new_path, save, store_array
+from .wordhash import hash_words, mix
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, CHUNK_BYTES, LANE = 32 << 20, 1 << 20, 256
+ARRAYS = ["words", "block", "shift", "window", "place", "first", "item", "name", "name_end"]
 #: Letters A-Z become small, digits, a-z and bytes of other alphabets stay, all else parts words.
-FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+PARTS = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
+HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(FOLD).split() if text else []
+def _block_hash(ids: np.ndarray, end: np.ndarray, m: int) -> np.ndarray:
+    """The hash of the two words up to ``end`` (one, if patterns have one word)."""
+    return mix(ids[end - 1] * np.uint64(0x9E3779B97F4A7C15) + ids[end]) if m > 1 else ids[end]
 
 
-class Tables:
-    """Wu-Manber tables for one pattern length: blocks of two words (one, if patterns have one word)."""
-
-    def __init__(self, length: int, patterns: dict[tuple, set[str]]):
-        self.length, self.block = length, 1 if length == 1 else 2
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, list] = {}
-        for p, items in patterns.items():
-            for end in range(self.block, length + 1):
-                b = p[end - self.block : end]
-                self.shift[b] = min(self.shift.get(b, length), length - end)
-            self.bucket.setdefault(p[-self.block :], []).append((list(p), items))
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """(start, items) of each occurrence; a block that no pattern has skips as far as a pattern could reach."""
-        n, m, far, get = len(words), self.length, self.length - self.block + 1, self.shift.get
-        i = m - 1
-        if self.block == 1:
-            while i < n:
-                for _, items in self.bucket.get((words[i],), ()):
-                    yield i, items
-                i += 1
-            return
-        while i < n:
-            s = get((words[i - 1], words[i]), far)
-            if s:
-                i += s
-                continue
-            start = i - m + 1
-            for p, items in self.bucket[words[i - 1], words[i]]:
-                if words[start] == p[0] and words[start : i + 1] == p:
-                    yield start, items
-            i += 1
-
-
-def build_tables(items: list[tuple], window: int = WINDOW) -> list[Tables]:
-    """Tables for (item_id, text) rows, one for each pattern length; texts without words give no pattern."""
-    by_length: dict[int, dict[tuple, set[str]]] = {}
-    for item_id, text in items:
-        w = tuple(words_of(text))
-        m = min(window, len(w))
-        for i in range(len(w) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(w[i : i + m], set()).add("null" if item_id is None else str(item_id))
-    return [Tables(m, p) for m, p in sorted(by_length.items())]
-
-
-def scan(words: list[bytes], tables: list[Tables]) -> tuple[list[int], set[str]]:
-    """The places of hit words, as sorted [start, end, ...] of disjoint runs, and the items found."""
-    found, items = [], set()
-    for t in tables:
-        for start, which in t.find(words):
-            found.append((start, start + t.length))
-            items |= which
-    runs: list[int] = []
-    for a, b in sorted(found):
-        if runs and a <= runs[-1]:
-            runs[-1] = max(runs[-1], b)
-        else:
-            runs += [a, b]
-    return runs, items
-
-
-def _benchmark_blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of about ``block_bytes`` of text, by a hash of the row: the query set against all documents."""
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    for k in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield [tuple(r) for r in part.select("item_id", "text").collect()]
+def _window_key(ids: np.ndarray, end: np.ndarray, m: int) -> np.ndarray:
+    """A test string's place among all: the hash of its last block, then a hash of all its words, 32 bits each."""
+    whole = np.zeros(len(end), dtype=np.uint64)
+    for k in range(m):
+        whole = mix(whole * np.uint64(0xD6E8FEB86659FD93) + ids[end - k])
+    return (_block_hash(ids, end, m) & HIGH) | (whole >> np.uint64(32))
 
 
-def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_runs`` (hit word places) and ``_items``; other columns pass unread.
+def _tables(names: list[str], texts: list[str], window: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(pattern length, arrays) for the windows of the items; texts without words give none.
 
-    Null or empty text: no words. Null item ids are called ``null``; equal items all count. A map over the
-    documents: nothing is shuffled. A benchmark of over ``block_bytes`` is searched block by block.
+    ``block``, ``shift``: each block of words and how far the search may go on from it; a block that isn't there is in
+    no pattern. ``window``: keys of the different windows, by their last block; ``place``: where in ``words`` one ends;
+    ``first``, ``item``: the items that have it.
     """
-    spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("_n_words", "_runs", "_items")]
-    rows = docs.select(*keep, F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<int>").alias("_runs"), F.array().cast("array<string>").alias("_items"))
-    for k, block in enumerate(_benchmark_blocks(bench, block_bytes)):
-        tables = spark.sparkContext.broadcast(build_tables(block, window))
-        schema = pa.schema([("_n_words", pa.int64()), ("_runs", pa.list_(pa.int32())), ("_items", pa.list_(pa.string()))])
-
-        def search(batches, tables=tables, schema=schema):
-            for batch in batches:
-                names = batch.schema.names
-                texts, runs, items = (batch.column(names.index(c)) for c in ("text", "_runs", "_items"))
-                out_n, out_r, out_i = [], [], []
-                for t, r, i in zip(texts, runs, items, strict=True):
-                    w = words_of(t.as_py())
-                    new, found = scan(w, tables.value)
-                    old = r.as_py()
-                    if old and new:
-                        new = _union(old, new)
-                    out_n.append(len(w))
-                    out_r.append(new or old)
-                    out_i.append(sorted(found | set(i.as_py())))
-                cols = [batch.column(j) for j, c in enumerate(names) if c not in schema.names]
-                fields = [batch.schema.field(j) for j, c in enumerate(names) if c not in schema.names]
-                made = [pa.array(x, f.type) for x, f in zip((out_n, out_r, out_i), schema, strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, *made], schema=pa.schema([*fields, *schema]))
-
-        if k:
-            rows = save(rows, "decontaminate")
-        rows = rows.mapInArrow(search, rows.schema)
-    return rows
-
-
-def _union(a: list[int], b: list[int]) -> list[int]:
-    runs: list[int] = []
-    for x, y in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
-        if runs and x <= runs[-1]:
-            runs[-1] = max(runs[-1], y)
-        else:
-            runs += [x, y]
-    return runs
+    ids, counts = hash_words(texts, PARTS)
+    begin = np.cumsum(counts) - counts
+    raw = [n.encode() for n in names]
+    known = {"words": ids, "name": np.frombuffer(b"".join(raw), dtype=np.uint8), "name_end": np.cumsum([len(r) for r in raw])}
+    for m in range(1, window + 1):
+        mine = np.flatnonzero(counts >= window if m == window else counts == m)
+        if not len(mine):
+            continue
+        step = min(m, 2)
+        owner = np.repeat(mine, counts[mine])
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(counts[mine]) - counts[mine], counts[mine])
+        at = begin[owner] + within
+        block = _block_hash(ids, at[within >= step - 1], m)
+        shift = np.maximum(0, m - 1 - within[within >= step - 1])
+        order = np.lexsort((shift, block))
+        least = order[np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0]))]
+        end, own = at[within >= m - 1], owner[within >= m - 1]
+        key = _window_key(ids, end, m)
+        order = np.lexsort((own, key))
+        key, end, own = key[order], end[order], own[order]
+        once = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(own) != 0)])
+        key, end, own = key[once], end[once], own[once]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+        yield m, known | {"block": block[least], "shift": shift[least].astype(np.uint8), "window": key[first], "place": end[first], "first": np.append(first, len(key)), "item": own.astype(np.int32)}
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
-    return mark(docs, bench, window).where(F.size("_runs") == 0).select(*docs.columns)
+class Tables:
+    """The arrays for one pattern length, as a worker maps them."""
+
+    def __init__(self, length: int, arrays: dict[str, np.ndarray]):
+        self.m, self.a = length, arrays
+        self.far = max(1, length - 1)
+
+    def names(self, windows: np.ndarray) -> set[str]:
+        """The items that have one of ``windows``."""
+        found: set[int] = set()
+        for w in np.unique(windows).tolist():
+            found.update(self.a["item"][self.a["first"][w] : self.a["first"][w + 1]].tolist())
+        ends = self.a["name_end"]
+        return {self.a["name"][(ends[i - 1] if i else 0) : ends[i]].tobytes().decode() for i in found}
+
+    def find(self, ids: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last word, window) of each occurrence in the texts that start at ``begin`` in ``ids``, in order.
+
+        All texts are searched at once, in lanes of LANE places where an occurrence may end. A lane looks at one block of
+        words and goes on as far as its shift allows: without a pattern near, at most places nothing is looked up.
+        """
+        m, block, shift = self.m, self.a["block"], self.a["shift"]
+        spots = np.maximum(0, counts - m + 1)
+        lanes = -(-spots // LANE)
+        text = np.repeat(np.arange(len(counts)), lanes)
+        at = begin[text] + m - 1 + LANE * (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        stop = np.minimum(at + LANE, begin[text] + counts[text])
+        ends = [np.zeros(0, dtype=np.int64)]
+        while len(at):
+            h = _block_hash(ids, at, m)
+            k = np.minimum(np.searchsorted(block, h), len(block) - 1)
+            go = np.where(block[k] == h, shift[k], self.far).astype(np.int64)
+            ends.append(at[go == 0])
+            at = at + np.maximum(go, 1)
+            at, stop = at[at < stop], stop[at < stop]
+        end = np.sort(np.concatenate(ends))
+        key = _window_key(ids, end, m)
+        w = np.minimum(np.searchsorted(self.a["window"], key), len(self.a["window"]) - 1)
+        same = self.a["window"][w] == key
+        end, w = end[same], w[same]
+        for k in range(m):  # word by word
+            same = ids[end - k] == self.a["words"][self.a["place"][w] - k]
+            end, w = end[same], w[same]
+        return end, w
+
+
+def build(bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[tuple[str, int]]:
+    """Store the tables of ``bench`` (item_id, text) and return (path, pattern length) of each.
+
+    Different items are dealt by hash to blocks of about ``block_bytes`` of text. A task builds a block's tables, some 12
+    times its text; workers map them, so what they hold is shared and can be dropped and read again. A null item_id is
+    called ``null``. The driver gets at most ``window`` rows a block.
+    """
+    spark = bench.sparkSession
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = save(items, "benchmark")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    path = new_path(spark, "wu-manber")
+
+    def make(rows: pa.Table) -> pa.Table:
+        made = []
+        for m, arrays in _tables(rows["item_id"].to_pylist(), rows["text"].to_pylist(), window):
+            made.append((f"{path}/{rows['_block'][0].as_py()}-{m}", m))
+            for name in ARRAYS:
+                store_array(f"{made[-1][0]}/{name}.npy", arrays[name])
+        return pa.table({"path": pa.array([p for p, _ in made], pa.string()), "m": pa.array([m for _, m in made], pa.int32())})
+
+    dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    return sorted((r.path, r.m) for r in dealt.groupBy("_block").applyInArrow(make, "path string, m int").collect())
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Texts a few at a time: of CHUNK_BYTES characters or one text at most."""
+    at = 0
+    while at < len(texts):
+        end, total = at + 1, len(texts[at] or "")
+        while end < len(texts) and total + len(texts[end] or "") <= CHUNK_BYTES:
+            total += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
+def scan(texts: list[str | None], tables: list[Tables]) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
+    """Of each text: its words, the places of hit words as disjoint runs [start, end, ...], the items found."""
+    ids, counts = hash_words(texts, PARTS)
+    begin = np.cumsum(counts) - counts
+    edge = np.zeros(len(ids) + 1, dtype=np.int64)
+    items: dict[int, set[str]] = {}
+    for t in tables:
+        end, w = t.find(ids, begin, counts)
+        np.add.at(edge, end - t.m + 1, 1)
+        np.add.at(edge, end + 1, -1)
+        owner = np.searchsorted(begin + counts, end, side="right")
+        for d in np.unique(owner).tolist():
+            items.setdefault(d, set()).update(t.names(w[owner == d]))
+    hit = np.cumsum(edge[:-1]) > 0
+    runs: list[list[int]] = [[] for _ in texts]
+    for d in items:
+        own = np.concatenate([[False], hit[begin[d] : begin[d] + counts[d]], [False]])
+        runs[d] = np.flatnonzero(own[1:] != own[:-1]).tolist()
+    return counts, runs, [sorted(items.get(d, ())) for d in range(len(texts))]
+
+
+def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """For every row of ``docs``: ``doc``, a struct of its columns (those of ``carry``), ``n_words``, ``runs`` (hit word
+    places) and ``items``.
+
+    Null or empty text: no words. Equal items all count; an empty benchmark finds nothing, an empty table gives an empty
+    one, and repeated rows are each marked. A map over the documents in one pass, whatever the benchmark's size: nothing
+    of them is shuffled. Matching is by 64-bit hashes of words.
+    """
+    carry = docs.columns if carry is None else carry
+    built = build(bench, window, block_bytes)
+    spec = pa.schema([("n_words", pa.int64()), ("runs", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
+    def search(batches):
+        tables = [Tables(m, {name: map_array(f"{path}/{name}.npy") for name in ARRAYS}) for path, m in built]
+        for batch in batches:
+            texts = batch.column(1).to_pylist() if batch.num_columns > 1 else batch.column(0).field("text").to_pylist()
+            out: list[list] = [[], [], []]
+            for a, b in _chunks(texts):
+                for have, new in zip(out, scan(texts[a:b], tables), strict=True):
+                    have.extend(new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(out, spec, strict=True))], names=["doc", *spec.names])
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each document: its words, hit words, items found and their digest."""
-    marked = mark(docs.select("doc_id", "text"), bench, window)
-    hit = F.aggregate("_runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("s")), lambda s, x: F.struct((s["n"] + s["s"] * x).alias("n"), (-s["s"]).alias("s")), lambda s: s["n"])
-    return marked.select("doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_runs") > 0).alias("contaminated"), F.col("_items").alias("items"))
+    rows = docs.select(F.struct(*carry).alias("doc"), *([] if "text" in carry else [F.col("text").alias("t")]))
+    kept = rows.schema["doc"].dataType.simpleString()
+    return rows.mapInArrow(search, f"doc {kept}, n_words long, runs array<int>, items array<string>")
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents in which no benchmark window occurs, with all their columns, whatever these are called. Null and
+    empty texts stay, repeated rows go or stay together, and an empty benchmark or table takes nothing out."""
+    return mark(docs, bench, window).where(F.size("runs") == 0).select("doc.*")
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each document: its words, hit words, items found and their digest; a null text has no words."""
+    marked = mark(docs, bench, window, block_bytes, ["doc_id"])
+    hit = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("s")), lambda s, x: F.struct((s["n"] + s["s"] * x).alias("n"), (-s["s"]).alias("s")), lambda s: s["n"])
+    return marked.select("doc.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"), "items")

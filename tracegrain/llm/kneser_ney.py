@@ -2,70 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import new_path, save
+from .state import map_array, new_path, save, store_array
+from .wordhash import hash_words, mix
 
 START, END = np.uint64(0x5BF03635DE1F8A27), np.uint64(0x9D8A7C1B33A4E5F1)
-BASE = np.uint64(0xC6A4A7935BD1E995)
 CHUNK_TOKENS, CHUNK_BYTES, BUCKET_BYTES = 2_000_000, 2 << 20, 48 << 20
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads every bit."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-#: A random-looking word for each byte; A-Z have those of a-z, so that hashing folds case.
-LETTER = _mix(np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint64) + np.uint64(1))
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
-
-
-def _up_to(n: int) -> list[np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64."""
-    if len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for k, b in enumerate((BASE, inverse)):
-            p = np.full(n, b, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
-
-
 def token_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, tokens of each text): a 64-bit hash for each word, then END for each text.
-
-    Words are found and hashed for all texts at once: a word's polynomial hash is the difference of two running sums.
-    """
-    raw = [(t or "").encode() for t in texts]
-    data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    space = SPACES[data]
-    inside = ~space
-    begin = np.flatnonzero(inside & np.concatenate([[True], space[:-1]])) if len(data) else np.zeros(0, dtype=np.int64)
-    stop = np.flatnonzero(inside & np.concatenate([space[1:], [True]])) + 1 if len(data) else begin
-    up, down = _up_to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(LETTER[data] * up[: len(data)], out=sums[1:])
-    words = _mix((sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64))
-    owner = np.searchsorted(ends, begin, side="right")
-    counts = np.bincount(owner, minlength=len(texts)) + 1
+    """(ids, tokens of each text): a 64-bit hash for each word, then END for each text."""
+    words, counts = hash_words(texts, SPACES)
+    counts = counts + 1
     out = np.full(int(counts.sum()), END, dtype=np.uint64)
-    out[np.arange(len(words)) + owner] = words
+    out[np.arange(len(words)) + np.repeat(np.arange(len(texts)), counts - 1)] = words
     return out, counts
 
 
@@ -78,7 +37,7 @@ def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def pair_key(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + ids)
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + ids)
 
 
 def _text_chunks(texts: list, size: int = CHUNK_BYTES):
@@ -135,42 +94,6 @@ def _summed(key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [key[first], order[first], *sums]
 
 
-def _local(uri: str) -> str | None:
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if uri.startswith("/") else None
-
-
-def _store(uri: str, array: np.ndarray) -> None:
-    """Write one array under its final name at once; a task that runs again writes the same bytes."""
-    path = _local(uri)
-    if path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-            np.save(f, array)
-        os.replace(part, path)
-        return
-    fs, path = pafs.FileSystem.from_uri(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    with fs.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as f:
-        np.save(f, array)
-    fs.move(part, path)
-
-
-def _mapped(uri: str) -> np.ndarray:
-    """The array in shared memory of all workers on a machine; from a store that can't be mapped, by way of a file
-    that has no name once it is open."""
-    if path := _local(uri):
-        return np.load(path, mmap_mode="r")
-    fs, path = pafs.FileSystem.from_uri(uri)
-    with tempfile.NamedTemporaryFile(suffix=".npy") as f:
-        with fs.open_input_stream(path) as src:
-            while block := src.read(1 << 24):
-                f.write(block)
-        f.flush()
-        return np.load(f.name, mmap_mode="r")
-
-
 @dataclass
 class Model:
     """Where the arrays lie, how many there are of each kind, totals and discounts. Its size doesn't grow with the corpus."""
@@ -205,7 +128,8 @@ def train(docs: DataFrame) -> Model:
 
     Tasks count the pairs of their texts and send packed columns by range of the pair's hash; a range's task adds them up,
     stores its sorted array, and sends on what it knows of each word; ranges of word hashes do the same. Hashes spread
-    even the most frequent words' pairs over all ranges. The driver gets a few numbers for each range.
+    even the most frequent words' pairs over all ranges. The driver gets a few numbers for each range. Repeated rows
+    count each time; other columns are not looked at; an empty table gives a model that knows no word.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -236,39 +160,52 @@ def train(docs: DataFrame) -> Model:
             yield flush(held)
 
     def add_pairs(group: pa.Table) -> pa.Table:
-        v, w, n = [], [], []
-        for row in zip(*(group[c].to_pylist() for c in "vwn"), strict=True):
+        v, w, n = ([np.zeros(0, dtype=kind)] for kind in (np.uint64, np.uint64, np.uint32))
+        for row in zip(*(group[c].drop_null().to_pylist() for c in "vwn"), strict=True):
             v.append(np.cumsum(_widened(row[0], np.uint64)))
             w.append(_widened(row[1], np.uint64))
             n.append(_widened(row[2], np.uint32))
         v, w = np.concatenate(v), np.concatenate(w)
         key, at, n = _summed(pair_key(v, w), np.concatenate(n).astype(np.uint64))
         v, w, bucket = v[at], w[at], group["bucket"][0].as_py()
-        _store(f"{path}/pair-{bucket}.npy", key)
-        _store(f"{path}/count-{bucket}.npy", n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64))
+        store_array(f"{path}/pair-{bucket}.npy", key)
+        store_array(f"{path}/count-{bucket}.npy", n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64))
         one, zero = np.ones(len(v), dtype=np.uint64), np.zeros(len(v), dtype=np.uint64)
         roles = [np.concatenate(c) for c in zip((w, n, one, zero, zero, zero, zero), (v, zero, zero, n, (n == 1), (n == 2), (n > 2)), strict=True)]
         word, _, *sums = _summed(roles[0], *(c.astype(np.uint64) for c in roles[1:]))
         out = _dealt(word, [word, *sums], word_buckets, word_schema)
         coc = ",".join(map(str, _ones(n)))
-        return pa.table([*out.columns, pa.array([coc if i == 0 else None for i in range(out.num_rows)], pa.string())], names=[*word_schema.names, "coc"])
+        return pa.table([*out.columns, pa.array([coc if i == 0 else None for i in range(out.num_rows)], pa.string())], names=[*word_schema.names, "coc"])  # an empty range counts nothing
 
     def add_words(group: pa.Table) -> pa.Table:
-        parts = [[np.cumsum(_widened(row[0], np.uint64)), *(_widened(x, np.uint64) for x in row[1:])] for row in zip(*(group[c].to_pylist() for c in word_names), strict=True)]
+        parts = [[np.zeros(0, dtype=np.uint64)] * len(word_names)]
+        parts += [[np.cumsum(_widened(row[0], np.uint64)), *(_widened(x, np.uint64) for x in row[1:])] for row in zip(*(group[c].drop_null().to_pylist() for c in word_names), strict=True)]
         joined = [np.concatenate(c) for c in zip(*parts, strict=True)]
         word, _, *sums = _summed(joined[0], *(c.astype(np.uint64) for c in joined[1:]))
         bucket = group["bucket"][0].as_py()
-        _store(f"{path}/word-{bucket}.npy", word)
-        _store(f"{path}/stats-{bucket}.npy", np.stack(sums, axis=1).astype(np.int64))
+        store_array(f"{path}/word-{bucket}.npy", word)
+        store_array(f"{path}/stats-{bucket}.npy", np.stack(sums, axis=1).astype(np.int64))
         seen = sums[0] > 0
         facts = [int(sums[0].sum()), int(seen.sum()), int(sums[1].sum()), *_ones(sums[1]), int((sums[1] > 2).sum())]
         return pa.table({"facts": pa.array([facts], pa.list_(pa.int64()))})
 
+    def by_bucket(rows: DataFrame, n: int, work, schema: str) -> DataFrame:
+        """``work`` on each of the ``n`` buckets. Bucket k is partition k: no task has two. Every bucket has an empty row
+        of its own, so that its arrays are stored even if no key falls into it, and a file that isn't there is lost."""
+        empty = spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias("bucket"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "bucket"])
+
+        def whole(batches):
+            held = [b for b in batches if b.num_rows]
+            if held:
+                yield from work(pa.Table.from_batches(held)).to_batches()
+
+        return rows.unionByName(empty).repartitionById(n, "bucket").mapInArrow(whole, schema)
+
     blobs = docs.select("text").mapInArrow(count, "bucket int, v binary, w binary, n binary")
-    ranges = blobs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(add_pairs, "bucket int, " + ", ".join(f"{c} binary" for c in word_names) + ", coc string")
+    ranges = by_bucket(blobs, buckets, add_pairs, "bucket int, " + ", ".join(f"{c} binary" for c in word_names) + ", coc string")
     ranges = save(ranges, "kneser-ney-words")
     coc = ranges.where("coc is not null").select(*[F.sum(F.split("coc", ",")[k].cast("long")) for k in range(4)]).first()
-    facts = ranges.drop("coc").repartition(word_buckets, "bucket").groupBy("bucket").applyInArrow(add_words, "facts array<long>")
+    facts = by_bucket(ranges.where("word is not null").drop("coc"), word_buckets, add_words, "facts array<long>")
     total = facts.select(*[F.sum(F.col("facts")[k]) for k in range(8)]).first()
     total, coc = [x or 0 for x in total], [x or 0 for x in coc]
     d1 = _discounts(total[3:7])
@@ -285,10 +222,7 @@ class Arrays:
     def _get(self, kind: str, bucket: int):
         name = f"{self.model.path}/{kind}-{bucket}.npy"
         if name not in self.open:
-            try:
-                self.open[name] = _mapped(name)
-            except FileNotFoundError:  # a range that no key fell into
-                self.open[name] = None
+            self.open[name] = map_array(name)  # every range has its file: one that is lost is an error
         return self.open[name]
 
     def find(self, keys: np.ndarray, kind: str, values: str, buckets: int, width: int = 1) -> np.ndarray:
@@ -298,7 +232,7 @@ class Arrays:
         edges = np.searchsorted(_bucket(unique, buckets), np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
             have = self._get(kind, b)
-            if have is None:
+            if not len(have):
                 continue
             q = unique[edges[b] : edges[b + 1]]
             at = np.minimum(np.searchsorted(have, q), len(have) - 1)

@@ -15,24 +15,27 @@ WALK = 64
 
 
 def row_numbers(rows: DataFrame, order: list[str], label: str) -> tuple[DataFrame, int]:
-    """``rows`` with ``_row``, their gapless number from 0 in ``order``, and how many rows there are.
+    """``doc``, a struct of the columns of ``rows``, with ``row``, their gapless number from 0 in ``order``, and how many
+    rows there are.
 
     Range partitions are numbered locally in one stored pass; only one count per partition is summed, so no
     task ever sees more than its own range. Rows that tie in all of ``order`` are equal in it and so interchangeable.
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = save(rows, f"{label}-in")  # range bounds are sampled from it: the texts are read once only
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = save(ranged.withColumn("_at", F.monotonically_increasing_id()), label)
-    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1))
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), "_n")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    # range bounds are sampled from the stored rows: the texts are read once only
+    rows = save(rows.select(F.struct(*rows.columns).alias("doc")), f"{label}-in")
+    keys = [F.col("doc").getField(c) for c in order]
+    ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    placed = save(ranged.withColumn("at", F.monotonically_increasing_id()), label)
+    placed = placed.select("doc", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("within"))
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"), "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     # at most spark.sql.shuffle.partitions rows, whatever the input: a proven bound
-    numbered = placed.join(F.broadcast(offsets.select("_part", "_off")), "_part")
-    return numbered.withColumn("_row", F.col("_off") + F.col("_in")).drop("_part", "_in", "_off", "_at"), total
+    numbered = placed.join(F.broadcast(offsets.select("part", "off")), "part")
+    return numbered.select("doc", (F.col("off") + F.col("within")).alias("row")), total
 
 
 def _mix(half: Column, i: Column, seed: int) -> Column:
@@ -48,7 +51,6 @@ def _feistel(x: Column, a: int, b: int, seed: int) -> Column:
         odd = F.struct(left.alias("l"), F.pmod(right + _mix(left, i, seed), F.lit(b).cast("long")).alias("r"))
         return F.when(i % 2 == 1, even).otherwise(odd)
 
-    start = F.struct(F.expr("0L").alias("l"), F.expr("0L").alias("r"))
     start = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), F.pmod(x, F.lit(b).cast("long")).alias("r"))
     rounds = F.array(*[F.lit(i).cast("long") for i in range(1, ROUNDS + 1)])
     return F.aggregate(rounds, start, one, lambda s: s["l"] * b + s["r"])
@@ -72,17 +74,20 @@ def permuted(row: Column, total: int, seed: int = 17) -> Column:
 def shard_rows(rows: DataFrame, order: list[str], shards: int = 24, seed: int = 17, label: str = "shards") -> DataFrame:
     """``rows`` with ``row_number``, ``shard`` and ``slot``; shard sizes differ by at most one, slots are gapless.
 
-    Columns of ``rows`` are kept. Nulls order first; an empty table gives an empty table; repeated rows each get
-    a place of their own.
+    Columns of ``rows`` are kept; one that is called like a new one is an error. Nulls order first; an empty table gives
+    an empty table; repeated rows each get a place of their own, and which of them gets which is of no account.
     """
+    if taken := {"row_number", "shard", "slot"} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"the rows have columns {sorted(taken)} already: rename them first")
     numbered, total = row_numbers(rows, order, label)
-    place = permuted(F.col("_row"), total, seed)
-    out = numbered.withColumn("_place", place)
-    return out.select(*rows.columns, F.col("_row").alias("row_number"), F.pmod("_place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("_place") / shards).cast("long").alias("slot"))
+    out = numbered.select("doc", "row", permuted(F.col("row"), total, seed).alias("place"))
+    return out.select("doc.*", F.col("row").alias("row_number"), F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 17) -> DataFrame:
-    """Every document's shard and slot under the law ``rows``, without its text. Null text: size 8, crc32 of nothing."""
+    """Every document's shard and slot under the law ``rows``, without its text. Null text: size 8, crc32 of nothing.
+
+    Other columns are not looked at; repeated rows each get a place, an empty table none."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     small = docs.select("doc_id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
     placed = shard_rows(small, ["doc_id", "text_crc32", "size"], shards, seed)

@@ -1,10 +1,13 @@
-"""Tables that cut lineage: Parquet under the folder that all executors share."""
+"""Tables that cut lineage, and arrays that workers map: files under the folder that all executors share."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +33,39 @@ def save(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _local(uri: str) -> str | None:
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    return uri if uri.startswith("/") else None
+
+
+def store_array(uri: str, array: np.ndarray) -> None:
+    """Write one array under its final name at once; a task that runs again writes the same bytes."""
+    path = _local(uri)
+    if path:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
+            np.save(f, array)
+        os.replace(part, path)
+        return
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    with fs.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as f:
+        np.save(f, array)
+    fs.move(part, path)
+
+
+def map_array(uri: str) -> np.ndarray:
+    """The array in shared memory of all workers on a machine; from a store that can't be mapped, by way of a file
+    that has no name once it is open. A file that isn't there is an error."""
+    if path := _local(uri):
+        return np.load(path, mmap_mode="r")
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with tempfile.NamedTemporaryFile(suffix=".npy") as f:
+        with fs.open_input_stream(path) as src:
+            while block := src.read(1 << 24):
+                f.write(block)
+        f.flush()
+        return np.load(f.name, mmap_mode="r")
