@@ -125,15 +125,86 @@ def test_secrets(table):
     assert rows(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=repr)
 
 
-def test_random_token_is_found_and_words_are_not(spark):
+def _p_random(t):
+    """The battery in plain Python."""
+    if re.search(secrets.DASHED, t):
+        t = t.replace("-", "")
+    name = next((k for k, signs in secrets.ALPHABETS.items() if set(t) <= set(signs)), secrets.WIDEST)
+    signs, n = secrets.ALPHABETS[name], len(t)
+    part = lambda c: "d" if c.isdigit() else "s" if not c.isalpha() else ("v" if c.lower() in "aeiou" else "c" if c.lower() in "tnsrhldcm" else "o") + str(c.isupper())
+    kind = lambda c: part(c)[-4:] if c.isalpha() else part(c)
+    share = lambda f: {k: v / len(signs) for k, v in Counter(map(f, signs)).items()}
+    seen = Counter(map(part, t))
+    chi, df = sum((seen[k] - n * q) ** 2 / (n * q) for k, q in share(part).items()), len(share(part)) - 1
+    z = [((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))]
+    s2, s3 = (sum(q**k for q in share(kind).values()) for k in (2, 3))
+    var = (n - 1) * s2 * (1 - s2) + 2 * (n - 2) * (s3 - s2**2)
+    z.append((sum(kind(a) == kind(b) for a, b in zip(t, t[1:])) - (n - 1) * s2) / math.sqrt(var) if var > 1e-9 else 0.0)
+    letters = [c for c in signs if c.isalpha()]
+    pv = sum(c.lower() in "aeiou" for c in letters) / len(letters)
+    xs = [None if not c.isalpha() else (c.lower() in "aeiou") - pv for c in t]
+    both = [a * b for a, b in zip(xs, xs[1:]) if a is not None and b is not None]
+    z.append(sum(both) / (math.sqrt(len(both)) * pv * (1 - pv)) if both else 0.0)
+    tail = lambda v: 1 / (1 + math.exp(min(600, 1.5976 * v + 0.07056 * v**3)))
+    ps = [tail(max(-30, min(30, z[0]))), *(min(1, 2 * tail(min(30, abs(v)))) for v in z[1:])]
+    h = -sum(map(math.log, ps))
+    return math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_random_spans_by_brute_force(table):
+    """Candidates, their p-values, the cuts and so every ``random`` span, in plain Python."""
+    found, counts = [], Counter()
+    for doc_id, t in texts(table):
+        base = _base(t)
+        mine = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", t):
+            if len({k for c in m[0] if c.isalnum() for k in [c.isdigit() * 2 + c.isupper()]}) > 1 and not any(s < m.end() and m.start() < e for s, _, e in base):
+                size, p = int(math.log2(m.end() - m.start()) * 2), _p_random(m[0])
+                b = min(2000, int(-math.log(max(p, 1e-300)) * 20))
+                counts[size, b] += 1
+                mine.append((m.start(), 3, m.end(), size, b))
+        found.append((doc_id, base, mine))
+    last = secrets.cuts(counts)
+    want = [(d, ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + [m[:3] for m in mine if m[4] <= last.get(m[3], -1)]))) for d, base, mine in found]
+    assert rows(secrets.secret_report(table), "doc_id", "spans") == sorted(want, key=repr)
+
+
+WORDS = "get user reference by id how to build a house in the new order item list find all name value key path read write open close data base time date start count index table row column total price account customer report status update delete query result page view config option error message handler service client server request event stream buffer size limit image color style format check deploy release version branch review author title content comment post category search filter sort group week month year quick brown fox jumps over lazy dog travel guide cheap flights hotels".split()
+
+
+def planted(r):
+    """(kind, token): random tokens of every encoding and length, and names, slugs, paths and run-together words."""
+    for n in (16, 20, 24, 32, 40, 64):
+        for name, signs in secrets.ALPHABETS.items():
+            for _ in range(60 if name != "hex" else 0):  # small hex of 16 digits is a known shape
+                yield f"random {name} {n}", "".join(r.choice(signs) for _ in range(n))
+        for _ in range(300):
+            some = [r.choice(WORDS) for _ in range(n // 4)]
+            while len("".join(some)) < n:
+                some.append(r.choice(WORDS))
+            yield f"camel {n}", some[0] + "".join(map(str.capitalize, some[1:])) + str(r.randrange(100))
+            yield f"slug {n}", "-".join(some) + f"-{r.randrange(1990, 2030)}"
+            yield f"path {n}", "/".join(some) + f"/{r.randrange(100)}"
+            yield f"snake {n}", "_".join(some).upper()
+            yield f"words {n}", "".join(some) + str(r.randrange(1000))
+    for _ in range(300):
+        h = "".join(r.choice("0123456789abcdef") for _ in range(32))
+        yield "random dashed 36", "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+
+
+def test_random_tokens_are_found_and_names_are_not(spark):
+    """Recall of planted tokens and precision among names, slugs, paths and words, by kind and length."""
     import random
 
-    r = random.Random(3)
-    chars = secrets.ALPHABETS[64]
-    data = [(i, f"key {''.join(r.choice(chars) for _ in range(40))}1a end and Aplainidentifier{i}withoutmuchrandomness00000000") for i in range(60)]
-    out = secrets.find_secrets(spark.createDataFrame(data, "doc_id long, text string")).collect()
-    assert sum(any(v.kind == 3 and v.s == 4 for v in x.spans) for x in out) >= 55
-    assert sum(any(v.kind == 3 and v.s > 40 for v in x.spans) for x in out) <= 6
+    tokens = list(planted(random.Random(3)))
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, (_, t) in enumerate(tokens)], "doc_id long, text string")
+    hits = {x.doc_id for x in secrets.find_secrets(docs).collect() if any(v.s == 4 and v.e == 4 + len(tokens[x.doc_id][1]) for v in x.spans)}
+    n, found = Counter(k for k, _ in tokens), Counter(tokens[i][0] for i in hits)
+    recall = {k: found[k] / n[k] for k in n if k.startswith("random")}
+    print({k: round(v, 2) for k, v in recall.items()}, {k: found[k] for k in n if not k.startswith("random")})
+    assert min(recall.values()) > 0.9, min(recall.items(), key=lambda x: x[1])
+    wrong = sum(v for k, v in found.items() if not k.startswith("random"))
+    assert wrong < 0.05 * len(hits)
 
 
 def test_many_spans_in_one_text(spark):

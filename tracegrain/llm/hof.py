@@ -21,10 +21,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0, keep: bool = False) -> Column:
     """(s, e) of the leftmost non-overlapping matches in code points, end exclusive, whose ``group`` has ``least``
-    characters. Pieces between matches and matches are laid end to end, in blocks, so that long lists stay cheap."""
-    kind = "array<struct<s:int,e:int>>"
+    characters; with ``keep``, the matched text t too. Pieces between matches and matches are laid end to end, in blocks,
+    so that long lists stay cheap."""
+    kind = "array<struct<s:int,e:int,t:string>>" if keep else "array<struct<s:int,e:int>>"
     none = F.array().cast(kind)
 
     def laid(parts: Column) -> Column:
@@ -32,7 +33,7 @@ def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> C
             start = F.struct(s["at"].alias("at"), none.alias("out"))
 
             def one(t: Column, x: Column) -> Column:
-                found = F.struct((t["at"] + x["g"]).cast("int").alias("s"), (t["at"] + x["g"] + x["m"]).cast("int").alias("e"))
+                found = F.struct((t["at"] + x["g"]).cast("int").alias("s"), (t["at"] + x["g"] + x["m"]).cast("int").alias("e"), *([x["t"].alias("t")] if keep else []))
                 return F.struct((t["at"] + x["g"] + x["m"]).alias("at"), F.when(x["k"] >= least, F.concat(t["out"], F.array(found))).otherwise(t["out"]).alias("out"))
 
             inner = F.aggregate(F.slice(parts, b * STEP + 1, STEP), start, one)
@@ -42,8 +43,10 @@ def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> C
         return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda s: s["out"])
 
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
+    texts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    whole = F.transform(texts, lambda m: F.length(m))
     key = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)) if group else whole
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("g"), whole.alias("m"), key.alias("k"))
-    parts = F.transform(zipped, lambda z: F.struct(z["g"].alias("g"), z["m"].alias("m"), z["k"].alias("k")))
+    columns = {"g": F.slice(gaps, 1, F.size(whole)), "m": whole, "k": key} | ({"t": texts} if keep else {})
+    zipped = F.arrays_zip(*[c.alias(k) for k, c in columns.items()])
+    parts = F.transform(zipped, lambda z: F.struct(*[z[k].alias(k) for k in columns]))
     return F.when(F.regexp_like(text, F.lit(pattern)), let(parts, laid)).otherwise(none)

@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .state import map_array, new_path, save, store_array
-from .wordhash import hash_words, mix
+from .wordhash import SPACES, hash_words, mix
 
 START, END = np.uint64(0x5BF03635DE1F8A27), np.uint64(0x9D8A7C1B33A4E5F1)
 CHUNK_TOKENS, CHUNK_BYTES, BUCKET_BYTES = 2_000_000, 2 << 20, 48 << 20
-SPACES = np.zeros(256, dtype=bool)
-SPACES[[32, *range(9, 14)]] = True
 
 
 def token_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

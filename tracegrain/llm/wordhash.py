@@ -6,6 +6,9 @@ import numpy as np
 
 BASE = np.uint64(0xC6A4A7935BD1E995)
 BLOCK = 1 << 20
+#: The bytes between words of running text.
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[32, *range(9, 14)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
