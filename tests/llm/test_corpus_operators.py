@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracegrain.llm import decontaminate, kneser_ney, langid, linededup, packing, quality, secrets, sharding, simhash, urls
+from tracegrain.llm import decontaminate, jaccard, kneser_ney, langid, linededup, packing, quality, secrets, sharding, simhash, urls
 from tracegrain.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -314,6 +314,15 @@ def test_similar_documents(spark):
     assert wrong <= 1 and all(group[found[i]] == group[i] for i in found)
 
 
+def test_sketches_are_a_lower_bound():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 30, 400, 5000):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 9 :], r.integers(0, 1 << 63, n // 7, dtype=np.uint64)]))
+        apart = int(np.bitwise_count(jaccard.sketch(a).view(np.uint64) ^ jaccard.sketch(b).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (n < 30 or apart > 0)
+
+
 def test_similar_documents_by_brute_force(spark):
     """Groups equal those of all pairs at a Jaccard similarity of 0.8; pairs lie close to it on both sides."""
     r = np.random.default_rng(9)
