@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracegrain.functions import bits, names, privacy
-from tracegrain.operators import audit, candidates, packets, reconstruction, scoring, spectral, timebase, verdicts, walk
-from tracegrain.sources import sessions
+from pyspark.sql.types import StructType
+
+from tracegrain.functions import bits, names, privacy, store
+from tracegrain.operators import audit, benchmark, candidates, packets, reconstruction, reports, scoring, spectral, timebase, verdicts, walk
+from tracegrain.sources import outputs, sessions
 from tracegrain.streaming.segments import streaming_segments
 
 
@@ -50,7 +52,7 @@ def test_packets(spark):
     out = packets.validated(packets.packet_rows(rows)).orderBy("packet_ordinal").collect()
     assert [r.payload for r in out[:2]] == [[1, 2, 3], [4, 5, 6]] and all(r.schema_ok for r in out[:2])
     assert [r.codes for r in out[2:4]] == [["ppg_json_malformed"], ["ppg_non_integer"]]
-    assert out[4].codes == ["missing_top_keys", "extra_top_keys", "received_at_invalid", "dicdata_missing"] and out[5].codes == ["packet_not_object"]
+    assert out[4].codes == ["missing_top_keys", "extra_top_keys", "dicdata_missing"] and out[5].codes == ["packet_not_object"]
     assert out[6].codes == ["received_at_invalid", "ppg_not_array"]
     assert packets.usable(packets.validated(packets.packet_rows(rows)), 3).count() == 2
 
@@ -80,18 +82,60 @@ def test_channels_follow_the_phase(spark):
     assert all(r.channel == r.pos % 3 for r in rows if r.layout == "packet_local")
 
 
-def test_periodicity():
+def _periodicity(spark, *series, fs=33.0):
+    rows = [(i, [float(x) for x in v], fs) for i, v in enumerate(series)]
+    out = spectral.segment_periodicity(spark.createDataFrame(rows, "k int, values array<double>, fs double")).orderBy("k").collect()
+    assert [r.k for r in out] == list(range(len(series)))
+    return out
+
+
+def test_periodicity(spark):
     t = np.arange(660) / 33
-    sine = spectral.periodicity(10000 * np.sin(2 * np.pi * 1.2 * t), 33)
-    assert sine["usable"] and abs(sine["dominant_hz"] - 1.2) < 0.15 and sine["acf_peak"] > 0.2
-    assert spectral.periodicity(np.full(330, 42.0), 33)["reasons"] == ["flatline_segment"]
-    assert spectral.periodicity(t[:10], 33)["reasons"] == ["segment_too_short"]
-    noise = spectral.periodicity(np.random.default_rng(0).normal(0, 1000, 660), 33)
-    assert noise["band_power_ratio"] < 0.5 < sine["band_power_ratio"] and noise["prominence"] < sine["prominence"]
+    r = np.random.default_rng(0)
+    sine, flat, short, noise, again, brief, two = _periodicity(
+        spark, 10000 * np.sin(2 * np.pi * 1.2 * t), np.full(330, 42.0), t[:10], r.normal(0, 1000, 660), 10000 * np.sin(2 * np.pi * 1.2 * t), np.sin(t[:100]), np.sin(2 * np.pi * 1.2 * t) + 0.5 * np.sin(2 * np.pi * 2.4 * t))
+    assert sine.usable and abs(sine.dominant_hz - 1.2) < 0.15 and sine.acf_peak > 0.2 and abs(sine.acf_lag_s - 1 / 1.2) < 0.05
+    assert sine.asDict() | {"k": 4} == again.asDict() and sine.reasons == ["acf_peak", "periodic_candidate"]
+    assert flat.reasons == ["flatline_segment"] and short.reasons == ["segment_too_short"] and brief.reasons == ["segment_duration_short"]
+    assert not flat.usable and flat.band_power_ratio == 0 and flat.dominant_hz is None
+    assert noise.band_power_ratio < 0.5 < sine.band_power_ratio and noise.prominence < sine.prominence
+    assert two.harmonic and "harmonic_structure" in two.reasons
+    assert spectral.segment_periodicity(spark.createDataFrame([], "k int, values array<double>, fs double")).count() == 0
+
+
+def test_spectra_by_definition():
+    """Power, autocorrelation and lagged correlation against sums written out."""
+    r = np.random.default_rng(5)
+    x, y, fs, n = r.normal(0, 1, 300), r.normal(0, 1, 300), 20.0, 64
+    w = np.array([0.5 - 0.5 * np.cos(2 * np.pi * i / n) for i in range(n)])
+    want = np.zeros(n // 2 + 1)
+    frames = [x[a : a + n] for a in range(0, len(x) - n + 1, n // 2)]
+    for f in frames:
+        for k in range(n // 2 + 1):
+            z = sum((f[i] - f.mean()) * w[i] * np.exp(-2j * np.pi * k * i / n) for i in range(n))
+            want[k] += abs(z) ** 2 / (fs * (w**2).sum()) / len(frames) * (1 if k in (0, n // 2) else 2)
+    f, p = spectral.welch(x[None], np.array([fs]), n)
+    assert np.allclose(p[0], want) and np.allclose(f[0], np.arange(n // 2 + 1) * fs / n)
+    got = spectral.measure_pairs(x[None], y[None], np.array([fs]))
+    a, b = x - x.mean(), y - y.mean()
+    lags = {k: sum(a[i + k] * b[i] for i in range(300) if 0 <= i + k < 300) / (x.std() * y.std() * 300) for k in range(-40, 41)}
+    best = max(lags, key=lambda k: abs(lags[k]))
+    assert got["best_lag"][0] == best and np.isclose(got["max_xcorr"][0], abs(lags[best])) and np.isclose(got["zero_lag"][0], np.corrcoef(x, y)[0, 1])
+    own = spectral.measure_segments(x[None], np.array([fs]))
+    c = x - np.median(x)
+    acf = [sum(c[i] * c[i + k] for i in range(300 - k)) / (c**2).sum() for k in range(41)]
+    assert own["acf_lag"][0] == 4 + int(np.argmax(acf[4:41])) and np.isclose(own["acf_height"][0], max(acf[4:41]))
+
+
+def test_channel_pairs(spark):
     a = np.random.default_rng(1).normal(0, 1, 400)
-    pair = spectral.channel_pair(a, -np.roll(a, 5), 33)
-    assert pair["best_lag"] == -5 and pair["max_xcorr"] > 0.9
-    assert spectral.channel_pair(a, a, 33)["coherence"] > 0.99
+    rows = [(0, 0, a, 33.0), (0, 1, -np.roll(a, 5), 33.0), (1, 0, a, 33.0), (1, 1, a, 33.0), (2, 0, a[:5], 33.0), (2, 1, a, 33.0), (3, 0, np.zeros(90), 33.0), (3, 1, a[:90], 33.0)]
+    df = spark.createDataFrame([(k, c, [float(v) for v in x], fs) for k, c, x, fs in rows], "k int, channel int, values array<double>, fs double")
+    got = {r.k: r for r in spectral.channel_pairs(df, ["k"]).collect()}
+    assert got[0].best_lag == -5 and got[0].max_xcorr > 0.9 and "delayed_channels" in got[0].reasons
+    assert got[1].coherence > 0.99 and got[1].agree and got[1].reasons == ["dom_freq_agree"]
+    assert got[2].reasons == ["too_short"] and got[2].zero_lag == 0
+    assert "zero_variance" in got[3].reasons
 
 
 @pytest.mark.parametrize(
@@ -103,10 +147,68 @@ def test_channel_verdict(spark, args, want):
 
 
 def test_rates(spark):
-    d, b = (lambda x: F.lit(x).cast("double")), F.lit(True)
-    assert one(spark, verdicts.rate_status(b, d(3), d(0.9), b, d(60), d(80))) == "METHOD_DISAGREEMENT"
-    assert one(spark, verdicts.rate_status(b, d(3), d(0.9), b, d(60), d(62))) == "COMPUTED"
-    assert one(spark, verdicts.rate_status(b, d(None), d(0.9), b, d(60), d(62))) == "NOT_COMPUTED"
+    cases = [
+        (("ACCEPTED", 3.0, 0.9, 60.0, 80.0, "COMPATIBLE"), "METHOD_DISAGREEMENT", ["spectral_time_disagreement"]), (("ACCEPTED", 3.0, 0.9, 60.0, 62.0, "COMPATIBLE"), "COMPUTED", []),
+        (("ACCEPTED", None, 0.9, 60.0, 62.0, "COMPATIBLE"), "NOT_COMPUTED", ["public_median_abs_hr_error_gate"]), (("UNVERIFIED", 3.0, 0.9, 60.0, 80.0, "PARTIALLY_COMPATIBLE"), "NOT_COMPUTED", ["decoder_status_insufficient", "spectral_time_disagreement", "channel_agreement_partial_only"]),
+        ((None, None, None, None, 1.0, None), "NOT_COMPUTED", ["decoder_status_insufficient", "public_median_abs_hr_error_gate", "public_coverage_gate", "rate_estimates_unavailable", "channel_agreement_not_evaluable"]),
+    ]
+    df = spark.createDataFrame([(i, *c[0]) for i, c in enumerate(cases)], "i int, decoder_status string, public_error double, public_coverage double, spectral double, time_domain double, verdict string")
+    got = verdicts.rate_gates(df).orderBy("i").collect()
+    assert [(r.rate_status, r.failed) for r in got] == [c[1:] for c in cases] and got[1].rate == 61.0 and got[0].rate is None
+    assert got[1].passed == ["decoder_status_ok", "public_median_abs_hr_error_ok", "public_coverage_ok", "spectral_time_agree", "channel_agreement_compatible"]
+
+
+def test_exact_percentiles(spark):
+    r = np.random.default_rng(3)
+    data = {k: np.concatenate([r.integers(-1 << 23, 1 << 23, n), [7] * n]).astype(float) / 2 for k, n in ((0, 1), (1, 5), (2, 400))}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [(2, None), (3, None)], "k int, v double")
+    got = {x.k: x for x in store.exact_percentiles(rows, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.95}).collect()}
+    assert set(got) == set(data)
+    assert all(np.allclose([got[k].a, got[k].b, got[k].c], np.percentile(x, [25, 50, 95])) for k, x in data.items())
+
+
+def test_number_rows(spark):
+    df = spark.createDataFrame([(i * 37 % 100, str(i)) for i in range(100)], "a int, b string").repartition(7)
+    assert [(r.a, r.n) for r in store.number_rows(df, ["a"], "n").orderBy("n").collect()] == [(i, i) for i in range(100)]
+    assert store.number_rows(df.where("false"), ["a"], "n").count() == 0
+
+
+def test_quality_shares(spark):
+    v = lambda x: one(spark, verdicts.flat_and_clip(F.array(*[F.lit(float(y)) for y in x]).cast("array<double>")))
+    assert tuple(v([])) == (1.0, 0.0) and tuple(v([5])) == (1.0, 1.0) and tuple(v([5, 5, 5])) == (1.0, 1.0)
+    assert tuple(v([0, 0, 1000, 500])) == (1 / 3, 0.75) and tuple(v([0, 50, 50])) == (0.5, 0.0)
+
+
+def test_reports(spark, tmp_path):
+    doc = F.lit('{"a":{"Patient":"x","path":"C:\\\\data"},"k":1}')
+    assert one(spark, reports.export_findings(doc)) == ["path", "identifying_key"]
+    assert one(spark, reports.allowed(F.lit('{"a":{"b":1,"c":2},"d":3}'), "a struct<b:int>")) == '{"a":{"b":1}}'
+    assert one(spark, reports.missing_warning(reports.missing_fields(a=F.lit(" "), b=F.lit(0), c=F.lit(None)))) == "Missing source fields; exported NOT_AVAILABLE: a, c"
+    empty = spark.createDataFrame([], "rank int, signedness string, byte_order string, channel_count int, layout string, status string, codes array<string>")
+    assert reports.selection_notes(empty).first().notes == ["no_candidates"]
+    row = spark.createDataFrame([(1, "int24", "CAB", 2, "continuous", "UNVERIFIED", ["unverified_default"])], empty.schema)
+    assert reports.selection_notes(row).first().notes[0] == "selected_rank1=int24|CAB|C2|continuous"
+    (tmp_path / "r.json").write_text("[1]")
+    with pytest.raises(Exception, match="object"):
+        sessions.read_report(spark, str(tmp_path / "r.json"), StructType.fromDDL("schema_version string"), "1.0").collect()
+
+
+def test_outputs(spark, tmp_path):
+    path = str(tmp_path / "q")
+    outputs.write_quality(spark.createDataFrame([], outputs.QUALITY), path)
+    assert spark.read.parquet(path).columns == [f.name for f in StructType.fromDDL(outputs.QUALITY).fields]
+    samples = sessions.sample_columns(spark.createDataFrame([("1", ""), ("2", "x"), ("3", "y")], "a string, b string"), 2)
+    assert {r["column"]: len(r["values"]) for r in samples.collect()} == {"a": 2, "b": 2}
+
+
+def test_benchmark(spark, tmp_path):
+    (tmp_path / "signals").mkdir()
+    t = np.arange(400) / 20
+    (tmp_path / "signals" / "a.txt").write_text("\n".join(map(str, np.sin(2 * np.pi * 1.25 * t))))
+    rec = {"record_id": "r1", "subject_id": "s", "fs_hz": 20.0, "quality_label": 1, "reference_hr_bpm": 75.0, "signal_file": "signals/a.txt"}
+    (tmp_path / "manifest.json").write_text(json.dumps({"version": "2.0.0", "records": [rec, rec | {"record_id": "r2", "signal_file": "signals/none.txt"}]}))
+    got = benchmark.estimates(benchmark.read_manifest(spark, str(tmp_path))).collect()
+    assert [r.record_id for r in got] == ["r1"] and got[0].guess == 1 and abs(got[0].bpm - 75) < 8
 
 
 def test_confusion(spark):

@@ -24,8 +24,7 @@ SENSITIVE = [
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     "^(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$",
     "^[0-9]+([.][0-9]+)?$",
-    "(?i)^(patient|protocol|device|mac|consent|user|email|phone|ssn|mrn)(_|$)",
-    "(?i)(patient_name|protocol_number|device_mac|consent_image)",
+    "(?i)^(patient|protocol|device|mac|consent|user|email|phone|ssn|mrn)(_|$)|(patient_name|protocol_number|device_mac|consent_image)",
     "^[0-9A-Fa-f]{16,}$",
 ]
 DYNAMIC = "<dynamic_key>"

@@ -12,9 +12,10 @@ SCRUBBED = [
     ("<redacted_timestamp>", "\\b\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?(?:Z|[+-]\\d{2}:?\\d{2})?\\b"),
 ]
 PHRASES = [
-    "diagnosed", "patient risk", "detected disease", "confirmed ppg", "accurate heart rate", "clinical-grade", "clinical grade", "medical alert", "normal patient", "abnormal patient", "validated ppg",
-    "this is heart rate", "hrv computed", "spo2 computed", "blood pressure estimate", "disease-risk",
+    "diagnosed", "patient risk", "detected disease", "confirmed PPG", "confirmed ppg", "accurate heart rate", "clinical-grade", "clinical grade", "medical alert", "normal patient", "abnormal patient",
+    "validated PPG", "validated ppg", "this is heart rate", "HRV computed", "SpO2 computed", "blood pressure estimate", "disease-risk",
 ]
+LEAKS = [("exact_timestamp", SCRUBBED[2][1]), ("mac_address", SCRUBBED[0][1])]
 
 
 def scrub(text: Column, literals: dict[str, str] | None = None) -> Column:
@@ -28,10 +29,11 @@ def scrub(text: Column, literals: dict[str, str] | None = None) -> Column:
 
 
 def leaks(text: Column) -> Column:
-    """Names of the scrubbed shapes that ``text`` holds."""
-    return F.filter(F.array(*[F.when(F.regexp_like(text, F.lit(p)), F.lit(n)) for n, p in SCRUBBED]), lambda x: x.isNotNull())
+    """exact_timestamp and mac_address, as far as ``text`` holds one."""
+    return F.filter(F.array(*[F.when(F.regexp_like(text, F.lit(p)), F.lit(n)) for n, p in LEAKS]), lambda x: x.isNotNull())
 
 
 def forbidden(text: Column) -> Column:
+    """The phrases that ``text`` holds in any case, as they are listed."""
     low = F.lower(text)
-    return F.filter(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in PHRASES]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in PHRASES]), lambda x: x.isNotNull())

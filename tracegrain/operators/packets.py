@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import cell_status
@@ -13,10 +13,20 @@ NESTED = ["PPG", "Time"]
 INTEGER = "^-?[0-9]+(\\.0+)?$"
 
 
+EXPECTED_TYPE = "119"
+
+
+def cell_states(sessions: DataFrame, cell: str = "raw_packets_json", key: str = "session_ordinal") -> DataFrame:
+    """``key``, the cell and its ``state``: empty, malformed (another value than an array too) or packets."""
+    status = cell_status(F.col(cell))
+    state = F.when(status == "empty", "empty").when(status.isin("array", "empty_array"), "packets").otherwise("malformed")
+    return sessions.select(key, F.col(cell).alias("cell"), state.alias("state"))
+
+
 def packet_rows(sessions: DataFrame, cell: str = "raw_packets_json", key: str = "session_ordinal") -> DataFrame:
     """One row a packet (``key``, packet_ordinal, packet as JSON text); cells that hold no array give none."""
-    items = F.from_json(F.when(cell_status(F.col(cell)) == "array", F.trim(cell)), "array<string>")
-    return sessions.select(key, F.posexplode(items).alias("packet_ordinal", "packet"))
+    items = F.from_json(F.when(F.col("state") == "packets", F.trim("cell")), "array<string>")
+    return cell_states(sessions, cell, key).select(key, F.posexplode(items).alias("packet_ordinal", "packet"))
 
 
 def _payload(raw: Column) -> Column:
@@ -42,7 +52,7 @@ def validated(packets: DataFrame) -> DataFrame:
     missing, extra = F.size(F.array_except(top, "_k")) > 0, F.size(F.array_except("_k", top)) > 0
     ms = F.when(F.regexp_like("_r", F.lit("^-?[0-9]+(\\.0+)?$")), F.regexp_replace("_r", "\\.0+$", "").try_cast("long"))
     bad = [
-        (F.col("_k").isNull(), "packet_not_object"), (missing, "missing_top_keys"), (extra, "extra_top_keys"), (F.col("_k").isNotNull() & ms.isNull(), "received_at_invalid"),
+        (F.col("_k").isNull(), "packet_not_object"), (missing, "missing_top_keys"), (extra, "extra_top_keys"), (F.col("_r").isNotNull() & ms.isNull(), "received_at_invalid"),
         (F.col("_k").isNotNull() & F.col("_dk").isNull(), "dicdata_missing"), (F.size(F.array_except(F.array(*[F.lit(k) for k in NESTED]), "_dk")) > 0, "dicdata_missing_keys"),
     ]
     codes = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in bad], F.when(F.col("_dk").isNotNull(), F.col("_p.code"))), lambda x: x.isNotNull())
@@ -53,3 +63,39 @@ def validated(packets: DataFrame) -> DataFrame:
 def usable(packets: DataFrame, length: int = 66) -> DataFrame:
     """Packets with a time and a payload of ``length``; sessions left without any vanish."""
     return packets.where(F.col("payload").isNotNull() & F.col("received_at_ms").isNotNull() & (F.size("payload") == length))
+
+
+def validation(sessions: DataFrame, cell: str = "raw_packets_json", key: str = "session_ordinal", length: int = 66) -> DataFrame:
+    """All that is counted over the packets of ``sessions``, as rows (kind, name, n): ``schema`` (ok, anomaly), ``data_type``
+    and ``payload_length`` (``<missing>`` where there is none), ``code``, and ``nested``, the codes of broken payloads.
+
+    A packet's time is compared with the last one before it in its session that has any. Codes that a session's cell gets
+    (cell_empty, cell_malformed) count once; kinds and names are few, so the result is small.
+    """
+    states = cell_states(sessions, cell, key).where(F.col("state") != "packets").select(F.concat(F.lit("cell_"), "state").alias("name"))
+    packets = validated(packet_rows(sessions, cell, key))
+    w = Window.partitionBy(key).orderBy("packet_ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("received_at_ms", ignorenulls=True).over(w)
+    size = F.size("payload")
+    has, typed = F.col("payload").isNotNull(), F.coalesce(F.col("data_type") == EXPECTED_TYPE, F.lit(False))
+    late = F.when(F.col("received_at_ms") < before, "timestamp_regression").when(F.col("received_at_ms") == before, "timestamp_duplicate")
+    more = F.array(late, F.when(~typed, "datatype_unexpected"), F.when(has & (size != length), "payload_length_mismatch"))
+    fine = has & (size == length) & F.col("schema_ok") & typed
+    item = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    each = packets.select(F.col("codes"), more.alias("more"), fine.alias("fine"), F.coalesce("data_type", F.lit("<missing>")).alias("type"), F.when(has, size.cast("string")).otherwise("<missing>").alias("size"))
+    codes = F.concat("codes", F.filter("more", lambda x: x.isNotNull()))
+    nested = F.filter("codes", lambda x: F.startswith(x, F.lit("ppg_")))
+    rows = each.select(F.inline(F.concat(
+        F.array(item("schema", F.when(F.col("fine"), "ok").otherwise("anomaly")), item("data_type", F.col("type")), item("payload_length", F.col("size"))),
+        F.transform(codes, lambda c: item("code", c)), F.transform(nested, lambda c: item("nested", c)))))
+    return rows.unionByName(states.select(F.lit("code").alias("kind"), "name")).groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def rates(counts: DataFrame) -> DataFrame:
+    """From validation(): packets, the most frequent data type (of equals the first by name), and the shares of packets with
+    an anomaly and with a broken payload."""
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    is_type = F.col("kind") == "data_type"
+    row = counts.agg(n(F.col("kind") == "schema").alias("packets"), n((F.col("kind") == "schema") & (F.col("name") == "anomaly")).alias("a"), n(F.col("kind") == "nested").alias("b"), F.min_by(F.when(is_type, F.col("name")), F.when(is_type, F.struct(-F.col("n"), F.col("name")))).alias("data_type_mode"))
+    whole = F.greatest("packets", F.lit(1))
+    return row.select("packets", "data_type_mode", (F.col("a") / whole).alias("schema_anomaly_rate"), (F.col("b") / whole).alias("malformed_nested_rate"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import spectral, timebase, verdicts
+
 LAYOUTS = ["INTERLEAVED_PACKET_LOCAL", "INTERLEAVED_CONTINUOUS", "BLOCKED_PACKET_LOCAL", "BLOCKED_CONTINUOUS"]
 
 
@@ -50,3 +52,96 @@ def channels(payloads: DataFrame, grid: DataFrame, length: int) -> DataFrame:
     zero = F.lit(0).cast("long")
     each = zip(LAYOUTS, (dealt(zero), dealt(k * n), blocked(zero), blocked(k * left)), strict=True)
     return words.select("session", "hypothesis", "variant", F.explode(F.array(*[F.struct(F.lit(name).alias("layout"), ch.cast("long").alias("channel")) for name, ch in each])).alias("l"), "ordinal", "i", "x").select("session", "hypothesis", "variant", "l.*", "ordinal", "i", "x")
+
+
+PHASE_NAMES = {"packet_local": LAYOUTS[0], "continuous": LAYOUTS[1]}
+
+
+def layout_name(short: Column) -> Column:
+    """The layout's full name for the short one of the decoder grid; null for another."""
+    out = F.lit(None).cast("string")
+    for k, v in PHASE_NAMES.items():
+        out = F.when(short == k, v).otherwise(out)
+    return out
+
+
+def hypothesis_key(hypothesis: Column, variant: Column) -> Column:
+    return F.concat_ws(":", hypothesis, variant)
+
+
+def is_partition(signal: Column, metadata: Column, length: Column) -> Column:
+    """Whether the two lists of positions part 0 to length - 1 between them."""
+    whole = F.array_sort(F.concat(signal, metadata)) == F.sequence(F.lit(0), length - 1)
+    return F.coalesce(whole & (F.size(F.array_intersect(signal, metadata)) == 0), F.lit(False))
+
+
+def interleave(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """``samples`` (keys, channel, idx, x) in one row of turns: ``at`` from 0 in the order of (idx, channel), which passes
+    over channels that have run out. A group of ``keys`` is one packet."""
+    w = Window.partitionBy(*keys).orderBy("idx", "channel")
+    return samples.withColumn("at", F.row_number().over(w) - 1)
+
+
+def _place(hypothesis: Column, layout: Column) -> Column:
+    """A grid cell's place: hypotheses outside, layouts inside."""
+    at = lambda c, names: F.array_position(F.array(*[F.lit(n) for n in names]), c)
+    return at(hypothesis, ["H_2x33:default", "H_2x32_plus_2global:endpoints", "H_2block_meta_per_ch:last_of_block", "H_3x22:default"]) * len(LAYOUTS) + at(layout, LAYOUTS)
+
+
+GRID = ["session", "layout", "hypothesis", "channel"]
+
+
+def gap_segments(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float = timebase.GAP_MS) -> DataFrame:
+    """The grid's channels cut at the gaps between packets (session, ordinal, received_ms, payload): one row for each session,
+    layout, hypothesis (with its variant), channel and segment, with packet_start, packet_end (exclusive), the values in
+    order, and fs. No value crosses a gap; a segment without values has no row.
+
+    ``fs`` is the number of words of a whole packet over the session's median step, for every channel alike.
+    """
+    usable = payloads.where(F.size("payload") == length)
+    cut = timebase.segments(usable.select("session", "ordinal", "received_ms"), floor_ms)
+    placed = cut.select("session", "ordinal", "segment", (F.lit(float(length)) / (F.col("median_ms") / 1000.0)).alias("fs"))
+    words = channels(usable, grid, length).join(placed, ["session", "ordinal"])
+    key = hypothesis_key(F.col("hypothesis"), F.col("variant"))
+    rows = words.groupBy("session", "layout", key.alias("hypothesis"), "channel", "segment").agg(F.min("ordinal").alias("packet_start"), (F.max("ordinal") + 1).alias("packet_end"), F.first("fs").alias("fs"), F.array_sort(F.collect_list(F.struct("ordinal", "i", "x"))).alias("v"))
+    return rows.select(*GRID, "segment", "packet_start", "packet_end", "fs", F.transform("v", lambda s: s["x"].cast("double")).alias("values"))
+
+
+def spectral_rollup(periodicity: DataFrame) -> DataFrame:
+    """Per layout and hypothesis: segments, mean band ratio and ACF peak, share of usable ones, and how steady the dominant
+    frequency of the usable ones is (cv is 0 for under two of them)."""
+    hz = F.when(F.col("usable"), F.col("dominant_hz"))
+    n = F.count(hz)
+    cv = F.when(n < 2, 0.0).otherwise(F.stddev_pop(hz) / (F.avg(hz) + 1e-15))
+    return periodicity.groupBy("layout", "hypothesis").agg(F.count("*").alias("n_segments"), F.avg("band_power_ratio").alias("mean_band_power_ratio"), F.avg("acf_peak").alias("mean_acf_peak"), F.avg(F.when(F.col("usable"), 1.0).otherwise(0.0)).alias("usable_fraction"), cv.alias("cv"), n.alias("n"), F.coalesce(F.avg(hz), F.lit(0.0)).alias("mean_hz"))
+
+
+def selected(rollup: DataFrame) -> DataFrame:
+    """The layout and hypothesis of the highest mean band ratio; of equal ones (to 12 digits, as the order of sums isn't
+    fixed) the first of the grid. One row, nulls if there is nothing to choose from."""
+    order = F.struct(F.round("mean_band_power_ratio", 12), -_place(F.col("hypothesis"), F.col("layout")))
+    return rollup.agg(F.max_by(F.struct("layout", "hypothesis"), order).alias("s")).select("s.*")
+
+
+def judged_windows(segments: DataFrame, periodicity: DataFrame, pairs: DataFrame, shared_ids: bool = True) -> DataFrame:
+    """Quality windows of ``segments``, each with its segment's periodicity and its session's first channel pair of the same
+    layout and hypothesis.
+
+    A segment's id names session, channel and number only, so the grid's cells share it; with ``shared_ids`` all of them
+    get the periodicity of the last cell that has the segment, without, each its own.
+    """
+    facts = ["band_power_ratio", "prominence", "harmonic", "acf_peak", "usable"]
+    if shared_ids:
+        ids = ["session", "channel", "segment"]
+        known = periodicity.groupBy(*ids).agg(F.max_by(F.struct(*facts), _place(F.col("hypothesis"), F.col("layout"))).alias("f")).select(*ids, "f.*")
+    else:
+        ids = [*GRID, "segment"]
+        known = periodicity.select(*ids, *facts)
+    first = pairs.groupBy("session", "layout", "hypothesis").agg(F.min_by(F.struct("agree", "rel_diff", F.array_contains("reasons", "inverted_channels").alias("inverted")), F.struct("packet_start", "channel_a", "channel_b")).alias("p")).select("session", "layout", "hypothesis", "p.*")
+    wins = verdicts.windows(segments).select(*GRID, "segment", "start_idx", "end_idx", verdicts.flat_and_clip(F.col("values")).alias("e")).select(*GRID, "segment", "start_idx", "end_idx", "e.*")
+    return verdicts.window_quality(wins.join(known, ids, "left").join(first, ["session", "layout", "hypothesis"], "left"))
+
+
+def segment_pairs(segments: DataFrame) -> DataFrame:
+    """Agreement of each two channels of a session's segment."""
+    return spectral.channel_pairs(segments, ["session", "layout", "hypothesis", "packet_start", "packet_end"])

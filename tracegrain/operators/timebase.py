@@ -66,3 +66,38 @@ def sample_times(packets: DataFrame, samples: int) -> DataFrame:
     span = F.when(F.col("_d") > 0, F.col("_d")).otherwise(F.col("_m"))
     each = ahead.select("session", "ordinal", "received_ms", span.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("j"))
     return each.select("session", "ordinal", "j", (F.col("received_ms") + (F.col("j") + 0.5) * F.col("_s") / samples).alias("t_ms"))
+
+
+def relative_times(packets: DataFrame, samples: int) -> DataFrame:
+    """Times of ``samples`` samples in each packet at even steps of the session's median positive delta; no sample, no row."""
+    if samples < 1:
+        return packets.select("session", "ordinal", F.lit(0).alias("j"), F.lit(0.0).alias("t_ms")).where("false")
+    each = packets.join(thresholds(packets).select("session", "median_ms"), "session").select("session", "ordinal", "received_ms", "median_ms", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("j"))
+    return each.select("session", "ordinal", "j", (F.col("received_ms") + F.col("j") * F.col("median_ms") / samples).alias("t_ms"))
+
+
+def nested_correlation(packets: DataFrame) -> DataFrame:
+    """Per session: the correlation of the steps of nested_time with those of received_ms; null for under three packets, for
+    a packet without one of the two, and where either doesn't change. Sums are of differences from the mean, so that large
+    times cancel nothing."""
+    d = deltas(packets)
+    w = Window.partitionBy("session").orderBy("ordinal")
+    steps = d.withColumn("step", F.col("nested_time") - F.lag("nested_time").over(w))
+    means = steps.groupBy("session").agg(F.avg("step").alias("ms"), F.avg("delta").alias("md"), F.count("*").alias("n"), F.count("nested_time").alias("k"), F.count("received_ms").alias("r"))
+    x, y = F.col("step") - F.col("ms"), F.col("delta") - F.col("md")
+    sums = steps.join(means, "session").groupBy("session").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("r").alias("r"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    whole = (F.col("n") >= 3) & (F.col("k") == F.col("n")) & (F.col("r") == F.col("n")) & (F.col("xx") > 0) & (F.col("yy") > 0)
+    return sums.select("session", F.when(whole, F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))).alias("nested_time_delta_corr"))
+
+
+def corpus(packets: DataFrame, gap_ms: float = GAP_MS, samples: int | None = None) -> DataFrame:
+    """One row for all sessions: totals of gaps, regressions and duplicates, sessions whose deltas don't add up, the share of
+    sessions with a gap, and the rate that ``samples`` a packet imply (null without them, or without a step forward)."""
+    s = summaries(packets, gap_ms)
+    total = s.agg(
+        F.count("*").alias("sessions"), F.coalesce(F.sum("packet_count"), F.lit(0)).alias("packets"), F.coalesce(F.sum("gap_count"), F.lit(0)).alias("total_gap_count"), F.coalesce(F.sum("regression_count"), F.lit(0)).alias("total_regression_count"),
+        F.coalesce(F.sum("duplicate_count"), F.lit(0)).alias("total_duplicate_count"), F.count_if("duration_inconsistency").alias("duration_inconsistency_count"), F.count_if(F.col("gap_count") > 0).alias("gap_sessions"))
+    middle = deltas(packets).where(F.col("delta") > 0).groupBy("delta").agg(F.count("*").alias("n"))  # equal steps once
+    middle = middle.agg(F.percentile("delta", F.lit(0.5), F.col("n")).alias("m"))
+    rate = F.when(F.col("m") > 0, F.lit(samples).cast("double") / (F.col("m") / 1000.0))
+    return total.join(middle).select(*total.columns, (F.col("gap_sessions") / F.greatest("sessions", F.lit(1))).alias("gap_rate_sessions"), rate.alias("implied_rate_hz"))

@@ -54,14 +54,14 @@ def _nodes(root: object) -> Iterator[tuple]:
             samples = 0 if any(isinstance(x, (dict, list)) for x in head) else length
             below = [(x, path + "[]", leaf, depth + 1) for x in head]
         scalar = None if v is None or isinstance(v, (dict, list, bool)) else str(v)
-        yield path, _type(v), leaf, scalar if scalar is None or len(scalar) <= 64 else None, length, inspected, samples
+        yield path, _type(v), leaf, scalar, length, inspected, samples
         if depth < DEPTH:
             todo.extend(reversed(below))
 
 
 def walk(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
     """``keys`` and a row (path, type, leaf, value, length, inspected, samples) for each value of each populated cell;
-    the root's path is empty. Values are scalars of up to 64 characters; they may be private. Cells that are empty,
+    the root's path is empty. Values are scalars and may be private. Cells that are empty,
     malformed or null give no row. A cell is one row of the input, so a batch of few rows bounds the memory."""
     schema = StructType([cells.schema[k] for k in keys]).simpleString()[len("struct<") : -1]
 

@@ -9,6 +9,7 @@ from tracegrain.functions import bits, names, privacy
 from tracegrain.operators import audit, candidates, cells, positions, reconstruction, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import views
 
+from . import evidence as _evidence  # noqa: F401  (registers its queries)
 from .registry import query
 
 DAY = 86400000.0
@@ -174,22 +175,16 @@ def column_profile(spark: SparkSession, sf: str) -> DataFrame:
     return cells.column_profile(views.cells(spark, sf))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(t, '\\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\\b', '<redacted_mac>', 'g'), '\\b\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?(?:Z|[+-]\\d{2}:?\\d{2})?\\b', '<redacted_timestamp>', 'g') AS clean
-FROM (SELECT doc_id, replace(concat(text, ' AA:BB:CC:DD:EE:0', CAST(doc_id % 10 AS VARCHAR), ' 2024-06-15T14:30:0', CAST(doc_id % 10 AS VARCHAR), 'Z ', source), source, '<input_path>') AS t FROM documents)""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\\b', '<redacted_mac>', 'g'), '\\b[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\\b', '<redacted_uuid>', 'g'),
+  '\\b\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?(?:Z|[+-]\\d{2}:?\\d{2})?\\b', '<redacted_timestamp>', 'g') AS clean
+FROM (SELECT doc_id, replace(concat(text, ' AA:BB:CC:DD:EE:0', CAST(doc_id % 10 AS VARCHAR), ' 0b5e51a', CAST(doc_id % 10 AS VARCHAR), '-12ab-4cde-8f01-23456789abcd 2024-06-15T14:30:0', CAST(doc_id % 10 AS VARCHAR), 'Z ', source), source, '<input_path>') AS t FROM documents)""")
 def scrubbed_texts(spark: SparkSession, sf: str) -> DataFrame:
     d = views.table(spark, sf, "documents")
     digit = (F.col("doc_id") % 10).cast("string")
-    t = F.concat(F.col("text"), F.lit(" AA:BB:CC:DD:EE:0"), digit, F.lit(" 2024-06-15T14:30:0"), digit, F.lit("Z "), F.col("source"))
+    t = F.concat(F.col("text"), F.lit(" AA:BB:CC:DD:EE:0"), digit, F.lit(" 0b5e51a"), digit, F.lit("-12ab-4cde-8f01-23456789abcd 2024-06-15T14:30:0"), digit, F.lit("Z "), F.col("source"))
     return d.select("doc_id", privacy.scrub(F.replace(t, F.col("source"), F.lit("<input_path>"))).alias("clean"))
 
 
-@query("""SELECT conv_id, turn, (contains(lower(text), 'diagnosed') OR contains(lower(text), 'disease-risk') OR contains(lower(text), 'medical alert')) AS flagged, CAST(0 AS INTEGER) AS n_leaks FROM conversations
-WHERE NOT regexp_matches(text, '\\d{4}-\\d{2}-\\d{2}[T ]')""")
-def forbidden_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    c = views.table(spark, sf, "conversations").where(~F.regexp_like("text", F.lit("\\d{4}-\\d{2}-\\d{2}[T ]")))
-    return c.select("conv_id", "turn", (F.size(privacy.forbidden(F.col("text"))) > 0).alias("flagged"), F.size(privacy.leaks(F.col("text"))).alias("n_leaks"))
-
-
 @query()
 def name_modalities(spark: SparkSession, sf: str) -> DataFrame:
     """Modalities and redaction of key names made from the events' types."""
@@ -197,34 +192,26 @@ def name_modalities(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.select("name", names.modalities(F.col("name")).alias("modalities"), names.redact(F.col("name")).alias("shown"))
 
 
-def _segment_values(spark: SparkSession, sf: str) -> DataFrame:
-    """One row a session and channel of the vectors: the channel's words in order, at 32 Hz. A session's vectors are
-    dealt to blocks of 64 packets first, so that no row gathers more."""
-    rows = scoring.channel_words(views.payloads(spark, sf), [2]).where(F.col("layout") == "continuous")
-    block = F.floor(F.col("ordinal") / 64).alias("block")
-    ordered = rows.groupBy("session", block, "channel").agg(F.array_sort(F.collect_list(F.struct("ordinal", "pos", F.col("x").cast("double").alias("x")))).alias("v"))
-    return ordered.select("session", "block", "channel", F.transform("v", lambda s: s["x"]).alias("values"), F.lit(32.0).alias("fs"))
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Gap segments of the first hypothesis in the first layout."""
+    grid = reconstruction.hypotheses(spark, 64, primary=True).where("hypothesis = 'H_2x33'")
+    return reconstruction.gap_segments(views.timed_payloads(spark, sf), grid, 64).where(F.col("layout") == reconstruction.LAYOUTS[0])
 
 
 @query()
 def segment_periodicity(spark: SparkSession, sf: str) -> DataFrame:
-    return spectral.segment_periodicity(_segment_values(spark, sf))
+    return spectral.segment_periodicity(_segments(spark, sf))
 
 
 @query()
 def channel_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = spectral.channel_pairs(_segment_values(spark, sf), ["session", "block"])
-    return verdicts.pair_summary(pairs, ["session"])
+    return verdicts.pair_summary(reconstruction.segment_pairs(_segments(spark, sf)), ["session"])
 
 
 @query()
 def window_quality(spark: SparkSession, sf: str) -> DataFrame:
-    segs = _segment_values(spark, sf)
-    found = spectral.segment_periodicity(segs).drop("reasons")
-    wins = verdicts.windows(segs)
-    flat, clip = verdicts.flat_and_clip(F.col("values"))
-    rows = wins.select("session", "block", "channel", "start_idx", "end_idx", flat.alias("flat"), clip.alias("clip"))
-    return verdicts.window_quality(rows.join(found, ["session", "block", "channel"], "left"))
+    segs = _segments(spark, sf)
+    return reconstruction.judged_windows(segs, spectral.segment_periodicity(segs), reconstruction.segment_pairs(segs))
 
 
 @query("""WITH r AS (SELECT quality AS truth, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS guess FROM labels JOIN documents USING (doc_id)),
@@ -246,17 +233,6 @@ def paired_errors(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("mae", F.round("mae", 9)).withColumn("bias", F.round("bias", 9))
 
 
-@query(f"""WITH {views.PACKETS_SQL} SELECT data_type, count(*) AS n, count(DISTINCT session) AS sessions, min(received_ms) AS first_ms FROM packets GROUP BY 1""")
-def datatype_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return views.packets(spark, sf).groupBy("data_type").agg(F.count("*").alias("n"), F.count_distinct("session").alias("sessions"), F.min("received_ms").alias("first_ms"))
-
-
-@query(f"""WITH {views.PACKETS_SQL} SELECT session, ordinal, CAST(json_extract(nested, '$.k') AS BIGINT) AS k, json_keys(nested) = ['k'] AS schema_ok FROM packets""")
-def packet_fields(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.packets(spark, sf)
-    return p.select("session", "ordinal", F.get_json_object("nested", "$.k").cast("bigint").alias("k"), (F.json_object_keys("nested") == F.array(F.lit("k"))).alias("schema_ok"))
-
-
 TYPES_SQL = "CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' ELSE lower(t) END"
 
 

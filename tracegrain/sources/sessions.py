@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tracegrain.functions.store import number_rows
+
 FIELD_LIMIT = 10 << 20
 REFUSED = (".csv", ".parquet", ".db", ".sqlite")
 
@@ -22,7 +24,14 @@ def read_sessions(spark: SparkSession, path: str, field_limit: int = FIELD_LIMIT
 
 def number_sessions(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with session_ordinal from 0 in the given order (for tables whose sessions have a key of their own)."""
-    return df.withColumn("session_ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
+    return number_rows(df, order, "session_ordinal")
+
+
+def sample_columns(df: DataFrame, most: int = 20) -> DataFrame:
+    """column and ``values``: the first ``most`` cells of each column, the limit being the feature."""
+    head = df.limit(most)
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
+    return head.select(F.inline(each)).groupBy("column").agg(F.collect_list(F.coalesce("value", F.lit(""))).alias("values"))
 
 
 def packet_cells(df: DataFrame, column: str = "raw_packets_json") -> DataFrame:
@@ -52,7 +61,11 @@ def guard_outside(path: str, workspace: str) -> str:
 
 
 def read_report(spark: SparkSession, path: str, schema: StructType, version: str) -> DataFrame:
-    """A safe report under a fixed schema; another schema_version than ``version`` is refused, none means an old one."""
-    df = spark.read.option("multiLine", True).schema(schema).json(guard_report_path(path))
+    """A safe report under a fixed schema; another root than an object and another schema_version than ``version`` are
+    refused, no version means an old one."""
+    body = spark.read.text(guard_report_path(path), wholetext=True)
+    is_object = F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("OBJECT<"))
+    body = body.where(F.when(is_object, True).otherwise(F.raise_error(F.lit("a report must be a JSON object")).cast("boolean")))
+    df = body.select(F.from_json("value", schema).alias("r")).select("r.*")
     known = F.col("schema_version").isNull() | (F.col("schema_version") == version)
     return df.where(F.when(known, True).otherwise(F.raise_error(F.lit("unknown schema_version")).cast("boolean")))
