@@ -323,6 +323,29 @@ def test_sketches_are_a_lower_bound():
         assert apart <= len(np.setxor1d(a, b)) and (n < 30 or apart > 0)
 
 
+def test_pairs_in_runs_by_brute_force():
+    """Runs of one root, of nearly one, and of many: no pair that may be similar is passed over."""
+    r = np.random.default_rng(7)
+    cols = []
+    for k in range(40):
+        size = int(r.integers(2, 200))
+        roots = r.integers(0, 1 + k % 5 * 20, size) * (r.random(size) < (0.05 if k % 2 else 1))
+        n = np.sort(r.integers(50, 60, size))
+        node = r.integers(-(1 << 60), 1 << 60, size)
+        side = r.integers(-1, 2, size) if k % 3 == 0 else np.full(size, -1)
+        bits = r.integers(0, 1 << 62, (1, 8, 1)).repeat(size, axis=2)[0] ^ (1 << r.integers(0, 62, (8, size)))
+        cols.append(np.concatenate([np.full((3, size), k), side[None], node[None], n[None], r.integers(0, 12, (1, size)), roots[None], bits]))
+    x = np.concatenate(cols, axis=1).astype(np.int64)
+    for lags in (1, None):
+        got = set(zip(*map(np.ndarray.tolist, jaccard._pairs_in(8, lags)(x)), strict=True))
+        want = set()
+        for i in range(x.shape[1]):
+            for j in range(i + 1, x.shape[1] if lags is None else min(i + 2, x.shape[1])):
+                if x[0, i] == x[0, j] and jaccard._may(x, np.array([i]), np.array([j]), 8)[0]:
+                    want.add((min(x[4, i], x[4, j]), max(x[4, i], x[4, j])))
+        assert got == want and want
+
+
 def test_similar_documents_by_brute_force(spark):
     """Groups equal those of all pairs at a Jaccard similarity of 0.8; pairs lie close to it on both sides."""
     r = np.random.default_rng(9)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kneser_ney, langid, linededup, packing, quality, secrets, sharding, simhash, urls
+from . import decontaminate, kneser_ney, langid, linededup, oracles, packing, quality, secrets, sharding, simhash, urls
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -59,6 +59,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_feistel_shards, op4_simhash, op5_decontaminate, op6_kneser_ney, op7_language_id, op8_url_filter, op9_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {
+    "op3_feistel_shards": oracles.op3_sql(),
+    "op5_decontaminate": oracles.OP5,
+    "op10_quality_rules": oracles.OP10,
     "op8_url_filter": r"""WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
