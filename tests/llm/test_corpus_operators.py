@@ -514,7 +514,7 @@ def test_language_id_learns_from_different_texts(spark):
     assert len(model.languages) == 205 and model.judge(text(204))[0] == "l204" and model.judge(text(0))[0] == "copied"
 
 
-PAGES = ["http://WWW.Example.com/en/1?x", "https://a.example.com/en/", "https://b.net/es/2#f", "https://net/fr/", "http://x.com", "no url", None, "", "ftp://com/", "https://notexample.com/en/", "https://spam-farm.example.org/en/7", "https://a.example.com/EN/x", "https://a.example.com/en/", "://", "http://É.com/de/a"]
+PAGES = ["http://WWW.Example.com/en/1?x", "https://a.example.com/en/", "https://b.net/es/2#f", "https://net/fr/", "http://x.com", "no url", None, "", "ftp://com/", "https://notexample.com/en/", "https://spam-farm.example.org/en/7", "https://a.example.com/EN/x", "https://a.example.com/en/", "://", "http://É.com/de/a", "http://a.org/x/adserver/1", "http://a.org/adserver", "http://my-poker.org/", "http://a.org/" + "x/" * 200_000 + "tracker/"]
 
 
 def test_urls(spark):
@@ -526,7 +526,7 @@ def test_urls(spark):
             host = lower(re.split("[/?#]", rest)[0])
             path = re.split("[?#]", rest[len(host) :])[0]
             fits = [(len(h + p), h + p, v) for h, p, v in (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")) if (host == h or host.endswith("." + h)) and path.startswith(p)]
-            _, rule, verdict = max(fits, default=(0, None, "block" if re.search(r"\b(spam|pills|casino)\b", host) else "allow"))
+            _, rule, verdict = max(fits, default=(0, None, "block" if re.search(r"\b(spam|pills|casino|poker|viagra|malware|phishing|warez)\b", host) or re.search("/(adserver|affiliate|banners|doubleclick|popunder|tracker)/", path) else "allow"))
             want.append((r.page_id, host, path, rule, verdict))
         got = urls.url_verdicts(df)
         assert rows(got, *got.columns) == sorted(want, key=repr)

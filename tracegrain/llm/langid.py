@@ -98,11 +98,18 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(good: DataFrame, per_language: int) -> DataFrame:
-    """The ``per_language`` different texts of least hash of each language, or all its texts if it has fewer."""
-    keyed = good.withColumn("_key", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key"))  # each task passes on at most per_language rows a language
-    least = keyed.select("lang", "_key").distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_language)
-    few = save(least.select("lang", "_key"), "least-hashes")
+    """The ``per_language`` different texts of least hash of each language, or all its texts if it has fewer.
+
+    Hashes are counted by their first 16 bits, which tells up to where the least ones lie; only those are ranked. So a
+    language that most rows have gathers no more in one task than another.
+    """
+    keyed = good.withColumn("_key", F.xxhash64("text")).withColumn("_high", F.shiftright("_key", 48))
+    seen = save(keyed.select("lang", "_high", "_key").distinct(), "hashes")
+    upto = Window.partitionBy("lang").orderBy("_high")
+    counts = seen.groupBy("lang", "_high").agg(F.count("*").alias("_n")).select("lang", "_high", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    low = seen.join(counts.where(F.col("_before") < per_language), ["lang", "_high"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key"))
+    few = save(low.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("lang", "_key"), "least-hashes")
     return keyed.join(F.broadcast(few), ["lang", "_key"]).dropDuplicates(["lang", "_key"]).select("lang", "text")
 
 
@@ -162,6 +169,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAG
     df, n = _frequencies(good)
     idf = np.log((1 + n) / (1 + df)) + 1
     rows = _sample(good, per_language).groupBy("lang").applyInArrow(_fit_language(idf, centroids), "lang string, centroid binary, least array<double>").collect()
+    rows = sorted(rows, key=lambda r: (r.lang, r.centroid))
     languages = sorted({r.lang for r in rows})  # at most ``centroids`` rows of BINS floats a language
     owner = np.array([languages.index(r.lang) for r in rows], dtype=np.int64)
     vectors = np.frombuffer(b"".join(r.centroid for r in rows), dtype=np.float32).reshape(-1, BINS)
@@ -203,7 +211,10 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from three quarters of ``docs`` by doc_id and predict every row. A null doc_id isn't held out, nor learned from."""
+    """Learn from three quarters of ``docs`` by doc_id and predict every row. A null doc_id isn't held out, nor learned from.
+
+    A text without a letter is ``und`` with score 0; of equally near centroids the first by language's name counts;
+    repeated rows each get a row; an empty table gives an empty one."""
     out = F.coalesce(held_out(), F.lit(False))
     model = fit(docs.where(~held_out()))
     found = predict(docs.select("doc_id", "text"), model)

@@ -1,4 +1,5 @@
-"""The registered queries of the numbered operators, each over its whole table."""
+"""The registered queries of the numbered operators, each over its whole table. Nulls, empty and long texts, ties, repeated
+rows, empty tables and other columns are what the called function says."""
 
 from __future__ import annotations
 
@@ -18,42 +19,52 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without passages of 50 words or more that came before."""
     return linededup.deduped_documents(_docs(spark, sf_dir))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known shapes of secrets and tokens that look random, in every text."""
     return secrets.secret_report(_docs(spark, sf_dir))
 
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shard and slot under the law of even row counts."""
     return sharding.shard_documents(_docs(spark, sf_dir))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and its group of near duplicates."""
     return simhash.near_duplicate_documents(_docs(spark, sf_dir))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hit words and benchmark items of each document."""
     return decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's log probability under a model of four fifths of them."""
     return kneser_ney.score_documents(_docs(spark, sf_dir))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's language, learned from three quarters of them."""
     return langid.identify(_docs(spark, sf_dir))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host, path, rule and verdict."""
     return urls.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
     return packing.pack(_docs(spark, sf_dir), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's measures and whether the cascade keeps it."""
     return quality.judge(_docs(spark, sf_dir))
 
 
@@ -66,5 +77,5 @@ ORACLES: dict[str, str] = {
 h AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 b AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '\b(spam|pills|casino)\b') THEN 'block' ELSE 'allow' END) AS verdict FROM h LEFT JOIN b ON h.r = b.r""",
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '\b(spam|pills|casino|poker|viagra|malware|phishing|warez)\b') OR regexp_matches(path, '/(adserver|affiliate|banners|doubleclick|popunder|tracker)/') THEN 'block' ELSE 'allow' END) AS verdict FROM h LEFT JOIN b ON h.r = b.r""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,8 +30,10 @@ def site_rule(host: str, path: str, verdict: str) -> Rule:
 
 # fixed values: the contract's rules
 CONTRACT = [site_rule("com", "/", "allow"), site_rule("example.com", "/en/", "block"), site_rule("www.example.com", "/en/", "allow"), site_rule("net", "/es/", "block"), site_rule("net", "/fr/", "block")]
-#: The method's own verdict where no rule of the contract fits: hosts that call themselves spam, and shops for pills or bets.
-OWN = [Rule(f"~{w}", f"^[^/]*\\b{w}\\b[^/]*(?:/|$)", (w,), "block", 10) for w in ("spam", "pills", "casino")]
+#: The method's own verdict where no rule of the contract fits: hosts that call themselves so, and folders of advertisement.
+BAD_HOSTS = ["spam", "pills", "casino", "poker", "viagra", "malware", "phishing", "warez"]
+BAD_FOLDERS = ["adserver", "affiliate", "banners", "doubleclick", "popunder", "tracker"]
+OWN = [Rule(f"~{w}", f"^[^/]*\\b{w}\\b[^/]*(?:/|$)", (w,), "block", 10) for w in BAD_HOSTS] + [Rule(f"~/{w}/", f"^[^/]*/(?:.*/)?{w}/", (w,), "block", 5) for w in BAD_FOLDERS]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -59,32 +61,30 @@ def index_rules(rules: DataFrame, tokens: DataFrame) -> DataFrame:
     seen = tokens.join(named.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
     ranked = named.join(seen, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = ranked.groupBy("rule").agg(F.min(F.struct("n", "token")).alias("best")).select("rule", F.col("best.token").alias("token"))
-    out = rules.join(best, "rule", "left").select("rule", "pattern", "verdict", "rank", F.coalesce("token", F.lit("")).alias("token"))
-    return out.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("rule")))
+    return rules.join(best, "rule", "left").select("rule", "pattern", "verdict", "rank", F.coalesce("token", F.lit("")).alias("token"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page_id, host, path and ``hit`` (rank, rule, verdict of the highest rule that fits, else null) for every row.
 
-    Each url's tokens fetch the rules indexed under them, and only those patterns run. Rows are gathered once, after
-    the rules have been tried where the url was read; equal rows share one group, counted before the shuffle and dealt
-    out again, so a hot url or host is no burden.
+    Each different host and path is tried once: its tokens fetch the rules indexed under them, and only those patterns
+    run. Rows get their hit by a join, which Spark splits where very many rows have one url. Null urls and urls without
+    ``://`` have an empty host and path; equal rows each get a row; of rules with equal rank the greater name wins; an
+    empty table gives an empty one; other columns are not looked at.
     """
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    each = urls.select("page_id", "host", "path", F.posexplode(F.concat(F.array(F.lit("")), _tokens(F.col("host"), F.col("path")))).alias("pos", "token"))
+    different = urls.select("host", "path").distinct()
+    each = different.select("host", "path", F.explode(F.concat(F.array(F.lit("")), _tokens(F.col("host"), F.col("path")))).alias("token"))
     index = index_rules(rules, each.where(F.col("token") != "").select("token"))
-    tried = each.join(index, "token", "left")
-    fits = F.regexp_like(F.concat("host", "path"), F.col("pattern"))
-    hit = F.max(F.when(fits, F.struct("rank", "rule", "verdict"))).alias("hit")
-    # position 0 is the token "": rules without a literal may multiply it, so rows are counted by the first of them
-    first = (F.col("pos") == 0) & (F.coalesce(F.col("nth"), F.lit(1)) == 1)
-    found = tried.groupBy("page_id", "host", "path").agg(hit, F.sum(F.when(first, 1).otherwise(0)).alias("_n"))
-    return found.select("page_id", "host", "path", "hit", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k")).drop("_k")
+    tried = each.join(index, "token").where(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
+    found = tried.groupBy("host", "path").agg(F.max(F.struct("rank", "rule", "verdict")).alias("hit"))
+    return urls.join(found, ["host", "path"], "left").select("page_id", "host", "path", "hit")
 
 
 def url_verdicts(pages: DataFrame) -> DataFrame:
-    """Every page's verdict under the contract's rules, and the method's own where none of them fits."""
+    """Every page's verdict under the contract's rules, and the method's own where none of them fits; nulls, equal rows,
+    ties and empty tables as judge_urls() says."""
     spark = pages.sparkSession
     found = judge_urls(pages, rule_table(spark, CONTRACT + OWN))
     mine = F.col("hit.rank") >= 1000
