@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
-from tracegrain.functions import bits, names, privacy, store
+from tracegrain.functions import bits, names, ordering, privacy, store
 from tracegrain.operators import audit, benchmark, candidates, packets, reconstruction, reports, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import outputs, sessions
 from tracegrain.streaming.segments import streaming_segments
@@ -167,6 +167,20 @@ def test_exact_percentiles(spark):
     assert all(np.allclose([got[k].a, got[k].b, got[k].c], np.percentile(x, [25, 50, 95])) for k, x in data.items())
 
 
+def test_neighbours_and_sums_across_blocks(spark):
+    rows = [(k, i, (i * 37 + k) % 11) for k in (1, 2) for i in range(50 if k == 1 else 3)]
+    df = spark.createDataFrame(rows, "k int, o long, v int").repartition(5)
+    named = {"before": lambda w: F.lag("v").over(w), "after": lambda w: F.lead("v").over(w)}
+    got = ordering.running_sum(ordering.neighbours(df, ["k"], "o", named, 8), ["k"], "o", F.col("v"), "upto", size=8)
+    got = ordering.running_sum(got, ["k"], "o", F.col("v"), "until", inclusive=False, size=8)
+    have = {(r.k, r.o): r for r in got.collect()}
+    assert len(have) == len(rows)
+    for k, i, v in rows:
+        of = {j: x for q, j, x in rows if q == k}
+        r = have[k, i]
+        assert (r.before, r.after, r.until, r.upto) == (of.get(i - 1), of.get(i + 1), sum(of[j] for j in range(i)), sum(of[j] for j in range(i)) + v)
+
+
 def test_number_rows(spark):
     df = spark.createDataFrame([(i * 37 % 100, str(i)) for i in range(100)], "a int, b string").repartition(7)
     assert [(r.a, r.n) for r in store.number_rows(df, ["a"], "n").orderBy("n").collect()] == [(i, i) for i in range(100)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.functions import names
+from tracegrain.functions.store import stored
 
 from .cells import cell_status, column_profile
 from .walk import WALKED, walk
@@ -47,7 +48,7 @@ def modality_statuses(cells: DataFrame, key: str = "session") -> DataFrame:
     """
     nodes = json_nodes(cells, key)
     path_key = [key, "column", "path"]
-    seen = nodes.groupBy(*path_key).agg(F.sum("samples").alias("s"))
+    seen = stored(nodes.groupBy(*path_key).agg(F.sum("samples").alias("s")), "paths")  # looked at three times: cells are walked once
     known = seen.select("path").where(F.col("path") != "").distinct().select("path", F.explode(names.modalities(F.col("path"))).alias("modality"))
     named = cells.select("column").distinct().select("column", F.explode(names.modalities(F.col("column"))).alias("modality"))
     total = seen.groupBy(key, "column").agg(F.sum("s").alias("samples"))
@@ -102,8 +103,9 @@ def numeric_fields(cells: DataFrame, key: str = "session") -> DataFrame:
 def time_spans(nodes: DataFrame, key: str = "session") -> DataFrame:
     """Per session: whether there are time fields, and the span in seconds of the times whose unit is known, null for
     under two of them."""
-    known = nodes.where(F.col("leaf") != "").select("leaf").distinct().where(names.is_time_field(F.col("leaf"))).select("leaf", names.time_unit(F.col("leaf")).alias("unit"))
-    times = nodes.join(known, "leaf")
+    leaves = stored(nodes.where(F.col("leaf") != "").select(key, "leaf", "value"), "leaves")
+    known = leaves.select("leaf").distinct().where(names.is_time_field(F.col("leaf"))).select("leaf", names.time_unit(F.col("leaf")).alias("unit"))
+    times = leaves.join(known, "leaf")
     scale = F.create_map(*[F.lit(x) for kv in names.UNIT_SECONDS.items() for x in kv])
     stamp = F.regexp_like("value", F.lit("^[0-9]{4}-"))
     at = F.when(stamp, F.when(F.col("unit").isNotNull(), F.unix_micros(F.try_to_timestamp("value")) / 1e6)).otherwise(F.col("value").try_cast("double") * scale[F.col("unit")])

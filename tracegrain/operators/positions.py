@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.functions.bits import bit_length, byte, leading_zeros, to_uint24, trailing_zeros
+from tracegrain.functions.ordering import neighbours
 from tracegrain.functions.store import exact_percentiles, number_rows
 
 from .verdicts import named
@@ -48,8 +49,7 @@ def constant_rate(payloads: DataFrame) -> DataFrame:
 
 def changes(words: DataFrame) -> DataFrame:
     """Per session and position, along packets: monotonicity, bit stability, mean absolute step."""
-    w = Window.partitionBy("session", "pos").orderBy("ordinal")
-    stepped = words.withColumn("_p", F.lag("v").over(w)).where(F.col("_p").isNotNull())
+    stepped = neighbours(words, ["session", "pos"], "ordinal", {"_p": lambda w: F.lag("v").over(w)}).where(F.col("_p").isNotNull())
     d = F.col("v") - F.col("_p")
     up, down = (F.avg(F.when(c, 1.0).otherwise(0.0)) for c in (d >= 0, d <= 0))
     flips = F.sum(F.bit_count(to_uint24(F.col("v").bitwiseXOR(F.col("_p")))))

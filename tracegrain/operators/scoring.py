@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions.bits import ORDERS, transform_word
+from tracegrain.functions.ordering import running_sum
 
 CHANNELS = [1, 2, 3, 4, 5, 6, 8, 11]
 
@@ -25,8 +26,7 @@ def decoder_grid(spark: SparkSession) -> DataFrame:
 
 def phased(payloads: DataFrame) -> DataFrame:
     """Payloads with ``before``, the number of the session's words that came earlier: a continuous layout's phase."""
-    w = Window.partitionBy("session").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return payloads.withColumn("before", F.coalesce(F.sum(F.size("payload")).over(w), F.lit(0)))
+    return running_sum(payloads, ["session"], "ordinal", F.size("payload"), "before", inclusive=False)
 
 
 def channel_words(payloads: DataFrame, channels: list[int], signedness: str = "int24", order: str = "CAB") -> DataFrame:

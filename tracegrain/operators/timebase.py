@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracegrain.functions.ordering import neighbours, running_sum
+
 GAP_MS = 1500.0
 
 
 def deltas(packets: DataFrame) -> DataFrame:
     """``packets`` (session, ordinal, received_ms) with ``delta``, null for a session's first packet."""
-    w = Window.partitionBy("session").orderBy("ordinal")
-    return packets.withColumn("delta", (F.col("received_ms") - F.lag("received_ms").over(w)).cast("double"))
+    step = lambda w: (F.col("received_ms") - F.lag("received_ms").over(w)).cast("double")
+    return neighbours(packets, ["session"], "ordinal", {"delta": step})
 
 
 def gap_class(delta: Column, gap_ms: float) -> Column:
@@ -45,12 +47,11 @@ def thresholds(packets: DataFrame, floor_ms: float = GAP_MS) -> DataFrame:
 def segments(packets: DataFrame, floor_ms: float = GAP_MS) -> DataFrame:
     """Packets with ``segment``: a new one starts where time goes back or a gap passes the session's threshold.
 
-    Thresholds have one row a session, so they are joined, not gathered; the window behind the deltas is reused.
+    Thresholds have one row a session, so they are joined, not gathered; segments are counted up by blocks of packets.
     """
     marked = deltas(packets).join(thresholds(packets, floor_ms), "session")
     cut = F.when((F.col("delta") < 0) | (F.col("delta") > F.col("threshold_ms")), 1).otherwise(0)
-    w = Window.partitionBy("session").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("segment", F.sum(cut).over(w))
+    return running_sum(marked, ["session"], "ordinal", cut, "segment")
 
 
 def segment_ranges(packets: DataFrame, floor_ms: float = GAP_MS) -> DataFrame:
@@ -60,9 +61,9 @@ def segment_ranges(packets: DataFrame, floor_ms: float = GAP_MS) -> DataFrame:
 
 def sample_times(packets: DataFrame, samples: int) -> DataFrame:
     """Estimated times of ``samples`` samples in each packet: even steps to the next packet, or of the median delta."""
-    w = Window.partitionBy("session").orderBy("ordinal")
     median = deltas(packets).groupBy("session").agg(F.coalesce(F.percentile("delta", F.lit(0.5)), F.lit(1000.0)).alias("_m"))
-    ahead = packets.withColumn("_d", (F.lead("received_ms").over(w) - F.col("received_ms")).cast("double")).join(median, "session")
+    step = lambda w: (F.lead("received_ms").over(w) - F.col("received_ms")).cast("double")
+    ahead = neighbours(packets, ["session"], "ordinal", {"_d": step}).join(median, "session")
     span = F.when(F.col("_d") > 0, F.col("_d")).otherwise(F.col("_m"))
     each = ahead.select("session", "ordinal", "received_ms", span.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("j"))
     return each.select("session", "ordinal", "j", (F.col("received_ms") + (F.col("j") + 0.5) * F.col("_s") / samples).alias("t_ms"))
@@ -80,9 +81,7 @@ def nested_correlation(packets: DataFrame) -> DataFrame:
     """Per session: the correlation of the steps of nested_time with those of received_ms; null for under three packets, for
     a packet without one of the two, and where either doesn't change. Sums are of differences from the mean, so that large
     times cancel nothing."""
-    d = deltas(packets)
-    w = Window.partitionBy("session").orderBy("ordinal")
-    steps = d.withColumn("step", F.col("nested_time") - F.lag("nested_time").over(w))
+    steps = neighbours(packets, ["session"], "ordinal", {"delta": lambda w: (F.col("received_ms") - F.lag("received_ms").over(w)).cast("double"), "step": lambda w: F.col("nested_time") - F.lag("nested_time").over(w)})
     means = steps.groupBy("session").agg(F.avg("step").alias("ms"), F.avg("delta").alias("md"), F.count("*").alias("n"), F.count("nested_time").alias("k"), F.count("received_ms").alias("r"))
     x, y = F.col("step") - F.col("ms"), F.col("delta") - F.col("md")
     sums = steps.join(means, "session").groupBy("session").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("r").alias("r"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))

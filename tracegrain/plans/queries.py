@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions import bits, names, privacy
+from tracegrain.functions.store import stored
 from tracegrain.operators import audit, candidates, cells, positions, reconstruction, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import views
 
@@ -137,7 +138,7 @@ CHANNELS_SQL = f"""{views.PAYLOADS_SQL}, ph AS (
   SELECT *, coalesce(sum(len(payload)) OVER (PARTITION BY session ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM payloads),
 pw AS (SELECT session, ordinal, before, unnest(range(len(payload))) AS pos, unnest(payload) AS v FROM ph),
 ch AS (SELECT CAST(c AS INTEGER) AS channel_count, layout, session, CAST(CASE WHEN layout = 'continuous' THEN (before + pos) % c ELSE pos % c END AS BIGINT) AS channel, ordinal, pos, {SIGNED} AS x
-  FROM pw, unnest([3, 5]) AS a(c), unnest(['packet_local', 'continuous']) AS b(layout)),
+  FROM pw, unnest([1, 2, 3, 4, 5, 6, 8, 11]) AS a(c), unnest(['packet_local', 'continuous']) AS b(layout)),
 st AS (SELECT *, lag(x) OVER w AS px, lag(ordinal) OVER w AS po FROM ch WINDOW w AS (PARTITION BY channel_count, layout, session, channel ORDER BY ordinal, pos))"""
 
 
@@ -146,7 +147,7 @@ SELECT channel_count, layout, session, channel, count(*) AS n, round(var_pop(x)
   coalesce(avg(CASE WHEN x = px THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (WHERE po = ordinal), 0.0) AS flatline_rate, avg(abs(x - px)) FILTER (WHERE po = ordinal) AS mean_step, avg(abs(x - px)) FILTER (WHERE po < ordinal) AS mean_jump
 FROM st GROUP BY 1, 2, 3, 4""")
 def decoder_channels(spark: SparkSession, sf: str) -> DataFrame:
-    stats = scoring.channel_stats(scoring.channel_words(views.payloads(spark, sf), [3, 5]))
+    stats = scoring.channel_stats(scoring.channel_words(views.payloads(spark, sf), scoring.CHANNELS))
     return stats.withColumn("energy", F.round(F.col("energy") / 1e9, 3))
 
 
@@ -237,7 +238,7 @@ TYPES_SQL = "CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' W
 
 
 def _audited(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.with_status(audit.unpivot(views.sessions(spark, sf)))
+    return stored(audit.with_status(audit.unpivot(views.sessions(spark, sf))), "cells")  # read several times
 
 
 @query(f"""WITH {views.SESSIONS_SQL} SELECT col AS "column", path, {TYPES_SQL} AS type, count(*) AS n FROM nodes WHERE path <> '' GROUP BY 1, 2, 3""")
