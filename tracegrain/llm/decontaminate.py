@@ -208,4 +208,4 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     """One row for each document: its words, hit words, items found and their digest; a null text has no words."""
     marked = mark(docs, bench, window, block_bytes, ["doc_id"])
     hit = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("s")), lambda s, x: F.struct((s["n"] + s["s"] * x).alias("n"), (-s["s"]).alias("s")), lambda s: s["n"])
-    return marked.select("doc.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"), "items")
+    return marked.select("doc.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))

@@ -48,7 +48,7 @@ dw AS (SELECT r, s, m, array_to_string(w[s + 1 : s + m], ' ') AS g FROM (SELECT
 hit AS (SELECT DISTINCT r, s, dw.m, item FROM dw JOIN iw ON dw.m = iw.m AND dw.g = iw.g),
 pos AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + m)) AS p FROM (SELECT DISTINCT r, s, m FROM hit)) GROUP BY r),
 its AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(pos.n, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated, coalesce(items, []) AS items
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(pos.n, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
 FROM tx LEFT JOIN pos ON tx.r = pos.r LEFT JOIN its ON tx.r = its.r"""
 
 OP10 = """WITH tx AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
