@@ -186,11 +186,14 @@ def scrubbed_texts(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", privacy.scrub(F.replace(t, F.col("source"), F.lit("<input_path>"))).alias("clean"))
 
 
-@query()
+@query("""SELECT name, CASE u % 3 WHEN 0 THEN 'heart_rate' WHEN 1 THEN 'blood_pressure,hrv' ELSE '' END AS modalities, CASE WHEN u % 4 = 3 THEN '<dynamic_key>' ELSE name END AS shown
+FROM (SELECT DISTINCT user_id AS u, CASE WHEN user_id % 4 = 3 THEN 'device_' ELSE '' END || event_type || CASE user_id % 3 WHEN 0 THEN '_heartRate_' WHEN 1 THEN '.HRV-systolic' ELSE '_chr_' END || user_id AS name FROM events)""")
 def name_modalities(spark: SparkSession, sf: str) -> DataFrame:
     """Modalities and redaction of key names made from the events' types."""
-    kinds = views.table(spark, sf, "events").select(F.concat_ws("_", "event_type", F.lit("heartRate"), F.col("user_id")).alias("name")).distinct()
-    return kinds.select("name", names.modalities(F.col("name")).alias("modalities"), names.redact(F.col("name")).alias("shown"))
+    u = F.col("user_id")
+    middle = F.when(u % 3 == 0, "_heartRate_").when(u % 3 == 1, ".HRV-systolic").otherwise("_chr_")
+    kinds = views.table(spark, sf, "events").select(F.concat(F.when(u % 4 == 3, "device_").otherwise(""), F.col("event_type"), middle, u.cast("string")).alias("name")).distinct()
+    return kinds.select("name", F.array_join(names.modalities(F.col("name")), ",").alias("modalities"), names.redact(F.col("name")).alias("shown"))
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
