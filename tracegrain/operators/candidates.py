@@ -118,37 +118,57 @@ def _position_dependence(payloads: DataFrame) -> DataFrame:
     return by_session.groupBy(*READING).agg((_mid(F.col("var")) / F.greatest(F.lit(EPS), F.pow(_mid(F.col("mid")), F.lit(2)))).alias("position_dependence"))
 
 
+def _steps(payloads: DataFrame, channels: list[int]) -> DataFrame:
+    """A word (v) and its channel's word before it in the packet (p), for each number of channels: whatever the layout, that
+    is the word as many places before as there are channels, so no row waits for another."""
+    n = F.size("payload")
+
+    def lagged(c: int) -> Column:
+        left = F.greatest(n - c, F.lit(0))
+        both = F.arrays_zip(F.slice("payload", c + 1, left).alias("v"), F.slice("payload", 1, left).alias("p"))
+        return F.transform(both, lambda z: F.struct(F.lit(c).alias("channel_count"), z["v"].alias("v"), z["p"].alias("p")))
+
+    return payloads.select("session", F.inline(F.flatten(F.array(*[lagged(c) for c in channels]))))
+
+
 def metrics(payloads: DataFrame, channels: list[int] = CHANNELS) -> DataFrame:
     """One row a candidate with its eight costs (lower is better). ``payloads``: session, ordinal, payload.
 
-    Sessions without words count for nothing; no payloads at all give no rows. Sessions times candidates, which some
-    sides of joins here are as large as, are few next to the words; the joins' sides are broadcast only by Spark's own
-    estimate of their size, but for medians of a candidate, of which there are at most 192. Steps are whole numbers below
-    2**24, so the exact medians hold at most that many different values a candidate, whatever the number of words.
+    Sessions without words count for nothing; no payloads at all give no rows. Steps within packets depend on the number
+    of channels and saturation on the reading alone, so these are measured 96 and 12 times, not 192. Sessions times
+    candidates, which some sides of joins here are as large as, are few next to the words; the joins' sides are broadcast
+    only by Spark's own estimate of their size, but for medians of a candidate, of which there are at most 192. Steps are
+    whole numbers below 2**24, so the exact medians hold at most that many different values a candidate.
     """
     rows = dealt(payloads, channels)
-    read = _read(rows, ["v", "p"])
-    d = F.abs(F.col("v") - F.col("p"))
+    distance = F.abs(F.col("v") - F.col("p"))
     unsigned = F.col("signedness") == "uint24"
     full = F.when(unsigned, (F.col("v") <= 0) | (F.col("v") >= 16777215)).otherwise((F.col("v") <= -8388608) | (F.col("v") >= 8388607))
-    step = read.select(*SPEC, "session", "channel", "v", F.when(F.col("inner"), d).alias("step"), F.when(~F.col("inner"), d).alias("jump"), full.alias("full"))
+    words = _read(payloads.select("session", F.explode("payload").alias("v")), ["v"])
+    filled = words.groupBy(*READING, "session").agg(F.count_if(full).alias("full"), F.count(F.lit(1)).alias("n"))
+    stepped = [*READING, "channel_count"]
+    step = _read(_steps(payloads, channels), ["v", "p"]).select(*stepped, "session", distance.alias("step"))
+    middle = step.groupBy(*stepped, "session").agg(_mid(F.col("step")).alias("_m"))
+    still = step.join(middle, [*stepped, "session"]).groupBy(*stepped, "session").agg(_mid(F.abs(F.col("step") - F.col("_m"))).alias("mad"), F.count_if(F.col("step") == 0).alias("flat"), F.count("step").alias("steps"))
+    edges = rows.where(F.col("p").isNotNull() & ~F.col("inner")).select(*DEALING, "session", "v", "p")
+    jumps = _read(edges, ["v", "p"]).select(*SPEC, "session", distance.alias("jump"))
     by_session = [*SPEC, "session"]
-    middle = step.groupBy(*by_session).agg(_mid(F.col("step")).alias("_m"))
-    sums = step.join(middle, by_session).groupBy(*by_session).agg(
-        F.coalesce(_mid(F.abs(F.col("step") - F.col("_m"))), F.lit(0.0)).alias("mad"), F.coalesce(_mid(F.col("jump")), F.lit(0.0)).alias("jump"),
-        F.count_if(F.col("full")).alias("full"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("step") == 0).alias("flat"), F.count("step").alias("steps"))
+    jumped = jumps.groupBy(*by_session).agg(_mid(F.col("jump")).alias("jump"))
+    ways = F.explode(F.array(*[F.struct(F.lit(c).alias("channel_count"), F.lit(m).alias("layout")) for c in channels for m in ("packet_local", "continuous")])).alias("d")
+    every = filled.select("*", ways).select(*READING, "d.*", "session", "full", "n")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    sums = every.join(still, [*stepped, "session"], "left").join(jumped, by_session, "left").select(*by_session, "full", "n", zero("flat"), zero("steps"), F.coalesce("mad", F.lit(0.0)).alias("mad"), F.coalesce("jump", F.lit(0.0)).alias("jump"))
     scale = F.greatest(F.lit(EPS), F.col("mad"))
     each = sums.select(*by_session, "full", "n", "flat", "steps", "mad", (F.col("jump") / scale).alias("ratio"), (F.col("full") / F.col("n")).alias("sat"), F.coalesce(F.try_divide("flat", "steps"), F.lit(0.0)).alias("still"))
     iqr = lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
     spread = F.when(F.count(F.lit(1)) < 2, 0.0).otherwise((iqr("mad") + iqr("ratio") + iqr("sat") + iqr("still")) / 4)
     rolled = each.groupBy(*SPEC).agg(spread.alias("session_consistency"), (F.sum("full") / F.sum("n")).alias("saturation_rate"), F.coalesce(F.try_divide(F.sum("flat"), F.sum("steps")), F.lit(0.0)).alias("flatline_rate"))
-    jumps = step.where(F.col("jump").isNotNull()).join(sums.select(*by_session, "mad"), by_session)
-    boundary = jumps.groupBy(*SPEC).agg(_mid(F.col("jump") / scale).alias("boundary_jump"))
+    boundary = jumps.join(sums.select(*by_session, "mad"), by_session).groupBy(*SPEC).agg(_mid(F.col("jump") / scale).alias("boundary_jump"))
     energy = _weighted(_channel_moments(rows), {"e": F.col("c")}).groupBy(*by_session)
     cv = F.when(F.abs(F.avg("e")) <= EPS, F.stddev_pop("e")).otherwise(F.try_divide(F.stddev_pop("e"), F.abs(F.avg("e"))))
     balance = energy.agg(cv.alias("cv")).groupBy(*SPEC).agg(_mid(F.col("cv")).alias("energy_balance"))
-    overall = _mad(step.select(*SPEC, "step"), SPEC, "step").withColumnRenamed("mad", "deriv_mad")
-    out = rolled.join(overall, SPEC, "left").join(boundary, SPEC, "left").join(balance, SPEC, "left").join(_duplication(rows), SPEC, "left").join(_position_dependence(payloads), READING, "left")
+    overall = _mad(step, stepped, "step").withColumnRenamed("mad", "deriv_mad")
+    out = rolled.join(overall, stepped, "left").join(boundary, SPEC, "left").join(balance, SPEC, "left").join(_duplication(rows), SPEC, "left").join(_position_dependence(payloads), READING, "left")
     return out.select(_index(channels).alias("spec_idx"), *SPEC, *[F.coalesce(m, F.lit(0.0)).alias(m) for m in WEIGHTS])
 
 
