@@ -13,7 +13,7 @@ from .state import map_array, new_path, save, store_array
 from .wordhash import hash_words, mix
 
 WINDOW = 10
-BLOCK_BYTES, CHUNK_BYTES, LANE = 32 << 20, 1 << 20, 256
+BLOCK_BYTES, CHUNK_BYTES, LANE = 16 << 20, 1 << 20, 256
 ARRAYS = ["words", "block", "shift", "window", "place", "first", "item", "name", "name_end"]
 #: Letters A-Z become small, digits, a-z and bytes of other alphabets stay, all else parts words.
 PARTS = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
@@ -115,8 +115,8 @@ class Tables:
 def build(bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[tuple[str, int]]:
     """Store the tables of ``bench`` (item_id, text) and return (path, pattern length) of each.
 
-    Different items are dealt by hash to blocks of about ``block_bytes`` of text. A task builds a block's tables, some 12
-    times its text; workers map them, so what they hold is shared and can be dropped and read again. A null item_id is
+    Different items are dealt by hash to blocks of about ``block_bytes`` of text. A task builds a block's tables in some 20
+    times the memory of its text; workers map them (6 times the text), so what they hold is shared and can be dropped. A null item_id is
     called ``null``. The driver gets at most ``window`` rows a block.
     """
     spark = bench.sparkSession
