@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import save
+from .state import discard, save
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -36,8 +36,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        now = save(_stars(_stars(now, True), False), "links")
+        before, now = now, save(_stars(_stars(now, True), False), "links")
         last, seen = seen, now.agg(mark).first()[0]
+        discard(before)  # the next round starts from the stored one
         if last == seen:
             break
     else:
