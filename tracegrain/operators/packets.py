@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrain.functions.store import stored
+
 from .cells import cell_status
 
 # fixed values: the keys of a packet and of its nested data
@@ -25,8 +27,12 @@ def cell_states(sessions: DataFrame, cell: str = "raw_packets_json", key: str =
 
 def packet_rows(sessions: DataFrame, cell: str = "raw_packets_json", key: str = "session_ordinal") -> DataFrame:
     """One row a packet (``key``, packet_ordinal, packet as JSON text); cells that hold no array give none."""
+    return _packets(cell_states(sessions, cell, key), key)
+
+
+def _packets(states: DataFrame, key: str) -> DataFrame:
     items = F.from_json(F.when(F.col("state") == "packets", F.trim("cell")), "array<string>")
-    return cell_states(sessions, cell, key).select(key, F.posexplode(items).alias("packet_ordinal", "packet"))
+    return states.select(key, F.posexplode(items).alias("packet_ordinal", "packet"))
 
 
 def _payload(raw: Column) -> Column:
@@ -72,8 +78,9 @@ def validation(sessions: DataFrame, cell: str = "raw_packets_json", key: str = "
     A packet's time is compared with the last one before it in its session that has any. Codes that a session's cell gets
     (cell_empty, cell_malformed) count once; kinds and names are few, so the result is small.
     """
-    states = cell_states(sessions, cell, key).where(F.col("state") != "packets").select(F.concat(F.lit("cell_"), "state").alias("name"))
-    packets = validated(packet_rows(sessions, cell, key))
+    cells = stored(cell_states(sessions, cell, key), "packet-cells")  # told apart once, looked at twice
+    states = cells.where(F.col("state") != "packets").select(F.concat(F.lit("cell_"), "state").alias("name"))
+    packets = validated(_packets(cells, key))
     w = Window.partitionBy(key).orderBy("packet_ordinal").rowsBetween(Window.unboundedPreceding, -1)
     before = F.last("received_at_ms", ignorenulls=True).over(w)
     size = F.size("payload")
