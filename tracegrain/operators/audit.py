@@ -154,3 +154,8 @@ def _session_rules() -> list[Column]:
         row(~known & tried, "duration_not_evaluable", name("duration"), "duration_not_evaluable"),
         row(off, "duration_mismatch", name("duration"), "duration_mismatch"),
     ]
+
+
+def counts_by_code(found: DataFrame) -> DataFrame:
+    """How many findings there are of each code, without the sessions they are in: what a safe report may show."""
+    return found.groupBy("code").agg(F.count("*").alias("n"))

@@ -35,3 +35,12 @@ def column_profile(cells: DataFrame) -> DataFrame:
 
 def status_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("column", cell_status(F.col("cell")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def top_types(cells: DataFrame) -> DataFrame:
+    """Per column, how many parsed cells have each JSON type at their root; empty and malformed cells have none."""
+    kind = cell_status(F.col("cell"))
+    v = F.schema_of_variant(F.try_parse_json(F.trim("cell")))
+    scalar = F.when(v == "BOOLEAN", "boolean").when(v == "STRING", "string").when(v == "BIGINT", "integer").otherwise("number")
+    name = F.when(kind.isin("array", "empty_array"), "array").when(kind.isin("object", "empty_object"), "object").when(kind == "scalar", scalar)
+    return cells.select("column", name.alias("type")).where(F.col("type").isNotNull()).groupBy("column", "type").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracegrain.functions.bits import transform_word
+
 from . import spectral, timebase, verdicts
 
 LAYOUTS = ["INTERLEAVED_PACKET_LOCAL", "INTERLEAVED_CONTINUOUS", "BLOCKED_PACKET_LOCAL", "BLOCKED_CONTINUOUS"]
@@ -145,3 +147,14 @@ def judged_windows(segments: DataFrame, periodicity: DataFrame, pairs: DataFrame
 def segment_pairs(segments: DataFrame) -> DataFrame:
     """Agreement of each two channels of a session's segment."""
     return spectral.channel_pairs(segments, ["session", "layout", "hypothesis", "packet_start", "packet_end"])
+
+
+def load(payloads: DataFrame, length: int, signedness: str = "int24", order: str = "CAB", most_sessions: int | None = None) -> DataFrame:
+    """Packets with a time and a payload of ``length``, each word read as ``signedness`` and byte ``order`` say; with
+    ``most_sessions``, of the first so many sessions alone, the limit being the feature. Sessions left without a packet vanish."""
+    usable = payloads.where(F.col("received_ms").isNotNull() & (F.size("payload") == length))
+    read = usable.withColumn("payload", F.transform("payload", lambda v: transform_word(v, signedness, order)))
+    if most_sessions is None:
+        return read
+    first = usable.select("session").distinct().orderBy("session").limit(most_sessions)
+    return read.join(F.broadcast(first) if most_sessions <= 10_000 else first, "session", "left_semi")

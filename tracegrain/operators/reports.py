@@ -115,3 +115,15 @@ def selection_notes(statuses: DataFrame) -> DataFrame:
     some = F.col("b").isNotNull()
     notes = F.when(some, F.concat(F.array(F.concat(F.lit("selected_rank1="), "b.id"), F.concat(F.lit("status="), "b.status"), F.lit("phase2_does_not_validate_physiological_ppg")), F.col("b.codes"))).otherwise(F.array(F.lit("no_candidates")))
     return best.select(F.col("b.id").alias("selected"), F.coalesce("b.status", F.lit("UNVERIFIED")).alias("status"), notes.alias("notes"))
+
+
+def overview(totals: DataFrame) -> DataFrame:
+    """One row of totals as rows (metric, shown): a total that is null is NOT_AVAILABLE, never 0."""
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), present_or_na(F.col(c)).alias("shown")) for c in totals.columns])
+    return totals.select(F.inline(each))
+
+
+def status_cards(row: DataFrame, **fields: str) -> DataFrame:
+    """The statuses of a research summary as cards (title, status); what is missing is NOT_AVAILABLE, no status is made up."""
+    each = F.array(*[F.struct(F.lit(title.replace("_", " ")).alias("title"), present_or_na(F.col(c)).alias("status")) for title, c in fields.items()])
+    return row.select(*[c for c in row.columns if c not in fields.values()], F.inline(each))

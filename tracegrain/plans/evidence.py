@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.functions import privacy
-from tracegrain.operators import benchmark, packets, positions, reconstruction, reports, spectral, timebase, verdicts
+from tracegrain.operators import benchmark, cells, packets, positions, reconstruction, reports, spectral, timebase, verdicts
 from tracegrain.sources import views
 
 from .registry import query
@@ -365,3 +365,35 @@ def benchmark_split(spark: SparkSession, sf: str) -> DataFrame:
     placed = benchmark.by_subject(v, 3)
     first = placed.groupBy("subject_id").agg(F.min("place").alias("_f"))
     return placed.join(first, "subject_id").select("record_id", benchmark.record_hash(F.col("record_id")).alias("hash"), (F.col("place") - F.col("_f")).alias("within"))
+
+
+@query("""WITH p AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events),
+d AS (SELECT *, ms - lag(ms) OVER (PARTITION BY session ORDER BY o) AS delta FROM p)
+SELECT unnest(['sessions', 'packets', 'gaps', 'max_gap_ms', 'malformed_packets']) AS metric, unnest([CAST(count(DISTINCT session) AS VARCHAR), CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (WHERE delta > 86400000) AS VARCHAR), CAST(max(delta) AS VARCHAR), 'NOT_AVAILABLE']) AS shown FROM d""")
+def overview_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals as a report shows them; what isn't counted is not available."""
+    d = timebase.deltas(views.packets(spark, sf))
+    totals = timebase.summaries(views.packets(spark, sf), PER_DAY).agg(F.count("*").alias("sessions"), F.sum("packet_count").alias("packets"), F.sum("gap_count").alias("gaps"))
+    longest = d.agg(F.max("delta").cast("bigint").alias("max_gap_ms"))
+    return reports.overview(totals.join(longest).withColumn("malformed_packets", F.lit(None).cast("bigint")))
+
+
+@query(f"""WITH {SUMMARY_SQL} SELECT session, unnest(['channel verdict', 'rate status']) AS title, unnest([verdict, CASE WHEN session % 3 = 0 THEN 'NOT_AVAILABLE' ELSE 'NOT_COMPUTED' END]) AS status FROM ve""")
+def status_cards(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _summary(spark, sf).select("session", "verdict", F.when(F.col("session") % 3 > 0, "NOT_COMPUTED").alias("rate_status"))
+    return reports.status_cards(rows, channel_verdict="verdict", rate_status="rate_status")
+
+
+@query(f"""WITH {views.CELLS_SQL}, t AS (SELECT "column", trim(coalesce(cell, '')) AS c FROM cells), v AS (SELECT "column", c FROM t WHERE lower(c) NOT IN ('', 'null', 'none', 'nan') AND json_valid(c))
+SELECT "column", CASE json_type(c) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS type, count(*) AS n FROM v GROUP BY 1, 2""")
+def cell_types(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.top_types(views.cells(spark, sf))
+
+
+@query(f"""WITH {views.TIMED_SQL}, f AS (SELECT DISTINCT session FROM timed ORDER BY session LIMIT 4), w AS (SELECT t.session, ordinal, unnest(payload) AS v FROM timed t JOIN f ON t.session = f.session),
+x AS (SELECT session, ordinal, (v & 255) * 65536 + ((v >> 16) & 255) * 256 + ((v >> 8) & 255) AS p FROM w)
+SELECT session, ordinal, CAST(sum(CASE WHEN p >= 8388608 THEN p - 16777216 ELSE p END) AS BIGINT) AS total FROM x GROUP BY 1, 2""")
+def loaded_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """Usable packets of the first four sessions, their words read as signed and in the order CAB."""
+    rows = reconstruction.load(views.timed_payloads(spark, sf), 64, most_sessions=4)
+    return rows.select("session", "ordinal", F.aggregate("payload", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))

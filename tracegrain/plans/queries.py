@@ -277,7 +277,7 @@ def modality_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return audit.modality_coverage(audit.modality_statuses(_audited(spark, sf)))
 
 
-@query(f"""WITH {views.SESSIONS_SQL},
+FINDINGS_SQL = f"""WITH {views.SESSIONS_SQL},
 n AS (SELECT *, CAST(chunks_sent AS DOUBLE) AS sent, CASE WHEN chunks_total <> '' THEN 9.0::DOUBLE END AS total, TRY_CAST(upload_pending AS DOUBLE) AS pending, CAST(duration_s AS DOUBLE) AS dur,
   CASE WHEN chunks_total = '' AND motion_json LIKE '{{%' THEN CAST(json_extract_string(motion_json, '$.failed') AS DOUBLE) END AS failed,
   CASE WHEN ppg_json LIKE '{{"t%' THEN abs(CAST(json_extract(ppg_json, '$.time_ms[1]') AS DOUBLE)) / 1000 END AS span FROM sessions)
@@ -289,7 +289,10 @@ UNION ALL SELECT session, 'chunk_mismatch', 'chunks_sent', 'sent_gt_total' FROM
 UNION ALL SELECT session, 'chunk_mismatch', 'failed', 'failed_gt_total' FROM n WHERE failed > total
 UNION ALL SELECT session, 'chunk_mismatch', 'chunks_total', 'sent_plus_failed_gt_total' FROM n WHERE sent + failed > total + 1e-9
 UNION ALL SELECT session, 'duration_not_evaluable', CASE WHEN dur IS NOT NULL THEN 'duration_s' END, 'duration_not_evaluable' FROM n WHERE (dur IS NULL OR span IS NULL) AND (dur IS NOT NULL OR span IS NOT NULL)
-UNION ALL SELECT session, 'duration_mismatch', 'duration_s', 'duration_mismatch' FROM n WHERE dur > 0 AND abs(span - dur) > 0.25 * dur""")
+UNION ALL SELECT session, 'duration_mismatch', 'duration_s', 'duration_mismatch' FROM n WHERE dur > 0 AND abs(span - dur) > 0.25 * dur"""
+
+
+@query(FINDINGS_SQL)
 def session_findings(spark: SparkSession, sf: str) -> DataFrame:
     return audit.findings(_audited(spark, sf))
 
@@ -313,3 +316,8 @@ def reconstructed_channels(spark: SparkSession, sf: str) -> DataFrame:
     """Words, their sum, and their sum weighted by place, for each channel of the grid of four hypotheses and four layouts."""
     rows = reconstruction.channels(views.payloads(spark, sf), reconstruction.hypotheses(spark, 64, primary=True), 64)
     return rows.groupBy("session", "hypothesis", "variant", "layout", "channel").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * (F.col("ordinal") * 64 + F.col("i"))).alias("placed"))
+
+
+@query(f"SELECT code, count(*) AS n FROM ({FINDINGS_SQL}) GROUP BY code")
+def finding_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.counts_by_code(audit.findings(_audited(spark, sf)))
