@@ -62,3 +62,30 @@ m AS (SELECT ws.r, doc_id, t, len(w) AS n_words, length(array_to_string(w, ''))
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT (base_failed OR 2 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines) OR 2 * n_capitals > word_chars) AS kept FROM f"""
+
+OP12 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]') AS p FROM documents),
+s AS (SELECT lang, regexp_extract_all(unnest(p), '[^ \t]+') AS w FROM d),
+g AS (SELECT lang, m, w[i : i + m - 1] AS g FROM s, LATERAL (SELECT unnest(range(1, 5)) AS m), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)),
+f AS (SELECT lang, m, g, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, g, n AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+x AS (SELECT c.lang, c.m, c.g, a, k, f1.n AS l, f2.n AS r, 2000000::HUGEINT * a // (f1.n + f2.n) AS score FROM c JOIN f f1 ON f1.lang = c.lang AND f1.g = c.g[1:k] JOIN f f2 ON f2.lang = c.lang AND f2.g = c.g[k + 1 :]),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+u AS (SELECT lang, g[i : i + q - 1] AS g, max(n) AS around FROM f, LATERAL (SELECT unnest(range(2, m)) AS q), LATERAL (SELECT unnest(range(1, m - q + 2)) AS i) WHERE m > 2 GROUP BY ALL),
+o AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN u ON u.lang = b.lang AND u.g = b.g WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a),
+e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT e.lang, rank, phrase, a, l, r, t.n, CAST(score AS BIGINT) AS score FROM e JOIN t ON t.lang = e.lang WHERE rank <= 2000"""
+
+OP13 = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS ln FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT o.lang, source, o.term, count(*) AS n, any_value(ln) AS ln FROM o JOIN t ON o.lang = t.lang AND o.term = t.term GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(ln)::HUGEINT AS lt FROM t GROUP BY lang),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (SELECT s.lang, s.source, t.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v) AS p, 1 + 1000000000::HUGEINT * (t.ln + 1) // (lt + v) AS q
+  FROM s JOIN v ON s.lang = v.lang JOIN t ON t.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = t.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::HUGEINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every QUALIFY part = 'pair' OR rank <= 200"""

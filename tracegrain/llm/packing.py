@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import zlib
 
 import numpy as np
@@ -10,72 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .state import save
 
 LENGTH, GROUP = 1024, 8192
-_loaded: dict = {}
 
 
-class Encoder:
-    """The ids that the tokenizer file ``path`` gives, made from the same vocabulary as ``ranks`` where that is given.
-
-    Both ways give the same ids and the second takes a fifth of the time. It doesn't know the file's special tokens, so
-    texts that hold one go the first way, as do texts that it fails on; the two are compared on one text of each batch.
-    """
-
-    def __init__(self, path: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.whole, self.fast, self.compared = Tokenizer.from_file(path), None, False
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        if ranks:
-            import tiktoken
-            from public_tokenizers import PATTERN
-
-            with open(ranks, "rb") as f:
-                merges = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
-
-    def _slow(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
-
-    def ids(self, text: str) -> list[int]:
-        if not self.fast or any(t in text for t in self.special):
-            return self._slow(text)
-        try:
-            ids = self.fast.encode_ordinary(text)
-        except BaseException as e:  # its own panics are no Exceptions
-            if isinstance(e, KeyboardInterrupt | SystemExit):
-                raise
-            return self._slow(text)
-        if text and not self.compared:
-            if ids != self._slow(text):
-                raise ValueError("the ranks are not those of the tokenizer file")
-            self.compared = True
-        return ids
-
-
-def _encoder(path: str, ranks: str | None) -> Encoder:
-    if (path, ranks) not in _loaded:
-        _loaded[path, ranks] = Encoder(path, ranks)
-    return _loaded[path, ranks]
-
-
-def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, cut: type = tokens.SpaceCut) -> DataFrame:
     """Each document's ids and one id 0, cut every ``length`` ids: doc_id, start, length, ids_crc32, doc_tokens."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
-    def cut(batches):
+    def cut_up(batches):
         for batch in batches:
-            out, encoder = [], _encoder(tokenizer, ranks)
-            encoder.compared = False  # once a batch
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encoder.ids(text.as_py() or ""), 0], dtype="<u4")
-                n = len(ids)
-                out += [(doc_id, a, min(length, n - a), zlib.crc32(ids[a : a + length].tobytes()), n) for a in range(0, n, length)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
+            for some in tokens.slices(batch, 1):
+                ids, counts = tokens.encoder(tokenizer, cut).encode(some.column(1))
+                ids, counts = np.insert(ids, np.cumsum(counts), 0).astype("<u4"), counts + 1
+                parts = -(-counts // length)
+                doc = np.repeat(np.arange(len(counts)), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * length
+                sizes = np.minimum(length, counts[doc] - start)
+                begin, view = (np.cumsum(counts) - counts)[doc] + start, memoryview(ids)
+                sums = [zlib.crc32(view[a:b]) for a, b in zip(begin.tolist(), (begin + sizes).tolist(), strict=True)]
+                columns = [some.column(0).take(pa.array(doc)), pa.array(start), pa.array(sizes), pa.array(sums, pa.int64()), pa.array(counts[doc])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_up, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +64,14 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """All pieces with ``sequence_id`` and ``offset``; sequences hold at most ``length`` ids.
 
     Pieces are stored, then dealt at random, by a hash of their stored row, to groups of about ``group``: a group's
     size depends on no key or source, and every group is packed by itself. Null or empty text: only id 0. Rows with
     equal or null doc_id are packed like any others; an empty table gives no piece.
     """
-    stored = save(pieces(docs, tokenizer, ranks, length).withColumn("_uid", F.monotonically_increasing_id()), "pieces")
+    stored = save(pieces(docs, tokenizer, length).withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-stored.count() // group))
     dealt = stored.withColumn("_group", F.pmod(F.xxhash64("_uid"), F.lit(groups)))
 

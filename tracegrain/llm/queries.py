@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kneser_ney, langid, linededup, oracles, packing, quality, secrets, sharding, simhash, urls
+from . import decontaminate, divergence, idfiles, kneser_ney, langid, linededup, oracles, packing, phrases, quality, secrets, sharding, simhash, urls
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -60,7 +60,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(_docs(spark, sf_dir), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack(_docs(spark, sf_dir), tokenizer_path())
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +68,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_feistel_shards, op4_simhash, op5_decontaminate, op6_kneser_ney, op7_language_id, op8_url_filter, op9_packing, op10_quality_rules)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files hold of each document, once written and read back."""
+    return idfiles.round_trip(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 collocations."""
+    return phrases.collocations(_docs(spark, sf_dir))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language are apart, and in which terms."""
+    return divergence.audit(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_feistel_shards, op4_simhash, op5_decontaminate, op6_kneser_ney, op7_language_id, op8_url_filter, op9_packing, op10_quality_rules, op11_token_files, op12_collocations, op13_source_divergence)}
 ORACLES: dict[str, str] = {
     "op3_feistel_shards": oracles.op3_sql(),
     "op5_decontaminate": oracles.OP5,
     "op10_quality_rules": oracles.OP10,
+    "op12_collocations": oracles.OP12,
+    "op13_source_divergence": oracles.OP13,
     "op8_url_filter": r"""WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0xC6A4A7935BD1E995)
 BLOCK = 1 << 20
@@ -65,3 +66,37 @@ def hash_words(texts: list[str | None], parts: np.ndarray) -> tuple[np.ndarray,
         at = end
     owner = np.searchsorted(ends, np.concatenate(starts), side="right")
     return np.concatenate(hashes), np.bincount(owner, minlength=len(texts))
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z, all other bytes as they are."""
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def word_places(texts: list[str | None], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, hashes, starts, ends, owners): the texts' bytes with a line feed after each, and for each word its hash, its
+    place in these bytes and the number of its text. ``parts`` as for hash_words()."""
+    raw = [(t or "").encode() for t in texts]
+    stops = np.cumsum([len(r) + 1 for r in raw])
+    data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+    hashes, starts, ends, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK)
+        while end < len(data) and not parts[data[end - 1]]:
+            end += 1
+        inside = ~parts[data[at:end]]
+        h, begin = _in_block(data[at:end], inside)
+        hashes.append(h)
+        starts.append(begin + at)
+        ends.append(np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])) + 1 + at)
+        at = end
+    begin = np.concatenate(starts)
+    return data, np.concatenate(hashes), begin, np.concatenate(ends), np.searchsorted(stops, begin, side="right")
+
+
+def texts_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The folded words at these places."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    flat = fold(data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])])
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())).cast(pa.string())
