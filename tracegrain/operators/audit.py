@@ -31,8 +31,8 @@ def unpivot(sessions: DataFrame, key: str = "session") -> DataFrame:
 
 def with_status(cells: DataFrame) -> DataFrame:
     """Cells with their status and their column's kind; columns are few, so kinds are a small table."""
-    kinds = column_profile(cells).select("column", "kind")
-    return cells.withColumn("status", cell_status(F.col("cell"))).join(F.broadcast(kinds), "column")
+    told = stored(cells.withColumn("status", cell_status(F.col("cell"))), "cell-statuses")  # read twice; parsing is dear
+    return told.join(F.broadcast(column_profile(told).select("column", "kind")), "column")
 
 
 def json_nodes(cells: DataFrame, key: str = "session") -> DataFrame:
@@ -40,6 +40,22 @@ def json_nodes(cells: DataFrame, key: str = "session") -> DataFrame:
     return walk(cells.where(F.col("kind").isin(JSON_KINDS)), [key, "col_pos", "column"])
 
 
+def _may_hold_times(cell: Column) -> Column:
+    """Whether some key of the cell's text has a word of a time field's name in it, or an escape that could hide one."""
+    some = "|".join(sorted({max(n.split("_"), key=len) for n in names.TIME_FIELDS}))
+    return F.regexp_like(cell, F.lit(f'(?i)"[^"]*({some})[^"]*"\\s*:|\\\\'))
+
+
+def _by_name(rows: DataFrame, column: str, told: Column) -> DataFrame:
+    """(``column``, told) of each different name of ``rows`` that tells something: an array, of which each element is a row.
+
+    Both steps are stored. Otherwise the optimizer moves what is asked of a name, which is dear, below the distinct and
+    over to the other side of joins, and asks it of every row.
+    """
+    names_ = stored(rows.select(column).distinct(), "names")
+    return stored(names_.select(column, F.explode(told).alias("told")), "told-names")
+
+
 def modality_statuses(cells: DataFrame, key: str = "session") -> DataFrame:
     """(key, modality, status) for every session and modality. ``cells`` come from ``with_status``.
 
@@ -49,8 +65,8 @@ def modality_statuses(cells: DataFrame, key: str = "session") -> DataFrame:
     nodes = json_nodes(cells, key)
     path_key = [key, "column", "path"]
     seen = stored(nodes.groupBy(*path_key).agg(F.sum("samples").alias("s")), "paths")  # looked at three times: cells are walked once
-    known = seen.select("path").where(F.col("path") != "").distinct().select("path", F.explode(names.modalities(F.col("path"))).alias("modality"))
-    named = cells.select("column").distinct().select("column", F.explode(names.modalities(F.col("column"))).alias("modality"))
+    known = _by_name(seen.where(F.col("path") != ""), "path", names.modalities(F.col("path"))).withColumnRenamed("told", "modality")
+    named = _by_name(cells, "column", names.modalities(F.col("column"))).withColumnRenamed("told", "modality")
     total = seen.groupBy(key, "column").agg(F.sum("s").alias("samples"))
     walked = F.col("status").isin(WALKED) & F.col("kind").isin(JSON_KINDS)
     by_column = cells.join(F.broadcast(named), "column").join(total, [key, "column"], "left").select(key, "modality", "status", F.lit(True).alias("is_column"), walked.alias("hit"), F.coalesce("samples", F.lit(0)).alias("samples"))
@@ -89,11 +105,12 @@ def numeric_fields(cells: DataFrame, key: str = "session") -> DataFrame:
     ``ordinary``, and the first such key of an object cell, as ``nested``; each is (name, value)."""
     fields = {"sent": SENT, "total": TOTAL, "failed": FAILED, "pending": PENDING, "duration": DURATION}
     kind = lambda name: F.filter(F.array(*[F.when(names.matches_any(name, v), F.lit(k)) for k, v in fields.items()]), lambda x: x.isNotNull())
-    named = F.broadcast(cells.select("column").distinct().select("column", F.explode(kind(F.col("column"))).alias("field")))
+    named = F.broadcast(_by_name(cells, "column", kind(F.col("column"))).withColumnRenamed("told", "field"))
     top = cells.join(named, "column").select(key, "field", F.lit(0).alias("depth"), "col_pos", F.lit(0).alias("at"), F.col("column").alias("name"), _number(F.col("cell")).alias("value"))
     obj = cells.where(F.col("status") == "object").select(key, "col_pos", F.explode(F.map_entries(F.from_json("cell", "map<string,string>"))).alias("e"), "cell")
     keys = obj.select(key, "col_pos", F.col("e.key").alias("name"), _number(F.col("e.value")).alias("value"), F.array_position(F.json_object_keys("cell"), F.col("e.key")).cast("int").alias("at"))
-    known = keys.select("name").distinct().select("name", F.explode(kind(F.col("name"))).alias("field"))
+    keys = stored(keys, "object-keys")
+    known = _by_name(keys, "name", kind(F.col("name"))).withColumnRenamed("told", "field")
     deep = keys.join(known, "name").select(key, "field", F.lit(1).alias("depth"), "col_pos", "at", "name", "value")
     found = top.unionByName(deep).where(F.col("value").isNotNull())
     first = lambda d: F.min_by(F.when(F.col("depth") == d, F.struct("name", "value")), F.when(F.col("depth") == d, F.struct("col_pos", "at")))
@@ -104,7 +121,8 @@ def time_spans(nodes: DataFrame, key: str = "session") -> DataFrame:
     """Per session: whether there are time fields, and the span in seconds of the times whose unit is known, null for
     under two of them."""
     leaves = stored(nodes.where(F.col("leaf") != "").select(key, "leaf", "value"), "leaves")
-    known = leaves.select("leaf").distinct().where(names.is_time_field(F.col("leaf"))).select("leaf", names.time_unit(F.col("leaf")).alias("unit"))
+    asked = F.when(names.is_time_field(F.col("leaf")), F.array(F.struct(names.time_unit(F.col("leaf")).alias("unit"))))
+    known = _by_name(leaves, "leaf", asked).select("leaf", "told.unit")
     times = leaves.join(known, "leaf")
     scale = F.create_map(*[F.lit(x) for kv in names.UNIT_SECONDS.items() for x in kv])
     stamp = F.regexp_like("value", F.lit("^[0-9]{4}-"))
@@ -118,7 +136,8 @@ def findings(cells: DataFrame, key: str = "session") -> DataFrame:
 
     Nested fields are used only where ``sent`` or ``total`` is no column of its own.
     """
-    has_modality = F.broadcast(cells.select("column").distinct().select("column", (F.size(names.modalities(F.col("column"))) > 0).alias("physio"), names.matches_any(F.col("column"), PENDING).alias("flag")))
+    asked = F.array(F.struct((F.size(names.modalities(F.col("column"))) > 0).alias("physio"), names.matches_any(F.col("column"), PENDING).alias("flag")))
+    has_modality = F.broadcast(_by_name(cells, "column", asked).select("column", "told.*"))
     each = cells.join(has_modality, "column")
     is_json = F.col("kind").isin(JSON_KINDS)
     own = F.array(
@@ -132,7 +151,7 @@ def findings(cells: DataFrame, key: str = "session") -> DataFrame:
     missing = F.col("sent.ordinary").isNull() | F.col("total.ordinary").isNull()
     pick = {f: F.coalesce(F.col(f"{f}.ordinary"), F.when(missing, F.col(f"{f}.nested"))) if f != "duration" else F.col("duration.ordinary") for f in names_of}
     session = cells.select(key).distinct().join(wide, key, "left").select(key, *[c.alias(f) for f, c in pick.items()])
-    session = session.join(time_spans(json_nodes(cells, key), key).withColumn("timed", F.lit(True)), key, "left")
+    session = session.join(time_spans(json_nodes(cells.where(_may_hold_times(F.col("cell"))), key), key).withColumn("timed", F.lit(True)), key, "left")
     per_session = session.select(key, F.inline(F.filter(F.array(*_session_rules()), lambda x: x.isNotNull())))
     return per_cell.unionByName(per_session)
 

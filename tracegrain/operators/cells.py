@@ -20,8 +20,9 @@ def cell_status(cell: Column) -> Column:
 
 
 def column_profile(cells: DataFrame) -> DataFrame:
-    """Per column (cells: column, cell): nullish and other cells, malformed and container cells, and its kind."""
-    c = cells.select("column", F.coalesce("cell", F.lit("")).alias("cell")).withColumn("status", cell_status(F.col("cell")))
+    """Per column (cells: column, cell, and its status if that is known): nullish and other cells, malformed and container cells, and its kind."""
+    c = cells.select("column", F.coalesce("cell", F.lit("")).alias("cell"), *(["status"] if "status" in cells.columns else []))
+    c = c if "status" in c.columns else c.withColumn("status", cell_status(F.col("cell")))
     json_name = F.endswith(F.lower(F.col("column")), F.lit("_json"))
     empty = F.lower(F.trim("cell")).isin(NULLISH)
     looks = F.regexp_like(F.trim("cell"), F.lit('^[{\\["]'))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,6 +19,7 @@ from .cells import cell_status
 # fixed values: how far a cell is looked into, and the number of keys of one object from which keys count as data
 DEPTH, KEYS, ELEMENTS, MANY_KEYS = 8, 200, 50, 20
 WALKED = ["array", "object", "scalar"]
+TYPES = {dict: "object", list: "array", str: "string", int: "integer", float: "number", type(None): "null"}
 HIDDEN = [re.compile(p) for p in SENSITIVE]
 NODE = "path string, type string, leaf string, value string, length long, inspected long, samples long"
 
@@ -25,10 +27,10 @@ NODE = "path string, type string, leaf string, value string, length long, inspec
 def _type(v: object) -> str:
     if isinstance(v, bool):
         return "boolean"
-    names = {dict: "object", list: "array", str: "string", int: "integer", float: "number", type(None): "null"}
-    return names[type(v)]
+    return TYPES[type(v)]
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _hidden(key: str) -> bool:
     return any(p.search(key) for p in HIDDEN) or (len(key) >= 24 and not set(key) & set("_-."))
 
@@ -62,23 +64,26 @@ def _nodes(root: object) -> Iterator[tuple]:
 def walk(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
     """``keys`` and a row (path, type, leaf, value, length, inspected, samples) for each value of each populated cell;
     the root's path is empty. Values are scalars and may be private. Cells that are empty,
-    malformed or null give no row. A cell is one row of the input, so a batch of few rows bounds the memory."""
+    malformed or null give no row; a column ``status`` tells which these are, or else the cells are asked. A cell is one row of the input, so a batch of few rows bounds the memory."""
     schema = StructType([cells.schema[k] for k in keys]).simpleString()[len("struct<") : -1]
+    kinds = [pa.string()] * 4 + [pa.int64()] * 3
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keys, "path", "type", "leaf", "value", "length", "inspected", "samples"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for head, text in zip(batch[keys].itertuples(index=False, name=None), batch[cell], strict=True):
+            rows, owner = [], []
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
                 try:
-                    rows.extend((*head, *n) for n in _nodes(json.loads(text)))
+                    rows.extend(_nodes(json.loads(text)))
                 except ValueError:
                     continue
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int64" for c in ("length", "inspected", "samples")})
-
-    populated = cells.where(cell_status(F.col(cell)).isin(WALKED)).select(*keys, F.trim(cell).alias(cell))
-    return populated.mapInPandas(run, f"{schema.replace(':', ' ')}, {NODE}")
+                owner.extend([i] * (len(rows) - len(owner)))
+            of = pa.array(owner, pa.int32())
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(of) for k in range(len(keys))], *made], names=[*keys, "path", "type", "leaf", "value", "length", "inspected", "samples"])
+
+    status = F.col("status") if "status" in cells.columns else cell_status(F.col(cell))
+    populated = cells.where(status.isin(WALKED)).select(*keys, F.trim(cell).alias(cell))
+    return populated.mapInArrow(run, f"{schema.replace(':', ' ')}, {NODE}")
 
 
 def key_paths(nodes: DataFrame, by: list[str]) -> DataFrame:
