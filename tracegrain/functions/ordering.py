@@ -44,3 +44,29 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
     own = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     run = with_block.withColumn("_own", F.coalesce(F.sum("_value").over(own), F.lit(0)))
     return run.join(offsets, [*keys, "_block"]).select(*df.columns, (F.col("_off") + F.col("_own")).alias(name))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, values: list[Column], name: str, size: int = BLOCK) -> DataFrame:
+    """``df`` with the array ``name``: for each of ``values`` its sum over the rows of the series before this one."""
+    each = [f"_v{i}" for i in range(len(values))]
+    with_block = df.select("*", _block(order, size).alias("_block"), *[v.alias(c) for v, c in zip(values, each, strict=True)])
+    sums = with_block.groupBy(*keys, "_block").agg(*[F.sum(c).alias(c) for c in each])
+    up = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_block", F.array(*[F.coalesce(F.sum(c).over(up), F.lit(0)) for c in each]).alias("_off"))
+    own = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    run = with_block.select(*df.columns, "_block", F.array(*[F.coalesce(F.sum(c).over(own), F.lit(0)) for c in each]).alias("_own"))
+    return run.join(offsets, [*keys, "_block"]).select(*df.columns, F.zip_with("_off", "_own", lambda a, b: a + b).alias(name))
+
+
+def previous(df: DataFrame, keys: list[str], order: str, value: str, name: str, size: int = BLOCK) -> DataFrame:
+    """``df`` with ``name``: the last ``value`` that isn't null of the rows of the series before this one, however far back; null
+    where there is none. Blocks hand on their last value: a row a block, which a window runs over."""
+    with_block = df.withColumn("_block", _block(order, size))
+    has = F.col(value).isNotNull()
+    lasts = with_block.where(has).groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_last"))
+    blocks = with_block.select(*keys, "_block").distinct().join(lasts, [*keys, "_block"], "left")
+    up = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*keys, "_block", F.last("_last", ignorenulls=True).over(up).alias("_carried"))
+    own = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    run = with_block.withColumn("_own", F.last(value, ignorenulls=True).over(own))
+    return run.join(carried, [*keys, "_block"]).select(*df.columns, F.coalesce("_own", "_carried").alias(name))

@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrain.functions.bits import ORDERS, byte, to_uint24
+from tracegrain.functions.bits import ORDERS, byte
+from tracegrain.functions.ordering import previous, running_sums
+from tracegrain.functions.store import stored
 
 from .scoring import CHANNELS, phased
+from .steps import READINGS, channel_moments, packet_edges, pair_moments, step_medians
 
 EPS = 1e-9
 # fixed values: weights of the costs and thresholds of the statuses
 WEIGHTS = {"deriv_mad": 1.0, "boundary_jump": 1.5, "session_consistency": 1.0, "position_dependence": 0.8, "saturation_rate": 1.2, "flatline_rate": 1.2, "channel_duplication": 1.0, "energy_balance": 0.6}
 REJECT_SATURATION, REJECT_FLATLINE, REJECT_JUMP = 0.85, 0.90, 50.0
 PROVISIONAL_JUMP, PROVISIONAL_CONSISTENCY, NEAR_TIE, TWIN, EXCEPTIONAL_GAP = 8.0, 0.75, 0.05, 0.02, 0.25
-READINGS = [(s, o) for s in ("uint24", "int24") for o in ORDERS]
 READING, DEALING = ["signedness", "byte_order"], ["channel_count", "layout"]
 SPEC = [*READING, *DEALING]
 
@@ -36,13 +38,6 @@ def _read(rows: DataFrame, words: list[str]) -> DataFrame:
     return parts.select(*kept, F.explode(each).alias("r")).select(*kept, "r.*")
 
 
-def _features(w: str) -> list[Column]:
-    """Bytes A, B, C of a word and their top bits. Every reading is a weighted sum of these six, so its variances and
-    covariances follow from theirs."""
-    parts = [byte(F.col(w), k) for k in "ABC"]
-    return parts + [F.shiftrightunsigned(x, 7) for x in parts]
-
-
 def _weighted(rows: DataFrame, moments: dict[str, Column]) -> DataFrame:
     """Rows once for each reading, with each of the 36 products' ``moments`` weighted into one number."""
     ways = []
@@ -54,59 +49,38 @@ def _weighted(rows: DataFrame, moments: dict[str, Column]) -> DataFrame:
     return each.select("*", "r.signedness", "r.byte_order", *[total(m).alias(k) for k, m in moments.items()])
 
 
-def _channel_moments(rows: DataFrame) -> DataFrame:
-    """Per dealing, session and channel: words n, the features' means m, and their covariances c, row by row."""
-    f = rows.select(*DEALING, "session", "channel", *[x.alias(f"f{i}") for i, x in enumerate(_features("v"))])
-    sums = f.groupBy(*DEALING, "session", "channel").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"f{i}").alias(f"s{i}") for i in range(6)], *[F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"q{i}{j}") for i in range(6) for j in range(i, 6)])
-    n = F.col("n")
-    cov = [F.col(f"q{min(i, j)}{max(i, j)}") / n - F.col(f"s{i}") / n * (F.col(f"s{j}") / n) for i in range(6) for j in range(6)]
-    return sums.select(*DEALING, "session", "channel", "n", F.array(*[F.col(f"s{i}") / n for i in range(6)]).alias("m"), F.array(*cov).alias("c"))
-
-
-def dealt(payloads: DataFrame, channels: list[int]) -> DataFrame:
-    """Words (v) by channel, with the channel's word before (p, null for its first) and whether that is in the same packet."""
-    words = phased(payloads).select("session", "ordinal", "before", F.posexplode("payload").alias("pos", "v"))
-    ways = F.explode(F.array(*[F.struct(F.lit(c).alias("channel_count"), F.lit(m).alias("layout")) for c in channels for m in ("packet_local", "continuous")])).alias("d")
-    rows = words.select("*", ways).select("*", "d.*")
-    at = F.when(F.col("layout") == "continuous", F.col("before") + F.col("pos")).otherwise(F.col("pos").cast("long"))
-    rows = rows.select(*DEALING, "session", F.pmod(at, F.col("channel_count").cast("long")).alias("channel"), "ordinal", "pos", "v")
-    w = Window.partitionBy(*DEALING, "session", "channel").orderBy("ordinal", "pos")
-    return rows.select(*DEALING, "session", "channel", "v", F.lag("v").over(w).alias("p"), (F.lag("ordinal").over(w) == F.col("ordinal")).alias("inner"), F.row_number().over(w).alias("idx"))
+def _placed(payloads: DataFrame, channels: list[int]) -> DataFrame:
+    """Payloads with what came before them: words of the session, and of each channel of each local dealing; stored, and
+    dealt by blocks of packets, so that no session is in one task."""
+    n = F.size("payload")
+    held = [F.greatest(F.floor((n - k + c - 1) / c), F.lit(0)) for c in channels for k in range(c)]
+    rows = running_sums(phased(payloads.where(n > 0)), ["session"], "ordinal", held, "held")
+    parts = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.select("session", "payload", "before", "held", "ordinal").repartition(parts, "session", F.floor(F.col("ordinal") / 1024)), "placed")
 
 
 def _mid(x: Column) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
-def _mad(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """Median absolute deviation of ``x`` as mad; exact, in two passes; 0 for a group without values."""
-    middle = rows.groupBy(*keys).agg(_mid(F.col(x)).alias("_m"))
-    return rows.join(F.broadcast(middle), keys).groupBy(*keys).agg(F.coalesce(_mid(F.abs(F.col(x) - F.col("_m"))), F.lit(0.0)).alias("mad"))
-
-
-def _duplication(rows: DataFrame) -> DataFrame:
+def _duplication(packets: DataFrame, own: DataFrame, channels: list[int]) -> DataFrame:
     """Per candidate the median over sessions of the largest absolute correlation of two channels, sample by sample as
-    far as the shortest of those goes that vary and have three words or more. Up to 11 channels make up to 55 pairs: a fixed number for each sample."""
-    every_session = rows.select(*DEALING, "session").distinct()  # sessions without pairs count as 0
-    u = to_uint24(F.col("v"))
-    channels = rows.groupBy(*DEALING, "session", "channel").agg(F.count(F.lit(1)).alias("n"), (F.min(u) < F.max(u)).alias("varies")).where((F.col("n") >= 3) & F.col("varies"))
-    channels = channels.withColumn("shortest", F.min("n").over(Window.partitionBy(*DEALING, "session"))).drop("n", "varies")
-    rows = rows.join(channels, [*DEALING, "session", "channel"]).where(F.col("idx") <= F.col("shortest"))
-    own = _channel_moments(rows)
-    at = rows.groupBy(*DEALING, "session", "idx").agg(F.array_sort(F.collect_list(F.struct("channel", "v"))).alias("c"))
-    pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b["channel"] > a["channel"]), lambda b: F.struct(a["channel"].alias("a"), b["channel"].alias("b"), a["v"].alias("x"), b["v"].alias("y")))))
-    both = at.select(*DEALING, "session", F.explode(pairs).alias("q")).select(*DEALING, "session", "q.*")
+    far as the shortest of those goes that vary and have three words or more; sessions without such pairs count as 0."""
     keys = [*DEALING, "session"]
-    parts = both.select(*keys, "a", "b", *[x.alias(f"x{i}") for i, x in enumerate(_features("x"))], *[y.alias(f"y{i}") for i, y in enumerate(_features("y"))])
-    by_pair = parts.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col(f"x{i}") * F.col(f"y{j}")) for i in range(6) for j in range(6)]).alias("xy"))
-    side = lambda k: own.select(*keys, F.col("channel").alias(k), F.col("m").alias(f"m{k}"), F.col("c").alias(f"c{k}"))
-    known = by_pair.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
-    means = F.flatten(F.transform("ma", lambda x: F.transform("mb", lambda y: x * y)))
-    cross = F.zip_with(F.transform("xy", lambda x: x / F.col("n")), means, lambda x, y: x - y)
-    read = _weighted(known, {"xy_": cross, "xx": F.col("ca"), "yy": F.col("cb")})
+    able = own.where((F.col("n") >= 3) & (F.col("least") < F.col("most")))
+    shortest = able.select(*keys, "channel", F.min("n").over(Window.partitionBy(*keys)).alias("shortest"))
+    sums = stored(pair_moments(packets, channels, shortest), "pair-moments")
+    n = F.col("n")
+    alone = sums.where("a = b").select(*keys, "a", F.transform("s", lambda x: x / n).alias("m"), F.transform("q", lambda x: x / n).alias("q"))
+    cross = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
+    alone = alone.select(*keys, "a", "m", F.zip_with("q", cross("m", "m"), lambda x, y: x - y).alias("c"))
+    side = lambda k: alone.select(*keys, F.col("a").alias(k), F.col("m").alias(f"m{k}"), F.col("c").alias(f"c{k}"))
+    known = sums.where("a < b").join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
+    both = F.zip_with(F.transform("q", lambda x: x / n), cross("ma", "mb"), lambda x, y: x - y)
+    read = _weighted(known, {"xy_": both, "xx": F.col("ca"), "yy": F.col("cb")})
     norm = F.sqrt(F.greatest(F.lit(0.0), F.col("xx"))) * F.sqrt(F.greatest(F.lit(0.0), F.col("yy")))
     best = read.groupBy(*SPEC, "session").agg(F.max(F.when(norm > EPS, F.abs(F.try_divide("xy_", norm)))).alias("corr"))
-    every = _read(every_session.withColumn("v", F.lit(0).cast("long")), ["v"]).drop("v")
+    every = _read(own.select(*keys).distinct().withColumn("v", F.lit(0).cast("long")), ["v"]).drop("v")
     by_session = every.join(best, [*SPEC, "session"], "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
     return by_session.groupBy(*SPEC).agg(_mid(F.col("corr")).alias("channel_duplication"))
 
@@ -118,57 +92,45 @@ def _position_dependence(payloads: DataFrame) -> DataFrame:
     return by_session.groupBy(*READING).agg((_mid(F.col("var")) / F.greatest(F.lit(EPS), F.pow(_mid(F.col("mid")), F.lit(2)))).alias("position_dependence"))
 
 
-def _steps(payloads: DataFrame, channels: list[int]) -> DataFrame:
-    """A word (v) and its channel's word before it in the packet (p), for each number of channels: whatever the layout, that
-    is the word as many places before as there are channels, so no row waits for another."""
-    n = F.size("payload")
-
-    def lagged(c: int) -> Column:
-        left = F.greatest(n - c, F.lit(0))
-        both = F.arrays_zip(F.slice("payload", c + 1, left).alias("v"), F.slice("payload", 1, left).alias("p"))
-        return F.transform(both, lambda z: F.struct(F.lit(c).alias("channel_count"), z["v"].alias("v"), z["p"].alias("p")))
-
-    return payloads.select("session", F.inline(F.flatten(F.array(*[lagged(c) for c in channels]))))
-
-
 def metrics(payloads: DataFrame, channels: list[int] = CHANNELS) -> DataFrame:
     """One row a candidate with its eight costs (lower is better). ``payloads``: session, ordinal, payload.
 
     Sessions without words count for nothing; no payloads at all give no rows. Steps within packets depend on the number
-    of channels and saturation on the reading alone, so these are measured 96 and 12 times, not 192. Sessions times
-    candidates, which some sides of joins here are as large as, are few next to the words; the joins' sides are broadcast
-    only by Spark's own estimate of their size, but for medians of a candidate, of which there are at most 192. Steps are
-    whole numbers below 2**24, so the exact medians hold at most that many different values a candidate.
+    of channels and saturation on the reading alone, so these are measured 96 and 12 times, not 192. Only the words at a
+    packet's edges become rows of a dealing. Sessions times candidates, which some sides of joins here are as large as, are
+    few next to the words.
     """
-    rows = dealt(payloads, channels)
+    packets = _placed(payloads, channels)
+    own = stored(channel_moments(packets, channels), "channel-moments")
+    steps = stored(step_medians(packets.select("session", "payload"), channels), "step-medians")
     distance = F.abs(F.col("v") - F.col("p"))
     unsigned = F.col("signedness") == "uint24"
     full = F.when(unsigned, (F.col("v") <= 0) | (F.col("v") >= 16777215)).otherwise((F.col("v") <= -8388608) | (F.col("v") >= 8388607))
-    words = _read(payloads.select("session", F.explode("payload").alias("v")), ["v"])
+    words = _read(packets.select("session", F.explode("payload").alias("v")), ["v"])
     filled = words.groupBy(*READING, "session").agg(F.count_if(full).alias("full"), F.count(F.lit(1)).alias("n"))
     stepped = [*READING, "channel_count"]
-    step = _read(_steps(payloads, channels), ["v", "p"]).select(*stepped, "session", distance.alias("step"))
-    middle = step.groupBy(*stepped, "session").agg(_mid(F.col("step")).alias("_m"))
-    still = step.join(middle, [*stepped, "session"]).groupBy(*stepped, "session").agg(_mid(F.abs(F.col("step") - F.col("_m"))).alias("mad"), F.count_if(F.col("step") == 0).alias("flat"), F.count("step").alias("steps"))
-    edges = rows.where(F.col("p").isNotNull() & ~F.col("inner")).select(*DEALING, "session", "v", "p")
-    jumps = _read(edges, ["v", "p"]).select(*SPEC, "session", distance.alias("jump"))
+    still = steps.where("NOT overall").select(*stepped, "session", "mad", F.col("zeros").alias("flat"), F.col("n").alias("steps"))
+    series = [*DEALING, "session", "channel"]
+    edges = previous(stored(packet_edges(packets, channels), "edges"), series, "ordinal", "last", "p").where(F.col("p").isNotNull()).select(*DEALING, "session", F.col("first").alias("v"), "p")
+    jumps = stored(_read(edges, ["v", "p"]).select(*SPEC, "session", distance.alias("jump")), "jumps")
     by_session = [*SPEC, "session"]
     jumped = jumps.groupBy(*by_session).agg(_mid(F.col("jump")).alias("jump"))
     ways = F.explode(F.array(*[F.struct(F.lit(c).alias("channel_count"), F.lit(m).alias("layout")) for c in channels for m in ("packet_local", "continuous")])).alias("d")
     every = filled.select("*", ways).select(*READING, "d.*", "session", "full", "n")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     sums = every.join(still, [*stepped, "session"], "left").join(jumped, by_session, "left").select(*by_session, "full", "n", zero("flat"), zero("steps"), F.coalesce("mad", F.lit(0.0)).alias("mad"), F.coalesce("jump", F.lit(0.0)).alias("jump"))
+    sums = stored(sums, "session-sums")
     scale = F.greatest(F.lit(EPS), F.col("mad"))
     each = sums.select(*by_session, "full", "n", "flat", "steps", "mad", (F.col("jump") / scale).alias("ratio"), (F.col("full") / F.col("n")).alias("sat"), F.coalesce(F.try_divide("flat", "steps"), F.lit(0.0)).alias("still"))
     iqr = lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
     spread = F.when(F.count(F.lit(1)) < 2, 0.0).otherwise((iqr("mad") + iqr("ratio") + iqr("sat") + iqr("still")) / 4)
     rolled = each.groupBy(*SPEC).agg(spread.alias("session_consistency"), (F.sum("full") / F.sum("n")).alias("saturation_rate"), F.coalesce(F.try_divide(F.sum("flat"), F.sum("steps")), F.lit(0.0)).alias("flatline_rate"))
     boundary = jumps.join(sums.select(*by_session, "mad"), by_session).groupBy(*SPEC).agg(_mid(F.col("jump") / scale).alias("boundary_jump"))
-    energy = _weighted(_channel_moments(rows), {"e": F.col("c")}).groupBy(*by_session)
+    energy = _weighted(own, {"e": F.col("c")}).groupBy(*by_session)
     cv = F.when(F.abs(F.avg("e")) <= EPS, F.stddev_pop("e")).otherwise(F.try_divide(F.stddev_pop("e"), F.abs(F.avg("e"))))
     balance = energy.agg(cv.alias("cv")).groupBy(*SPEC).agg(_mid(F.col("cv")).alias("energy_balance"))
-    overall = _mad(step, stepped, "step").withColumnRenamed("mad", "deriv_mad")
-    out = rolled.join(overall, stepped, "left").join(boundary, SPEC, "left").join(balance, SPEC, "left").join(_duplication(rows), SPEC, "left").join(_position_dependence(payloads), READING, "left")
+    overall = steps.where("overall").select(*stepped, F.col("mad").alias("deriv_mad"))
+    out = rolled.join(overall, stepped, "left").join(boundary, SPEC, "left").join(balance, SPEC, "left").join(_duplication(packets, own, channels), SPEC, "left").join(_position_dependence(packets), READING, "left")
     return out.select(_index(channels).alias("spec_idx"), *SPEC, *[F.coalesce(m, F.lit(0.0)).alias(m) for m in WEIGHTS])
 
 
