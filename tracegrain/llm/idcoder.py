@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES, LEAST = 1024, 4096, 256
+BLOCK, LANES, LEAST = 512, 4096, 128
 PAIRS = 2048
 FULL, LOW = 1 << 48, 1 << 32
 #: Steps at which tables are made anew.
@@ -181,13 +181,13 @@ def encode(ids: np.ndarray, vocabulary: int, block: int) -> list[bytes]:
         range_[at] <<= 16
 
     def carry() -> None:
-        for k in np.flatnonzero(low >= FULL):
-            low[k] -= FULL
-            i = used[k] - 1
-            while out[k, i] == 0xFFFF:
-                out[k, i] = 0
-                i -= 1
-            out[k, i] += 1
+        at = np.flatnonzero(low >= FULL)
+        low[at] -= FULL
+        place = used[at] - 1
+        while len(at):
+            out[at, place] += 1  # 16 bits: a full word turns to 0 and carries on
+            more = out[at, place] == 0
+            at, place = at[more], place[more] - 1
 
     for at in range(block if lanes > 1 else tail):
         if at == tail and len(every) == lanes:

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT = 3 << 19
-SLICE = 16 << 20
+KEPT = 1 << 20
+SLICE = 4 << 20
 MARK = "\x1f"
 JOINED, GATHERED = 1000, 1 << 14
 #: White space beyond space and line feed; texts that hold any are encoded whole.
