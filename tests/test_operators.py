@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from tracegrain.functions import bits, names, ordering, privacy, store
 from tracegrain.operators import audit, benchmark, candidates, packets, reconstruction, reports, scoring, spectral, timebase, verdicts, walk
 from tracegrain.sources import outputs, sessions
-from tracegrain.streaming.segments import streaming_segments
+from tracegrain.streaming.segments import stateful_segments, streaming_segments
 
 
 def one(spark, col):
@@ -254,6 +254,58 @@ def test_streaming_segments(spark, tmp_path):
     assert sorted(r.n for r in spark.table("segs").collect()) == [2, 2]
 
 
+@pytest.mark.parametrize("split", [[0, 7, 19, 60], [0, 30, 31, 60]])
+def test_stateful_segments(spark, tmp_path, split):
+    """Three micro-batches with a restart before the last, replayed packets and shuffled rows: the batch job's segments."""
+    r = np.random.default_rng(split[1])
+    rows, now = [], {"a": 0, "b": 500}
+    for k in range(60):
+        for s in ("a", "b") if k % 3 else ("a",):
+            now[s] += int(r.choice([1000, 1000, 1400, 0, -300, 5000]))
+            rows.append((s, k, now[s], r.integers(0, 9, r.integers(0, 4)).tolist() if k % 5 else None))
+    schema = "session string, arrival long, received_ms long, payload array<long>"
+    ts = F.timestamp_millis(F.greatest("received_ms", F.lit(0)) + 10**12)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run(query):
+        stream = spark.readStream.schema(schema + ", ts timestamp").parquet(str(tmp_path / "in"))
+        q = stateful_segments(stream, 1500.0, "1 hour", "10 minutes", channels=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).queryName(query).start()
+        q.processAllAvailable()
+        q.stop()
+
+    (tmp_path / "in").mkdir()
+    for i, (a, b) in enumerate(zip(split, split[1:], strict=False)):
+        part = [x for x in rows if a <= x[1] < b] + ([x for x in rows if x[1] == a - 1] if i else [])  # and a replay
+        r.shuffle(part)
+        spark.createDataFrame([tuple(x) for x in part], schema).withColumn("ts", ts).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run(f"part{i}")
+    late = [("c", 0, 10**8, None)]  # the watermark passes all open segments
+    spark.createDataFrame(late, schema).withColumn("ts", ts).write.mode("append").parquet(str(tmp_path / "in"))
+    run("end")
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    numbered = spark.createDataFrame([(s, i, ms) for s in ("a", "b") for i, (_, _, ms, _) in enumerate(x for x in rows if x[0] == s)], "session string, ordinal long, received_ms long")
+    want = timebase.segment_ranges(numbered, fixed_ms=1500.0).collect()
+    key = lambda x: (x.session, x.segment, x.packet_start, x.packet_end, x.span_ms)
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert {x.closed for x in got} == {"gap", "regression", "idle"}
+    for s in ("a", "b"):
+        last = max((x for x in got if x.session == s), key=lambda x: x.segment)
+        assert last.closed == "idle" and last.phase == sum(len(x[3] or []) for x in rows if x[0] == s) == sum(x.words for x in got if x.session == s)
+
+
+def test_previous_and_running_sums(spark):
+    """Values are carried over blocks of two and over nulls."""
+    rows = [("a", k, None if k in (0, 3, 4, 5, 6) else k * 10) for k in (0, 1, 2, 3, 4, 5, 6, 9, 11)] + [("b", 4, 7), ("b", 5, None)]
+    df = spark.createDataFrame(rows, "s string, k long, v long")
+    got = {(r.s, r.k): (r.p, r.h) for r in ordering.running_sums(ordering.previous(df, ["s"], "k", "v", "p", 2), ["s"], "k", [F.col("k"), F.coalesce("v", F.lit(0))], "h", 2).collect()}
+    before, total, want = {}, {}, {}
+    for s, k, v in rows:
+        want[s, k] = (before.get(s), list(total.setdefault(s, [0, 0])))
+        before[s] = before.get(s) if v is None else v
+        total[s] = [total[s][0] + k, total[s][1] + (v or 0)]
+    assert got == want
+
+
 def test_walk(spark):
     deep = "1"
     for _ in range(12):

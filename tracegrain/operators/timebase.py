@@ -44,19 +44,20 @@ def thresholds(packets: DataFrame, floor_ms: float = GAP_MS) -> DataFrame:
     return deltas(packets).groupBy("session").agg(median.alias("median_ms")).withColumn("threshold_ms", F.greatest(F.col("median_ms") * 1.5, F.lit(floor_ms)))
 
 
-def segments(packets: DataFrame, floor_ms: float = GAP_MS) -> DataFrame:
-    """Packets with ``segment``: a new one starts where time goes back or a gap passes the session's threshold.
+def segments(packets: DataFrame, floor_ms: float = GAP_MS, fixed_ms: float | None = None) -> DataFrame:
+    """Packets with ``segment``: a new one starts where time goes back or a gap passes the session's threshold, or ``fixed_ms``.
 
     Thresholds have one row a session, so they are joined, not gathered; segments are counted up by blocks of packets.
     """
-    marked = deltas(packets).join(thresholds(packets, floor_ms), "session")
+    known = deltas(packets)
+    marked = known.join(thresholds(packets, floor_ms), "session") if fixed_ms is None else known.withColumn("threshold_ms", F.lit(fixed_ms))
     cut = F.when((F.col("delta") < 0) | (F.col("delta") > F.col("threshold_ms")), 1).otherwise(0)
     return running_sum(marked, ["session"], "ordinal", cut, "segment")
 
 
-def segment_ranges(packets: DataFrame, floor_ms: float = GAP_MS) -> DataFrame:
+def segment_ranges(packets: DataFrame, floor_ms: float = GAP_MS, fixed_ms: float | None = None) -> DataFrame:
     """session, segment, packet_start (inclusive), packet_end (exclusive), span_ms."""
-    return segments(packets, floor_ms).groupBy("session", "segment").agg(F.min("ordinal").alias("packet_start"), (F.max("ordinal") + 1).alias("packet_end"), (F.max_by("received_ms", "ordinal") - F.min_by("received_ms", "ordinal")).alias("span_ms"))
+    return segments(packets, floor_ms, fixed_ms).groupBy("session", "segment").agg(F.min("ordinal").alias("packet_start"), (F.max("ordinal") + 1).alias("packet_end"), (F.max_by("received_ms", "ordinal") - F.min_by("received_ms", "ordinal")).alias("span_ms"))
 
 
 def sample_times(packets: DataFrame, samples: int) -> DataFrame:
