@@ -1,6 +1,7 @@
 """Core operators on hand-computed cases."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracegrain.functions import bits, names, ordering, privacy, store
-from tracegrain.operators import audit, benchmark, candidates, packets, reconstruction, reports, scoring, spectral, timebase, verdicts, walk
+from tracegrain.operators import audit, benchmark, candidates, packets, reconstruction, reports, scoring, spectral, spectral_blocks, timebase, verdicts, walk
 from tracegrain.sources import outputs, sessions
 from tracegrain.streaming.segments import stateful_segments, streaming_segments
 
@@ -127,6 +128,36 @@ def test_spectra_by_definition():
     assert own["acf_lag"][0] == 4 + int(np.argmax(acf[4:41])) and np.isclose(own["acf_height"][0], max(acf[4:41]))
 
 
+def _pieces(spark, rows, step):
+    parts = [(k, i, [float(v) for v in x[a : a + step]], fs) for k, x, fs in rows for i, a in enumerate(range(0, len(x), step))]
+    return spark.createDataFrame(parts, "k int, ordinal long, values array<double>, fs double")
+
+
+def test_spectra_by_blocks_are_those_of_whole_segments(spark):
+    r = np.random.default_rng(8)
+    t = np.arange(3000) / 33
+    rows = [(0, 9000 * np.sin(2 * np.pi * 1.2 * t) + r.normal(0, 50, 3000), 33.0), (1, r.normal(0, 1, 1024), 64.0), (2, np.full(900, 7.0), 33.0), (3, t[:40], 33.0), (4, r.normal(0, 1, 513).cumsum(), 20.0), (5, np.sin(t[:100]), 33.0), (6, r.integers(-9, 9, 2047).astype(float), 250.0)]
+    whole = spark.createDataFrame([(k, [float(v) for v in x], fs) for k, x, fs in rows], "k int, values array<double>, fs double")
+    want = {x.k: x for x in spectral.segment_periodicity(whole).collect()}
+    for size in (300, 512, spectral_blocks.SAMPLES):
+        got = {x.k: x for x in spectral_blocks.periodicity(_pieces(spark, rows, 23), ["k"], size).collect()}
+        assert sorted(got) == sorted(want)
+        for k, w in want.items():
+            for name, v in w.asDict().items():
+                assert got[k][name] == (pytest.approx(v, rel=1e-9, abs=1e-12) if isinstance(v, float) else v), (size, k, name)
+    assert spectral_blocks.periodicity(_pieces(spark, [], 23), ["k"]).count() == 0
+
+
+def test_spectra_of_a_long_recording(spark):
+    """A million and a half samples without a gap, made by Spark: no row is longer than a block and what it reaches over."""
+    n, fs = 1_500_000, 64.0
+    values = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.floor(10000 * F.sin((F.col("id") * 64 + i) * (2 * math.pi * 1.25 / fs)) + (F.col("id") * 64 + i) * 7919 % 211).cast("double"))
+    pieces = spark.range(-(-n // 64)).select(F.lit(1).alias("k"), F.col("id").alias("ordinal"), values.alias("values"), F.lit(fs).alias("fs"))
+    assert spectral_blocks.sample_blocks(pieces, ["k"]).select(F.max(F.size("x"))).first()[0] <= spectral_blocks.SAMPLES + 256 + 128
+    got = spectral_blocks.periodicity(pieces, ["k"]).first()
+    assert got.usable and abs(got.dominant_hz - 1.25) < 0.13 and got.acf_peak > 0.9 and abs(got.acf_lag_s - 0.8) < 0.02
+
+
 def test_channel_pairs(spark):
     a = np.random.default_rng(1).normal(0, 1, 400)
     rows = [(0, 0, a, 33.0), (0, 1, -np.roll(a, 5), 33.0), (1, 0, a, 33.0), (1, 1, a, 33.0), (2, 0, a[:5], 33.0), (2, 1, a, 33.0), (3, 0, np.zeros(90), 33.0), (3, 1, a[:90], 33.0)]

@@ -36,7 +36,7 @@ def estimates(records: DataFrame) -> DataFrame:
     """Per record (record_id, subject_id, values, fs_hz, quality_label, reference_hr_bpm): the guessed label, 1 for a band
     ratio of 0.15 or more, and the rate a minute of the band's peak; 0 and null for under 64 samples."""
     renamed = records.withColumnRenamed("fs_hz", "fs")
-    facts = spectral._measured(renamed, ["values"], spectral.measure_segments, ["spread", "in_band", "power", "dominant_hz"], spectral.LEAST_SAMPLES)
+    facts = spectral.measured(renamed, ["values"], spectral.measure_segments, ["spread", "in_band", "power", "dominant_hz"], spectral.LEAST_SAMPLES)
     ratio = F.col("in_band") / (F.col("power") + spectral.TINY)
     guess = F.when((F.col("spread") >= spectral.FLAT) & (ratio >= spectral.USABLE_RATIO), 1).otherwise(0)
     return facts.select("record_id", "subject_id", F.col("quality_label").alias("truth"), "reference_hr_bpm", guess.alias("guess"), (F.col("dominant_hz") * 60.0).alias("bpm"))

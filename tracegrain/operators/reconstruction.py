@@ -100,13 +100,24 @@ def gap_segments(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: fl
 
     ``fs`` is the number of words of a whole packet over the session's median step, for every channel alike.
     """
+    rows = _segment_words(payloads, grid, length, floor_ms).groupBy(*GRID, "segment").agg(F.min("ordinal").alias("packet_start"), (F.max("ordinal") + 1).alias("packet_end"), F.first("fs").alias("fs"), F.array_sort(F.collect_list(F.struct("ordinal", "i", "x"))).alias("v"))
+    return rows.select(*GRID, "segment", "packet_start", "packet_end", "fs", F.transform("v", lambda s: s["x"].cast("double")).alias("values"))
+
+
+def _segment_words(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float) -> DataFrame:
+    """The grid's words (GRID, segment, fs, ordinal, i, x)."""
     usable = payloads.where(F.size("payload") == length)
     cut = timebase.segments(usable.select("session", "ordinal", "received_ms"), floor_ms)
     placed = cut.select("session", "ordinal", "segment", (F.lit(float(length)) / (F.col("median_ms") / 1000.0)).alias("fs"))
     words = channels(usable, grid, length).join(placed, ["session", "ordinal"])
-    key = hypothesis_key(F.col("hypothesis"), F.col("variant"))
-    rows = words.groupBy("session", "layout", key.alias("hypothesis"), "channel", "segment").agg(F.min("ordinal").alias("packet_start"), (F.max("ordinal") + 1).alias("packet_end"), F.first("fs").alias("fs"), F.array_sort(F.collect_list(F.struct("ordinal", "i", "x"))).alias("v"))
-    return rows.select(*GRID, "segment", "packet_start", "packet_end", "fs", F.transform("v", lambda s: s["x"].cast("double")).alias("values"))
+    return words.withColumn("hypothesis", hypothesis_key(F.col("hypothesis"), F.col("variant")))
+
+
+def segment_pieces(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float = timebase.GAP_MS) -> DataFrame:
+    """What ``gap_segments`` cuts, packet by packet: GRID, segment, ordinal, the packet's values of that channel in order, fs. For
+    ``spectral_blocks``, which measure segments of any length."""
+    rows = _segment_words(payloads, grid, length, floor_ms).groupBy(*GRID, "segment", "ordinal").agg(F.first("fs").alias("fs"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    return rows.select(*GRID, "segment", "ordinal", "fs", F.transform("v", lambda s: s["x"].cast("double")).alias("values"))
 
 
 def spectral_rollup(periodicity: DataFrame) -> DataFrame:
