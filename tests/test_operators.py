@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,11 +250,63 @@ def test_outputs(spark, tmp_path):
 def test_benchmark(spark, tmp_path):
     (tmp_path / "signals").mkdir()
     t = np.arange(400) / 20
-    (tmp_path / "signals" / "a.txt").write_text("\n".join(map(str, np.sin(2 * np.pi * 1.25 * t))))
+    wave = np.sin(2 * np.pi * 1.25 * t)
+    (tmp_path / "signals" / "a.txt").write_text("\n".join(map(str, wave)))
+    np.save(tmp_path / "signals" / "b.npy", wave)
+    np.save(tmp_path / "signals" / "c.npy", (wave * 1000).astype(np.int16).reshape(20, 20))
     rec = {"record_id": "r1", "subject_id": "s", "fs_hz": 20.0, "quality_label": 1, "reference_hr_bpm": 75.0, "signal_file": "signals/a.txt"}
-    (tmp_path / "manifest.json").write_text(json.dumps({"version": "2.0.0", "records": [rec, rec | {"record_id": "r2", "signal_file": "signals/none.txt"}]}))
-    got = benchmark.estimates(benchmark.read_manifest(spark, str(tmp_path))).collect()
-    assert [r.record_id for r in got] == ["r1"] and got[0].guess == 1 and abs(got[0].bpm - 75) < 8
+    records = [rec, rec | {"record_id": "r2", "signal_file": "signals/none.txt"}, rec | {"record_id": "r3", "signal_file": "signals/b.npy"}, rec | {"record_id": "r4", "signal_file": "signals/c.npy"}, rec | {"record_id": "r5", "signal_file": "signals/none.npy"}]
+    (tmp_path / "manifest.json").write_text(json.dumps({"version": "2.0.0", "records": records}))
+    read = {r.record_id: r["values"] for r in benchmark.read_manifest(spark, str(tmp_path)).collect()}
+    assert sorted(read) == ["r1", "r3", "r4"] and read["r1"] == read["r3"] == wave.tolist() and read["r4"] == (wave * 1000).astype(np.int16).tolist()
+    got = {r.record_id: r for r in benchmark.estimates(benchmark.read_manifest(spark, str(tmp_path))).collect()}
+    assert all(r.guess == 1 and abs(r.bpm - 75) < 8 for r in got.values())
+    (tmp_path / "signals" / "b.npy").write_bytes(b"no array")
+    with pytest.raises(Exception, match="signals/b.npy is no array"):
+        benchmark.read_manifest(spark, str(tmp_path)).collect()
+
+
+def test_split_by_subjects(spark):
+    rows = [(f"r{i:03}", f"s{i * 7 % 23:02}") for i in range(120)] + [("x", None)]
+    got = [r.record_id for r in benchmark.by_subject(spark.createDataFrame(rows, "record_id string, subject_id string"), 5).orderBy("place").collect()]
+    subjects = [None, *sorted({s for _, s in rows if s})]
+    np.random.default_rng(5).shuffle(subjects)
+    assert got == [r for s in subjects for r in sorted(r for r, t in rows if t == s)]
+
+
+def test_top_k(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 101).alias("v"), "id")
+    top = reports.top_k(rows, ["g"], [F.desc("v"), F.col("id")], 4)
+    want = {(g, *x) for g in range(3) for x in sorted(((i * 37 % 101, i) for i in range(g, 1000, 3)), key=lambda x: (-x[0], x[1]))[:4]}
+    assert {(r.g, r.v, r.id) for r in top.collect()} == want
+    plan = top._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
+
+
+def test_sorted_files(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = spark.range(4000).select((F.col("id") * 7 % 40).alias("session"), F.lit("L").alias("layout"), F.lit("H").alias("hypothesis"), (F.col("id") % 3).alias("channel"), F.col("id").alias("segment"), F.lit(0).alias("packet_start"), F.lit(1).alias("packet_end"), F.lit(1.0).alias("fs"), F.array(F.lit(1.0)).alias("values"))
+    outputs.write_segments(rows, path)
+    ranges = []
+    for f in (tmp_path / "s").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        stats = [meta.row_group(i).column(0).statistics for i in range(meta.num_row_groups)]
+        ranges.append((min(x.min for x in stats), max(x.max for x in stats)))
+    ranges.sort()
+    assert len(ranges) > 1 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert sum(lo <= 7 <= hi for lo, hi in ranges) <= 2 and spark.read.parquet(path).where("session = 7").count() == 100
+
+
+def test_frames_and_older_reports(spark):
+    per = spark.createDataFrame([(True, ["periodic_candidate"]), (False, ["weak_periodicity"]), (False, ["flatline_segment"]), (False, ["flatline_segment"])], "usable boolean, reasons array<string>")
+    assert {r.kind: r.n for r in reports.periodicity_frame(per).collect()} == {"plausible": "1", "weak": "1", "non_evaluable": "2"}
+    assert {r.n for r in reports.periodicity_frame(per.limit(0)).collect()} == {"NOT_AVAILABLE"}
+    old = spark.createDataFrame([((3, 40, 192, 1500.0), 66, "119", "UNVERIFIED", ["x"])], "meta struct<session_count:long,packet_count:long,candidate_count:long,gap_threshold_ms:double>, nominal_payload_length long, datatype_mode string, selected_status string, privacy_posture array<string>")
+    row = reports.from_legacy(old, 2).first()
+    assert (row.schema_version, row.session_count, row.decoder_status, row.malformed_packet_count, row.total_gap_count, row.max_gap_ms) == ("dashboard.safe.v1", 3, "UNVERIFIED", None, None, None)
+    one_ = spark.createDataFrame([((5, 2), [], {"pending_upload": 0}, [])], "meta struct<row_count:long,column_count:long>, modality_coverage array<string>, inconsistency_counts map<string,long>, privacy_posture array<string>")
+    first = reports.from_legacy(one_, 1).first()
+    assert (first.row_count, first.upload_completion_count, first.upload_pending_count) == (5, None, None)
 
 
 def test_confusion(spark):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracegrain.functions.ordering import previous
 from tracegrain.functions.store import stored
 
 from .cells import cell_status
@@ -80,9 +81,9 @@ def validation(sessions: DataFrame, cell: str = "raw_packets_json", key: str = "
     """
     cells = stored(cell_states(sessions, cell, key), "packet-cells")  # told apart once, looked at twice
     states = cells.where(F.col("state") != "packets").select(F.concat(F.lit("cell_"), "state").alias("name"))
-    packets = validated(_packets(cells, key))
-    w = Window.partitionBy(key).orderBy("packet_ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last("received_at_ms", ignorenulls=True).over(w)
+    told = stored(validated(_packets(cells, key)).select(key, "packet_ordinal", "received_at_ms", "data_type", "payload", "schema_ok", "codes"), "packets")
+    packets = previous(told, [key], "packet_ordinal", "received_at_ms", "_before")  # by blocks, as a cell may hold very many
+    before = F.col("_before")
     size = F.size("payload")
     has, typed = F.col("payload").isNotNull(), F.coalesce(F.col("data_type") == EXPECTED_TYPE, F.lit(False))
     late = F.when(F.col("received_at_ms") < before, "timestamp_regression").when(F.col("received_at_ms") == before, "timestamp_duplicate")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions.bits import transform_word
+from tracegrain.functions.ordering import running_sum
 
 from . import spectral, timebase, verdicts
 
@@ -42,8 +43,7 @@ def channels(payloads: DataFrame, grid: DataFrame, length: int) -> DataFrame:
     words (blocked) of the session, in closed form from the packet's place. ``grid`` is a fixed small table.
     """
     usable = payloads.where(F.size("payload") == length)
-    place = F.row_number().over(Window.partitionBy("session").orderBy("ordinal")) - 1
-    numbered = usable.select("session", "ordinal", "payload", place.cast("long").alias("place"))
+    numbered = running_sum(usable.select("session", "ordinal", "payload"), ["session"], "ordinal", F.lit(1), "place", inclusive=False)
     words = numbered.join(F.broadcast(grid), F.lit(True)).select("session", "ordinal", "place", "hypothesis", "variant", "channel_count", F.size("signal").alias("n"), F.posexplode(F.transform("signal", lambda i: F.get("payload", i))).alias("i", "x"))
     c, n, i, k = F.col("channel_count"), F.col("n"), F.col("i"), F.col("place")
     block = F.floor(n / c)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions import privacy
@@ -127,3 +127,49 @@ def status_cards(row: DataFrame, **fields: str) -> DataFrame:
     """The statuses of a research summary as cards (title, status); what is missing is NOT_AVAILABLE, no status is made up."""
     each = F.array(*[F.struct(F.lit(title.replace("_", " ")).alias("title"), present_or_na(F.col(c)).alias("status")) for title, c in fields.items()])
     return row.select(*[c for c in row.columns if c not in fields.values()], F.inline(each))
+
+
+def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group with their ``rank`` from 1. Spark limits each partition's groups to k rows before it
+    shuffles them and once more after, so a group brings at most k rows a partition to its task; ties go as ``order`` says."""
+    place = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
+def session_frame(summaries: DataFrame) -> DataFrame:
+    """Packets and gaps of each session under its label (session: its number)."""
+    return summaries.select(session_label(F.col("session")).alias("session"), "packet_count", "gap_count")
+
+
+def hypothesis_frame(rollup: DataFrame) -> DataFrame:
+    """A spectral roll-up's scores under the names that a report has for them."""
+    return rollup.select("layout", "hypothesis", F.col("mean_band_power_ratio").alias("band_ratio"), "usable_fraction", F.col("cv").alias("frequency_cv"))
+
+
+def periodicity_frame(periodicity: DataFrame) -> DataFrame:
+    """Segments that are plausibly periodic, weakly so, and those that can't be evaluated (kind, n); NOT_AVAILABLE where there
+    are no segments at all."""
+    barred = F.exists("reasons", lambda r: r.isin("segment_too_short", "segment_duration_short", "flatline_segment"))
+    kinds = {"plausible": F.col("usable") & ~barred, "weak": ~F.col("usable") & ~barred, "non_evaluable": barred}
+    counts = periodicity.agg(F.count("*").alias("_all"), *[F.count_if(c).alias(k) for k, c in kinds.items()])
+    shown = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(F.col("_all") > 0, F.col(k).cast("string")).otherwise(NOT_AVAILABLE).alias("n")) for k in kinds])
+    return counts.select(F.inline(shown))
+
+
+# fixed values: the version of safe rows, and where an older report of each phase has their columns, if it has them
+SAFE_VERSION = "dashboard.safe.v1"
+LEGACY = {
+    1: {"row_count": "meta.row_count", "column_count": "meta.column_count", "modality_coverage": "modality_coverage", "inconsistency_counts": "inconsistency_counts", "upload_completion_count": None, "privacy_posture": "privacy_posture"},
+    2: {"session_count": "meta.session_count", "packet_count": "meta.packet_count", "malformed_packet_count": None, "candidate_count": "meta.candidate_count", "nominal_payload_length": "nominal_payload_length", "datatype_mode": "datatype_mode", "decoder_status": "selected_status", "top_decoder_family": None, "total_gap_count": None, "max_gap_ms": None, "gap_threshold_ms": "meta.gap_threshold_ms", "privacy_posture": "privacy_posture"},
+    3: {"verdict": "channel_compatibility.verdict", "frequency_agreeing": "channel_compatibility.frequency_agreeing_pairs", "frequency_evaluable": "channel_compatibility.frequency_evaluable_pairs", "frequency_agreement_fraction": "channel_compatibility.frequency_agreement_fraction", "median_zero_lag_correlation": "channel_compatibility.median_abs_zero_lag_correlation", "median_max_lagged_correlation": "channel_compatibility.median_max_abs_lagged_correlation", "median_coherence": "channel_compatibility.median_coherence", "median_best_lag_samples": "channel_compatibility.median_best_lag_samples", "rate_status": "rate_status"},
+}
+
+
+def from_legacy(rows: DataFrame, phase: int) -> DataFrame:
+    """Rows of an older report of ``phase`` 1, 2 or 3 as safe rows. What the older form doesn't have is null, never 0; pending
+    uploads of phase 1 are null unless some are counted."""
+    columns = [(F.lit(None).cast("long") if src is None else F.col(src)).alias(name) for name, src in LEGACY[phase].items()]
+    if phase == 1:
+        pending = F.col("inconsistency_counts")["pending_upload"]
+        columns.append(F.when(pending > 0, pending).alias("upload_pending_count"))
+    return rows.select(F.lit(SAFE_VERSION).alias("schema_version"), *columns)

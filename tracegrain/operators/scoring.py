@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions.bits import ORDERS, transform_word
-from tracegrain.functions.ordering import running_sum
+from tracegrain.functions.ordering import previous, running_sum
 
 CHANNELS = [1, 2, 3, 4, 5, 6, 8, 11]
 
@@ -30,21 +30,21 @@ def phased(payloads: DataFrame) -> DataFrame:
 
 
 def channel_words(payloads: DataFrame, channels: list[int], signedness: str = "int24", order: str = "CAB") -> DataFrame:
-    """Rows (channel_count, layout, session, channel, ordinal, idx, x) for both layouts and each number of channels."""
+    """Rows (channel_count, layout, session, channel, ordinal, pos, place, x) for both layouts and each number of channels;
+    ``place`` counts the session's words."""
     each = phased(payloads).select("session", "ordinal", "before", F.posexplode("payload").alias("pos", "v"))
     x = transform_word(F.col("v"), signedness, order)
     specs = F.explode(F.array(*[F.struct(F.lit(c).alias("channel_count"), F.lit(m).alias("layout")) for c in channels for m in ("packet_local", "continuous")])).alias("spec")
     spec = each.select("session", "ordinal", "before", "pos", x.alias("x"), specs).select("*", "spec.*").drop("spec")
     at = F.when(F.col("layout") == "continuous", F.col("before") + F.col("pos")).otherwise(F.col("pos").cast("long"))
-    return spec.select("channel_count", "layout", "session", F.pmod(at, F.col("channel_count").cast("long")).alias("channel"), "ordinal", "pos", "x")
+    return spec.select("channel_count", "layout", "session", F.pmod(at, F.col("channel_count").cast("long")).alias("channel"), "ordinal", "pos", (F.col("before") + F.col("pos")).alias("place"), "x")
 
 
 def channel_stats(channel_rows: DataFrame) -> DataFrame:
     """Per spec, session and channel: samples, energy, saturation, equal neighbours within packets, mean absolute step,
     and the mean jump over packet edges, where each packet's first word meets the channel's last word before it."""
     spec = ["channel_count", "layout", "session", "channel"]
-    w = Window.partitionBy(*spec).orderBy("ordinal", "pos")
-    rows = channel_rows.select("*", F.lag("x").over(w).alias("_x"), F.lag("ordinal").over(w).alias("_o"))
+    rows = previous(channel_rows.withColumn("_v", F.struct("x", "ordinal")), spec, "place", "_v", "_p").select(*spec, "ordinal", "x", F.col("_p.x").alias("_x"), F.col("_p.ordinal").alias("_o"))
     d, inner = F.abs(F.col("x") - F.col("_x")), F.col("_o") == F.col("ordinal")
     edge = F.col("_o") < F.col("ordinal")
     full = (F.col("x") == 8388607) | (F.col("x") == -8388608)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrain.functions import privacy
-from tracegrain.operators import benchmark, cells, packets, positions, reconstruction, reports, spectral, timebase, verdicts
+from tracegrain.functions.store import stored
+from tracegrain.operators import benchmark, candidates, cells, packets, positions, reconstruction, reports, spectral, spectral_blocks, timebase, verdicts
 from tracegrain.sources import views
 
 from .registry import query
@@ -397,3 +398,45 @@ def loaded_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Usable packets of the first four sessions, their words read as signed and in the order CAB."""
     rows = reconstruction.load(views.timed_payloads(spark, sf), 64, most_sessions=4)
     return rows.select("session", "ordinal", F.aggregate("payload", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("""WITH p AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS o FROM events),
+d AS (SELECT *, ms - lag(ms) OVER (PARTITION BY session ORDER BY o) AS delta FROM p),
+g AS (SELECT *, sum(CASE WHEN delta < 0 OR delta > 86400000 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY o) AS segment FROM d),
+s AS (SELECT session, CAST(segment AS BIGINT) AS segment, min(o) AS packet_start, max(o) + 1 AS packet_end, CAST(arg_max(ms, o) - arg_min(ms, o) AS BIGINT) AS span_ms FROM g GROUP BY ALL)
+SELECT session, segment, packet_start, packet_end, span_ms, CAST(row_number() OVER (PARTITION BY session ORDER BY span_ms DESC, segment) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
+def longest_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The three longest segments of each session, cut where a day passes without a packet."""
+    return reports.top_k(timebase.segment_ranges(views.packets(spark, sf), fixed_ms=PER_DAY), ["session"], [F.desc("span_ms"), F.col("segment")], 3)
+
+
+@query("""WITH p AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events),
+d AS (SELECT *, ms - lag(ms) OVER (PARTITION BY session ORDER BY o) AS delta FROM p)
+SELECT printf('Session %03d', d.session) AS session, count(*) AS packet_count, count(*) FILTER (WHERE delta > 86400000) AS gap_count FROM d GROUP BY d.session""")
+def session_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Packets and gaps of more than a day of each session."""
+    return reports.session_frame(timebase.summaries(views.packets(spark, sf), PER_DAY))
+
+
+@query()
+def block_periodicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodicity of all segments of the grid, measured by blocks: no segment is ever a row."""
+    keys = [*reconstruction.GRID, "segment"]
+    return _joined(_rounded(spectral_blocks.periodicity(reconstruction.segment_pieces(views.timed_payloads(spark, sf), _grid(spark), 64), keys)), "reasons")
+
+
+@query()
+def measured_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """From payloads to gates, on what is measured: the grid's cell is chosen by its spectra, its channel pairs give each session's
+    verdict, its segments the rates, the decoder grid the decoder's status, and the benchmark's recordings the public error."""
+    timed = views.timed_payloads(spark, sf)
+    segs = stored(reconstruction.gap_segments(timed, _grid(spark), 64), "grid-segments")
+    periodicity = stored(spectral.segment_periodicity(segs), "periodicity")
+    chosen = stored(reconstruction.selected(reconstruction.spectral_rollup(periodicity)), "chosen")  # one row
+    cell = ["layout", "hypothesis"]
+    summary = verdicts.pair_summary(reconstruction.segment_pairs(segs.join(F.broadcast(chosen), cell, "left_semi")), ["session"])
+    rates = verdicts.mean_rates(periodicity.join(F.broadcast(chosen), cell, "left_semi").where("usable"), ["session"])
+    decoder = candidates.statuses(candidates.ranked(candidates.metrics(timed.select("session", "ordinal", "payload")))).where("rank = 1").select(F.col("status").alias("decoder_status"))
+    public = benchmark_estimates(spark, sf).select(F.col("median_abs_error").alias("public_error"), F.col("coverage").alias("public_coverage"))
+    rows = summary.select("session", "verdict", "evaluable_pairs", "frequency_fraction", "median_max_xcorr", "median_coherence").join(rates, "session", "left").join(F.broadcast(decoder)).join(F.broadcast(public)).join(F.broadcast(chosen))
+    return _rounded(_joined(verdicts.rate_gates(rows), "passed", "failed"))
