@@ -565,6 +565,12 @@ def test_first_fit_decreasing():
         free[k] -= sizes[i]
 
 
+def test_quality_sample_is_the_same_each_time(spark):
+    rows_ = spark.range(0, 3000, 1, 4).select(F.concat(F.lit("text of "), "id").alias("text"))
+    first, again = ({r.text for r in quality.sampled(rows_, 900).select("text").collect()} for _ in range(2))
+    assert first == again and 700 < len(first) < 1100
+
+
 def test_quality(table):
     want = []
     for d, t in texts(table):

@@ -1,8 +1,15 @@
 """The stages on the smallest tables, with planted rows."""
 
+import zlib
+from collections import Counter
+
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
+from test_corpus_operators import _contamination, _line_dedup, words
+from tokenizers import Tokenizer
+
+from tracegrain.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +65,32 @@ def test_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_pipeline_by_brute_force(spark):
+    """What the language stage keeps goes through the other four written out: all windows of lines, all pairs of shingle sets,
+    all benchmark windows, and each text's ids from the tokenizer."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = corpus_pipeline.save(corpus_pipeline.STAGES[0][1](spark, docs, SF), "known")
+    lines = list(_line_dedup(known))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for _, t in lines)]
+    top = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = top[i], top[j]
+                top = [min(a, b) if x in (a, b) else x for x in top]
+    least = {}
+    for i, t in enumerate(top):
+        least[t] = min(least.get(t, lines[i]), lines[i], key=lambda x: x[0])
+    apart = [(d, t or "") for d, t in least.values()]
+    bench = [(r.item_id, r.text or "") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    dirty = {x[0] for x in _contamination(apart, bench) if x[5]}
+    tok, want = Tokenizer.from_file(tokenizer_path()), Counter()
+    for d, t in apart:
+        if d not in dirty:
+            ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+            want.update((d, a, min(1024, len(ids) - a), zlib.crc32(ids[a : a + 1024].tobytes()), len(ids)) for a in range(0, len(ids), 1024))
+    got = corpus_pipeline.run(spark, SF)
+    assert Counter(tuple(r) for r in got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()) == want
+    assert dirty and len(apart) < len(lines)

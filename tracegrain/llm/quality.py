@@ -80,7 +80,7 @@ def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """About ``sample`` rows of ``docs`` (text), drawn at random over all partitions, with their base measures; stored.
     Texts of over LONGEST bytes are left out, so it has some megabytes at most. It sets the order of rules alone."""
     n = docs.count()
-    some = docs.select(F.coalesce("text", F.lit("")).alias("text")).sample(min(1.0, sample / max(1, n)), seed=11)
+    some = docs.select(F.coalesce("text", F.lit("")).alias("text")).sample(False, min(1.0, sample / max(1, n)), 11)
     return save(some.where(F.octet_length("text") <= LONGEST).select("text", base_measures(F.col("text")).alias("m")), "quality-sample")
 
 

@@ -186,7 +186,7 @@ def find_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """The number of each known shape, the digest of their spans, and all spans as text, for every row of ``docs``. Null
-    and empty texts have none; repeated rows each get a row; an empty table gives an empty one."""
+    and empty texts have none; repeated rows each get a row; an empty table gives an empty one. Other columns don't matter, whatever they are called."""
     found = find_secrets(docs.select("doc_id", "text"))
     n = lambda k: F.size(F.filter("base", lambda v: v["kind"] == k)).cast("long")
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

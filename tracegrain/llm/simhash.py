@@ -239,6 +239,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_documents(docs: DataFrame) -> DataFrame:
-    """near_duplicates() with the fingerprint as 16 lower-case hex digits."""
+    """near_duplicates() with the fingerprint as 16 lower-case hex digits. Other columns don't matter, whatever they are called."""
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
