@@ -186,6 +186,7 @@ def write_ids(docs: DataFrame, tokenizer: str, cut: type = tokens.WordCut, end_i
                     writer.add(ids, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), doc_ids.is_null().to_numpy(zero_copy_only=False), counts + 1)
                     documents += some.num_rows
             n = writer.close() if writer else 0
+        coder.rest()
         if writer:
             fs.move(own, local)
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "documents": [documents], "ids": [n]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))

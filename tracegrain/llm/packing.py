@@ -20,9 +20,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, cut: type = to
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def cut_up(batches):
+        coder = tokens.encoder(tokenizer, cut)
         for batch in batches:
             for some in tokens.slices(batch, 1):
-                ids, counts = tokens.encoder(tokenizer, cut).encode(some.column(1))
+                ids, counts = coder.encode(some.column(1))
                 ids, counts = np.insert(ids, np.cumsum(counts), 0).astype("<u4"), counts + 1
                 parts = -(-counts // length)
                 doc = np.repeat(np.arange(len(counts)), parts)
@@ -32,6 +33,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, cut: type = to
                 sums = [zlib.crc32(view[a:b]) for a, b in zip(begin.tolist(), (begin + sizes).tolist(), strict=True)]
                 columns = [some.column(0).take(pa.array(doc)), pa.array(start), pa.array(sizes), pa.array(sums, pa.int64()), pa.array(counts[doc])]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        coder.rest()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_up, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

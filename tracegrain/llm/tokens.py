@@ -6,11 +6,16 @@ as words do; Arrow finds the different ones of a batch and a worker keeps what t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT = 1 << 20
+#: Chunks that a worker knows at most while it is at work, and while it waits.
+KEPT, RESTING = 1 << 20, 1 << 17
 SLICE = 4 << 20
 MARK = "\x1f"
 JOINED, GATHERED = 1000, 1 << 14
@@ -76,6 +81,17 @@ class Encoder:
         self.known: dict[str, int] = {"": 0}
         self.starts, self.sizes, self.pool, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0
 
+    def rest(self) -> None:
+        """Before the worker waits for its next task: keep only the chunks met first, which are mostly the frequent ones."""
+        if len(self.known) > RESTING:
+            self.known = dict(itertools.islice(self.known.items(), RESTING))
+            self.starts, self.sizes = self.starts[:RESTING].copy(), self.sizes[:RESTING].copy()
+            self.filled = int(self.starts[-1] + self.sizes[-1])
+            self.pool = self.pool[: self.filled].copy()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # where the C library is another, it keeps what was freed
+            ctypes.CDLL(None).malloc_trim(0)
+
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
