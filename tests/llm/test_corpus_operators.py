@@ -532,6 +532,33 @@ def test_urls(spark):
         assert rows(got, *got.columns) == sorted(want, key=repr)
 
 
+def test_ten_thousand_url_rules(spark):
+    """Against all rules by brute force; an index by rarest tokens tries few of them."""
+    rng = np.random.default_rng(8)
+    names = [f"site{i}" for i in range(4000)]
+    rules = [("site", f"{names[int(i) % 4000]}.{('com', 'net')[int(i) % 2]}", f"/{('en', 'de', 'fr')[int(j) % 3]}/{('', 'p', 'news/')[int(j) % 5 % 3]}", ("allow", "block")[int(j) % 2]) for i, j in rng.integers(0, 12000, (10000, 2))]
+    rules += [("site", "ties.org", "/a/", "allow"), ("site", "ties.org", "/a/", "block"), ("site", "s.ties.org", "/", "allow"), ("site", "ties.org", "/bb/", "block"), ("site", "WHOLE.org", None, "block"), ("site", "a.com/b", "", "block"), ("site", "a.com", "/b", "allow")]
+    rules += [("site", "x+y\\E.org", "/(", "block"), ("host word", "casino", None, "block"), ("host word", "", "", "block"), ("folder", None, "Ads", "block"), ("other", "com", "/", "block"), ("site", "net", "/", None), ("site", "é", "/", "block"), ("site", "", "/no/", "block")]
+    hosts = [f"{w}{names[int(i)]}.{('com', 'net')[int(i) % 2]}" for w in ("", "www.", "my") for i in rng.integers(0, 4000, 40)] + ["ties.org", "s.ties.org", "whole.org", "x.whole.org", "wholeXorg", "a.com", "x+y\\e.org", "my-casino.org", "casinos.org", "é", "b.é"]
+    paths = ["", "/", "/en/", "/en/page", "/fr/news/1", "/de", "/a/", "/bb/", "/b", "/bc", "/(1", "/x/Ads/1", "/ads/", "/Ads", "/no/", "/en/" + "x" * 300_000]
+    pages = spark.createDataFrame([(k, f"http://{h}{p}?q#f", "clash") for k, (h, p) in enumerate((h, p) for h in hosts for p in (paths if len(h) < 12 else paths[:-1]))], "page_id long, url string, rank string")
+
+    known = [(k, lower(h or ""), p or "", v) for k, h, p, v in rules if v]
+
+    def hit(host, path):
+        out = [(1000 + len(h + p), h + p, v) for k, h, p, v in known if k == "site" and "/" not in h and (not h or host == h or host.endswith("." + h)) and path.startswith(p)]
+        out += [(10, "~casino", "block")] * bool(re.search(r"\bcasino\b", host)) + [(5, "~/Ads/", "block")] * ("/Ads/" in path)
+        return max(out, default=None)
+
+    table = spark.createDataFrame([(*r, "x") for r in rules], urls.RULE + ", token string")
+    compiled = urls.compile_rules(table)
+    got = urls.judge_urls(pages, compiled)
+    for r in got.collect():
+        assert (tuple(r.hit) if r.hit else None) == hit(r.host, r.path), (r.host, r.path[:50])
+    split = pages.select(*[c.alias(n) for c, n in zip(urls.split_url(F.col("url")), ("host", "path"), strict=True)]).distinct()
+    assert got.count() == pages.count() and urls.candidate_rules(split, compiled).count() < 8 * split.count()
+
+
 def test_packing(table):
     from tokenizers import Tokenizer
 
