@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracegrain.functions import bits, names, ordering, privacy, store
-from tracegrain.operators import audit, benchmark, candidates, packets, reconstruction, reports, scoring, spectral, spectral_blocks, timebase, verdicts, walk
+from tracegrain.operators import audit, benchmark, candidates, cells, packets, reconstruction, reports, scoring, spectral, spectral_blocks, timebase, verdicts, walk
 from tracegrain.sources import outputs, sessions
 from tracegrain.streaming.segments import stateful_segments, streaming_segments
 
@@ -59,6 +59,18 @@ def test_packets(spark):
     assert packets.usable(packets.validated(packets.packet_rows(rows)), 3).count() == 2
 
 
+def test_odd_cells_and_packets(spark):
+    texts = [None, " NaN ", "\n [1]", "[1", "null", '"x"', "{}", "[ ]", "[]x", "[1]]", "[1]}", "[1], [2]", '[1], "a": 2']
+    found = packets.cell_states(spark.createDataFrame(list(enumerate(texts)), "session_ordinal long, raw_packets_json string")).orderBy("session_ordinal")
+    assert [r.state for r in found.collect()] == ["empty", "empty", "packets", "malformed", "empty", "malformed", "malformed", "packets", *["malformed"] * 5]
+    kinds = spark.createDataFrame([(x,) for x in ("{}x", "{}", "1 2", "1", "[1]]", "[1]", "null", '"a" ')], "cell string").select(cells.cell_status(F.col("cell")).alias("s"))
+    assert [r.s for r in kinds.collect()] == ["malformed", "empty_object", "malformed", "scalar", "malformed", "array", "empty", "scalar"]
+    odd = [None, "text", [1], {**_packet([1], 5), "dicData": None}, {**_packet([1], 5), "dicData": [1]}, {**_packet([1], -5.0), "dataType": 119}, {**_packet([1, None], 5)}, {**_packet([], 5), "receivedAtMs": None}]
+    out = packets.validated(packets.packet_rows(spark.createDataFrame([(0, json.dumps(odd))], "session_ordinal long, raw_packets_json string"))).orderBy("packet_ordinal").collect()
+    assert [r.codes for r in out] == [["packet_not_object"]] * 3 + [["dicdata_missing"]] * 2 + [[], ["ppg_non_integer"], []]
+    assert [(r.data_type, r.received_at_ms, r.payload) for r in out[5:]] == [("119", -5, [1]), ("119", 5, None), ("119", None, [])]
+
+
 def _packets(spark, times):
     return spark.createDataFrame([(0, i, t) for i, t in enumerate(times)], "session long, ordinal long, received_ms long")
 

@@ -8,14 +8,30 @@ from pyspark.sql import functions as F
 NULLISH = ["", "null", "none", "nan"]
 
 
+def is_nullish(cell: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(cell, F.lit("")))).isin(NULLISH)
+
+
+def _parsed(text: Column) -> tuple[Column, Column]:
+    """Whether ``text`` is one JSON value and nothing more, and that value as a variant. The parser stops at the end of a value,
+    so the text is parsed as the first of two values in an array, of which the second is the text's hash."""
+    end = F.xxhash64(text)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), end.cast("string"), F.lit("]")))
+    return F.coalesce(F.try_variant_get(both, "$[1]", "long") == end, F.lit(False)), F.try_variant_get(both, "$[0]", "variant")
+
+
+def is_json(text: Column) -> Column:
+    return _parsed(text)[0]
+
+
 def cell_status(cell: Column) -> Column:
     """empty, malformed, null, empty_array, empty_object, array, object or scalar."""
     t = F.trim(F.coalesce(cell, F.lit("")))
-    v = F.try_parse_json(t)
+    whole, v = _parsed(t)
     kind = F.schema_of_variant(v)
     is_array, is_object = F.startswith(kind, F.lit("ARRAY<")), F.startswith(kind, F.lit("OBJECT<"))
     bare = F.regexp_replace(t, "\\s", "")
-    out = F.when(F.lower(t).isin(NULLISH), "empty").when(v.isNull(), "malformed")
+    out = F.when(F.lower(t).isin(NULLISH), "empty").when(~whole, "malformed")
     return out.when(bare == "[]", "empty_array").when(bare == "{}", "empty_object").when(is_array, "array").when(is_object, "object").when(F.is_variant_null(v), "null").otherwise("scalar")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracegrain.functions.ordering import previous
 from tracegrain.functions.store import stored
 
-from .cells import cell_status
+from .cells import is_json, is_nullish
 
 # fixed values: the keys of a packet and of its nested data
 TOP = ["dataEnd", "dataType", "dicData", "receivedAtMs"]
@@ -21,8 +21,8 @@ EXPECTED_TYPE = "119"
 
 def cell_states(sessions: DataFrame, cell: str = "raw_packets_json", key: str = "session_ordinal") -> DataFrame:
     """``key``, the cell and its ``state``: empty, malformed (another value than an array too) or packets."""
-    status = cell_status(F.col(cell))
-    state = F.when(status == "empty", "empty").when(status.isin("array", "empty_array"), "packets").otherwise("malformed")
+    is_array = F.regexp_like(cell, F.lit("^[ \\t\\r\\n]*\\[")) & is_json(F.trim(cell))
+    state = F.when(is_nullish(F.col(cell)), "empty").when(is_array, "packets").otherwise("malformed")
     return sessions.select(key, F.col(cell).alias("cell"), state.alias("state"))
 
 
@@ -36,34 +36,33 @@ def _packets(states: DataFrame, key: str) -> DataFrame:
     return states.select(key, F.posexplode(items).alias("packet_ordinal", "packet"))
 
 
-def _payload(raw: Column) -> Column:
-    """(values, code) of a payload that is an array, or text that holds one."""
-    text = F.when(F.startswith(F.trim(raw), F.lit("[")), raw)
-    items = F.from_json(text, "array<string>")
-    parsed = F.try_parse_json(raw)
-    whole = F.forall(items, lambda x: x.isNotNull() & F.regexp_like(x, F.lit(INTEGER)))
-    ints = F.when(whole, F.transform(items, lambda x: F.regexp_replace(x, "\\.0+$", "").try_cast("long")))
-    code = F.when(raw.isNull(), "ppg_missing").when(parsed.isNull(), "ppg_json_malformed").when(items.isNull(), "ppg_not_array").when(~F.coalesce(whole, F.lit(False)), "ppg_non_integer")
-    return F.struct(F.when(code.isNull(), ints).alias("values"), code.alias("code"))
+def _with_payload(rows: DataFrame, raw: str) -> DataFrame:
+    """``rows`` with _values and _code of the payload text ``raw``, which is an array, or text that holds one. Each step is a
+    projection of its own, so that no text is parsed twice."""
+    text = F.when(F.startswith(F.trim(raw), F.lit("[")), F.col(raw))
+    items = rows.withColumn("_items", F.from_json(text, "array<string>"))
+    whole = items.withColumn("_whole", F.forall("_items", lambda x: x.isNotNull() & F.regexp_like(x, F.lit(INTEGER))))
+    ints = whole.withColumn("_values", F.when(F.col("_whole"), F.transform("_items", lambda x: F.regexp_replace(x, "\\.0+$", "").try_cast("long"))))
+    broken = F.when(F.try_parse_json(raw).isNull(), "ppg_json_malformed").when(F.col("_items").isNull(), "ppg_not_array").otherwise("ppg_non_integer")
+    code = F.when(F.col(raw).isNull(), "ppg_missing").when(F.col("_whole") & F.try_parse_json(raw).isNotNull(), None).otherwise(broken)
+    return ints.withColumn("_code", code).withColumn("_values", F.when(F.col("_code").isNull(), F.col("_values"))).drop("_items", "_whole")
 
 
 def validated(packets: DataFrame) -> DataFrame:
     """``packets`` with data_type, received_at_ms, nested_time, payload, schema_ok and the codes of what is wrong."""
     j = F.col("packet")
-    keys = F.json_object_keys(F.when(F.startswith(F.trim(j), F.lit("{")), j))
+    is_object = lambda c: F.when(F.startswith(F.trim(c), F.lit("{")), F.col(c))
     top = F.array(*[F.lit(k) for k in TOP])
-    dic = F.get_json_object(j, "$.dicData")
-    dic_keys = F.json_object_keys(F.when(F.startswith(F.trim(dic), F.lit("{")), dic))
-    received = F.get_json_object(j, "$.receivedAtMs")
-    row = packets.select("*", keys.alias("_k"), dic.alias("_d"), dic_keys.alias("_dk"), received.alias("_r"), _payload(F.get_json_object(j, "$.dicData.PPG")).alias("_p"))
+    found = packets.select("*", F.json_object_keys(is_object("packet")).alias("_k"), F.json_tuple(j, "dataType", "receivedAtMs", "dicData").alias("_type", "_r", "_d"))
+    row = _with_payload(found.select("*", F.json_object_keys(is_object("_d")).alias("_dk"), F.get_json_object(j, "$.dicData.PPG").alias("_ppg")), "_ppg")
     missing, extra = F.size(F.array_except(top, "_k")) > 0, F.size(F.array_except("_k", top)) > 0
     ms = F.when(F.regexp_like("_r", F.lit("^-?[0-9]+(\\.0+)?$")), F.regexp_replace("_r", "\\.0+$", "").try_cast("long"))
     bad = [
         (F.col("_k").isNull(), "packet_not_object"), (missing, "missing_top_keys"), (extra, "extra_top_keys"), (F.col("_r").isNotNull() & ms.isNull(), "received_at_invalid"),
         (F.col("_k").isNotNull() & F.col("_dk").isNull(), "dicdata_missing"), (F.size(F.array_except(F.array(*[F.lit(k) for k in NESTED]), "_dk")) > 0, "dicdata_missing_keys"),
     ]
-    codes = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in bad], F.when(F.col("_dk").isNotNull(), F.col("_p.code"))), lambda x: x.isNotNull())
-    out = row.select(*packets.columns, F.get_json_object(j, "$.dataType").alias("data_type"), ms.alias("received_at_ms"), F.get_json_object(j, "$.dicData.Time").try_cast("double").alias("nested_time"), F.col("_p.values").alias("payload"), codes.alias("codes"))
+    codes = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in bad], F.when(F.col("_dk").isNotNull(), F.col("_code"))), lambda x: x.isNotNull())
+    out = row.select(*packets.columns, F.col("_type").alias("data_type"), ms.alias("received_at_ms"), F.get_json_object(j, "$.dicData.Time").try_cast("double").alias("nested_time"), F.col("_values").alias("payload"), codes.alias("codes"))
     return out.withColumn("schema_ok", F.size("codes") == 0)
 
 
