@@ -489,6 +489,40 @@ def test_language_id(hard, docs, spark):
     assert langid.predict(noise, model).first().rejected
 
 
+def _grams(text):
+    """Bins of byte 2- and 3-grams, gram by gram."""
+    b = b" " + b" ".join(bytes(32 if x < 128 and not chr(x).isalpha() else x for x in text.lower().encode()).split()) + b" "
+    out = Counter()
+    for i in range(len(b) - 2):
+        for k, code in ((1, b[i] * 256 + b[i + 1]), (2, b[i] * 65536 + b[i + 1] * 256 + b[i + 2])):
+            out[(code * 2654435761 + k * 40503) % 2**32 // 2**19] += 1
+    return out
+
+
+def test_language_id_by_brute_force(table):
+    """Document frequencies, TF-IDF, cosines and rejection written out; the centroids are the model's own, of unit length."""
+    model = langid.fit(table.where(~langid.held_out()))
+    learned = [r.text for r in table.where(~langid.held_out()).collect() if r.text is not None and r.lang is not None]
+    df = Counter(b for t in learned for b in _grams(t))
+    idf = [math.log((1 + len(learned)) / (1 + df[b])) + 1 for b in range(langid.BINS)]
+    assert np.allclose(model.idf, idf, rtol=1e-12)
+    assert np.allclose([math.sqrt(sum(float(x) ** 2 for x in c)) for c in model.centroids], 1, atol=1e-5)
+    judged = langid.predict(table.select("doc_id", "text"), model).collect()
+    assert len(judged) == table.count()
+    for r in judged:
+        if not r.text or not any(c.isalpha() for c in r.text) or not len(model.owner):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        v = {b: (1 + math.log(n)) * idf[b] for b, n in _grams(r.text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[b]) for b, x in v.items()) / norm for c in model.centroids]
+        best = max(cosines)
+        near = {model.languages[model.owner[i]] for i, c in enumerate(cosines) if c > best - 1e-6}
+        assert r.lang_pred in near and abs(r.score - best) < 1e-6
+        least = model.least[model.languages.index(r.lang_pred), min(langid.CLASSES - 1, len(r.text).bit_length())]
+        assert r.rejected == (best < least) or abs(best - least) < 1e-6
+
+
 def test_language_id_rejects_what_it_never_saw(spark):
     """At every length, other scripts and noise go, and of unseen documents nearly all stay."""
     whole = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
