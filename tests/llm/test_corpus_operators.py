@@ -678,3 +678,40 @@ def test_quality_skips_what_is_decided(spark):
     slow = quality.Rule("slow", lambda t, m: F.size(F.array_distinct(F.transform(F.split(t, ""), lambda c: F.sha2(F.concat(t, c), 512)))) < 0)
     assert [r.name for r in quality.ordered(docs, [slow, bad], 200)] == ["bad", "slow"]
     assert [r.name for r in quality.ordered(docs, [bad, slow], 200)] == ["bad", "slow"]
+
+
+def test_similar_sets_share_a_cell():
+    """The grid over popcounts loses no pair at a similarity of 0.8, whatever the sizes; unrelated sets seldom meet."""
+    r = np.random.default_rng(3)
+    met = 0
+    for n in [*range(1, 60), 93, 94, 200, 1000, 3000]:
+        for _ in range(4):
+            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+            less = int(r.integers(0, n // 4 + 1))
+            b = np.sort(np.concatenate([a[less:], r.integers(0, 1 << 63, n, dtype=np.uint64)[: max(0, (5 * (n - less)) // 4 - n)] << np.uint64(1)]))
+            c = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+            if not np.array_equal(a, b) and jaccard.similar(a, b, 8):
+                assert len(np.intersect1d(jaccard.grid(a, 8), jaccard.grid(b, 8)))
+                met += less > 0
+            assert n < 8 or len(np.intersect1d(jaccard.grid(a, 8), jaccard.grid(c, 8))) <= 1 + n // 100
+    assert met > 50
+
+
+def test_embeddings_are_a_lower_bound():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 60, 130, 5000, 40000):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+        b = np.sort(np.concatenate([a[n // 9 :], r.integers(0, 1 << 63, n // 4, dtype=np.uint64)]))
+        assert jaccard.manhattan(jaccard.embedding(a), jaccard.embedding(b)) <= len(np.setxor1d(a, b))
+        c = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+        assert n < 60 or jaccard.manhattan(jaccard.embedding(a), jaccard.embedding(c)) > n // 2
+
+
+def test_the_stage_asks_the_simhash_operator(spark, monkeypatch):
+    """Near copies reach the pipeline's stage as links of the SimHash operator too, not by the grid alone."""
+    asked = []
+    own = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda classes: asked.append(classes.columns) or own(classes))
+    text = [f"w{i}" for i in range(2000)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(["other", *text[1:]])), (3, "something else")], "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in simhash.similar_documents(docs).collect()} == {1: 1, 2: 1, 3: 3} and asked == [["fp"]]

@@ -1,9 +1,9 @@
-"""Pairs of texts that share at least a given part of their word shingles: an exact prefix filter, a bound from bit sketches,
-then exact checks."""
+"""Pairs of texts that share at least a given part of their word shingles: SimHash links, then a grid over the popcounts of
+segments that loses no pair, a bound from bit sketches, and exact checks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,8 @@ from .state import discard, save
 from .wordhash import SPACES, hash_words, mix
 
 CHUNK = 1 << 20
-SAMPLE, BLOCK, FEW = 10_000, 4096, 1_000_000
+BLOCK, FEW, FEW_CELLS = 4096, 1_000_000, 10_000
+SEGMENTS, AT_ONCE = 1024, 1 << 16  # segments of a group, and rows of a batch
 WORDS = 8
 SKETCH = [f"k{j}" for j in range(WORDS)]
 CELLS = "cell long, p long, q long, side long, node long, n long, at long"
@@ -70,63 +71,135 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64))
 
 
+def majority(s: np.ndarray) -> int:
+    """The SimHash of 64 bits of a set of hashes: a bit is 1 if it is in over half of them; 0 for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(s), 1 << 14):
+        ones += np.unpackbits(s[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view(np.int64)[0])
+
+
 def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node and the sketch's words k0, k1, ... of every document."""
+    """doc_id, node, fp (the SimHash) and the sketch's words k0, k1, ... of every document."""
 
     def make(batches):
         for batch in batches:
-            nodes, words = [], [np.zeros((0, WORDS), dtype=np.int64)]
+            nodes, fps, words = [], [], [np.zeros((0, WORDS), dtype=np.int64)]
             for s in shingle_sets(batch.column(1).to_pylist(), shingle):
                 nodes.append(node_of(s))
+                fps.append(majority(s))
                 words.append(sketch(s)[None])
             k = np.concatenate(words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *(pa.array(k[:, j]) for j in range(WORDS))], names=["doc_id", "node", *SKETCH])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), *(pa.array(k[:, j]) for j in range(WORDS))], names=["doc_id", "node", "fp", *SKETCH])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, f"doc_id long, node long, {', '.join(f'{k} long' for k in SKETCH)}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, f"doc_id long, node long, fp long, {', '.join(f'{k} long' for k in SKETCH)}")
 
 
-def _frequent(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that two or more of about SAMPLE documents have, ascending, and in how many. They only set an order."""
+def _edges() -> np.ndarray:
+    """Where the classes of sizes begin: each is half as wide again as the one before."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+    return np.array(out)
 
-    def explode(batches):
-        for batch in batches:
-            for s in shingle_sets(batch.column(0).to_pylist(), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["h"])
 
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(min(1 << 30, (SAMPLE << 30) // max(1, n))))
-    found = part.select("text").mapInArrow(explode, "h long").groupBy("h").count().where("count > 1").toArrow()
-    h, c = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
+EDGES = _edges()
 
 
-def _placed(docs: DataFrame, frequent, rate: float, shingle: int, tenths: int) -> DataFrame:
-    """Each set under the rarest of its shingles, by a fixed order of all shingles: as many as two similar sets must
-    meet in. ``at`` is the shingle's place in the set. A shingle of over BLOCK rows is dealt to pairs of blocks."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = CELLS.replace(" long", "").split(", ")
+def grid(s: np.ndarray, tenths: int) -> np.ndarray:
+    """The cells of a set: two similar sets have one in common.
+
+    A set is read as the ones of a fingerprint as long as the space of hashes. That is parted into groups of SEGMENTS segments,
+    and embedded as the popcounts of these; the Manhattan distance of two embeddings never exceeds the number of differing
+    ones. Similar sets, the smaller one of size n, differ in n * (10 - tenths) / tenths ones at most, so in no more of the groups,
+    and agree in the popcounts of all the others. Groups are as many as that, two, and a quarter more; the emptiest quarter
+    gives no cell, as all sets with few shingles would meet there: of two lists of cells in one order that share that many and one, the first ones without as many must
+    share one too. The number of groups goes by the size class of the smaller set, which a set takes to be any it can be.
+    """
+    n, out = len(s), [np.zeros(0, dtype=np.uint64)]
+    least, most = np.searchsorted(EDGES, [-(-n * tenths // 10), n], side="right") - 1
+    for c in range(max(0, least), most + 1):
+        apart = int(EDGES[c + 1] - 1) * (10 - tenths) // tenths
+        if not apart:
+            continue  # only equal sets are similar
+        groups = apart + 2 + apart // 4
+        salt = mix(np.array([c + 1], dtype=np.uint64))
+        segment = ((s >> np.uint64(32)) * np.uint64(groups * SEGMENTS)) >> np.uint64(32)  # ascends, as ``s`` does
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(segment + salt), dtype=np.uint64)])
+        edges = np.searchsorted(segment, np.arange(groups + 1, dtype=np.uint64) * np.uint64(SEGMENTS))
+        cells = mix(sums[edges[1:]] - sums[edges[:-1]] + mix(np.arange(1, groups + 1, dtype=np.uint64) ^ (salt << np.uint64(1))))  # of popcounts: a sum over ones
+        out.append(cells[np.lexsort((cells, -np.diff(edges)))[: apart + 1]])
+    return np.concatenate(out)
+
+
+def _placed(docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """(cell, node, n): each set, of ``n`` shingles, in each of its cells."""
 
     def place(batches):
-        often, counts = shared.value
         told: set[int] = set()  # copies are placed once a task
         for batch in batches:
+            cells, nodes, sizes, held = [], [], [], 0
             for s in shingle_sets(batch.column(0).to_pylist(), shingle):
-                node, n = node_of(s), len(s)
-                if not n or node in told:
+                node = node_of(s)
+                if not len(s) or node in told:
                     continue
                 told.add(node)
-                k = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
-                seen = np.where(often[k] == s, counts[k], 1) if len(often) else np.ones(n, dtype=np.int64)
-                prefix = np.lexsort((s, seen))[: n - (n * tenths + 9) // 10 + 1]
-                blocks = np.maximum(1, np.where(seen[prefix] > 1, np.ceil(seen[prefix] / rate / BLOCK), 1)).astype(np.int64)
-                at = np.repeat(np.arange(len(prefix)), blocks)
-                own = (node & 0x7FFFFFFF) % blocks[at]
-                other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                side = np.where(own == other, -1, own)
-                cols = [s[prefix][at].view(np.int64), np.minimum(own, other), np.maximum(own, other), side, np.full(len(at), node), np.full(len(at), n), at]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
-
-    return docs.select("text").mapInArrow(place, CELLS)
+                cells.append(grid(s, tenths))
+                nodes.append(node)
+                sizes.append(len(s))
+                held += len(cells[-1])
+                if held >= AT_ONCE:
+                    yield pack(cells, nodes, sizes)
+                    cells, nodes, sizes, held = [], [], [], 0
+            if held:
+                yield pack(cells, nodes, sizes)
+
+    def pack(cells, nodes, sizes):
+        k = [len(c) for c in cells]
+        cols = [np.concatenate(cells).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), k), np.repeat(np.array(sizes, dtype=np.int64), k)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["cell", "node", "n"])
+
+    return docs.select("text").mapInArrow(place, "cell long, node long, n long")
+
+
+def _shared(placed: DataFrame) -> DataFrame:
+    """Rows, without copies, of the cells in which different sets meet. A row is looked at beside its neighbours, so that no
+    task holds a cell."""
+
+    def meet(batches):
+        last, was_met = None, False
+        for batch in batches:
+            x = np.stack([batch.column(j).to_numpy() for j in range(3)])
+            x = x if last is None else np.concatenate([last, x], axis=1)
+            if not x.shape[1]:
+                continue
+            x = x[:, np.concatenate([[True], (x[:2, 1:] != x[:2, :-1]).any(axis=0)])]
+            same = x[0, 1:] == x[0, :-1]
+            before = np.concatenate([[was_met], same])
+            kept = x[:, :-1][:, before[:-1] | same]
+            last, was_met = x[:, -1:], bool(before[-1])
+            if kept.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["cell", "node", "n"])
+        if was_met:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=["cell", "node", "n"])
+
+    return placed.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(meet, "cell long, node long, n long")
+
+
+def dealt(placed: DataFrame, cell_rows: int, *kept: str) -> DataFrame:
+    """Rows by task: a cell of over ``cell_rows`` rows is dealt to blocks by the first of ``kept``, and every two of its blocks
+    meet by themselves."""
+    hot = save(placed.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > cell_rows), "hot-cells")
+    n_hot = hot.count()
+    if not n_hot:
+        return placed.select("cell", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(-1).alias("side"), *kept)
+    blocks = hot.select("cell", F.ceil(F.col("_n") / cell_rows).cast("int").alias("_k"))
+    marked = placed.join(F.broadcast(blocks) if n_hot <= FEW_CELLS else blocks, "cell", "left")
+    own = F.when(F.col("_k") > 1, F.pmod(F.xxhash64(kept[0]), F.col("_k")).cast("int"))
+    others = F.when(F.col("_k") > 1, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.array(F.lit(0)))
+    each = marked.withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", F.explode(others))
+    alone = F.col("_own") == F.col("_other")
+    return each.select("cell", F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), F.when(alone, -1).otherwise(F.col("_own")).alias("side"), *kept)
 
 
 def _by_cell(rows: DataFrame, schema: str, work) -> DataFrame:
@@ -159,14 +232,6 @@ def _run(x: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([[True], (x[:3, 1:] != x[:3, :-1]).any(axis=0)]))
 
 
-def _met(x: np.ndarray) -> np.ndarray:
-    """Rows, without copies, of the cells in which different sets meet."""
-    run = _run(x)
-    x = x[:, np.concatenate([[True], (run[1:] != run[:-1]) | (x[4, 1:] != x[4, :-1])])]
-    _, where, count = np.unique(_run(x), return_inverse=True, return_counts=True)
-    return x[:, count[where] > 1]
-
-
 def _may(x: np.ndarray, i: np.ndarray, j: np.ndarray, tenths: int) -> np.ndarray:
     """Which of the rows ``i`` and ``j``, two by two, may be similar: they aren't joined yet, and neither their sizes, nor
     what is left of both sets after the common shingle, nor their sketches forbid it."""
@@ -234,12 +299,49 @@ def _pairs_in(tenths: int, lags: int | None):
     return pairs
 
 
+def embedding(s: np.ndarray) -> bytes:
+    """The popcounts (255 at most) of a set's segments, of which there are a power of two, between half the set's size and all
+    of it."""
+    bits = max(6, len(s).bit_length() - 1)
+    found = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(found, 255).astype(np.uint8).tobytes()
+
+
+def manhattan(x: bytes, y: bytes) -> int:
+    """The distance of two embeddings, the finer one folded to the coarser: no more than the sets differ in."""
+    a, b = (np.frombuffer(e, np.uint8).astype(np.int64) for e in (x, y))
+    least = min(len(a), len(b))
+    return int(np.abs(a.reshape(least, -1).sum(axis=1) - b.reshape(least, -1).sum(axis=1)).sum())
+
+
+def _near(pairs: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """Those of the ``pairs`` whose embeddings lie within the Manhattan bound: what is left is a small part, so few texts travel."""
+
+    def embed(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1).to_pylist(), shingle))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([embedding(s) for s in sets], pa.binary())], names=["node", "n", "e"])
+
+    def bound(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(j).to_pylist() for j in range(2, 6)), strict=True)
+            ok = [manhattan(x, y) <= n + m - 2 * needed(n, m, tenths) for n, x, m, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    told = save(texts.select("node", "text").mapInArrow(embed, "node long, n long, e binary"), "embedded")
+    both = pairs.join(told.toDF("a", "na", "ea"), "a").join(told.toDF("b", "nb", "eb"), "b").select("a", "b", "na", "ea", "nb", "eb")
+    out = save(both.mapInArrow(bound, "a long, b long"), "bounded")
+    discard(told)
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, tenths: int) -> DataFrame:
     """Those of the ``pairs`` (a, b) whose texts are similar."""
     ids = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(firsts, "node"), "met-ids")
     few = ids.count() <= FEW
     texts = save(docs.select(F.col("doc_id").cast("long").alias("_first"), "text").join(F.broadcast(ids) if few else ids, "_first").select("node", "text"), "met-texts")
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    near = _near(pairs, texts, shingle, tenths)
+    both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def check(batches):
         for batch in batches:
@@ -248,32 +350,45 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     out = save(both.mapInArrow(check, "a long, b long"), "similar")
-    discard(ids, texts)
+    discard(ids, texts, near)
+    return out
+
+
+def _alike(rows: DataFrame, simhash_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a < b) of nodes whose SimHashes are equal or linked: a class of equal ones is a star around its least node."""
+    known = save(rows.select("node", "fp").distinct(), "fingerprints")
+    classes = save(known.groupBy("fp").agg(F.min("node").alias("least")), "classes")
+    of = lambda k: classes.select(F.col("fp").alias(k), F.col("least").alias(f"n{k}"))
+    across = simhash_links(classes.select("fp")).join(of("a"), "a").join(of("b"), "b").select("na", "nb")
+    within = known.join(classes, "fp").where(F.col("node") != F.col("least")).select("node", "least")
+    both = across.union(within).toDF("x", "y")
+    out = save(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "alike")
+    discard(known, classes)
     return out
 
 
-def linked(docs: DataFrame, shingle: int, tenths: int) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, shingle: int, tenths: int, simhash_links: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """``doc_id``, ``node`` (one for each different set) of all ``docs``, and the links ``a``, ``b`` between nodes that
     join all sets with a Jaccard similarity of ``tenths``/10 or more; none is lost and none is wrong (by 64-bit hashes).
 
-    ``docs`` is read several times, so its doc_id must be fixed, unique and not null. Two similar sets have a common
-    shingle among the rarest n - ceil(n * tenths / 10) + 1 of each. Neighbours in each shingle's rows are checked first;
-    then all other pairs that meet and that these links don't join already.
+    ``docs`` is read several times, so its doc_id must be fixed, unique and not null. Pairs that the SimHash operator links
+    (``simhash_links``, of distinct ``fp``), and neighbours in each cell of grid(), are checked first; then all other pairs that
+    meet in a cell and that these links don't join already.
     """
     names = CELLS.replace(" long", "").split(", ")
     rows = save(_nodes(docs, shingle), "nodes")
-    n = rows.count()
-    frequent = _frequent(docs, n, shingle)
-    met = save(_by_cell(_placed(docs, frequent, min(1.0, SAMPLE / max(1, n)), shingle, tenths), CELLS, _met), "met")
+    alike = _alike(rows, simhash_links)
+    shared = save(_shared(_placed(docs, shingle, tenths)), "shared")
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("_first"))
     sketches = rows.groupBy("node").agg(*[F.first(k).alias(k) for k in SKETCH])  # a node's rows all have the same
-    pairs = lambda table, lags: save(_by_cell(table, "a long, b long", _pairs_in(tenths, lags)).distinct(), "pairs")
-    bare, met = met, save(met.join(sketches, "node").select(*met.columns, *SKETCH), "sketched")
-    discard(bare)
-    near = pairs(met.select(*names, F.col("node").alias("root"), *SKETCH), 1)
+    pairs = lambda table, lags: _by_cell(table, "a long, b long", _pairs_in(tenths, lags)).distinct()
+    met = dealt(shared, BLOCK, "node", "n").select(*[F.col(c).cast("long") for c in names[:-1]], F.lit(0).cast("long").alias("at"))
+    met = save(met.join(sketches, "node").select(*names, *SKETCH), "sketched")
+    discard(shared)
+    near = save(alike.union(pairs(met.select(*names, F.col("node").alias("root"), *SKETCH), 1)).distinct(), "pairs")
     links = _verified(near, docs, firsts, shingle, tenths)
     rooted = met.join(components(links), "node", "left").select(*names, F.coalesce("root", "node").alias("root"), *SKETCH)
-    more = pairs(rooted, None)
+    more = save(pairs(rooted, None), "pairs")
     rest = save(more.join(near, ["a", "b"], "left_anti"), "rest")
-    discard(met, near, more)
-    return rows, links.union(_verified(rest, docs, firsts, shingle, tenths))
+    discard(alike, met, near, more)
+    return rows.select("doc_id", "node"), links.union(_verified(rest, docs, firsts, shingle, tenths))

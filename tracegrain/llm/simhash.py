@@ -18,7 +18,7 @@ SHINGLE, BITS = 4, 4
 SEGMENTS, SEGMENT_ENTROPY = 32, 1.5  # two-bit segments of a fingerprint, and the bits that a segment's popcount tells
 IN_A_CELL = 64
 STAGE_SHINGLE, STAGE_TENTHS = 5, 8
-CELL, FEW = 4096, 10_000
+CELL = 4096
 AT_ONCE = 1 << 16
 
 
@@ -149,26 +149,11 @@ def _top(top: np.ndarray, x: int) -> int:
     return x
 
 
-def _met(placed: DataFrame, cell_rows: int) -> DataFrame:
-    """Rows by task: a cell of over ``cell_rows`` rows is dealt to blocks, and every two of its blocks meet by themselves."""
-    hot = save(placed.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > cell_rows), "hot-cells")
-    n_hot = hot.count()
-    if not n_hot:
-        return placed.select("cell", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(-1).alias("side"), "fp")
-    blocks = hot.select("cell", F.ceil(F.col("_n") / cell_rows).cast("int").alias("_k"))
-    marked = placed.join(F.broadcast(blocks) if n_hot <= FEW else blocks, "cell", "left")
-    own = F.when(F.col("_k") > 1, F.pmod(F.xxhash64("fp"), F.col("_k")).cast("int"))
-    others = F.when(F.col("_k") > 1, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.array(F.lit(0)))
-    dealt = marked.withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", F.explode(others))
-    alone = F.col("_own") == F.col("_other")
-    return dealt.select("cell", F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), F.when(alone, -1).otherwise(F.col("_own")).alias("side"), "fp")
-
-
 def links(classes: DataFrame, bits: int = BITS, groups: int | None = None, cell_rows: int = CELL) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints (fp) that join all parts within ``bits`` differing bits; none is
     lost. Those that meet in a cell give spanning forests, never all pairs. No task holds more than two blocks of a cell."""
     parts = groups or groups_for(classes.count(), bits)
-    met = _met(_placed(classes, bits, parts), cell_rows).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q", "fp")
+    met = jaccard.dealt(_placed(classes, bits, parts), cell_rows, "fp").repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q", "fp")
 
     def runs(rows: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
@@ -209,10 +194,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, g
 
 def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, tenths: int = STAGE_TENTHS) -> DataFrame:
     """doc_id (unique, not null) and ``component_id``: the least doc_id reachable over pairs of documents whose sets of
-    five-word shingles have a Jaccard similarity of 0.8 or more. Every such pair is a link, and no other is."""
-    rows, links = jaccard.linked(docs, shingle, tenths)
+    five-word shingles have a Jaccard similarity of 0.8 or more. Every such pair is a link, and no other is: the links of
+    links() are verified first, and jaccard.grid() brings those that 64 bits cannot tell."""
+    rows, joined = jaccard.linked(docs, shingle, tenths, links)
     classes = save(rows.groupBy("node").agg(F.min("doc_id").alias("_first")), "classes")
-    return _named(rows, classes, "node", components(links)).select("doc_id", "component_id")
+    return _named(rows, classes, "node", components(joined)).select("doc_id", "component_id")
 
 
 def _named(rows: DataFrame, classes: DataFrame, key: str, parts: DataFrame) -> DataFrame:
