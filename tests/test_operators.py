@@ -529,3 +529,14 @@ def test_blocked_layout_carries_its_phase(spark):
     rows = reconstruction.channels(df, reconstruction.hypotheses(spark, 4, primary=True), 4).where("hypothesis = 'H_3x22' AND layout LIKE 'BLOCKED%'").orderBy("ordinal", "i").collect()
     got = {lay: [r["channel"] for r in rows if r["layout"] == lay] for lay in reconstruction.LAYOUTS[2:]}
     assert got == {"BLOCKED_PACKET_LOCAL": [0, 1, 2, 0, 0, 1, 2, 0], "BLOCKED_CONTINUOUS": [0, 1, 2, 0, 0, 1, 2, 1]}
+
+
+def test_audit_deals_sessions_to_tasks_by_their_number(spark, monkeypatch):
+    """No task of the modality statuses takes a share that grows with the table, whatever the session's shuffle partitions."""
+    monkeypatch.setattr(store, "ROWS_A_TASK", 40)
+    wide = spark.range(100).select(F.col("id").alias("session"), F.lit('{"ppg":[1,2]}').alias("ppg_json"), F.lit("").alias("note")).coalesce(1)
+    cells = store.stored(audit.with_status(audit.unpivot(wide)), "cells")
+    assert audit.json_nodes(cells).rdd.getNumPartitions() == 5
+    statuses = audit.modality_statuses(cells)
+    assert statuses.rdd.getNumPartitions() == 5
+    assert statuses.where("modality = 'ppg' AND status = 'samples_present'").count() == 100 and statuses.count() == 1100

@@ -27,6 +27,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS_A_TASK = 1 << 17
+
+
+def tasks_for(rows: DataFrame, each: int | None = None) -> int:
+    """Into how many tasks ``rows`` are to be dealt for ``each`` rows a task (ROWS_A_TASK): it grows with their number, whatever
+    the number of files they come in and of partitions that small shuffles are merged to."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (each or ROWS_A_TASK)))
+
+
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with ``name``, its rows' gapless number from 0 in ``order``; rows that tie in all of it come in any order.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.functions import names
-from tracegrain.functions.store import stored
+from tracegrain.functions.store import stored, tasks_for
 
 from .cells import cell_status, column_profile
 from .walk import WALKED, walk
@@ -31,13 +31,15 @@ def unpivot(sessions: DataFrame, key: str = "session") -> DataFrame:
 
 def with_status(cells: DataFrame) -> DataFrame:
     """Cells with their status and their column's kind; columns are few, so kinds are a small table."""
+    cells = cells.repartition(tasks_for(cells))  # parsing is dear, and a table may come in one file
     told = stored(cells.withColumn("status", cell_status(F.col("cell"))), "cell-statuses")  # read twice; parsing is dear
     return told.join(F.broadcast(column_profile(told).select("column", "kind")), "column")
 
 
-def json_nodes(cells: DataFrame, key: str = "session") -> DataFrame:
-    """Walked cells of the columns that hold JSON."""
-    return walk(cells.where(F.col("kind").isin(JSON_KINDS)), [key, "col_pos", "column"])
+def json_nodes(cells: DataFrame, key: str = "session", tasks: int | None = None) -> DataFrame:
+    """Walked cells of the columns that hold JSON, dealt by session to as many tasks as their number asks for."""
+    some = cells.where(F.col("kind").isin(JSON_KINDS))
+    return walk(some.repartition(tasks or tasks_for(cells), key), [key, "col_pos", "column"])
 
 
 def _may_hold_times(cell: Column) -> Column:
@@ -62,9 +64,11 @@ def modality_statuses(cells: DataFrame, key: str = "session") -> DataFrame:
     Names of columns and of paths count; a path's cell brings all its samples, once for the column and once for paths.
     Names are matched once per distinct name; each session is then summed up by one aggregation.
     """
-    nodes = json_nodes(cells, key)
+    tasks = tasks_for(cells)
+    nodes = json_nodes(cells, key, tasks)
     path_key = [key, "column", "path"]
     seen = stored(nodes.groupBy(*path_key).agg(F.sum("samples").alias("s")), "paths")  # looked at three times: cells are walked once
+    seen, cells = seen.repartition(tasks, key), cells.repartition(tasks, key)  # so that nothing below shuffles by less than a session
     known = _by_name(seen.where(F.col("path") != ""), "path", names.modalities(F.col("path"))).withColumnRenamed("told", "modality")
     named = _by_name(cells, "column", names.modalities(F.col("column"))).withColumnRenamed("told", "modality")
     total = seen.groupBy(key, "column").agg(F.sum("s").alias("samples"))
@@ -76,7 +80,8 @@ def modality_statuses(cells: DataFrame, key: str = "session") -> DataFrame:
     none = every.select(key, "modality", F.lit(None).cast("string").alias("status"), F.lit(None).cast("boolean").alias("is_column"), F.lit(False).alias("hit"), F.lit(0).cast("long").alias("samples"))
     column = F.col("is_column")
     is_empty, is_bad = F.col("status").isin(EMPTY), F.col("status") == "malformed"
-    some = by_column.unionByName(by_path).unionByName(none).groupBy(key, "modality").agg(
+    each = by_column.unionByName(by_path).unionByName(none).repartition(tasks, key)  # merged partitions would grow with the table
+    some = each.groupBy(key, "modality").agg(
         F.count_if(column).alias("columns"), F.count_if(column & is_empty).alias("empties"), F.count_if(column & is_bad).alias("bad"),
         F.count_if(column & F.col("status").isin(WALKED)).alias("populated"), F.max("hit").alias("hit"), F.sum("samples").alias("samples"))
     return some.select(key, "modality", _ladder().alias("status"))
@@ -151,7 +156,7 @@ def findings(cells: DataFrame, key: str = "session") -> DataFrame:
     missing = F.col("sent.ordinary").isNull() | F.col("total.ordinary").isNull()
     pick = {f: F.coalesce(F.col(f"{f}.ordinary"), F.when(missing, F.col(f"{f}.nested"))) if f != "duration" else F.col("duration.ordinary") for f in names_of}
     session = cells.select(key).distinct().join(wide, key, "left").select(key, *[c.alias(f) for f, c in pick.items()])
-    session = session.join(time_spans(json_nodes(cells.where(_may_hold_times(F.col("cell"))), key), key).withColumn("timed", F.lit(True)), key, "left")
+    session = session.join(time_spans(json_nodes(cells.where(_may_hold_times(F.col("cell"))), key, tasks_for(cells)), key).withColumn("timed", F.lit(True)), key, "left")
     per_session = session.select(key, F.inline(F.filter(F.array(*_session_rules()), lambda x: x.isNotNull())))
     return per_cell.unionByName(per_session)
 
