@@ -540,3 +540,10 @@ def test_audit_deals_sessions_to_tasks_by_their_number(spark, monkeypatch):
     statuses = audit.modality_statuses(cells)
     assert statuses.rdd.getNumPartitions() == 5
     assert statuses.where("modality = 'ppg' AND status = 'samples_present'").count() == 100 and statuses.count() == 1100
+
+
+def test_kernel_gets_bounded_groups_of_segments(spark):
+    """However many segments of one length a batch has, the kernel that needs many times their memory gets few of them at once."""
+    segments = spark.range(0, 3000, 1, 1).select("id", F.array_repeat(F.lit(1.0), 640).alias("values"), F.lit(64.0).alias("fs"))
+    got = spectral.measured(segments, ["values"], lambda x, fs: {"held": np.full(len(x), float(x.size))}, ["held"], 64)
+    assert got.count() == 3000 and got.agg(F.max("held")).first()[0] <= 1 << 18

@@ -45,6 +45,11 @@ def channels(payloads: DataFrame, grid: DataFrame, length: int) -> DataFrame:
     usable = payloads.where(F.size("payload") == length)
     numbered = running_sum(usable.select("session", "ordinal", "payload"), ["session"], "ordinal", F.lit(1), "place", inclusive=False)
     words = numbered.join(F.broadcast(grid), F.lit(True)).select("session", "ordinal", "place", "hypothesis", "variant", "channel_count", F.size("signal").alias("n"), F.posexplode(F.transform("signal", lambda i: F.get("payload", i))).alias("i", "x"))
+    return words.select("session", "hypothesis", "variant", F.explode(_layouts()).alias("l"), "ordinal", "i", "x").select("session", "hypothesis", "variant", "l.*", "ordinal", "i", "x")
+
+
+def _layouts() -> Column:
+    """Layout and channel of a word, four of them: word ``i`` of ``n`` of the packet at ``place``, dealt to ``channel_count``."""
     c, n, i, k = F.col("channel_count"), F.col("n"), F.col("i"), F.col("place")
     block = F.floor(n / c)
     left = n - block * c
@@ -53,7 +58,20 @@ def channels(payloads: DataFrame, grid: DataFrame, length: int) -> DataFrame:
     blocked = lambda phase: F.when(over < 0, F.floor(i / F.greatest(block, F.lit(1)))).otherwise(F.pmod(phase + over, c))
     zero = F.lit(0).cast("long")
     each = zip(LAYOUTS, (dealt(zero), dealt(k * n), blocked(zero), blocked(k * left)), strict=True)
-    return words.select("session", "hypothesis", "variant", F.explode(F.array(*[F.struct(F.lit(name).alias("layout"), ch.cast("long").alias("channel")) for name, ch in each])).alias("l"), "ordinal", "i", "x").select("session", "hypothesis", "variant", "l.*", "ordinal", "i", "x")
+    return F.array(*[F.struct(F.lit(name).alias("layout"), ch.cast("long").alias("channel")) for name, ch in each])
+
+
+def deals(grid: DataFrame) -> DataFrame:
+    """hypothesis (with its variant), layout, channel, channel_count, turns: the positions of a channel's words in the packet at a
+    place are ``turns[place mod channel_count]``, as phases come round after so many packets. A fixed small table."""
+    cell = ["hypothesis", "variant", "channel_count", "layout", "channel"]
+    places = grid.select("hypothesis", "variant", "channel_count", "signal", F.explode(F.sequence(F.lit(0), F.col("channel_count") - 1)).alias("place"))
+    words = places.select("hypothesis", "variant", "channel_count", "place", F.size("signal").alias("n"), F.posexplode("signal").alias("i", "pos"))
+    each = words.select("hypothesis", "variant", "channel_count", "place", "i", "pos", F.explode(_layouts()).alias("l")).select("*", "l.*")
+    at = each.groupBy(*cell, "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "pos"))), lambda s: s["pos"]).alias("at"))
+    known = at.groupBy(*cell).agg(F.map_from_entries(F.collect_list(F.struct("place", "at"))).alias("m"))
+    turns = F.transform(F.sequence(F.lit(0), F.col("channel_count") - 1), lambda p: F.coalesce(F.element_at("m", p), F.array().cast("array<int>")))
+    return known.select(hypothesis_key(F.col("hypothesis"), F.col("variant")).alias("hypothesis"), "layout", "channel", "channel_count", turns.alias("turns"))
 
 
 PHASE_NAMES = {"packet_local": LAYOUTS[0], "continuous": LAYOUTS[1]}
@@ -100,24 +118,41 @@ def gap_segments(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: fl
 
     ``fs`` is the number of words of a whole packet over the session's median step, for every channel alike.
     """
-    rows = _segment_words(payloads, grid, length, floor_ms).groupBy(*GRID, "segment").agg(F.min("ordinal").alias("packet_start"), (F.max("ordinal") + 1).alias("packet_end"), F.first("fs").alias("fs"), F.array_sort(F.collect_list(F.struct("ordinal", "i", "x"))).alias("v"))
-    return rows.select(*GRID, "segment", "packet_start", "packet_end", "fs", F.transform("v", lambda s: s["x"].cast("double")).alias("values"))
+    rows = _dealt_packets(payloads, grid, length, floor_ms)
+    return rows.select(*GRID, "segment", F.col("held")[0]["ordinal"].alias("packet_start"), (F.element_at("held", -1)["ordinal"] + 1).alias("packet_end"), "fs", _values().alias("values"))
+
 
+RUN = 64
 
-def _segment_words(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float) -> DataFrame:
-    """The grid's words (GRID, segment, fs, ordinal, i, x)."""
+
+def _dealt_packets(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float, run: int | None = None) -> DataFrame:
+    """GRID, segment, fs, channel_count, turns, held: the packets (ordinal, place, payload) of a segment, or of each of its runs of
+    at most ``run`` ordinals, that have words for the channel. Packets are gathered before they are dealt, so that they are shuffled once
+    and not once a cell, and their words never are rows."""
     usable = payloads.where(F.size("payload") == length)
     cut = timebase.segments(usable.select("session", "ordinal", "received_ms"), floor_ms)
-    placed = cut.select("session", "ordinal", "segment", (F.lit(float(length)) / (F.col("median_ms") / 1000.0)).alias("fs"))
-    words = channels(usable, grid, length).join(placed, ["session", "ordinal"])
-    return words.withColumn("hypothesis", hypothesis_key(F.col("hypothesis"), F.col("variant")))
+    placed = running_sum(cut.select("session", "ordinal", "segment", (F.lit(float(length)) / (F.col("median_ms") / 1000.0)).alias("fs")), ["session"], "ordinal", F.lit(1), "place", inclusive=False)
+    packets = usable.select("session", "ordinal", "payload").join(placed, ["session", "ordinal"])
+    of = [F.floor(F.col("ordinal") / run).alias("_run")] if run else []
+    whole = packets.groupBy("session", "segment", *of).agg(F.first("fs").alias("fs"), F.array_sort(F.collect_list(F.struct("ordinal", "place", "payload"))).alias("packets"))
+    each = whole.join(F.broadcast(deals(grid)))
+    held = F.filter("packets", lambda p: F.size(_turn(p)) > 0)
+    return each.select(*GRID, "segment", "fs", "channel_count", "turns", held.alias("held")).where(F.size("held") > 0)
+
+
+def _turn(packet: Column) -> Column:
+    return F.get("turns", F.pmod(packet["place"], F.col("channel_count")).cast("int"))
+
+
+def _values() -> Column:
+    return F.flatten(F.transform("held", lambda p: F.transform(_turn(p), lambda i: F.get(p["payload"], i).cast("double"))))
 
 
 def segment_pieces(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float = timebase.GAP_MS) -> DataFrame:
-    """What ``gap_segments`` cuts, packet by packet: GRID, segment, ordinal, the packet's values of that channel in order, fs. For
-    ``spectral_blocks``, which measure segments of any length."""
-    rows = _segment_words(payloads, grid, length, floor_ms).groupBy(*GRID, "segment", "ordinal").agg(F.first("fs").alias("fs"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    return rows.select(*GRID, "segment", "ordinal", "fs", F.transform("v", lambda s: s["x"].cast("double")).alias("values"))
+    """What ``gap_segments`` cuts, by runs of at most RUN packets: GRID, segment, ordinal (the run's first), the runs' values of that
+    channel in order, fs. For ``spectral_blocks``, which measure segments of any length."""
+    rows = _dealt_packets(payloads, grid, length, floor_ms, RUN)
+    return rows.select(*GRID, "segment", F.col("held")[0]["ordinal"].alias("ordinal"), "fs", _values().alias("values"))
 
 
 def spectral_rollup(periodicity: DataFrame) -> DataFrame:

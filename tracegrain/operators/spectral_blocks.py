@@ -47,17 +47,18 @@ def _lags(n: int, fs: float) -> tuple[int, int]:
 
 def _sums(blocks: DataFrame, keys: list[str], size: int) -> DataFrame:
     """keys, kind, pos, v: over all blocks, the sums of the frames' power at each frequency (kind 0), and of products of samples
-    that lie ``pos`` apart (kind 1). ``blocks`` have mid and spread too."""
-    schema = pa.schema([("row", pa.int32()), ("kind", pa.int32()), ("pos", pa.int32()), ("v", pa.float64())])
+    that lie ``pos`` apart (kind 1). ``blocks`` have mid and spread too. A block's numbers are handed on before the next one is
+    looked at, so that a worker holds one block's beside a batch, however many blocks a batch has."""
     kinds = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
 
     def measure(batches):
         for batch in batches:
-            rows, kind, pos, v = [], [], [], []
-            for i, (block, at, x, n, fs, mid, spread) in enumerate(zip(*(batch.column(len(keys) + j).to_pylist() for j in range(7)), strict=True)):
+            lists = batch.column("x")
+            flat, at_row = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            for i, (block, at, n, fs, mid, spread) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "from", "n", "fs", "mid", "spread")), strict=True)):
                 if n < spectral.LEAST_SAMPLES or not fs > 0:
                     continue
-                c = (np.array(x) - mid) / (1.0 if spread < spectral.FLAT else 1.4826 * spread)
+                c = (flat[at_row[i] : at_row[i + 1]] - mid) / (1.0 if spread < spectral.FLAT else 1.4826 * spread)
                 begin, end = block * size, min(n, (block + 1) * size)
                 frame = spectral.frame_length(n, 256)
                 hop = frame - frame // 2
@@ -70,13 +71,8 @@ def _sums(blocks: DataFrame, keys: list[str], size: int) -> DataFrame:
                 ahead = c[begin - at :]
                 parts.append((1, np.array([own[: max(0, len(ahead) - k)] @ ahead[k : k + len(own)] for k in range(reach + 1)])))
                 for what, found in parts:
-                    rows.append(np.full(len(found), i))
-                    kind.append(np.full(len(found), what))
-                    pos.append(np.arange(len(found)))
-                    v.append(found)
-            made = [np.concatenate([np.zeros(0), *a]) for a in (rows, kind, pos, v)]
-            of = pa.array(made[0].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(of) for j in range(len(keys))], *[pa.array(a.astype(f.type.to_pandas_dtype())) for a, f in zip(made[1:], list(schema)[1:], strict=True)]], names=[*keys, "kind", "pos", "v"])
+                    of = pa.array(np.full(len(found), i, np.int32))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(of) for k in range(len(keys))], pa.array(np.full(len(found), what, np.int32)), pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found)], names=[*keys, "kind", "pos", "v"])
 
     rows = blocks.select(*keys, "block", "from", "x", "n", "fs", "mid", "spread")
     return rows.mapInArrow(measure, f"{kinds}, kind int, pos int, v double").groupBy(*keys, "kind", "pos").agg(F.sum("v").alias("v"))
@@ -84,8 +80,18 @@ def _sums(blocks: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 def block_facts(pieces: DataFrame, keys: list[str], size: int = SAMPLES) -> DataFrame:
     """``keys``, fs, n and the facts that ``spectral.measure_segments`` tells of whole segments, equal to these up to the order of
-    sums; null under LEAST_SAMPLES samples. ``pieces`` as for ``sample_blocks``; an empty table gives no rows."""
-    blocks = stored(sample_blocks(pieces, keys, size), "sample-blocks")
+    sums; null under LEAST_SAMPLES samples. ``pieces`` as for ``sample_blocks``; an empty table gives no rows.
+
+    Most segments are one block, all of whose samples are there: these go through the kernel as they are. Only what is known of the
+    blocks of longer ones becomes rows, to be summed up.
+    """
+    every = stored(sample_blocks(pieces, keys, size), "sample-blocks")
+    whole = spectral.measured(every.where(F.col("n") <= size).select(*keys, "fs", F.col("x").alias("values")), ["values"], spectral.measure_segments, spectral.SEGMENT_FACTS, spectral.LEAST_SAMPLES)
+    many = _many_block_facts(every.where(F.col("n") > size), keys, size)
+    return many.unionByName(whole.select(many.columns))
+
+
+def _many_block_facts(blocks: DataFrame, keys: list[str], size: int) -> DataFrame:
     spread = _spread(blocks, keys, size)
     sums = _sums(blocks.join(spread, keys), keys, size)
     of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "v")))), lambda s: s["v"])
