@@ -547,3 +547,12 @@ def test_kernel_gets_bounded_groups_of_segments(spark):
     segments = spark.range(0, 3000, 1, 1).select("id", F.array_repeat(F.lit(1.0), 640).alias("values"), F.lit(64.0).alias("fs"))
     got = spectral.measured(segments, ["values"], lambda x, fs: {"held": np.full(len(x), float(x.size))}, ["held"], 64)
     assert got.count() == 3000 and got.agg(F.max("held")).first()[0] <= 1 << 18
+
+
+def test_grid_deals_packets_and_not_words(spark):
+    rows = [(0, i, i * 1000 + i // 50 * 9000, [i * 64 + j for j in range(64)]) for i in range(300)]
+    timed = spark.createDataFrame(rows, "session long, ordinal long, received_ms long, payload array<long>").repartition(2).localCheckpoint()
+    segs = reconstruction.gap_segments(timed, reconstruction.hypotheses(spark, 64, primary=True), 64)
+    assert segs.count() == 6 * 4 * (2 + 2 + 2 + 3)
+    plan = segs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Generate" in line and "payload" in line]
