@@ -549,6 +549,17 @@ def test_kernel_gets_bounded_groups_of_segments(spark):
     assert got.count() == 3000 and got.agg(F.max("held")).first()[0] <= 1 << 18
 
 
+def _shuffled(spark, df):
+    """Rows that all stages of a run of ``df`` wrote to shuffles."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group := f"g{id(df)}", "rows shuffled")
+    df.write.format("noop").mode("overwrite").save()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
 def test_grid_deals_packets_and_not_words(spark):
     rows = [(0, i, i * 1000 + i // 50 * 9000, [i * 64 + j for j in range(64)]) for i in range(300)]
     timed = spark.createDataFrame(rows, "session long, ordinal long, received_ms long, payload array<long>").repartition(2).localCheckpoint()
@@ -556,3 +567,16 @@ def test_grid_deals_packets_and_not_words(spark):
     assert segs.count() == 6 * 4 * (2 + 2 + 2 + 3)
     plan = segs._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [line for line in plan if "Generate" in line and "payload" in line]
+
+
+def test_pairs_gather_a_segment_once(spark):
+    rows = [(s, c, [float(v) for v in range(70)], 33.0) for s in range(50) for c in range(3)]
+    df = spark.createDataFrame(rows, "s int, channel int, values array<double>, fs double").repartition(2).localCheckpoint()
+    pairs = spectral.channel_pairs(df, ["s"])
+    assert pairs.count() == 50 * 3
+    with_each_side = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _shuffled(spark, spectral.channel_pairs(df, ["s"])) <= len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_each_side)
