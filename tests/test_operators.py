@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracegrain.functions import bits, names, ordering, privacy, store
-from tracegrain.operators import audit, benchmark, candidates, cells, packets, reconstruction, reports, scoring, spectral, spectral_blocks, timebase, verdicts, walk
+from tracegrain.operators import audit, benchmark, candidates, cells, packets, reconstruction, reports, scoring, spectral, spectral_blocks, steps, timebase, verdicts, walk
 from tracegrain.sources import outputs, sessions
 from tracegrain.streaming.segments import stateful_segments, streaming_segments
 
@@ -580,3 +580,18 @@ def test_pairs_gather_a_segment_once(spark):
         assert _shuffled(spark, spectral.channel_pairs(df, ["s"])) <= len(rows)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_each_side)
+
+
+def test_jump_medians_by_bits(spark):
+    """Exact for runs of several thousand packets, ties, no change at all and scales that part numbers of equal size."""
+    rng = np.random.default_rng(11)
+    jumps = [(c, "continuous", s, int(o), int(a), int(b)) for c, s, n in ((1, 0, 9001), (1, 1, 40), (2, 0, 1), (2, 1, 6)) for o, (a, b) in enumerate(rng.integers(0, 1 << 24, (n, 2)) if s == 0 else rng.integers(0, 3, (n, 2)))]
+    runs = steps.edge_runs(spark.createDataFrame(jumps, "channel_count int, layout string, session long, ordinal long, first long, p long"))
+    assert runs.count() == 3 + 1 + 1 + 1
+    sizes = {(c, s): np.abs(steps.readings(np.array([j[4] for j in jumps if (j[0], j[2]) == (c, s)])) - steps.readings(np.array([j[5] for j in jumps if (j[0], j[2]) == (c, s)]))) for c in (1, 2) for s in (0, 1)}
+    got = {(r.channel_count, r.session, r.reading): r["median"] for r in steps.jump_medians(runs).collect()}
+    assert got == {(*k, r): float(np.median(v[r])) for k, v in sizes.items() for r in range(12)}
+    scale = {(c, s): [1e-9 if s and r % 2 else 3.0 + c + 7 * s + r for r in range(12)] for c in (1, 2) for s in (0, 1)}
+    scales = spark.createDataFrame([(*k, v) for k, v in scale.items()], "channel_count int, session long, scale array<double>")
+    got = {(r.channel_count, r.reading): r["median"] for r in steps.jump_medians(runs, scales).collect()}
+    assert got == {(c, r): pytest.approx(np.median(np.concatenate([sizes[c, s][r] / scale[c, s][r] for s in (0, 1)])), rel=1e-15) for c in (1, 2) for r in range(12)}

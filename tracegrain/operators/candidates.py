@@ -14,7 +14,7 @@ from tracegrain.functions.ordering import previous, running_sums
 from tracegrain.functions.store import stored
 
 from .scoring import CHANNELS, phased
-from .steps import READINGS, channel_moments, packet_edges, pair_moments, step_medians
+from .steps import LAYOUTS, READINGS, channel_moments, edge_runs, jump_medians, packet_edges, pair_moments, step_medians
 
 EPS = 1e-9
 # fixed values: weights of the costs and thresholds of the statuses
@@ -38,6 +38,17 @@ def _read(rows: DataFrame, words: list[str]) -> DataFrame:
     return parts.select(*kept, F.explode(each).alias("r")).select(*kept, "r.*")
 
 
+def _reading_place() -> Column:
+    """A reading's place among READINGS, from 0."""
+    return F.array_position(F.array(*[F.lit(f"{s} {o}") for s, o in READINGS]), F.concat_ws(" ", *READING)).cast("int") - 1
+
+
+def _of_readings(rows: DataFrame) -> DataFrame:
+    """``rows`` with a reading's two names instead of its place."""
+    named = F.array(*[F.struct(F.lit(s).alias("signedness"), F.lit(o).alias("byte_order")) for s, o in READINGS])
+    return rows.withColumn("_r", F.get(named, F.col("reading"))).select("_r.*", *[c for c in rows.columns if c != "reading"])
+
+
 def _weighted(rows: DataFrame, moments: dict[str, Column]) -> DataFrame:
     """Rows once for each reading, with each of the 36 products' ``moments`` weighted into one number."""
     ways = []
@@ -103,7 +114,6 @@ def metrics(payloads: DataFrame, channels: list[int] = CHANNELS) -> DataFrame:
     packets = _placed(payloads, channels)
     own = stored(channel_moments(packets, channels), "channel-moments")
     steps = stored(step_medians(packets.select("session", "payload"), channels), "step-medians")
-    distance = F.abs(F.col("v") - F.col("p"))
     unsigned = F.col("signedness") == "uint24"
     full = F.when(unsigned, (F.col("v") <= 0) | (F.col("v") >= 16777215)).otherwise((F.col("v") <= -8388608) | (F.col("v") >= 8388607))
     words = _read(packets.select("session", F.explode("payload").alias("v")), ["v"])
@@ -111,10 +121,10 @@ def metrics(payloads: DataFrame, channels: list[int] = CHANNELS) -> DataFrame:
     stepped = [*READING, "channel_count"]
     still = steps.where("NOT overall").select(*stepped, "session", "mad", F.col("zeros").alias("flat"), F.col("n").alias("steps"))
     series = [*DEALING, "session", "channel"]
-    edges = previous(stored(packet_edges(packets, channels), "edges"), series, "ordinal", "last", "p").where(F.col("p").isNotNull()).select(*DEALING, "session", F.col("first").alias("v"), "p")
-    jumps = stored(_read(edges, ["v", "p"]).select(*SPEC, "session", distance.alias("jump")), "jumps")
+    edges = previous(stored(packet_edges(packets, channels), "edges"), series, "ordinal", "last", "p").where(F.col("p").isNotNull())
+    runs = edge_runs(edges.select(*DEALING, "session", "ordinal", "first", "p"))
+    jumped = _of_readings(jump_medians(runs)).withColumnRenamed("median", "jump")
     by_session = [*SPEC, "session"]
-    jumped = jumps.groupBy(*by_session).agg(_mid(F.col("jump")).alias("jump"))
     ways = F.explode(F.array(*[F.struct(F.lit(c).alias("channel_count"), F.lit(m).alias("layout")) for c in channels for m in ("packet_local", "continuous")])).alias("d")
     every = filled.select("*", ways).select(*READING, "d.*", "session", "full", "n")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -125,7 +135,9 @@ def metrics(payloads: DataFrame, channels: list[int] = CHANNELS) -> DataFrame:
     iqr = lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
     spread = F.when(F.count(F.lit(1)) < 2, 0.0).otherwise((iqr("mad") + iqr("ratio") + iqr("sat") + iqr("still")) / 4)
     rolled = each.groupBy(*SPEC).agg(spread.alias("session_consistency"), (F.sum("full") / F.sum("n")).alias("saturation_rate"), F.coalesce(F.try_divide(F.sum("flat"), F.sum("steps")), F.lit(0.0)).alias("flatline_rate"))
-    boundary = jumps.join(sums.select(*by_session, "mad"), by_session).groupBy(*SPEC).agg(_mid(F.col("jump") / scale).alias("boundary_jump"))
+    scales = sums.where(F.col("layout") == LAYOUTS[0]).select("channel_count", "session", F.struct(_reading_place().alias("reading"), scale.alias("scale")).alias("s"))  # alike in both layouts
+    scales = scales.groupBy("channel_count", "session").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["scale"]).alias("scale"))
+    boundary = _of_readings(jump_medians(runs, scales)).withColumnRenamed("median", "boundary_jump")
     energy = _weighted(own, {"e": F.col("c")}).groupBy(*by_session)
     cv = F.when(F.abs(F.avg("e")) <= EPS, F.stddev_pop("e")).otherwise(F.try_divide(F.stddev_pop("e"), F.abs(F.avg("e"))))
     balance = energy.agg(cv.alias("cv")).groupBy(*SPEC).agg(_mid(F.col("cv")).alias("energy_balance"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrain.functions.bits import ORDERS
@@ -23,6 +23,8 @@ LAYOUTS = ("packet_local", "continuous")
 SHIFTS = (16, 8, 0)
 SAMPLES = 4096
 FEATURES = 6
+PACKETS = 4096
+BITS = (48, 34, 0)
 
 
 def readings(words: np.ndarray) -> np.ndarray:
@@ -267,3 +269,77 @@ def packet_edges(packets: DataFrame, channels: list[int]) -> DataFrame:
             yield from pa.concat_tables(parts).combine_chunks().to_batches()
 
     return packets.select("session", "payload", "before", "held", "ordinal").mapInArrow(edges, f"channel_count int, layout string, session {kind}, channel long, ordinal long, first long, last long")
+
+
+def edge_runs(edges: DataFrame) -> DataFrame:
+    """(channel_count, layout, session, v, p): a row for all jumps, from word p to word v, at the edges of a run of PACKETS packets.
+    ``edges``: channel_count, layout, session, ordinal, first, p (the last word before it, not null)."""
+    keys = ["channel_count", "layout", "session"]
+    runs = edges.groupBy(*keys, F.floor(F.col("ordinal") / PACKETS).alias("run")).agg(F.collect_list(F.struct("first", "p")).alias("e"))
+    return stored(runs.select(*keys, F.col("e.first").alias("v"), F.col("e.p").alias("p")), "edge-runs")
+
+
+def jump_medians(runs: DataFrame, scales: DataFrame | None = None) -> DataFrame:
+    """(channel_count, layout, reading, [session,] median): of the sizes of jumps in each session, for each of READINGS by its place; or
+    with ``scales`` (channel_count, session, scale: an array by reading, none of them 0) of jumps over scales, of all sessions.
+
+    Exact, and no task holds more than counts: numbers of at least 0 are ordered as their bits are, so that the two middle ones are
+    found by three passes over ever lower bits. A pass counts the next bits of the numbers that begin as a middle one does.
+    """
+    group = ["channel_count", "layout"] + ([] if scales is not None else ["session"])
+    kind = runs.schema["session"].dataType.simpleString()
+    if scales is None:
+        runs = runs.withColumn("scale", F.array_repeat(F.lit(1.0), len(READINGS)))
+    else:
+        runs = runs.join(scales, ["channel_count", "session"])
+
+    def count_at(shift: int, above: int):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    v, p = (row.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("v", "p"))
+                    scale = row.column("scale").flatten().to_numpy(zero_copy_only=False)
+                    sizes = np.abs(readings(v) - readings(p))
+                    begins = row.column("begins")[0].as_py()
+                    found = []
+                    for r in range(len(READINGS)):
+                        bits = (sizes[r] / scale[r]).view(np.int64)
+                        for begin in [0] if above > 63 else sorted(set(begins[r])):
+                            part = bits if above > 63 else bits[bits >> above == begin]
+                            digits, n = np.unique((part >> shift) & ((1 << (above - shift)) - 1 if above < 64 else -1), return_counts=True)
+                            found.append((r, begin, digits, n))
+                    many = [len(x[2]) for x in found]
+                    of = pa.array(np.zeros(sum(many), np.int32))
+                    each = [np.repeat([x[k] for x in found], many) for k in (0, 1)] + [np.concatenate([x[k] for x in found]) for k in (2, 3)]
+                    yield pa.RecordBatch.from_arrays([*[row.column(c).take(of) for c in ("channel_count", "layout", "session")], pa.array(each[0].astype(np.int32)), *[pa.array(a.astype(np.int64)) for a in each[1:]]], names=["channel_count", "layout", "session", "reading", "begin", "digit", "n"])
+
+        return count
+
+    state, above = None, 64
+    for shift in BITS:
+        if state is None:
+            asked = runs.withColumn("begins", F.lit(None).cast("array<array<long>>"))
+        else:
+            at = state.groupBy(*group, "reading").agg(F.collect_list("begin").alias("b")).groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("reading", "b"))), lambda x: x["b"]).alias("begins"))
+            asked = runs.join(at, group)
+        each = asked.select("channel_count", "layout", "session", "v", "p", "scale", "begins").mapInArrow(count_at(shift, above), f"channel_count int, layout string, session {kind}, reading int, begin long, digit long, n long")
+        counts = each.groupBy(*group, "reading", "begin", "digit").agg(F.sum("n").alias("n"))
+        along = Window.partitionBy(*group, "reading", "begin")
+        counts = counts.select("*", F.sum("n").over(along.orderBy("digit")).alias("upto"), F.sum("n").over(along).alias("all"))
+        if state is None:
+            ranks = F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2))
+            known = counts.select("*", F.posexplode(ranks).alias("rank", "at"))
+        else:
+            known = counts.join(state, [*group, "reading", "begin"])
+        here = (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))
+        state = stored(known.where(here).select(*group, "reading", "rank", (F.shiftleft("begin", above - shift if above < 64 else 0) + F.col("digit")).alias("begin"), (F.col("at") - F.col("upto") + F.col("n")).alias("at")), "jump-ranks")
+        above = shift
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(batch.column("begin").to_numpy().view(np.float64))], names=[*batch.schema.names[:-1], "x"])
+
+    kinds = ", ".join(f"{c} {runs.schema[c].dataType.simpleString()}" for c in group)
+    middle = state.select(*group, "reading", "begin").mapInArrow(numbers, f"{kinds}, reading int, x double")
+    return middle.groupBy(*group, "reading").agg((0.5 * F.min("x") + 0.5 * F.max("x")).alias("median"))
