@@ -595,3 +595,22 @@ def test_jump_medians_by_bits(spark):
     scales = spark.createDataFrame([(*k, v) for k, v in scale.items()], "channel_count int, session long, scale array<double>")
     got = {(r.channel_count, r.reading): r["median"] for r in steps.jump_medians(runs, scales).collect()}
     assert got == {(c, r): pytest.approx(np.median(np.concatenate([sizes[c, s][r] / scale[c, s][r] for s in (0, 1)])), rel=1e-15) for c in (1, 2) for r in range(12)}
+
+
+def test_long_sessions_packets_stay_where_they_are(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(0, [int(x) for x in rng.integers(0, 1 << 24, 3)]) for _ in range(20_000)] + [(1, [int(x) for x in rng.integers(-(1 << 30), 1 << 30, 40_000)])]
+    packets = spark.createDataFrame(rows, "session long, payload array<long>").repartition(4).localCheckpoint()
+    limit, plans, count = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), [], steps._digits
+    monkeypatch.setattr(steps, "_digits", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or count(df, *a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.session, r.signedness): r for r in steps.step_medians(packets, [2]).where("NOT overall AND byte_order = 'ABC'").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for s in (0, 1):
+        u = [np.array(p) & 0xFFFFFF for k, p in rows if k == s]
+        step = np.concatenate([np.abs(x[2:] - x[:-2]) for x in u])
+        r = got[s, "uint24"]
+        assert (r.n, r.mid, r.mad) == (len(step), np.median(step), np.median(np.abs(step - np.median(step))))
+    assert len(plans) == 6 and not any("SortMergeJoin [session" in p or "ShuffledHashJoin [session" in p for p in plans)

@@ -24,6 +24,8 @@ SHIFTS = (16, 8, 0)
 SAMPLES = 4096
 FEATURES = 6
 PACKETS = 4096
+AT_ONCE = 1 << 14  # words whose steps lie in a core's cache
+FEW_SESSIONS = 1000
 BITS = (48, 34, 0)
 
 
@@ -51,35 +53,53 @@ def _sessions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, pa.Re
             yield session, rows, words, np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _count(sums: np.ndarray, step: np.ndarray, g: int, known: tuple[tuple[np.ndarray, ...], ...], shift: int) -> None:
+    """Add to ``sums`` (session's own or all sessions', rank, digit) the digits of ``step``. What the two ask alike is counted once."""
+    told = {}
+    for every, (low, high, middle) in enumerate(known):
+        centre = None if middle is None else int(middle[g])
+        for rank, begins in ((0, int(low[g])), (1, int(high[g]))):
+            if rank and low[g] == high[g]:
+                continue
+            if (centre, begins) not in told:
+                if centre not in told:
+                    told[centre] = step if centre is None else np.abs(2 * step - centre)
+                v = told[centre]
+                digits = v >> shift if shift == SHIFTS[0] else (v[v >> shift + 8 == begins] >> shift) & 255
+                told[centre, begins] = np.bincount(digits, minlength=512)
+            sums[every, rank] += told[centre, begins]
+        if shift == SHIFTS[0] and centre is None:
+            if "zeros" not in told:
+                told["zeros"] = len(step) - np.count_nonzero(step)
+            sums[every, 2, 0] += told["zeros"]
+
+
 def _digits(packets: DataFrame, channels: list[int], shift: int, overall: tuple[np.ndarray, ...]) -> DataFrame:
     """(session, overall, g, rank, digit, n): how often each digit occurs among a group's values that begin as the lower or
     upper middle one does. Group g is a number of channels and a reading. ``packets``: session, payload, low, high, middle
     of the session; ``overall`` has the same three for all sessions. Rank 2 counts values of 0."""
     count_of, first = len(READINGS), shift == SHIFTS[0]
+    groups, reach = len(channels) * count_of, max(channels, default=0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for session, rows, words, place in _sessions(batches):
-            read, found = readings(words), []
             own = tuple(None if x is None else np.array(x) for x in (rows.column(i)[0].as_py() for i in (2, 3, 4)))
-            for i, c in enumerate(channels):
-                at = np.flatnonzero(place >= c)
-                step = np.abs(read[:, at] - read[:, at - c])
-                for every, (low, high, middle) in ((False, own), (True, overall)):
+            sums = np.zeros((2, groups, 3, 512), np.int64)
+            for a in range(0, len(words), AT_ONCE):
+                back = min(a, reach)
+                read = readings(words[a - back : a + AT_ONCE].astype(np.int32))  # wraps, which leaves the low bits
+                for i, c in enumerate(channels):
+                    begin = max(back, c)
+                    step = np.abs(read[:, begin:] - read[:, begin - c : read.shape[1] - c]) if begin < read.shape[1] else read[:, :0]
+                    step = np.compress(place[a - back + begin : a + AT_ONCE] >= c, step, axis=1)
                     for r in range(count_of):
-                        g = i * count_of + r
-                        v = step[r] if middle is None else np.abs(2 * step[r] - middle[g])
-                        if first and middle is None:
-                            found.append((every, g, 2, np.zeros(1, np.int64), np.array([np.count_nonzero(v == 0)])))
-                        for rank, known in ((0, low[g]), (1, high[g])):
-                            if rank == 0 or low[g] != high[g]:
-                                part = v if first else v[v >> shift + 8 == known]
-                                n = np.bincount(part >> shift if first else part >> shift & 255)
-                                digits = np.flatnonzero(n)
-                                found.append((every, g, rank, digits, n[digits]))
-            sizes = [len(x[3]) for x in found]
-            column = lambda k, t: pa.array(np.repeat([x[k] for x in found], sizes), t)
+                        _count(sums[:, i * count_of + r], step[r], i * count_of + r, (own, overall), shift)
+            seen = sums > 0
+            if first and own[2] is None:
+                seen[:, :, 2, 0] = True
+            every, g, rank, digit = np.nonzero(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([session] * sum(sizes), rows.schema.field(0).type), column(0, pa.bool_()), column(1, pa.int32()), column(2, pa.int32()), pa.array(np.concatenate([x[3] for x in found]), pa.int64()), pa.array(np.concatenate([x[4] for x in found]), pa.int64())],
+                [pa.array([session] * len(g), rows.schema.field(0).type), pa.array(every > 0), pa.array(g.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(digit), pa.array(sums[seen])],
                 names=["session", "overall", "g", "rank", "digit", "n"])
 
     kind = packets.schema["session"].dataType.simpleString()
@@ -129,6 +149,7 @@ def step_medians(packets: DataFrame, channels: list[int]) -> DataFrame:
     every = packets.sparkSession.range(1).select(F.lit(None).cast(packets.schema["session"].dataType).alias("session"), F.lit(True).alias("overall"))
     keys = sessions.unionByName(every)
     state, middles = stored(keys.select("*", *blank), "ranks"), None
+    few = state.count() <= FEW_SESSIONS  # a long session's packets stay dealt as they are, and only its ranks travel
     medians = None
     for doubled in (False, True):
         if doubled:
@@ -140,7 +161,8 @@ def step_medians(packets: DataFrame, channels: list[int]) -> DataFrame:
             known = known.join(middles.withColumnRenamed("session", "_s").withColumnRenamed("overall", "_o"), F.col("session").eqNullSafe(F.col("_s")) & (F.col("overall") == F.col("_o"))).drop("_s", "_o") if doubled else known.withColumn("middle", F.lit(None).cast("array<long>"))
             whole = known.where("overall").first()
             overall = tuple(None if whole[c] is None else np.array(whole[c]) for c in ("low", "high", "middle"))
-            counts = _digits(packets.join(known.where("NOT overall").drop("overall"), "session"), channels, shift, overall)
+            own = known.where("NOT overall").drop("overall")
+            counts = _digits(packets.join(F.broadcast(own) if few else own, "session"), channels, shift, overall)
             state = stored(_advance(state, counts, shift == SHIFTS[0]), "ranks")
     grid = F.array(*[F.struct(F.lit(c).alias("channel_count"), F.lit(s).alias("signedness"), F.lit(o).alias("byte_order")) for c in channels for s, o in READINGS])
     lay = lambda df, half: df.select("session", "overall", F.posexplode(F.arrays_zip("low", "high", "n", "zeros")).alias("g", "x")).select("session", "overall", "g", "x.n", "x.zeros", F.when(F.col("x.n") > 0, (F.col("x.low") + F.col("x.high")) / (2 * half)).alias("v"))
