@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from tracegrain.functions import bits, names, ordering, privacy, store
 from tracegrain.operators import audit, benchmark, candidates, cells, packets, reconstruction, reports, scoring, spectral, spectral_blocks, steps, timebase, verdicts, walk
+from tracegrain.plans import evidence
 from tracegrain.sources import outputs, sessions
 from tracegrain.streaming.segments import stateful_segments, streaming_segments
 
@@ -614,3 +615,23 @@ def test_long_sessions_packets_stay_where_they_are(spark, monkeypatch):
         r = got[s, "uint24"]
         assert (r.n, r.mid, r.mad) == (len(step), np.median(step), np.median(np.abs(step - np.median(step))))
     assert len(plans) == 6 and not any("SortMergeJoin [session" in p or "ShuffledHashJoin [session" in p for p in plans)
+
+
+def test_cells_that_deal_alike_are_measured_once(spark):
+    rows = [(s, i, i * 1000 + i // 50 * 9000, [(s + i * 64 + j) * 7919 % 10007 for j in range(64)]) for s in range(2) for i in range(120)]
+    timed = spark.createDataFrame(rows, "session long, ordinal long, received_ms long, payload array<long>").localCheckpoint()
+    grid = reconstruction.hypotheses(spark, 64, primary=True)
+    cells = reconstruction.alike(grid).localCheckpoint()
+    assert cells.count() == 16 and cells.select("of_layout", "of_hypothesis").distinct().count() == 10
+    every, once = reconstruction.gap_segments(timed, grid, 64), reconstruction.gap_segments(timed, grid, 64, once=cells)
+    assert (every.count(), once.count()) == (2 * 3 * 4 * 9, 2 * 3 * (3 * 2 * 2 + 4 * 3))
+    again = reconstruction.in_all_cells(once, cells).select(*every.columns)
+    assert every.exceptAll(again).count() == again.exceptAll(every).count() == 0
+
+
+def test_pairs_of_cells_that_deal_alike_are_measured_once(spark, monkeypatch):
+    seen = []
+    whole = reconstruction.segment_pairs
+    monkeypatch.setattr(reconstruction, "segment_pairs", lambda segs: seen.append(segs.select("layout", "hypothesis").distinct().count()) or whole(segs))
+    got = evidence.grid_pairs(spark, "/root/testdata/sf0.001").select("layout", "hypothesis").distinct().count()
+    assert (seen, got) == ([10], 16)

@@ -26,7 +26,8 @@ def hypotheses(spark: SparkSession, length: int = 66, primary: bool = False) ->
         ("H_2block_meta_per_ch", "first_of_block", 2, [0, half], False),
         ("H_3x22", "default", 3, [], True),
     ]
-    df = spark.createDataFrame([r[:4] for r in rows if r[4] or not primary], "hypothesis string, variant string, channel_count int, metadata array<int>")
+    kept = [F.struct(F.lit(h).alias("hypothesis"), F.lit(v).alias("variant"), F.lit(c).alias("channel_count"), F.array(*map(F.lit, m)).cast("array<int>").alias("metadata")) for h, v, c, m, first in rows if first or not primary]
+    df = spark.range(0, 1, 1, 1).select(F.inline(F.array(*kept)))  # one partition: what is made of it shuffles nothing
     return df.withColumn("signal", F.array_except(F.sequence(F.lit(0), F.lit(length - 1)), "metadata"))
 
 
@@ -74,6 +75,21 @@ def deals(grid: DataFrame) -> DataFrame:
     return known.select(hypothesis_key(F.col("hypothesis"), F.col("variant")).alias("hypothesis"), "layout", "channel", "channel_count", turns.alias("turns"))
 
 
+def alike(grid: DataFrame) -> DataFrame:
+    """layout, hypothesis, of_layout, of_hypothesis: each cell of the grid, and the first of those that deal as it does. Where a
+    payload's words part evenly, packet-local and continuous layouts are one dealing. A fixed small table."""
+    whole = deals(grid).groupBy("layout", "hypothesis").agg(F.to_json(F.array_sort(F.collect_list(F.struct("channel", "channel_count", "turns")))).alias("dealt"))
+    first = whole.groupBy("dealt").agg(F.min(F.struct("hypothesis", "layout")).alias("f")).select("dealt", F.col("f.layout").alias("of_layout"), F.col("f.hypothesis").alias("of_hypothesis"))
+    return whole.join(F.broadcast(first), "dealt").select("layout", "hypothesis", "of_layout", "of_hypothesis")
+
+
+def in_all_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """``rows`` (layout, hypothesis and more) of the cells that ``gap_segments`` gave ``once``, again for each cell of ``cells`` (alike())."""
+    named = cells.select("of_layout", "of_hypothesis", F.col("layout").alias("_layout"), F.col("hypothesis").alias("_hypothesis"))
+    each = rows.join(F.broadcast(named), (F.col("layout") == F.col("of_layout")) & (F.col("hypothesis") == F.col("of_hypothesis")))
+    return each.withColumn("layout", F.col("_layout")).withColumn("hypothesis", F.col("_hypothesis")).select(*rows.columns)
+
+
 PHASE_NAMES = {"packet_local": LAYOUTS[0], "continuous": LAYOUTS[1]}
 
 
@@ -111,21 +127,22 @@ def _place(hypothesis: Column, layout: Column) -> Column:
 GRID = ["session", "layout", "hypothesis", "channel"]
 
 
-def gap_segments(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float = timebase.GAP_MS) -> DataFrame:
+def gap_segments(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float = timebase.GAP_MS, once: DataFrame | None = None) -> DataFrame:
     """The grid's channels cut at the gaps between packets (session, ordinal, received_ms, payload): one row for each session,
     layout, hypothesis (with its variant), channel and segment, with packet_start, packet_end (exclusive), the values in
     order, and fs. No value crosses a gap; a segment without values has no row.
 
     ``fs`` is the number of words of a whole packet over the session's median step, for every channel alike.
+    With ``once`` (alike() of the grid) cells that deal alike come once, for ``in_all_cells`` to give what is told of them to all.
     """
-    rows = _dealt_packets(payloads, grid, length, floor_ms)
+    rows = _dealt_packets(payloads, grid, length, floor_ms, once=once)
     return rows.select(*GRID, "segment", F.col("held")[0]["ordinal"].alias("packet_start"), (F.element_at("held", -1)["ordinal"] + 1).alias("packet_end"), "fs", _values().alias("values"))
 
 
 RUN = 64
 
 
-def _dealt_packets(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float, run: int | None = None) -> DataFrame:
+def _dealt_packets(payloads: DataFrame, grid: DataFrame, length: int, floor_ms: float, run: int | None = None, once: DataFrame | None = None) -> DataFrame:
     """GRID, segment, fs, channel_count, turns, held: the packets (ordinal, place, payload) of a segment, or of each of its runs of
     at most ``run`` ordinals, that have words for the channel. Packets are gathered before they are dealt, so that they are shuffled once
     and not once a cell, and their words never are rows."""
@@ -133,9 +150,13 @@ def _dealt_packets(payloads: DataFrame, grid: DataFrame, length: int, floor_ms:
     cut = timebase.segments(usable.select("session", "ordinal", "received_ms"), floor_ms)
     placed = running_sum(cut.select("session", "ordinal", "segment", (F.lit(float(length)) / (F.col("median_ms") / 1000.0)).alias("fs")), ["session"], "ordinal", F.lit(1), "place", inclusive=False)
     packets = usable.select("session", "ordinal", "payload").join(placed, ["session", "ordinal"])
-    of = [F.floor(F.col("ordinal") / run).alias("_run")] if run else []
-    whole = packets.groupBy("session", "segment", *of).agg(F.first("fs").alias("fs"), F.array_sort(F.collect_list(F.struct("ordinal", "place", "payload"))).alias("packets"))
-    each = whole.join(F.broadcast(deals(grid)))
+    packets = packets.withColumn("_run", F.floor(F.col("ordinal") / run) if run else F.lit(0).cast("long"))
+    parts = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what packets grow to counts, not their bytes
+    whole = packets.repartition(parts, "session", "segment", "_run").groupBy("session", "segment", "_run").agg(F.first("fs").alias("fs"), F.array_sort(F.collect_list(F.struct("ordinal", "place", "payload"))).alias("packets"))
+    ways = deals(grid)
+    if once is not None:
+        ways = ways.join(F.broadcast(once.select(F.col("of_layout").alias("layout"), F.col("of_hypothesis").alias("hypothesis")).distinct()), ["layout", "hypothesis"])
+    each = whole.join(F.broadcast(ways))
     held = F.filter("packets", lambda p: F.size(_turn(p)) > 0)
     return each.select(*GRID, "segment", "fs", "channel_count", "turns", held.alias("held")).where(F.size("held") > 0)
 
