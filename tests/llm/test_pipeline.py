@@ -5,10 +5,12 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_corpus_operators import _contamination, _line_dedup, words
 from tokenizers import Tokenizer
 
+from tracegrain.llm import jaccard
 from tracegrain.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +96,10 @@ def test_pipeline_by_brute_force(spark):
     got = corpus_pipeline.run(spark, SF)
     assert Counter(tuple(r) for r in got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()) == want
     assert dirty and len(apart) < len(lines)
+
+
+def test_texts_are_taken_out_of_batches_in_pieces():
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000))})
+    parts = list(jaccard._parts(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= jaccard.TEXTS < 1000
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(1000))

@@ -18,6 +18,7 @@ from .wordhash import SPACES, hash_words, mix
 CHUNK = 1 << 20
 BLOCK, FEW, FEW_CELLS = 4096, 1_000_000, 10_000
 SEGMENTS, AT_ONCE = 1024, 1 << 16  # segments of a group, and rows of a batch
+TEXTS = 256
 WORDS = 8
 SKETCH = [f"k{j}" for j in range(WORDS)]
 CELLS = "cell long, p long, q long, side long, node long, n long, at long"
@@ -79,11 +80,18 @@ def majority(s: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(s), bitorder="little").view(np.int64)[0])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of TEXTS rows: what Python holds of texts beside a batch doesn't grow with it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, node, fp (the SimHash) and the sketch's words k0, k1, ... of every document."""
 
     def make(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             nodes, fps, words = [], [], [np.zeros((0, WORDS), dtype=np.int64)]
             for s in shingle_sets(batch.column(1).to_pylist(), shingle):
                 nodes.append(node_of(s))
@@ -137,7 +145,7 @@ def _placed(docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
 
     def place(batches):
         told: set[int] = set()  # copies are placed once a task
-        for batch in batches:
+        for batch in _parts(batches):
             cells, nodes, sizes, held = [], [], [], 0
             for s in shingle_sets(batch.column(0).to_pylist(), shingle):
                 node = node_of(s)
@@ -318,7 +326,7 @@ def _near(pairs: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> Data
     """Those of the ``pairs`` whose embeddings lie within the Manhattan bound: what is left is a small part, so few texts travel."""
 
     def embed(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sets = list(shingle_sets(batch.column(1).to_pylist(), shingle))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([embedding(s) for s in sets], pa.binary())], names=["node", "n", "e"])
 
@@ -344,7 +352,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int
     both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def check(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sides = (shingle_sets(batch.column(j).to_pylist(), shingle) for j in (2, 3))
             ok = [similar(x, y, tenths) for x, y in zip(*sides, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
