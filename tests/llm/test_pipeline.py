@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_corpus_operators import _contamination, _line_dedup, words
 from tokenizers import Tokenizer
 
-from tracegrain.llm import jaccard
+from tracegrain.llm import jaccard, simhash, state
 from tracegrain.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +103,21 @@ def test_texts_are_taken_out_of_batches_in_pieces():
     parts = list(jaccard._parts(iter([batch, batch.slice(0, 0)])))
     assert max(p.num_rows for p in parts) <= jaccard.TEXTS < 1000
     assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(1000))
+
+
+def test_near_dedup_sends_texts_in_small_batches(spark, monkeypatch):
+    """By default 10,000 rows of text are one batch, up to 64 MB outside the heap of an executor for each task."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, store = spark.conf.get(key), jaccard.save
+    monkeypatch.setattr(jaccard, "save", lambda df, label: seen.append(spark.conf.get(key)) or store(df, label))
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word"), F.col("id") % 4, F.lit(" ")), 30_000).alias("text"))
+    assert simhash.deduplicate(docs).count() == 4
+    assert set(seen) == {str(state.BATCH)} and spark.conf.get(key) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    with state.small_batches(spark):
+        found = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in found) == 40 and max(r["bytes"] for r in found) <= 2 * state.BATCH

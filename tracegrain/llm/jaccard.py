@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .components import components
 from .state import discard, save
 from .wordhash import SPACES, hash_words, mix
@@ -91,6 +92,7 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, node, fp (the SimHash) and the sketch's words k0, k1, ... of every document."""
 
     def make(batches):
+        tokens.unload()
         for batch in _parts(batches):
             nodes, fps, words = [], [], [np.zeros((0, WORDS), dtype=np.int64)]
             for s in shingle_sets(batch.column(1).to_pylist(), shingle):

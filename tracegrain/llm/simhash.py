@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard
 from .components import components
-from .state import save
+from .state import save, small_batches
 
 SHINGLE, BITS = 4, 4
 SEGMENTS, SEGMENT_ENTROPY = 32, 1.5  # two-bit segments of a fingerprint, and the bits that a segment's popcount tells
@@ -196,7 +196,8 @@ def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, tenths: int
     """doc_id (unique, not null) and ``component_id``: the least doc_id reachable over pairs of documents whose sets of
     five-word shingles have a Jaccard similarity of 0.8 or more. Every such pair is a link, and no other is: the links of
     links() are verified first, and jaccard.grid() brings those that 64 bits cannot tell."""
-    rows, joined = jaccard.linked(docs, shingle, tenths, links)
+    with small_batches(docs.sparkSession):  # all that sends texts to Python is stored here
+        rows, joined = jaccard.linked(docs, shingle, tenths, links)
     classes = save(rows.groupBy("node").agg(F.min("doc_id").alias("_first")), "classes")
     return _named(rows, classes, "node", components(joined)).select("doc_id", "component_id")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -45,6 +47,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH) -> Iterator[None]:
+    """What runs within gives Python workers Arrow batches of about ``most`` bytes: an executor holds a batch outside its
+    heap while it writes it, and 10,000 long texts a task are more than what is left there."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _local(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")

@@ -29,6 +29,13 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library is another, it keeps what was freed
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordCut:
     """For tokenizers that drop white space and fold case: chunks are what lies between spaces and line feeds.
 
@@ -88,9 +95,7 @@ class Encoder:
             self.starts, self.sizes = self.starts[:RESTING].copy(), self.sizes[:RESTING].copy()
             self.filled = int(self.starts[-1] + self.sizes[-1])
             self.pool = self.pool[: self.filled].copy()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # where the C library is another, it keeps what was freed
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -183,6 +188,13 @@ def encoder(path: str, cut: type) -> Encoder:
     return _loaded[path, cut]
 
 
+def unload() -> None:
+    """A worker that turns to other work gives back its encoders."""
+    if _loaded:
+        _loaded.clear()
+        trim()
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE):
     """Runs of a batch's rows whose text has about ``most`` bytes; a longer text is a run by itself."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
