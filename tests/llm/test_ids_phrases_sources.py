@@ -39,6 +39,24 @@ def test_encoder_notices_a_tokenizer_it_is_not_for():
         tokens.Encoder(tokenizer_path("byte_bpe_50k.json"), tokens.WordCut()).encode(pa.array(["Two words here"]))
 
 
+def test_plain_words_go_to_the_model_alone():
+    """Folding and parting each new word anew takes the library three times as long as its merges do."""
+
+    class Model:
+        def __init__(self, whole):
+            self.model = whole.model
+
+    e = tokens.Encoder(tokenizer_path("word_bpe_49k.json"), tokens.WordCut(), fresh=0)
+    whole = e.tokenizer
+    texts = ["It's a Plain-text (12 km), we'll 'stay'...", "École ÉCOLE Straße ýñÿ 3x4 ß", "user@host.example/a_b?c=%41 ''s 't don'T", "\u00aa \u00b5m \u00a0x \u00b2 e\u0301 4×5÷6"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    e.tokenizer = Model(whole)
+    ids, counts = e.encode(pa.array(texts[:3]))
+    assert counts.tolist() == [len(w) for w in want[:3]] and ids.tolist() == [i for w in want[:3] for i in w]
+    e.tokenizer = whole  # other letters and white space still go through all of it
+    assert e.encode(pa.array(texts[3:]))[0].tolist() == want[3]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 31, 32, 255, 256, 257, 1023, 5000, 70000])
 def test_coder(n):
     r = np.random.default_rng(n)

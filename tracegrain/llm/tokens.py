@@ -9,6 +9,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import itertools
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,14 @@ JOINED, GATHERED = 1000, 1 << 14
 OTHER_SPACE = r"[\t\r\v\f\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+#: How word tokenizers find pieces and write their bytes, and the chunks in which Python finds the same: of ASCII and Latin letters, folded.
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+FOLDS, BYTE_LEVEL = {"NFC", "Lowercase", "Replace"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... for each i, ``sizes[i]`` of them."""
     ends = np.cumsum(sizes)
@@ -81,9 +91,27 @@ class Encoder:
 
         self.tokenizer, self.cut, self.fresh = Tokenizer.from_file(path), cut, fresh
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.by_words = isinstance(cut, WordCut) and self._finds_words()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
+    def _finds_words(self) -> bool:
+        """Whether the file folds and parts texts by WORDS, so that its model can be asked for pieces, past all that
+        comes before it."""
+        fold, part = (x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        folds = {x["type"]: x for x in (fold or {}).get("normalizers", [])}
+        split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+        space = folds.get("Replace", {})
+        return folds.keys() == FOLDS and (space["pattern"], space["content"]) == ({"Regex": r"\s+"}, " ") and (part or {}).get("pretokenizers") == [split, BYTE_LEVEL]
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        ask, ids, sizes = self.tokenizer.model.tokenize, [], []
+        for p in pieces:
+            found = ask(p if p.isascii() else p.lower().encode().decode("latin-1").translate(LETTERS))
+            ids += [t.id for t in found]
+            sizes.append(len(found))
+        self._keep(pieces, np.array(ids, np.int32), np.array(sizes, np.int64))
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.starts, self.sizes, self.pool, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0
@@ -137,7 +165,11 @@ class Encoder:
             self._forget()
         known = self.known
         places = list(map(known.get, chunks))
-        if new := [c for c, p in zip(chunks, places, strict=True) if p is None]:
+        new = [c for c, p in zip(chunks, places, strict=True) if p is None]
+        if self.by_words and new:
+            self._by_words([c for c in new if PLAIN.fullmatch(c)])
+            new = [c for c in new if c not in known]
+        if new:
             ended = [c for c in new if c[-1] in ".," and "a" <= c[-2:-1] <= "z"]
             parts = dict.fromkeys(c for c in new if not (c[-1] in ".," and "a" <= c[-2:-1] <= "z"))
             parts |= dict.fromkeys(p for c in ended for p in (c[:-1], c[-1]) if p not in known)
@@ -146,9 +178,23 @@ class Encoder:
                 both = np.array([known[p] for c in ended for p in (c[:-1], c[-1])])
                 sizes = self.sizes[both]
                 self._keep(ended, self.pool[spread(self.starts[both], sizes)], sizes[::2] + sizes[1::2])
+        if None in places:
             places = list(map(known.__getitem__, chunks))
         return np.array(places, np.int64)
 
+    def _by_words(self, chunks: list[str]) -> None:
+        """Learn different plain ``chunks``, none of them known: those of letters as they are, others by their pieces."""
+        known = self.known
+        self._learn_pieces([c for c in chunks if c.isalpha()])
+        parts = {c: PIECES.findall(c.lower()) for c in chunks if c not in known}
+        self._learn_pieces([p for p in dict.fromkeys(itertools.chain.from_iterable(parts.values())) if p not in known])
+        rest = [c for c in parts if c not in known]
+        if rest:
+            at = np.array([known[p] for c in rest for p in parts[c]])
+            sizes = self.sizes[at]
+            first = np.cumsum([0, *(len(parts[c]) for c in rest[:-1])])
+            self._keep(rest, self.pool[spread(self.starts[at], sizes)], np.add.reduceat(sizes, first))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of all ``texts`` end to end, and how many each has; null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
