@@ -430,6 +430,23 @@ def test_audit_of_empty_and_null(spark):
     assert audit.modality_statuses(none).count() == 0 and audit.findings(none).count() == 0
 
 
+def _inside(levels, value):
+    """``value`` under so many keys."""
+    for _ in range(levels):
+        value = {"d": value}
+    return value
+
+
+def test_modalities_are_found_however_deep_long_or_wide_a_cell_is(spark):
+    ecg = {"ecg": [1, 2]}
+    found = [[0] * 60 + [ecg], [0] * 40000 + [[ecg]], _inside(12, ecg), _inside(300, ecg), {f"k{i}": i for i in range(300)} | ecg, {f"k{i}": i for i in range(24)} | ecg, {"ecg": _inside(12, [1])}, [[0] * 60, ecg] * 60]
+    none = [{"ecg": [0] * 60 + [{}]}, {"ecg": [0] * 60 + [[]]}, {"ecg": _inside(12, {})}]
+    rows = [(i, json.dumps(v)) for i, v in enumerate(found + none)] + [(99, json.dumps([0] * 60 + [{"x": 1}]))]
+    cells = audit.with_status(audit.unpivot(spark.createDataFrame(rows, "session long, data_json string")))
+    got = {r["session"]: r["status"] for r in audit.modality_statuses(cells).where("modality = 'ecg'").collect()}
+    assert got == dict.fromkeys(range(len(found)), "samples_present") | dict.fromkeys(range(len(found), len(rows) - 1), "structure_present_no_samples") | {99: "column_absent"}
+
+
 def test_time_units(spark):
     for name, unit in (("time_ms", "ms"), ("sample_us", "us"), ("startSeconds", "s"), ("epoch_s", "s"), ("value", None)):
         assert one(spark, names.time_unit(F.lit(name))) == unit

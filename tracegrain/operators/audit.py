@@ -36,10 +36,11 @@ def with_status(cells: DataFrame) -> DataFrame:
     return told.join(F.broadcast(column_profile(told).select("column", "kind")), "column")
 
 
-def json_nodes(cells: DataFrame, key: str = "session", tasks: int | None = None) -> DataFrame:
-    """Walked cells of the columns that hold JSON, dealt by session to as many tasks as their number asks for."""
+def json_nodes(cells: DataFrame, key: str = "session", tasks: int | None = None, whole: bool = False) -> DataFrame:
+    """Walked cells of the columns that hold JSON (``whole``: without the limits of a profile), dealt by session to as many
+    tasks as their number asks for."""
     some = cells.where(F.col("kind").isin(JSON_KINDS))
-    return walk(some.repartition(tasks or tasks_for(cells), key), [key, "col_pos", "column"])
+    return walk(some.repartition(tasks or tasks_for(cells), key), [key, "col_pos", "column"], whole=whole)
 
 
 def _may_hold_times(cell: Column) -> Column:
@@ -61,11 +62,12 @@ def _by_name(rows: DataFrame, column: str, told: Column) -> DataFrame:
 def modality_statuses(cells: DataFrame, key: str = "session") -> DataFrame:
     """(key, modality, status) for every session and modality. ``cells`` come from ``with_status``.
 
-    Names of columns and of paths count; a path's cell brings all its samples, once for the column and once for paths.
+    Names of columns and of paths count; a path's cell brings all its samples, once for the column and once for paths. Cells
+    are walked whole: every value and every name counts, however deep, long or wide its cell.
     Names are matched once per distinct name; each session is then summed up by one aggregation.
     """
     tasks = tasks_for(cells)
-    nodes = json_nodes(cells, key, tasks)
+    nodes = json_nodes(cells, key, tasks, whole=True)
     path_key = [key, "column", "path"]
     seen = stored(nodes.groupBy(*path_key).agg(F.sum("samples").alias("s")), "paths")  # looked at three times: cells are walked once
     seen, cells = seen.repartition(tasks, key), cells.repartition(tasks, key)  # so that nothing below shuffles by less than a session
