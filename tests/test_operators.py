@@ -447,6 +447,16 @@ def test_modalities_are_found_however_deep_long_or_wide_a_cell_is(spark):
     assert got == dict.fromkeys(range(len(found)), "samples_present") | dict.fromkeys(range(len(found), len(rows) - 1), "structure_present_no_samples") | {99: "column_absent"}
 
 
+def test_findings_see_times_however_deep_long_or_wide_a_cell_is(spark):
+    times = {"time_s": [0, 100]}
+    agree = [{"time_s": list(range(101))}, {"time_s": [5] * 40000 + [105]}, [0] * 60 + [times], _inside(12, times), {f"k{i}": i for i in range(300)} | times, [{"time_s": i} for i in range(101)]]
+    differ = [{"time_s": [0, 100] + [50] * 60 + [300]}, _inside(12, {"time_s": [0, 10]})]
+    rows = [(i, "100", json.dumps(v)) for i, v in enumerate(agree + differ)] + [(99, "100", json.dumps(_inside(12, {"time_s": [7]})))]
+    cells = audit.with_status(audit.unpivot(spark.createDataFrame(rows, "session long, duration_s string, data_json string")))
+    got = {(r["session"], r["code"]) for r in audit.findings(cells).collect()}
+    assert got == {(len(agree) + i, "duration_mismatch") for i in range(len(differ))} | {(99, "duration_not_evaluable")}
+
+
 def test_time_units(spark):
     for name, unit in (("time_ms", "ms"), ("sample_us", "us"), ("startSeconds", "s"), ("epoch_s", "s"), ("value", None)):
         assert one(spark, names.time_unit(F.lit(name))) == unit

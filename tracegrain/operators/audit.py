@@ -141,7 +141,8 @@ def time_spans(nodes: DataFrame, key: str = "session") -> DataFrame:
 def findings(cells: DataFrame, key: str = "session") -> DataFrame:
     """(key, code, column, detail) of all that does not agree. ``cells`` come from ``with_status``.
 
-    Nested fields are used only where ``sent`` or ``total`` is no column of its own.
+    Nested fields are used only where ``sent`` or ``total`` is no column of its own. Spans are those of all times, wherever they
+    are in their cells.
     """
     asked = F.array(F.struct((F.size(names.modalities(F.col("column"))) > 0).alias("physio"), names.matches_any(F.col("column"), PENDING).alias("flag")))
     has_modality = F.broadcast(_by_name(cells, "column", asked).select("column", "told.*"))
@@ -158,7 +159,7 @@ def findings(cells: DataFrame, key: str = "session") -> DataFrame:
     missing = F.col("sent.ordinary").isNull() | F.col("total.ordinary").isNull()
     pick = {f: F.coalesce(F.col(f"{f}.ordinary"), F.when(missing, F.col(f"{f}.nested"))) if f != "duration" else F.col("duration.ordinary") for f in names_of}
     session = cells.select(key).distinct().join(wide, key, "left").select(key, *[c.alias(f) for f, c in pick.items()])
-    session = session.join(time_spans(json_nodes(cells.where(_may_hold_times(F.col("cell"))), key, tasks_for(cells)), key).withColumn("timed", F.lit(True)), key, "left")
+    session = session.join(time_spans(json_nodes(cells.where(_may_hold_times(F.col("cell"))), key, tasks_for(cells), whole=True), key).withColumn("timed", F.lit(True)), key, "left")
     per_session = session.select(key, F.inline(F.filter(F.array(*_session_rules()), lambda x: x.isNotNull())))
     return per_cell.unionByName(per_session)
 
